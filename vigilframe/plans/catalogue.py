@@ -1,4 +1,441 @@
-"""The registered queries and their SQL."""
+"""The registered queries: the operators over the driver's tables, each beside the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import exprs
+from ..operators import cache, gate, lifecycle, pool, sampling, select, zeroshot
+from ..sources import media
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+LOG_SCALE, BIAS = math.log(2.0), -1.0
+TRIGGER, THRESHOLD = 1, 0.85  # label of `error`, and the score that ends a scan
+STATES = {"F": "done", "O": "processing", "X": "queued"}
+
+
+def query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _round(c: str):
+    return F.round(F.col(c).cast("double"), 6).alias(c)
+
+
+# --- predictions: every event is a frame of its user with one prediction
+
+_LABELS = ("click", "error", "purchase", "signup", "view")
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.array_position(F.array(*map(F.lit, _LABELS)), F.col("event_type")) - 1
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return _t(spark, sf_dir, "events").select(F.col("user_id").alias("item"), "event_id", n.cast("long").alias("frame_index"), label.cast("long").alias("label"), F.least(F.col("value") / 200, F.lit(1.0)).cast("float").alias("score"))
+
+
+_SQL_FRAMES = """f AS (SELECT user_id AS item, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_index,
+  (list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1)::BIGINT AS label, least(value / 200, 1.0)::FLOAT AS score FROM events)"""
+
+
+@query(f"WITH {_SQL_FRAMES}, r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, event_id) AS rank FROM f) SELECT item, event_id, label, round(score::DOUBLE, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5 OR score > 0.9::FLOAT")
+def select_top(spark, sf_dir):
+    out = select.select_top(_frames(spark, sf_dir), ["item"], ordinal="event_id")
+    return out.select("item", "event_id", "label", _round("score"), "rank")
+
+
+@query(f"WITH {_SQL_FRAMES}, r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, event_id) AS rank FROM f WHERE score >= 0.5::FLOAT) SELECT item, event_id, label, rank::INTEGER AS rank FROM r WHERE rank <= 3")
+def flat_top(spark, sf_dir):
+    return select.flat_top(_frames(spark, sf_dir), ["item"], 0.5, 3, ordinal="event_id").select("item", "event_id", "label", "rank")
+
+
+@query(f"WITH {_SQL_FRAMES} SELECT item, bool_or(label = 1 AND score >= 0.85::FLOAT) AS fires FROM f GROUP BY item")
+def trigger_test(spark, sf_dir):
+    packed = _frames(spark, sf_dir).groupBy("item").agg(F.collect_list(F.struct("label", "score")).alias("p"))
+    return packed.select("item", select.triggered(F.col("p"), [TRIGGER], THRESHOLD).alias("fires"))
+
+
+_SQL_POOL = """s AS (SELECT item, label, {how} AS score FROM {src} GROUP BY item, label),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, label) AS rank FROM s)
+ SELECT item, label, round(score::DOUBLE, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5 OR score > 0.9::FLOAT"""
+_SQL_N = "n AS (SELECT item, count(DISTINCT frame_index) AS n FROM {src} GROUP BY item)"
+
+
+@query(f"WITH {_SQL_FRAMES}, {_SQL_N.format(src='f')}, g AS (SELECT f.*, n FROM f JOIN n USING (item)), " + _SQL_POOL.format(how="(sum(score::DOUBLE) / any_value(n))::FLOAT", src="g"))
+def frame_pool_mean(spark, sf_dir):
+    return pool.pool(_frames(spark, sf_dir), ["item"], "mean").select("item", "label", _round("score"), "rank")
+
+
+@query(f"WITH {_SQL_FRAMES}, " + _SQL_POOL.format(how="max(score)", src="f"))
+def frame_pool_max(spark, sf_dir):
+    return pool.pool(_frames(spark, sf_dir), ["item"], "max").select("item", "label", _round("score"), "rank")
+
+
+_SQL_PREFIX = """p AS (SELECT *, max(CASE WHEN label = 1 AND score >= 0.85::FLOAT THEN 1 ELSE 0 END) OVER (PARTITION BY item ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fired FROM f),
+ k AS (SELECT * EXCLUDE (fired) FROM p WHERE coalesce(fired, 0) = 0)"""
+
+
+@query(f"WITH {_SQL_FRAMES}, {_SQL_PREFIX} SELECT item, frame_index, label FROM k")
+def scan_prefix(spark, sf_dir):
+    return pool.until_trigger(_frames(spark, sf_dir), ["item"], pool.fires([TRIGGER], THRESHOLD)).select("item", "frame_index", "label")
+
+
+@query(f"WITH {_SQL_FRAMES}, {_SQL_PREFIX}, {_SQL_N.format(src='k')}, g AS (SELECT k.*, n FROM k JOIN n USING (item)), " + _SQL_POOL.format(how="(sum(score::DOUBLE) / any_value(n))::FLOAT", src="g"))
+def scan_early_exit(spark, sf_dir):
+    kept = pool.until_trigger(_frames(spark, sf_dir), ["item"], pool.fires([TRIGGER], THRESHOLD))
+    return pool.pool(kept, ["item"], "mean").select("item", "label", _round("score"), "rank")
+
+
+@query(f"WITH {_SQL_FRAMES} SELECT item, frame_index, (frame_index // 8)::BIGINT AS batch FROM f")
+def frame_batches(spark, sf_dir):
+    return pool.batches(_frames(spark, sf_dir), ["item"], 8).select("item", "frame_index", "batch")
+
+
+@query(f"WITH {_SQL_FRAMES} SELECT item, frame_index FROM f WHERE event_id % 2 <> 0")
+def resume_pending_frames(spark, sf_dir):
+    f = _frames(spark, sf_dir)
+    return pool.pending(f, f.where("event_id % 2 = 0"), ["item", "frame_index"]).select("item", "frame_index")
+
+
+@query(f"WITH {_SQL_FRAMES} SELECT item, count(*) AS n_frames, min(frame_index) AS first_index, max(frame_index) AS last_index, (SELECT count(*) FROM (SELECT DISTINCT item, label FROM f) d WHERE d.item = f.item)::INTEGER AS n_labels FROM f GROUP BY item")
+def frame_scan_assembly(spark, sf_dir):
+    f = _frames(spark, sf_dir)
+    rows = f.withColumn("timestamp", F.col("frame_index").cast("double")).withColumn("classification", F.array(F.struct("label", "score")))
+    scans = pool.frame_scans(rows, pool.pool(f, ["item"], "max"), ["item"])
+    s = F.col("frame_scan")
+    return scans.select("item", F.size(s["frames"]).cast("long").alias("n_frames"), F.get(s["frames"], F.lit(0))["frame_index"].alias("first_index"), F.element_at(s["frames"], -1)["frame_index"].alias("last_index"), F.size(s["aggregated"]).alias("n_labels"))
+
+
+# --- zero shot
+
+_SQL_ZERO = """p AS (SELECT vec_id AS prompt_ix, label AS child_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE vec_id < {prompts}),
+ i AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE vec_id >= {prompts}),
+ s AS (SELECT vec_id, prompt_ix, child_id, 1 / (1 + exp(-(2.0 * list_dot_product(i.e, p.e) / (i.n * p.n) - 1.0))) AS score FROM i, p)"""
+
+
+def _prompt_scores(spark, sf_dir, prompts: int) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings")
+    p = e.where(F.col("vec_id") < prompts).select(F.col("vec_id").alias("prompt_ix"), F.col("label").alias("child_id"), F.lit(0).alias("parent_id"), F.col("embedding").alias("prompt_embedding"))
+    return zeroshot.prompt_scores(e.where(F.col("vec_id") >= prompts).select("vec_id", "embedding"), p, LOG_SCALE, BIAS)
+
+
+def _taxonomy(spark, sf_dir, how: str) -> DataFrame:
+    scored = _prompt_scores(spark, sf_dir, 40).withColumn("agg", F.lit(how))
+    top = select.select_top(zeroshot.taxonomy_scores(scored, "vec_id"), ["vec_id"])
+    return top.select("vec_id", "child_id", _round("score"), "rank")
+
+
+_SQL_TAXONOMY = f"WITH {_SQL_ZERO.format(prompts=40)}, " + """c AS (SELECT vec_id, child_id, min(prompt_ix) AS ordinal, {how}(score)::FLOAT AS score FROM s GROUP BY vec_id, child_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, ordinal) AS rank FROM c)
+ SELECT vec_id, child_id, round(score::DOUBLE, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5 OR score > 0.9::FLOAT"""
+
+
+@query(_SQL_TAXONOMY.format(how="avg"))
+def zeroshot_taxonomy_mean(spark, sf_dir):
+    return _taxonomy(spark, sf_dir, "mean")
+
+
+@query(_SQL_TAXONOMY.format(how="max"))
+def zeroshot_taxonomy_max(spark, sf_dir):
+    return _taxonomy(spark, sf_dir, "max")
+
+
+@query(f"WITH {_SQL_ZERO.format(prompts=10)}, r AS (SELECT vec_id, prompt_ix, score::FLOAT AS score, row_number() OVER (PARTITION BY vec_id ORDER BY score::FLOAT DESC, prompt_ix) AS rank FROM s WHERE score::FLOAT >= 0.3::FLOAT) SELECT vec_id, prompt_ix, round(score::DOUBLE, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3")
+def zeroshot_flat(spark, sf_dir):
+    scored = _prompt_scores(spark, sf_dir, 10).withColumn("score", F.col("score").cast("float"))
+    return select.flat_top(scored, ["vec_id"], 0.3, 3, ordinal="prompt_ix").select("vec_id", "prompt_ix", _round("score"), "rank")
+
+
+@query("WITH x AS (SELECT vec_id, unnest(range(1, 11)) AS i, embedding FROM embeddings), l AS (SELECT vec_id, (i - 1)::INTEGER AS label, 10 * embedding[i]::DOUBLE AS logit FROM x), e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS e FROM l), s AS (SELECT vec_id, label, (e / sum(e) OVER (PARTITION BY vec_id))::FLOAT AS score FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM s) SELECT vec_id, label, round(score::DOUBLE, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5 OR score > 0.9::FLOAT")
+def softmax_top(spark, sf_dir):
+    logits = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 10)).alias("label", "x")).select("vec_id", "label", (F.lit(10.0) * F.col("x").cast("double")).alias("logit"))
+    return select.select_top(zeroshot.softmax(logits, ["vec_id"]), ["vec_id"], ordinal="label").select("vec_id", "label", _round("score"), "rank")
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS x0, round(embedding[64]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS x63 FROM embeddings")
+def l2_normalize(spark, sf_dir):
+    v = F.col("v")
+    return _t(spark, sf_dir, "embeddings").select("vec_id", zeroshot.l2_normalize(F.col("embedding")).alias("v")).select("vec_id", F.round(F.get(v, F.lit(0)), 6).alias("x0"), F.round(F.get(v, F.lit(63)), 6).alias("x63"))
+
+
+@query("SELECT p_partkey, 'a photo of ' || p_name || ' (' || p_name || ')' AS both, 'photo: ' || p_name AS prefixed FROM part")
+def prompt_templates(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", zeroshot.prompt_text(F.col("p_name"), "a photo of {} ({})").alias("both"), zeroshot.prompt_text(F.col("p_name"), "photo:").alias("prefixed"))
+
+
+# --- sampling
+
+
+def _videos(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("duration"), (F.lit(1) + F.col("p_partkey") % 5).cast("double").alias("fps"))
+
+
+_SQL_VIDEOS = "v AS (SELECT p_partkey, p_size::DOUBLE AS duration, (1 + p_partkey % 5)::DOUBLE AS fps FROM part)"
+
+
+@query(f"WITH {_SQL_VIDEOS} SELECT p_partkey, i::INTEGER AS i, round((i + 0.5) / 4 * duration, 6) AS t FROM v, range(4) r(i) WHERE duration > 0")
+def sample_uniform(spark, sf_dir):
+    return _videos(spark, sf_dir).select("p_partkey", F.posexplode(sampling.uniform(F.col("duration"), F.lit(4))).alias("i", "t")).select("p_partkey", "i", _round("t"))
+
+
+@query(f"WITH {_SQL_VIDEOS}, n AS (SELECT *, unnest(range(0, greatest(ceil(duration * fps)::BIGINT, 1), 7)) AS k FROM v WHERE duration > 0) SELECT p_partkey, (k // 7)::INTEGER AS i, round(k / fps, 6) AS t FROM n WHERE k / fps < duration")
+def sample_every_nth(spark, sf_dir):
+    return _videos(spark, sf_dir).select("p_partkey", F.posexplode(sampling.every_nth(F.col("duration"), F.col("fps"), F.lit(7))).alias("i", "t")).select("p_partkey", "i", _round("t"))
+
+
+@query(f"WITH {_SQL_VIDEOS}, n AS (SELECT *, unnest(range(0, ceil(duration * 2)::BIGINT)) AS k FROM v WHERE duration > 0) SELECT p_partkey, k::INTEGER AS i, round(k / 2.0, 6) AS t FROM n WHERE k / 2.0 < duration")
+def sample_rate(spark, sf_dir):
+    return _videos(spark, sf_dir).select("p_partkey", F.posexplode(sampling.at_rate(F.col("duration"), F.lit(2.0))).alias("i", "t")).select("p_partkey", "i", _round("t"))
+
+
+@query("""WITH RECURSIVE v AS (SELECT p_partkey, [(k * 7 % 20) * 0.03::DOUBLE * p_size / 10 FOR k IN range(20)] AS ts FROM part),
+ d(p_partkey, ts, k, kept) AS (SELECT p_partkey, ts, 1, []::DOUBLE[] FROM v
+  UNION ALL SELECT p_partkey, ts, k + 1, CASE WHEN len(list_filter(kept, lambda c: abs(c - ts[k]) <= 0.05::DOUBLE)) > 0 THEN kept ELSE list_append(kept, ts[k]) END FROM d WHERE k <= 20)
+ SELECT p_partkey, (unnest(range(1, len(kept) + 1)) - 1)::INTEGER AS i, round(unnest(kept), 6) AS t FROM d WHERE k = 21""")
+def plan_dedupe(spark, sf_dir):
+    times = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: (k * 7 % 20) * F.lit(0.03) * F.col("p_size") / 10)
+    return _t(spark, sf_dir, "part").select("p_partkey", F.posexplode(sampling.dedupe(times)).alias("i", "t")).select("p_partkey", "i", _round("t"))
+
+
+@query(f"""WITH RECURSIVE {_SQL_VIDEOS}, s AS (SELECT p_partkey, greatest(duration - greatest(1 / fps, 0.001), 0.0) AS most,
+   [(k + 0.5::DOUBLE) / 3 * duration FOR k IN range(3)] || [k::DOUBLE FOR k IN range(duration::BIGINT)] AS ts FROM v WHERE duration > 0),
+ c AS (SELECT p_partkey, [greatest(0.0, least(t, most)) FOR t IN ts] AS ts FROM s),
+ d(p_partkey, ts, k, kept) AS (SELECT p_partkey, ts, 1, []::DOUBLE[] FROM c
+  UNION ALL SELECT p_partkey, ts, k + 1, CASE WHEN len(list_filter(kept, lambda x: abs(x - ts[k]) <= 0.05::DOUBLE)) > 0 THEN kept ELSE list_append(kept, ts[k]) END FROM d WHERE k <= len(ts))
+ SELECT p_partkey, (unnest(range(1, len(kept) + 1)) - 1)::INTEGER AS frame_index, round(unnest(kept), 6) AS t FROM d WHERE k = len(ts) + 1""")
+def frame_plan(spark, sf_dir):
+    steps = F.array(sampling.uniform(F.col("duration"), F.lit(3)), sampling.at_rate(F.col("duration"), F.lit(1.0)))
+    merged = sampling.merge_steps(steps, F.col("duration"), F.col("fps"))
+    return _videos(spark, sf_dir).select("p_partkey", F.posexplode(merged).alias("frame_index", "t")).select("p_partkey", "frame_index", _round("t"))
+
+
+# --- caches
+
+
+@query("WITH d AS (SELECT doc_id, sha256(text) AS content_hash FROM documents), c AS (SELECT content_hash, min(doc_id) AS first_doc FROM d WHERE doc_id % 2 = 0 GROUP BY content_hash) SELECT d.doc_id, c.first_doc FROM d LEFT JOIN c USING (content_hash) WHERE doc_id % 2 = 1")
+def content_cache_hits(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", exprs.content_digest(F.col("text")).alias("content_hash"), F.lit("general").alias("model"), F.lit("main").alias("revision"))
+    stored = d.where("doc_id % 2 = 0").groupBy("content_hash", "model", "revision").agg(F.min("doc_id").alias("output")).withColumn("created_at", F.lit(0))
+    return cache.content_cache(d.where("doc_id % 2 = 1"), stored).select("doc_id", F.col("output").alias("first_doc"))
+
+
+@query("WITH p AS (SELECT page_id, sha256(url) AS u, sha256(html) AS h FROM pages), m AS (SELECT page_id, u, h, unnest(['a', 'b']) AS model FROM p), hit AS (SELECT page_id, model, CASE WHEN model = 'a' OR page_id % 3 <> 0 THEN page_id END AS output FROM m), whole AS (SELECT page_id FROM hit GROUP BY page_id HAVING bool_and(output IS NOT NULL)) SELECT page_id, model, output FROM hit JOIN whole USING (page_id)")
+def url_cache_chain(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", cache.url_key(F.col("url")).alias("url_hash"), exprs.content_digest(F.col("html")).alias("content_hash"))
+    m = p.withColumn("model", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("revision", F.lit("main")).withColumn("created_at", F.lit(10))
+    outputs = m.where("model = 'a' or page_id % 3 <> 0").withColumn("output", F.col("page_id"))
+    hits = cache.url_cache_hits(m.select(F.col("page_id").alias("item"), "url_hash", "model", "revision"), m, outputs, 5)
+    return hits.select(F.col("item").alias("page_id"), "model", "output")
+
+
+@query("SELECT event_id FROM events WHERE epoch(ts)::BIGINT >= (SELECT max(epoch(ts)::BIGINT) - 86400 FROM events)")
+def cache_ttl(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_at"))
+    now = e.agg(F.max("created_at")).first()[0] or 0
+    return e.where(cache.is_fresh(F.col("created_at"), now, 86400)).select("event_id")
+
+
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) SELECT user_id, event_type, event_id, round(value, 6) AS value FROM r WHERE n = 1")
+def latest_state(spark, sf_dir):
+    log = _t(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return cache.latest(log, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", _round("value"))
+
+
+# --- sources
+
+
+@query("SELECT page_id, nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), '') AS name FROM pages")
+def filename_hint(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", media.filename_hint(F.col("url")).alias("name"))
+
+
+@query("SELECT page_id, 'remote' AS kind, CASE WHEN lower(split_part(url, '://', 1)) <> 'https' THEN 'scheme is not allowed: ' || lower(split_part(url, '://', 1)) END AS problem FROM pages")
+def scheme_filter(spark, sf_dir):
+    r = media.resolve(F.col("url"), media.FetchLimits(schemes=("HTTPS",)))
+    return _t(spark, sf_dir, "pages").select("page_id", r.alias("r")).select("page_id", "r.kind", "r.problem")
+
+
+@query("WITH a AS (SELECT event_id, event_id % 256 AS a, user_id % 256 AS b, (event_id // 256) % 256 AS c FROM events) SELECT event_id, (a IN (0, 10, 127) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c = 2) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) AS blocked FROM a")
+def blocked_ips(spark, sf_dir):
+    ip = F.concat_ws(".", (F.col("event_id") % 256).cast("string"), (F.col("user_id") % 256).cast("string"), (F.floor(F.col("event_id") / 256) % 256).cast("string"), F.lit("7"))
+    return _t(spark, sf_dir, "events").select("event_id", media.is_blocked_ip(ip).alias("blocked"))
+
+
+@query("WITH c AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS received FROM conversations) SELECT conv_id, turn, received::BIGINT AS received, received <= 2000 AS within FROM c")
+def upload_running_cap(spark, sf_dir):
+    return lifecycle.running_cap(_t(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.length("text"), 2000).select("conv_id", "turn", F.col("received").cast("long").alias("received"), "within")
+
+
+@query("WITH n AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE length(text) > 0), s AS (SELECT doc_id, n, unnest(range(0, (n + 1023) // 1024)) AS seq FROM n) SELECT doc_id, seq::INTEGER AS seq, least(1024, n - seq * 1024)::BIGINT AS n_bytes FROM s")
+def upload_chunks(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    return media.to_chunks(d, size=1024).select("doc_id", "seq", F.length("data").cast("long").alias("n_bytes"))
+
+
+# --- pipelines and lifecycle
+
+
+def _gate_sql(done: str = "false") -> str:
+    return f"WITH f AS (SELECT conv_id, turn, role = 'assistant' AND length(text) > 400 AS fires FROM conversations), g AS (SELECT *, coalesce(max(CASE WHEN fires THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fired FROM f) SELECT conv_id, turn, CASE WHEN fired = 1 AND NOT ({done}) THEN 'skipped' ELSE 'done' END AS state FROM g"
+
+
+@query(_gate_sql())
+def pipeline_gate(spark, sf_dir):
+    fires = (F.col("role") == "assistant") & (F.length("text") > 400)
+    return gate.gate_states(_t(spark, sf_dir, "conversations"), ["conv_id"], fires, "turn").select("conv_id", "turn", "state")
+
+
+@query(_gate_sql("turn % 3 = 0"))
+def pipeline_gate_resumed(spark, sf_dir):
+    fires = (F.col("role") == "assistant") & (F.length("text") > 400)
+    return gate.gate_states(_t(spark, sf_dir, "conversations"), ["conv_id"], fires, "turn", F.col("turn") % 3 == 0).select("conv_id", "turn", "state")
+
+
+@query("WITH t AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT doc_id, 1 AS step FROM documents UNION ALL SELECT doc_id, 2 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t)")
+def pipeline_steps(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"))
+    toxic = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), "toxic")
+    out = gate.run_steps(docs, [1, 2], lambda alive, _: alive.join(toxic, "item", "left"), F.coalesce(F.col("toxic") == 1, F.lit(False)))
+    return out.select(F.col("item").alias("doc_id"), "step")
+
+
+@query("WITH q AS (SELECT o_orderkey, unnest(['F', 'O', 'X']) AS label FROM orders), s AS (SELECT DISTINCT l_orderkey AS o_orderkey, l_linestatus AS label FROM lineitem) SELECT o_orderkey, label, CASE WHEN s.label IS NULL THEN 'queued' WHEN label = 'F' THEN 'done' ELSE 'processing' END AS state FROM q FULL JOIN s USING (o_orderkey, label)")
+def result_overlay(spark, sf_dir):
+    wanted = _t(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(*map(F.lit, STATES))).alias("label"))
+    stored = _stored(spark, sf_dir)
+    return lifecycle.result_overlay(wanted, stored, ["o_orderkey", "label"]).select("o_orderkey", "label", "state")
+
+
+def _stored(spark, sf_dir) -> DataFrame:
+    done = F.when(F.col("l_linestatus") == "F", "done").otherwise("processing")
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("label"), done.alias("state")).distinct()
+
+
+@query("SELECT l_orderkey AS task_id, CASE WHEN bool_and(l_linestatus = 'F') THEN 'completed' ELSE 'processing' END AS state FROM lineitem GROUP BY l_orderkey")
+def task_rollup(spark, sf_dir):
+    items = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.when(F.col("l_linestatus") == "F", "completed").otherwise("processing").alias("state"))
+    return lifecycle.task_states(items)
+
+
+@query("WITH r AS (SELECT l_orderkey, bool_and(l_linestatus = 'F') AS done FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey AS task_id, CASE WHEN o_orderstatus = 'P' THEN 'cancelled' WHEN coalesce(done, true) THEN 'completed' ELSE 'processing' END AS state FROM orders LEFT JOIN r ON l_orderkey = o_orderkey")
+def task_rollup_guarded(spark, sf_dir):
+    tasks = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.when(F.col("o_orderstatus") == "P", "cancelled").otherwise("processing").alias("state"))
+    items = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.when(F.col("l_linestatus") == "F", "completed").otherwise("processing").alias("state"))
+    return lifecycle.roll_up(tasks, items).select("task_id", "state")
+
+
+@query("SELECT o_orderkey AS task_id, count(l_linenumber) AS n_items, count(DISTINCT l_linestatus) AS n_states FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def task_tree(spark, sf_dir):
+    items = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("task_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_linestatus").alias("state")))).alias("items"))
+    tasks = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id")).join(items, "task_id", "left")
+    listed = F.coalesce("items", F.array().cast("array<struct<l_linenumber:int,state:string>>"))
+    return tasks.select("task_id", F.size(listed).cast("long").alias("n_items"), F.size(F.array_distinct(F.transform(listed, lambda i: i["state"]))).cast("long").alias("n_states"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY 6 - substr(o_orderpriority, 1, 1)::INTEGER DESC, o_orderkey)::INTEGER AS place FROM orders")
+def priority_admission(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").withColumn("priority", F.lit(6) - F.substring("o_orderpriority", 1, 1).cast("int"))
+    return lifecycle.waiting_order(o, ["o_orderstatus"], seq="o_orderkey").select("o_orderkey", "place")
+
+
+@query("SELECT o_orderkey, greatest(max(CASE l_linestatus WHEN 'F' THEN 3 WHEN 'O' THEN 1 END), 0)::INTEGER AS priority FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
+def item_priority(spark, sf_dir):
+    items = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_linestatus").alias("models")), "o_orderkey", "left").withColumnRenamed("o_orderkey", "item")
+    models = spark.createDataFrame([("F", 3), ("O", 1)], "model string, priority int")
+    return lifecycle.item_priorities(items, models).withColumnRenamed("item", "o_orderkey")
+
+
+@query("WITH s AS (SELECT o_custkey, o_orderkey, sum(1 + o_orderkey % 3) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS n FROM orders) SELECT o_orderkey, n <= 12 AS accepted FROM s")
+def queue_admission(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").withColumn("n_items", F.lit(1) + F.col("o_orderkey") % 3)
+    return lifecycle.within_capacity(o, 0, 12, ["o_custkey"], "o_orderkey").select("o_orderkey", "accepted")
+
+
+_TASKS = "t AS (SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'cancelled' ELSE 'processing' END AS state, epoch(o_orderdate)::BIGINT AS updated_at, o_orderkey % 7 = 0 AS delivered FROM orders)"
+
+
+def _tasks(spark, sf_dir) -> DataFrame:
+    state = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "cancelled").otherwise("processing")
+    at = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), state.alias("state"), at.alias("updated_at"), at.alias("created_at"), (F.col("o_orderkey") % 7 == 0).alias("webhook_delivered"), (F.col("o_orderkey") % 5).cast("long").alias("attempts"))
+
+
+CUTOFF = 788918400  # 1995-01-01
+
+
+@query(f"WITH {_TASKS} SELECT task_id, state FROM t WHERE NOT delivered AND state IN ('completed', 'cancelled')")
+def pending_outbox(spark, sf_dir):
+    return lifecycle.pending_deliveries(_tasks(spark, sf_dir)).select("task_id", "state")
+
+
+@query(f"WITH {_TASKS} SELECT task_id, updated_at AS created_at FROM t WHERE state = 'processing'")
+def incomplete_tasks(spark, sf_dir):
+    return lifecycle.incomplete(_tasks(spark, sf_dir)).select("task_id", "created_at")
+
+
+@query(f"WITH {_TASKS} SELECT task_id, state FROM t WHERE NOT (state IN ('completed', 'cancelled') AND updated_at < {CUTOFF})")
+def retention_purge(spark, sf_dir):
+    return lifecycle.purge(_tasks(spark, sf_dir), {}, CUTOFF)[0].select("task_id", "state")
+
+
+@query(f"WITH {_TASKS} SELECT l_orderkey AS task_id, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT task_id FROM t WHERE state IN ('completed', 'cancelled') AND updated_at < {CUTOFF})")
+def retention_cascade(spark, sf_dir):
+    children = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), "l_linenumber")
+    return lifecycle.purge(_tasks(spark, sf_dir), {"items": children}, CUTOFF)[1]["items"]
+
+
+@query(f"WITH {_TASKS} SELECT task_id, task_id % 5 + 1 AS attempts, CASE WHEN task_id % 5 + 1 > 3 THEN 'fail' ELSE 'requeue' END AS action FROM t WHERE state = 'processing'")
+def recovery(spark, sf_dir):
+    return lifecycle.recover(_tasks(spark, sf_dir)).select("task_id", "attempts", "action")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def upload_sweep(spark, sf_dir):
+    listing = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/uploads/"), "doc_id").alias("path"))
+    inputs = _t(spark, sf_dir, "labels").select(F.concat(F.lit("/uploads/"), "doc_id").alias("path"))
+    return lifecycle.orphaned_uploads(listing, inputs).select("doc_id")
+
+
+@query("SELECT event_id, least(2 ** (event_id % 9), 30)::BIGINT AS delay FROM events")
+def retry_backoff(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", exprs.retry_backoff(F.col("event_id") % 9 + 1).alias("delay"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'no models requested' WHEN doc_id % 4 = 1 THEN 'unknown model: lost' WHEN doc_id % 4 = 2 AND doc_id % 8 = 2 THEN 'model has no known strategy: plain' WHEN lang = 'fr' THEN 'model is disabled: off' END AS problem FROM documents")
+def modality_validate(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    n = F.col("doc_id") % 4
+    listed = F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(F.lit("scan"), F.lit("lost"))).otherwise(F.when(F.col("lang") == "fr", F.array(F.lit("plain"), F.lit("off"))).otherwise(F.array(F.lit("plain"))))
+    items = d.select(F.col("doc_id").alias("item"), F.when(F.col("doc_id") % 8 == 2, "video").otherwise("image").alias("kind"), F.lit(False).alias("video"), listed.alias("models"))
+    models = spark.createDataFrame([("scan", True, "s"), ("plain", True, None), ("off", False, None)], "model string, enabled boolean, strategy string")
+    return lifecycle.validate_items(items, models, ["s"]).withColumnRenamed("item", "doc_id")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'fetch' ELSE 'unspecified' END AS kind, CASE WHEN event_id % 2 = 0 THEN props ELSE 'not json: ' || props END AS message, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS number FROM events")
+def error_json_roundtrip(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 2 == 0, exprs.error_json(F.struct(F.lit("fetch").alias("kind"), F.col("props").alias("message")))).otherwise(F.concat(F.lit("not json: "), "props"))
+    return e.select("event_id", exprs.parse_error(text).alias("e")).select("event_id", "e.kind", "e.message", exprs.error_number(F.col("e.kind")).alias("number"))
+
+
+@query("SELECT p_partkey, (p_size * 1048576)::BIGINT AS bytes, (p_size * 86400)::BIGINT AS seconds FROM part")
+def unit_parsing(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    return p.select("p_partkey", exprs.size_bytes(F.concat(F.col("p_size").cast("string"), F.lit("mb"))).alias("bytes"), exprs.duration_seconds(F.concat(F.col("p_size").cast("string"), F.lit("d"))).alias("seconds"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def content_digest(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", exprs.content_digest(F.col("text")).alias("digest"))
