@@ -6,6 +6,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,6 @@ def batch_model(load: Callable[[], Callable], batch_size: int = 8):
     predictions, as one error goes to every job of a batch.
     """
     import numpy as np
-    import pandas as pd
 
     @F.pandas_udf(PREDICTIONS)
     def classify(batches: pd.Series) -> pd.Series:  # pragma: no cover - runs in workers
