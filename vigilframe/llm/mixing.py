@@ -90,11 +90,11 @@ def mix(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3),
     """
     names = ("size", "source_size", "target", "taken", "repeats")
     kept = docs.drop(*[c for c in names if c in docs.columns])
-    found = decisions(docs, epochs, weights, seed, doc_id, text, source).select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "source_size", "target", "repeats")
-    joined = kept.withColumn("size", words(text)).join(found, F.col(doc_id).eqNullSafe(F.col("_mix_id")) & F.col(source).eqNullSafe(F.col("_mix_source")) & (F.col("size") == F.col("_mix_size")))
+    found = decisions(docs, epochs, weights, seed, doc_id, text, source).select(F.col("doc_id").alias("__vf_mix_id"), F.col("source").alias("__vf_mix_source"), F.col("size").alias("__vf_mix_size"), "source_size", "target", "repeats")
+    joined = kept.withColumn("size", words(text)).join(found, F.col(doc_id).eqNullSafe(F.col("__vf_mix_id")) & F.col(source).eqNullSafe(F.col("__vf_mix_source")) & (F.col("size") == F.col("__vf_mix_size")))
     return joined.withColumn("taken", F.col("size") * F.col("repeats")).select(*kept.columns, *names)
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each document as often as its `repeats` says; those with none go."""
-    return mixed.where("repeats > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*columns)
+    return mixed.where("repeats > 0").withColumn("__vf_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*columns)

@@ -87,47 +87,50 @@ def _letters(value: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9]"), pick(48, 10, i)).when(c.rlike("[a-z]"), pick(97, F.when(hexadecimal, 6).otherwise(26), i)).when(c.rlike("[A-Z]"), pick(65, 26, i)).otherwise(c)), "")
 
 
-def _candidate(key: str) -> Column:
-    """The surrogate, in normal form, drawn for (type, norm, attempt)."""
-    norm, kind, attempt = F.col("norm"), F.col("type"), F.col("attempt")
+def _draw(drawn: DataFrame, key: str) -> DataFrame:
+    """Add `candidate`, the surrogate in normal form drawn for (type, norm, attempt).
+
+    Built in steps, so that the hash and what derives from it are computed once a row.
+    """
+    norm, kind, attempt, h, digits, bank = (F.col(c) for c in ("norm", "type", "attempt", "_h", "_digits", "_bank"))
+    size, script = F.length("norm"), F.col("_script")
     salted = lambda half: F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string"), F.lit(half)).cast("binary"), 256)
-    h = F.concat(salted("a"), salted("b"))
-    digits = _letters(norm, h)
+    steps = drawn.withColumn("_h", F.concat(salted("a"), salted("b"))).withColumn("_b", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: _byte(h, i)))
+    byte = lambda i: F.get(F.col("_b"), i if isinstance(i, Column) else F.lit(i))
+    domain = F.substring_index(norm, "@", -1)
+    steps = steps.withColumn("_digits", _letters(norm, h)).withColumn("_script", _script(norm)).withColumn("_host", F.when(kind == "email", _letters(F.substring_index(domain, ".", 1), F.reverse(h))))
+
+    # names: a given name from the list of its script and gender, later attempts longer ones; syllables for surnames
+    name = kind.startswith("given_") | (kind == "surname")
+    count = F.when(kind == "surname", 2).otherwise(1) + F.floor(attempt / 3).cast("int")
+    pool = lambda of: F.coalesce(*[F.when(script == s, F.array(*map(F.lit, of(s)))) for s in SYLLABLES])
+    lists = [F.when(kind == f"given_{g}", pool(lambda s: GIVEN[s, g] if g != "u" else GIVEN[s, "m"] + GIVEN[s, "f"])) for g in "mfu"]  # noqa: B023
+    steps = steps.withColumn("_given", F.coalesce(*lists)).withColumn("_parts", F.when(name, pool(lambda s: SYLLABLES[s])))
+    pick = lambda i: F.get(F.col("_given"), byte(i) % F.size("_given"))
+    made = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), count), lambda i: F.get(F.col("_parts"), byte((i + 8) % 64) % F.size("_parts"))), ""))
+    steps = steps.withColumn("_made", F.when(name, made))
+    given = F.when(attempt < 3, pick(0)).when(attempt < 6, F.concat_ws("-", pick(1), pick(2))).otherwise(F.concat_ws("-", pick(3), F.col("_made")))
+
+    # numbers with check digits
     first = lambda text, least: F.char(F.lit(48 + least) + F.ascii(text) % (10 - least))
-    local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-    email = F.concat(_letters(local, h), F.lit("@"), _letters(F.substring_index(domain, ".", 1), F.reverse(h)), F.lit(".example."), F.get(F.array(*map(F.lit, ("com", "net", "org"))), _byte(h, F.lit(63)) % 3))
-    size = F.length(norm)
     body = F.concat(F.substring(norm, 1, 1), F.substring(digits, F.lit(2), size - 2))
-    check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
-    card = F.concat(body, F.when(_luhn(norm) == 0, check.cast("string")).otherwise(F.substring(digits, -1, 1)))
-    ip = F.concat_ws(".", *[(F.lit(1) + _byte(h, F.lit(i)) % 254).cast("string") for i in range(4)])
+    steps = steps.withColumn("_body", F.when(kind == "card", body)).withColumn("_valid", F.when(kind == "card", _luhn(norm) == 0)).withColumn("_check", F.when(kind == "card", (10 - _luhn(F.concat("_body", F.lit("0")))) % 10))
+    card = F.concat("_body", F.when(F.col("_valid"), F.col("_check").cast("string")).otherwise(F.substring(digits, -1, 1)))
+    moved = F.split(F.concat(F.substring(digits, F.lit(5), size), F.substring(norm, 1, 2), F.lit("00")), "")
+    remainder = F.aggregate(moved, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+    steps = steps.withColumn("_bank", F.when(kind == "iban", remainder))
+    iban = F.concat(F.substring(norm, 1, 2), F.lpad((98 - bank).cast("string"), 2, "0"), F.substring(digits, F.lit(5), size))
     lead = F.greatest(size - 10, F.lit(0))
     area, rest = F.substring(digits, lead + 1, F.lit(3)), F.substring(digits, lead + 4, size)
-    whole_phone = F.concat(F.substring(norm, F.lit(1), lead), first(area, 2), F.substring(area, 2, 2), first(rest, 2), F.substring(rest, F.lit(2), size))
-    phone = F.when(size >= 10, whole_phone).otherwise(F.concat(F.substring(norm, 1, 2), F.substring(digits, F.lit(3), size)))
+    phone = F.when(size >= 10, F.concat(F.substring(norm, F.lit(1), lead), first(area, 2), F.substring(area, 2, 2), first(rest, 2), F.substring(rest, F.lit(2), size))).otherwise(
+        F.concat(F.substring(norm, 1, 2), F.substring(digits, F.lit(3), size))
+    )
+    email = F.concat(F.substring_index(digits, "@", 1), F.lit("@"), F.col("_host"), F.lit(".example."), F.get(F.array(*map(F.lit, ("com", "net", "org"))), byte(63) % 3))
+    ip = F.concat_ws(".", *[(F.lit(1) + byte(i) % 254).cast("string") for i in range(4)])
+    secret = F.when(norm.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.substring(digits, 5, 16))).otherwise(digits)
     ssn = F.concat(F.lit("9"), F.substring(digits, 2, 8))
-    bban = F.substring(digits, F.lit(5), size)
-    moved = F.split(F.concat(bban, F.substring(norm, 1, 2), F.lit("00")), "")
-    remainder = F.aggregate(moved, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
-    iban = F.concat(F.substring(norm, 1, 2), F.lpad((98 - remainder).cast("string"), 2, "0"), bban)
-    script = _script(norm)
-
-    def syllables(least: int) -> Column:
-        count = F.lit(least) + F.floor(attempt / 3).cast("int")
-        by_script = [F.when(script == s, F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), count), lambda i: F.get(F.array(*map(F.lit, names)), (_byte(h, i + 8) % len(names)))), ""))) for s, names in SYLLABLES.items()]
-        return F.coalesce(*by_script)
-
-    def given(gender: str) -> Column:
-        out = []
-        for s in SYLLABLES:
-            names = GIVEN[s, gender] if gender != "u" else GIVEN[s, "m"] + GIVEN[s, "f"]
-            pick = lambda i: F.get(F.array(*map(F.lit, names)), _byte(h, F.lit(i)) % len(names))  # noqa: B023, E731
-            out.append(F.when(script == s, F.when(attempt < 3, pick(0)).when(attempt < 6, F.concat_ws("-", pick(1), pick(2))).otherwise(F.concat_ws("-", pick(3), syllables(1)))))
-        return F.coalesce(*out)
-
-    out = {"email": email, "card": card, "ip": ip, "phone": phone, "ssn": ssn, "iban": iban, "secret": F.when(norm.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.substring(digits, 5, 16))).otherwise(digits), "surname": syllables(2)}
-    out |= {f"given_{g}": given(g) for g in "mfu"}
-    return F.coalesce(*[F.when(kind == t, c) for t, c in out.items()])
+    out = {"email": email, "card": card, "ip": ip, "phone": phone, "ssn": ssn, "iban": iban, "secret": secret, "surname": F.col("_made")}
+    return steps.withColumn("candidate", F.coalesce(*[F.when(kind == t, c) for t, c in out.items()], given)).select(*drawn.columns, "candidate")
 
 
 def _written(mention: Column, surrogate: Column) -> Column:
@@ -147,13 +150,14 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     are few; nothing but the count of the losers goes to the driver.
     """
     kind = F.regexp_replace("type", "^given_.$", "given")
-    drawn = durable(entities.select("type", "norm").distinct().withColumn("attempt", F.lit(0)).withColumn("lost", F.lit(True)).withColumn("surrogate", F.lit("")))
-    real = entities.select(kind.alias("kind"), F.col("norm").alias("surrogate")).distinct()
+    real = durable(entities.select("type", "norm").distinct())
+    drawn = real.withColumn("attempt", F.lit(0)).withColumn("lost", F.lit(True)).withColumn("surrogate", F.lit(""))
+    taken = real.select(kind.alias("kind"), F.col("norm").alias("surrogate")).distinct().withColumn("hit", F.lit(True))
     for _ in range(ROUNDS):
-        tried = drawn.withColumn("surrogate", F.when(F.col("lost"), _candidate(key)).otherwise(F.col("surrogate"))).withColumn("kind", kind)
+        # those that keep theirs stay as they are; only losers draw
+        tried = _draw(drawn.where("lost"), key).withColumn("surrogate", F.col("candidate")).drop("candidate").union(drawn.where("not lost")).withColumn("kind", kind)
         place = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "norm", "type"))
-        hits = real.withColumn("hit", F.lit(True))
-        judged = tried.withColumn("place", place).join(hits, ["kind", "surrogate"], "left").withColumn("lost", (F.col("place") > 1) | F.coalesce(F.col("hit"), F.lit(False)))
+        judged = tried.withColumn("place", place).join(taken, ["kind", "surrogate"], "left").withColumn("lost", (F.col("place") > 1) | F.coalesce(F.col("hit"), F.lit(False)))
         drawn = durable(judged.select("type", "norm", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"), "lost", "surrogate"))
         if drawn.where("lost").isEmpty():
             return drawn.select("type", "norm", "surrogate")
@@ -175,7 +179,7 @@ def mention_table(found: DataFrame, key: str) -> DataFrame:
     kinds = F.transform(words, lambda w, i: F.struct((i + 1).alias("at"), F.when((i < F.size(words) - 1) | (by_list(w).isNotNull() & (F.size(words) > 1)), F.concat(F.lit("given_"), F.coalesce(by_list(w), gender))).otherwise(F.lit("surname")).alias("type"), w.alias("norm")))
     names = typed.where("type = 'name'").select("mention", F.regexp_extract(m, titled, 0).alias("title"), F.explode(kinds).alias("x")).select("mention", "title", "x.at", "x.type", "x.norm")
 
-    entities = durable(surrogates(plain.select("type", "norm").union(names.select("type", "norm")), key))
+    entities = surrogates(plain.select("type", "norm").union(names.select("type", "norm")), key)
     free = F.when(F.col("type").isin("card", "phone", "ssn", "iban"), _written(m, F.col("surrogate"))).otherwise(F.col("surrogate"))
     one = plain.join(entities, ["type", "norm"]).select("mention", "type", free.alias("surrogate"))
     many = names.join(entities, ["type", "norm"]).groupBy("mention").agg(F.concat(F.first("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]), " ")).alias("surrogate")).select("mention", F.lit("name").alias("type"), "surrogate")
@@ -201,22 +205,22 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text", replaced: str = "
     marked = docs.select(found.alias("found")).where(F.size("found") > 0).select(digest(F.col("found")).alias("k"), "found").groupBy("k").agg(F.first("found").alias("found"))
     each = durable(marked.select("k", F.explode("found").alias("mention")))
     table = mention_table(each, key)
-    maps = each.join(table, "mention").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("mention", F.struct("surrogate", "type")))).alias("_map"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_found", mentions(F.col(text)))
-    keyed = keyed.withColumn("_k", F.when(F.size("_found") > 0, digest(F.array_distinct("_found"))).otherwise(F.hex(F.xxhash64(text))))
-    joined = keyed.join(maps.withColumnRenamed("k", "_k"), "_k", "left")
-    new = lambda x: F.coalesce(F.try_element_at(F.col("_map"), x)["surrogate"], x, F.lit(""))
-    pieces = F.zip_with(F.split(text, MENTION, -1), F.col("_found"), lambda p, x: F.concat(p, F.when(x.isNull(), F.lit("")).otherwise(new(x))))
-    out = joined.withColumn("_new", F.when((F.size("_found") > 0) & F.col("_map").isNotNull(), F.array_join(pieces, "")).otherwise(F.col(text)))
+    maps = each.join(table, "mention").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("mention", F.struct("surrogate", "type")))).alias("__vf_map"))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("__vf_found", mentions(F.col(text)))
+    keyed = keyed.withColumn("__vf_k", F.when(F.size("__vf_found") > 0, digest(F.array_distinct("__vf_found"))).otherwise(F.hex(F.xxhash64(text))))
+    joined = keyed.join(maps.withColumnRenamed("k", "__vf_k"), "__vf_k", "left")
+    new = lambda x: F.coalesce(F.try_element_at(F.col("__vf_map"), x)["surrogate"], x, F.lit(""))
+    pieces = F.zip_with(F.split(text, MENTION, -1), F.col("__vf_found"), lambda p, x: F.concat(p, F.when(x.isNull(), F.lit("")).otherwise(new(x))))
+    out = joined.withColumn("__vf_new", F.when((F.size("__vf_found") > 0) & F.col("__vf_map").isNotNull(), F.array_join(pieces, "")).otherwise(F.col(text)))
     if counts:
-        kinds = F.transform("_found", lambda x: F.try_element_at(F.col("_map"), x)["type"])
+        kinds = F.transform("__vf_found", lambda x: F.try_element_at(F.col("__vf_map"), x)["type"])
         tally = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda t: F.struct(t, F.size(F.filter(kinds, lambda x: x == t)))))
-        out = out.withColumn("_counts", F.when(F.size("_found") > 0, tally).otherwise(F.create_map().cast("map<string,int>")))
+        out = out.withColumn("__vf_counts", F.when(F.size("__vf_found") > 0, tally).otherwise(F.create_map().cast("map<string,int>")))
     names = [c for c in own if c != replaced]
     order = [c for c in docs.columns if c != counts]
-    chosen = {c: F.col(f"`{c}`") for c in names} | {replaced: F.col("_new")}
+    chosen = {c: F.col(f"`{c}`") for c in names} | {replaced: F.col("__vf_new")}
     if replaced not in order:
         order.append(replaced)
-    return out.select(*[chosen[c].alias(c) for c in order], *([F.col("_counts").alias(counts)] if counts else []))
+    return out.select(*[chosen[c].alias(c) for c in order], *([F.col("__vf_counts").alias(counts)] if counts else []))
 
 

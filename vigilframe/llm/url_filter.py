@@ -148,4 +148,4 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tu
     joined = split.join(scored, ["host", "path"], "left")
     hit = matched_rule(F.col("host"), F.col("path"), rules)
     judged = F.when((F.col("host") != "") & (F.col("block_score") > threshold), F.lit("block")).otherwise(F.lit("allow"))
-    return joined.withColumn("_hit", hit).withColumn("rule", F.col("_hit.rule")).withColumn("verdict", F.coalesce(F.col("_hit.verdict"), judged)).select(*kept.columns, *names)
+    return joined.withColumn("__vf_hit", hit).withColumn("rule", F.col("__vf_hit.rule")).withColumn("verdict", F.coalesce(F.col("__vf_hit.verdict"), judged)).select(*kept.columns, *names)
