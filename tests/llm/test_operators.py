@@ -129,6 +129,7 @@ PII = [
     (4, "no data: version 3.0, 12345 items, The New York."),
     (5, None),
     (6, ""),
+    (7, "été.Zoë32@mail8.example.com, order 1234567812345678"),
 ]
 
 
@@ -151,6 +152,8 @@ def test_pii(spark):
     assert three[2] in pii.GIVEN["cyrillic", "m"] and re.fullmatch("[А-Я][а-я]+", three[3])
     moved = "".join(three.group(*range(6, 11))) + three[4] + three[5]
     assert int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+    seven = re.fullmatch(r"([a-zà-ý]{3})\.([a-z]{2}[à-ý])(\d\d)@[a-z]+\d\.example\.(com|net|org), order 1234567812345678", got[7])
+    assert seven and not got[7].startswith("été")
     for secret in ("John", "9077", "mail8", "79.156", "0641917", "3704", "123-45"):
         assert not any(secret in (t or "") for t in got.values())
     again = {r["doc_id"]: r["text"] for r in pii.replace_pii(df.repartition(3), "key").collect()}

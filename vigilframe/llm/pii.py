@@ -32,6 +32,8 @@ SYLLABLES = {
     "cyrillic": "ба бе бо да де до ка ке ло ла ма ме на но ра ре ри са со та те ва ве ви зо".split(),
     "greek": "βα βε βο δα δε δο κα κε λο λα μα με να νο ρα ρε ρι σα σο τα τε φα φε φι ζο".split(),
 }
+# Small letters of each script, for characters exchanged one by one.
+SMALL = {r"\p{IsCyrillic}": "абвгдежзийклмнопрстуфхцчшщыэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"[^\x00-\x7F]": "àáâãäåæçèéêëìíîïñòóôõöøùúûüý"}
 #: Drawing again stops with an error after so many rounds; a format with room left needs a few.
 ROUNDS = 100
 
@@ -41,7 +43,7 @@ _NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}[\p{Ll}'’]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _WORD = r"[\p{L}\p{N}_]"
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_WORD})",
     "card": rf"(?:\d{{4}}[ -]?){{3}}\d{{1,7}}(?!{_WORD})|3[47]\d{{2}}[ -]?\d{{6}}[ -]?\d{{5}}(?!{_WORD})",
     "ssn": rf"\d{{3}}-\d{{2}}-\d{{4}}(?!{_WORD})",
@@ -81,10 +83,18 @@ def _byte(h: Column, i: Column) -> Column:
 
 
 def _letters(value: Column, h: Column) -> Column:
-    """Characters exchanged for others of their kind: digits, lower and upper ASCII letters (hex digits, if long hex); the rest stays."""
+    """Letters and digits exchanged for others of their kind, case and script (long hex stays hex); the rest stays."""
     pick = lambda base, n, i: F.char(F.lit(base) + _byte(h, i) % n)
     hexadecimal = value.rlike("^[0-9a-f]{16,}$")  # stays so
-    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("[0-9]"), pick(48, 10, i)).when(c.rlike("[a-z]"), pick(97, F.when(hexadecimal, 6).otherwise(26), i)).when(c.rlike("[A-Z]"), pick(65, 26, i)).otherwise(c)), "")
+
+    def exchanged(c: Column, i: Column) -> Column:
+        out = F.when(c.rlike("[0-9]"), pick(48, 10, i)).when(c.rlike("[a-z]"), pick(97, F.when(hexadecimal, 6).otherwise(26), i)).when(c.rlike("[A-Z]"), pick(65, 26, i))
+        for kind, small in SMALL.items():
+            letter = F.substring(F.lit(small), _byte(h, i) % len(small) + 1, F.lit(1))
+            out = out.when(c.rlike(kind) & c.rlike(r"\p{L}"), F.when(c.rlike(r"\p{Lu}"), F.upper(letter)).otherwise(letter))
+        return out.otherwise(c)
+
+    return F.array_join(F.transform(F.split(value, ""), exchanged), "")
 
 
 def _draw(drawn: DataFrame, key: str) -> DataFrame:
@@ -167,8 +177,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 def mention_table(found: DataFrame, key: str) -> DataFrame:
     """(mention, type, surrogate) for distinct mentions; a mention that is no entity has itself."""
     m = F.col("mention")
-    typed = durable(found.select("mention").distinct().withColumn("type", _type(m)))
     digits = F.regexp_replace(m, "[^0-9]", "")
+    typed = found.select("mention").distinct().withColumn("type", _type(m))
+    typed = durable(typed.where((F.col("type") != "card") | (_luhn(digits) == 0)))  # other long numbers are no cards
     norm = F.when(F.col("type") == "email", F.lower(m)).when(F.col("type").isin("card", "phone", "ssn"), digits).when(F.col("type") == "iban", F.regexp_replace(m, " ", "")).otherwise(m)
     plain = typed.where("type <> 'name'").withColumn("norm", norm)
 
@@ -213,7 +224,7 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text", replaced: str = "
     pieces = F.zip_with(F.split(text, MENTION, -1), F.col("__vf_found"), lambda p, x: F.concat(p, F.when(x.isNull(), F.lit("")).otherwise(new(x))))
     out = joined.withColumn("__vf_new", F.when((F.size("__vf_found") > 0) & F.col("__vf_map").isNotNull(), F.array_join(pieces, "")).otherwise(F.col(text)))
     if counts:
-        kinds = F.transform("__vf_found", lambda x: F.try_element_at(F.col("__vf_map"), x)["type"])
+        kinds = F.filter(F.transform("__vf_found", lambda x: F.try_element_at(F.col("__vf_map"), x)["type"]), lambda t: t.isNotNull())
         tally = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda t: F.struct(t, F.size(F.filter(kinds, lambda x: x == t)))))
         out = out.withColumn("__vf_counts", F.when(F.size("__vf_found") > 0, tally).otherwise(F.create_map().cast("map<string,int>")))
     names = [c for c in own if c != replaced]
