@@ -209,3 +209,40 @@ def test_outbox(spark):
     pending = spark.createDataFrame([("ok", 0), ("bad", 0)], "task_id string, idx long")
     got = {r["task_id"]: r["delivered"] for r in scan.outbox(pending, deliver, (0, 0)).collect()}
     assert got == {"ok": True, "bad": False}
+
+
+def test_video_tools(spark):
+    def run(command):
+        if command[0] == "ffprobe":
+            return b'{"streams":[{"codec_type":"video","codec_name":"h264","avg_frame_rate":"25/1","duration":"2"}],"format":{"format_name":"mov"}}' if "good" in command[-1] else b'{"streams":[]}'
+        if "-ss" in command and float(command[command.index("-ss") + 1]) > 1.5:
+            return b""
+        return b"last" if "-sseof" in command else b"frame"
+
+    df = spark.createDataFrame([("good.mp4", 1.0), ("good.mp4", 1.9), ("bad.mp4", 0.0)], "path string, timestamp double")
+    got = {(r["path"], r["timestamp"]): (r["info"], r["problem"]) for r in media.probe_videos(df, run).collect()}
+    assert got["good.mp4", 1.0][0]["fps"] == 25 and got["good.mp4", 1.0][1] is None and got["bad.mp4", 0.0][1] == "no video stream"
+    frames = {r["timestamp"]: r["frame"] for r in media.extract_frames(df.where("path = 'good.mp4'"), run).collect()}
+    assert frames == {1.0: b"frame", 1.9: b"last"}
+
+
+def test_download_refuses_private_hosts():
+    for address in ("10.0.0.1", "::ffff:127.0.0.1", "fe80::1"):
+        with pytest.raises(ValueError, match="blocked"):
+            media.http_download("http://inside/x", media.FetchLimits(), resolver=lambda h, p, a=address: ["8.8.8.8", a])
+    with pytest.raises(ValueError, match="scheme"):
+        media.http_download("ftp://a/x", media.FetchLimits())
+
+
+def test_pixels(spark):
+    import numpy as np
+
+    from vigilframe.functions import pixels
+
+    black = np.zeros((2, 2, 3), np.uint8)
+    assert pixels.to_tensor([black, black], 4, [0.5] * 3, [0.5] * 3).shape == (2, 3, 4, 4)
+    ramp = np.repeat(np.arange(4, dtype=np.uint8)[None, :, None] * 50, 4, 0).repeat(3, 2)
+    assert pixels.resize(ramp, 4) is ramp and pixels.resize(ramp, 2)[0, :, 0].tolist() == pytest.approx([36, 114], abs=8)
+    df = spark.createDataFrame([(bytearray(black.tobytes()), 2, 2), (None, 0, 0)], "data binary, width int, height int")
+    got = [r["t"] for r in df.select(pixels.preprocess(F.col("data"), F.col("width"), F.col("height"), 4, [0.5] * 3, [0.5] * 3).alias("t")).collect()]
+    assert got[0] == [-1.0] * 48 and got[1] is None

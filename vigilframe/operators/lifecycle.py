@@ -127,7 +127,7 @@ def after_failure(items: DataFrame, limit: int) -> DataFrame:
     from ..functions.exprs import retry_backoff
 
     again = F.col("retries") < limit
-    return items.withColumn("state", F.when(again, "retrying").otherwise("failed")).withColumn("retries", F.col("retries") + again.cast("int")).withColumn("delay", F.when(again, retry_backoff(F.col("retries"))))
+    return items.withColumns({"state": F.when(again, "retrying").otherwise("failed"), "retries": F.col("retries") + again.cast("int"), "delay": F.when(again, retry_backoff(F.col("retries") + 1))})
 
 
 def close_models(results: DataFrame, item_state: Column) -> DataFrame:

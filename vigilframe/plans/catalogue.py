@@ -439,3 +439,105 @@ def unit_parsing(spark, sf_dir):
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def content_digest(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", exprs.content_digest(F.col("text")).alias("digest"))
+
+
+# --- more of the client's view, inputs, probes and failures
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'image' WHEN lang = 'fr' THEN 'video' WHEN lang = 'de' THEN 'text' WHEN doc_id % 2 = 0 THEN 'video' ELSE 'image' END AS modality, CASE WHEN lang IN ('en', 'fr') THEN 'http://host/' || doc_id END AS url FROM documents")
+def input_modality(spark, sf_dir):
+    kind = F.when(F.col("lang") == "en", "image").when(F.col("lang") == "fr", "video").when(F.col("lang") == "de", "text").otherwise("bytes")
+    d = _t(spark, sf_dir, "documents").withColumn("kind", kind)
+    return d.select("doc_id", exprs.modality(F.col("kind"), F.col("doc_id") % 2 == 0).alias("modality"), exprs.input_url(F.col("kind"), F.concat(F.lit("http://host/"), "doc_id")).alias("url"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'es' THEN 'an input is required' WHEN doc_id % 3 = 0 THEN 'models or a pipeline are required' END AS problem FROM documents")
+def submission_rules(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") != "es", "image").alias("kind"), F.when(F.col("doc_id") % 3 == 1, F.array(F.lit("m"))).otherwise(F.array().cast("array<string>")).alias("models"), F.when(F.col("doc_id") % 3 == 2, "p").otherwise("").alias("pipeline"))
+    return lifecycle.submissions(d).select("doc_id", "problem")
+
+
+@query("WITH i AS (SELECT l_orderkey, l_linestatus = 'F' AS failed FROM lineitem WHERE l_linenumber = 1) SELECT o_orderkey AS task_id, CASE WHEN i.l_orderkey IS NULL THEN NULL WHEN failed THEN 'error' WHEN o_orderstatus = 'F' THEN 'models' ELSE 'state' END AS arm, CASE WHEN failed THEN 1 END::INTEGER AS error_kind, CASE WHEN i.l_orderkey IS NOT NULL AND NOT failed AND o_orderstatus <> 'F' THEN CASE o_orderstatus WHEN 'P' THEN 5 ELSE 1 END END::INTEGER AS state FROM orders LEFT JOIN i ON l_orderkey = o_orderkey")
+def task_view(spark, sf_dir):
+    from ..operators import wire
+
+    error = F.when(F.col("l_linestatus") == "F", F.struct(F.lit("fetch").alias("kind"), F.lit("gone").alias("message")))
+    items = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), (F.col("l_linenumber") - 1).alias("idx"), error.alias("error"))
+    results = _t(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("task_id"), F.lit(0).alias("item_idx"), F.lit("general").alias("label"), F.lit("done").alias("state"), F.lit("out").alias("output"), F.lit(None).cast("struct<kind:string,message:string>").alias("error"))
+    return wire.task_view(_tasks(spark, sf_dir), items, results).select("task_id", "arm", "error_kind", "state")
+
+
+@query("SELECT p_partkey, round((p_partkey % 60 * 1000)::DOUBLE / (p_size % 3 * 1001), 6) AS fps_exact, p_size % 3 <> 0 AS known FROM part WHERE p_size % 3 <> 0 UNION ALL SELECT p_partkey, NULL, false FROM part WHERE p_size % 3 = 0")
+def rational_rates(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").withColumn("r", F.concat_ws("/", (F.col("p_partkey") % 60 * 1000).cast("string"), (F.col("p_size") % 3 * 1001).cast("string")))
+    return p.select("p_partkey", F.round(media.rational(F.col("r")), 6).alias("fps_exact"), media.rational(F.col("r")).isNotNull().alias("known"))
+
+
+@query("SELECT p_partkey, p_size::DOUBLE AS duration, CASE WHEN p_partkey % 2 = 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END AS fps, p_partkey AS frames, p_partkey % 10 = 0 AS still FROM part WHERE p_partkey % 7 <> 0")
+def probe_parsing(spark, sf_dir):
+    key = F.col("p_partkey")
+    stream = F.struct(F.when(key % 7 == 0, "audio").otherwise("video").alias("codec_type"), F.lit("h264").alias("codec_name"), F.when(key % 2 == 0, "25/1").otherwise("0/0").alias("avg_frame_rate"), F.lit("30/1").alias("r_frame_rate"), key.cast("string").alias("nb_frames"), F.lit(4).alias("width"), F.lit(2).alias("height"))
+    text = F.to_json(F.struct(F.array(stream).alias("streams"), F.struct(F.when(key % 10 == 0, "image2").otherwise("mov,mp4").alias("format_name"), F.col("p_size").cast("string").alias("duration")).alias("format")))
+    p = _t(spark, sf_dir, "part").select("p_partkey", media.parse_probe(text).alias("i")).where("i is not null")
+    return p.select("p_partkey", "i.duration", "i.fps", F.col("i.frame_count").alias("frames"), media.is_still(F.col("i")).alias("still"))
+
+
+@query("SELECT p_partkey, unnest([p_size / 4.0, p_size / 2.0]::DOUBLE[]) AS t, 'key' AS kind FROM part UNION ALL SELECT p_partkey, unnest([p_size::DOUBLE, p_size + 0.5]::DOUBLE[]), 'scene' FROM part")
+def probed_times(spark, sf_dir):
+    size = F.col("p_size")
+    key = F.concat((size / 4).cast("string"), F.lit(",\nnoise\n"), (size / 2).cast("string"), F.lit("\n"))
+    scene = F.concat(F.lit("x pts_time:"), size.cast("string"), F.lit(" y pts_time:"), (size + 0.5).cast("string"))
+    p = _t(spark, sf_dir, "part")
+    return p.select("p_partkey", F.explode(media.keyframe_times(key)).alias("t"), F.lit("key").alias("kind")).union(p.select("p_partkey", F.explode(media.scene_times(scene)), F.lit("scene")))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size <= 30")
+def video_length_limit(spark, sf_dir):
+    return _videos(spark, sf_dir).where(~media.too_long(F.col("duration"), 30)).select("p_partkey")
+
+
+@query("WITH f AS (SELECT conv_id, turn, max(CASE WHEN role = 'assistant' AND length(text) > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS hit FROM conversations) SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'done' WHEN hit = 1 THEN 'failed' ELSE 'queued' END AS state FROM f")
+def pipeline_failure(spark, sf_dir):
+    steps = _t(spark, sf_dir, "conversations").withColumn("state", F.when(F.col("turn") % 4 == 0, "done").otherwise("queued"))
+    return gate.fail_from(steps, ["conv_id"], (F.col("role") == "assistant") & (F.length("text") > 600), "turn").select("conv_id", "turn", "state")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 < 3 THEN 'retrying' ELSE 'failed' END AS state, (event_id % 5 + CASE WHEN event_id % 5 < 3 THEN 1 ELSE 0 END)::BIGINT AS retries, CASE WHEN event_id % 5 < 3 THEN (2 ** (event_id % 5))::BIGINT END AS delay FROM events")
+def retry_or_fail(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 5).alias("retries"))
+    return lifecycle.after_failure(e, 3).select("event_id", "state", F.col("retries").cast("long").alias("retries"), "delay")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' AND l_linestatus <> 'F' THEN 'failed' WHEN l_linestatus = 'F' THEN 'done' ELSE 'queued' END AS state FROM lineitem")
+def failed_item_models(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").withColumn("state", F.when(F.col("l_linestatus") == "F", "done").otherwise("queued"))
+    item = F.when(F.col("l_returnflag") == "A", "failed").otherwise("processing")
+    return lifecycle.close_models(li, item).select("l_orderkey", "l_linenumber", "state")
+
+
+@query("SELECT l_orderkey, bool_and(l_linestatus = 'F') AS finished FROM lineitem GROUP BY l_orderkey")
+def item_finished(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linestatus") == "F", "skipped").otherwise("failed").alias("state"))
+    return lifecycle.item_finished(li, ["l_orderkey"])
+
+
+@query("SELECT user_id, event_type, to_timestamp(floor(epoch(ts) / 3600) * 3600)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, sf_dir):
+    from ..streaming import scan
+
+    out = scan.windowed_counts(_t(spark, sf_dir, "events"), "ts", ["user_id", "event_type"], "1 hour", "1 day")
+    return out.select("user_id", "event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE lower(hex(encode(o_orderstatus || o_orderkey))) END AS encoded, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus || o_orderkey END AS decoded FROM orders")
+def hex_roundtrip(spark, sf_dir):
+    text = F.when(F.col("o_orderkey") % 3 != 0, F.concat("o_orderstatus", "o_orderkey"))
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", exprs.hex_encode(text.cast("binary")).alias("encoded"))
+    return o.select("o_orderkey", "encoded", exprs.hex_decode(F.col("encoded")).cast("string").alias("decoded"))
+
+
+@query("WITH s AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey) SELECT o_custkey, n AS in_flight FROM s")
+def in_flight_items(spark, sf_dir):
+    o = _tasks(spark, sf_dir).join(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), "o_custkey"), "task_id")
+    live = o.withColumn("state", F.when(F.col("state") == "cancelled", "processing").otherwise(F.col("state"))).where(~exprs.is_terminal(F.col("state")))
+    return live.groupBy("o_custkey").agg(F.count("*").alias("in_flight"))

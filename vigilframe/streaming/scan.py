@@ -105,3 +105,12 @@ def windowed_counts(events: DataFrame, time_column: str, keys: list[str], size:
     """Counts per tumbling window; events later than `late` behind the newest are left out. NTZ times count as UTC."""
     timed = events.withColumn(time_column, F.col(time_column).cast("timestamp")).withWatermark(time_column, late)
     return timed.groupBy(F.window(time_column, size), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
+
+
+def start_retention(ticks: DataFrame, store, keep_seconds: int, checkpoint: str, hours: int = 1):
+    """Purge finished tasks older than `keep_seconds` on every trigger; the first is at once."""
+
+    def batch(_: DataFrame, __: int) -> None:
+        store.purge_finished_before(store.now() - keep_seconds)
+
+    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{hours} hours").start()
