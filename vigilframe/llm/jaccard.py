@@ -189,15 +189,15 @@ def similarity_components(docs: DataFrame, n: int = 3, t: int = 90, doc_id: str
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = durable(_sets(docs, "text", ["doc_id"], n, lambda x: 2 * share(x) + 1))
     classes = first.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"), F.max("n_shingles").alias("size"))
-    reps = first.where("k is not null").groupBy("k", "n_shingles").agg(F.first("tokens").alias("tokens"))
+    reps = first.where("k is not null").groupBy("k").agg(F.first("tokens").alias("tokens"))
 
     # order 1: of the extended prefix, as many tokens as the smallest partner could share must occur elsewhere
-    spread = durable(reps.select("k", "n_shingles", F.explode("tokens").alias("token")))
+    spread = reps.select("k", F.explode("tokens").alias("token"))
     common = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    least = F.ceil(F.col("n_shingles") * t / 100)
+    least = F.ceil(F.col("size") * t / 100)
     need = least - F.ceil(least * t / 100) + 1
-    viable = spread.join(common, "token", "left_semi").groupBy("k", "n_shingles").agg(F.count("*").alias("shared")).where(F.col("shared") >= need).select("k")
-    viable = durable(viable.join(classes, "k").select("k", "least", "members"))
+    viable = spread.join(common, "token", "left_semi").groupBy("k").agg(F.count("*").alias("shared")).join(classes, "k")
+    viable = durable(viable.where(F.col("shared") >= need).select("k", "least", "members"))
 
     # their whole sets, from the text of one row of each class
     wanted = viable.select(F.col("least").alias("doc_id"))
@@ -206,14 +206,15 @@ def similarity_components(docs: DataFrame, n: int = 3, t: int = 90, doc_id: str
     full = _sets(picked, "text", ["doc_id"], n, lambda x: x).where("k is not null").groupBy("k", "n_shingles").agg(F.first("tokens").alias("tokens"))
     full = durable(full.join(viable, "k").select("k", "n_shingles", "members", "tokens"))
 
-    # order 2: rare tokens first
-    occurring = full.select("k", "n_shingles", F.explode("tokens").alias("token"))
+    # order 2: rare tokens first; tokens of one class only come before all others, so they fill a prefix first
+    occurring = full.select("k", F.explode("tokens").alias("token"))
     counted = occurring.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = occurring.join(counted, "token")
-    rank = Window.partitionBy("k").orderBy("df", "token")
-    alone = F.col("n_shingles") - F.count("*").over(Window.partitionBy("k"))  # tokens of this class only come first
     spare = F.col("n_shingles") - F.ceil(F.col("n_shingles") * t / 100)
-    prefix = durable(shared.select("k", "token", (alone + F.row_number().over(rank)).alias("place"), (spare + 1).alias("most")).where("place <= most").select("k", "token"))
+    reach = shared.groupBy("k").agg(F.count("*").alias("shared")).join(full.select("k", "n_shingles"), "k")
+    reach = durable(reach.select("k", (spare + 1 - F.col("n_shingles") + F.col("shared")).cast("long").alias("places")).where("places > 0"))
+    rank = Window.partitionBy("k").orderBy("df", "token")
+    prefix = durable(shared.join(small_side(reach, 24), "k").withColumn("place", F.row_number().over(rank)).where("place <= places").select("k", "token"))
     heads = prefix.groupBy("token").agg(F.min("k").alias("head"), F.count("*").alias("df")).where("df > 1").select("token", "head")
     clusters = durable(components(prefix.join(heads, "token").select(F.col("k").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("k"), F.col("component").alias("cluster")))
 
@@ -254,6 +255,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
 
     Rows without an id stay (they cannot be told apart by id).
     """
-    drop = similarity_components(docs, doc_id=doc_id, text=text, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(drop, F.col(doc_id) == F.col("_dropped"), "left_anti")
+    drop = similarity_components(docs, doc_id=doc_id, text=text, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("__vf_dropped")).distinct()
+    kept = docs.join(drop, F.col(doc_id) == F.col("__vf_dropped"), "left_anti")
     return kept
