@@ -207,14 +207,17 @@ def similarity_components(docs: DataFrame, n: int = 3, t: int = 90, doc_id: str
     full = durable(full.join(viable, "k").select("k", "n_shingles", "members", "tokens"))
 
     # order 2: rare tokens first; tokens of one class only come before all others, so they fill a prefix first
+    places = F.col("n_shingles") - F.ceil(F.col("n_shingles") * t / 100) + 1 - F.col("n_shingles")  # plus the shared tokens
     occurring = full.select("k", F.explode("tokens").alias("token"))
     counted = occurring.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = occurring.join(counted, "token")
-    spare = F.col("n_shingles") - F.ceil(F.col("n_shingles") * t / 100)
-    reach = shared.groupBy("k").agg(F.count("*").alias("shared")).join(full.select("k", "n_shingles"), "k")
-    reach = durable(reach.select("k", (spare + 1 - F.col("n_shingles") + F.col("shared")).cast("long").alias("places")).where("places > 0"))
-    rank = Window.partitionBy("k").orderBy("df", "token")
-    prefix = durable(shared.join(small_side(reach, 24), "k").withColumn("place", F.row_number().over(rank)).where("place <= places").select("k", "token"))
+    shared = occurring.join(counted.select("token"), "token", "left_semi").groupBy("k").agg(F.count("*").alias("shared"))
+    reach = durable(shared.join(full.select("k", "n_shingles"), "k").where(F.col("shared") + places > 0).select("k"))
+    # both sets of a linked pair are within reach, so the order may be counted anew among these few
+    full = full.join(small_side(reach, 16), "k")
+    occurring = full.select("k", "n_shingles", F.explode("tokens").alias("token"))
+    counted = occurring.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = occurring.join(counted, "token").withColumn("shared", F.count("*").over(Window.partitionBy("k"))).withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("df", "token")))
+    prefix = durable(ranked.where(F.col("place") <= F.col("shared") + places).select("k", "token"))
     heads = prefix.groupBy("token").agg(F.min("k").alias("head"), F.count("*").alias("df")).where("df > 1").select("token", "head")
     clusters = durable(components(prefix.join(heads, "token").select(F.col("k").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("k"), F.col("component").alias("cluster")))
 
