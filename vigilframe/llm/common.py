@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark drop the shuffle files and checkpoints of earlier steps that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which may otherwise come long after a step.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """`df` with a broadcast hint if its counted rows fit `limit` bytes, else as it is (shuffle join)."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, Powers, components, durable, mix64, range_hashes, small_side, text_slices
+from .common import BROADCAST_BYTES, Powers, components, durable, mix64, range_hashes, release, small_side, text_slices
 
 #: Classes of one side of a tile; a larger cluster is dealt over pairs of such parts.
 PART = 512
@@ -187,17 +187,21 @@ def similarity_components(docs: DataFrame, n: int = 3, t: int = 90, doc_id: str
     """
     share = lambda x: x - -(-x * t // 100)  # noqa: E731  tokens that may be missing from a partner
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = durable(_sets(docs, "text", ["doc_id"], n, lambda x: 2 * share(x) + 1))
+    extra = lambda x: share(x) // 2 + 1  # noqa: E731  tokens that partners of at least x tokens share in their prefixes
+    first = durable(_sets(docs, "text", ["doc_id"], n, lambda x: share(x) + extra(x)))
     classes = first.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"), F.max("n_shingles").alias("size"))
     reps = first.where("k is not null").groupBy("k").agg(F.first("tokens").alias("tokens"))
 
     # order 1: of the extended prefix, as many tokens as the smallest partner could share must occur elsewhere
     spread = reps.select("k", F.explode("tokens").alias("token"))
-    common = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    common = durable(spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"))
+    release(common)
     least = F.ceil(F.col("size") * t / 100)
-    need = least - F.ceil(least * t / 100) + 1
+    need = F.floor((least - F.ceil(least * t / 100)) / 2) + 1
     viable = spread.join(common, "token", "left_semi").groupBy("k").agg(F.count("*").alias("shared")).join(classes, "k")
     viable = durable(viable.where(F.col("shared") >= need).select("k", "least", "members"))
+    del common
+    release(viable)
 
     # their whole sets, from the text of one row of each class
     wanted = viable.select(F.col("least").alias("doc_id"))
@@ -205,6 +209,7 @@ def similarity_components(docs: DataFrame, n: int = 3, t: int = 90, doc_id: str
     picked = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     full = _sets(picked, "text", ["doc_id"], n, lambda x: x).where("k is not null").groupBy("k", "n_shingles").agg(F.first("tokens").alias("tokens"))
     full = durable(full.join(viable, "k").select("k", "n_shingles", "members", "tokens"))
+    release(full)
 
     # order 2: rare tokens first; tokens of one class only come before all others, so they fill a prefix first
     places = F.col("n_shingles") - F.ceil(F.col("n_shingles") * t / 100) + 1 - F.col("n_shingles")  # plus the shared tokens
@@ -212,12 +217,14 @@ def similarity_components(docs: DataFrame, n: int = 3, t: int = 90, doc_id: str
     counted = occurring.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = occurring.join(counted.select("token"), "token", "left_semi").groupBy("k").agg(F.count("*").alias("shared"))
     reach = durable(shared.join(full.select("k", "n_shingles"), "k").where(F.col("shared") + places > 0).select("k"))
+    release(reach)
     # both sets of a linked pair are within reach, so the order may be counted anew among these few
     full = full.join(small_side(reach, 16), "k")
     occurring = full.select("k", "n_shingles", F.explode("tokens").alias("token"))
     counted = occurring.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = occurring.join(counted, "token").withColumn("shared", F.count("*").over(Window.partitionBy("k"))).withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("df", "token")))
     prefix = durable(ranked.where(F.col("place") <= F.col("shared") + places).select("k", "token"))
+    release(prefix)
     heads = prefix.groupBy("token").agg(F.min("k").alias("head"), F.count("*").alias("df")).where("df > 1").select("token", "head")
     clusters = durable(components(prefix.join(heads, "token").select(F.col("k").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("k"), F.col("component").alias("cluster")))
 
