@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import durable
 
 #: Lengths of one block of the two-level suffix sums.
 BLOCK = 1024
@@ -31,7 +32,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
     levels: within blocks of BLOCK lengths, and over the blocks' sums, a table of at most the longest
     length / BLOCK rows. An empty table gives none; null lengths are left out.
     """
-    counts = lengths.where("length is not null").groupBy("length").agg(F.count("*").alias("n_docs")).withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
+    counts = durable(lengths.where("length is not null").groupBy("length").agg(F.count("*").alias("n_docs")))  # read twice below
+    counts = counts.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / BLOCK))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
