@@ -431,6 +431,27 @@ def test_html_against_known_text(spark):
     assert wrapper.extract_main_text(df.limit(0)).count() == 0
 
 
+def main_texts(spark, bodies):
+    rows = [(i, f"http://{host}/{i}", PAGE.format(n=i, body=body)) for i, (host, body) in enumerate(bodies)]
+    out = wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    return [r["text"] for r in out.orderBy("page_id").collect()]
+
+
+def test_html_keeps_what_stands_beside_the_largest_block(spark):
+    long = lambda n: f"Story {n} goes on and on, with words enough for most of the page's text {n}"
+    bodies = {
+        "lead.com": lambda n: f"<article><h1>Title {n}</h1><p>Lead {n}</p><div class=body><p>{long(n)}</p></div></article>",
+        "sections.com": lambda n: f"<article><h1>Title {n}</h1><section><p>Lead {n}</p></section><section><p>{long(n)}</p></section></article>",
+        "divs.com": lambda n: f"<div class=lead><h1>Title {n}</h1><p>Lead {n}</p></div><div class=story><p>{long(n)}</p></div>",
+        "several.com": lambda n: f"<article class=a><h1>Title {n}</h1></article><main class=b><p>Lead {n}</p></main><article class=c>{long(n)}</article>",
+        "words.com": lambda n: f"<div class=page-with-sidebar><article class='post share'><h1>Title {n}</h1><p>Lead {n}</p><p>{long(n)}</p></article></div>",
+        "open.com": lambda n: f"<article class=comment-open><h1>Title {n}</h1><p>Lead {n}</p><p>{long(n)}</p></article>",
+        "talk.com": lambda n: f"<article><h1>Title {n}</h1><p>Lead {n}</p><p>{long(n)}</p></article><div class=comments><article>Reply {n}</article></div>",
+    }
+    table = [(host, body(n)) for host, body in bodies.items() for n in range(4)]
+    assert main_texts(spark, table) == [f"Title {n} Lead {n} {long(n)}" for _ in bodies for n in range(4)]
+
+
 def test_html_of_the_sample_pages(spark):
     import html
 
