@@ -452,6 +452,27 @@ def test_html_keeps_what_stands_beside_the_largest_block(spark):
     assert main_texts(spark, table) == [f"Title {n} Lead {n} {long(n)}" for _ in bodies for n in range(4)]
 
 
+@pytest.mark.parametrize("merged", [64, 2])
+def test_html_template_of_all_pages_of_a_host(spark, monkeypatch, merged):
+    monkeypatch.setattr(wrapper, "MERGED", merged)
+    text = lambda n: f"<p>Text of page {n} goes on for a while</p>"
+    layouts = [
+        lambda n: f"<div class=story>{text(n)}<p>Read our rules</p></div>",
+        lambda n: f"<div class=product>{text(n)}<p>Free delivery</p></div>",
+        lambda n: f"<div class=story>{text(n)}<p>Read our rules</p></div><div class=hint><p>Closed on Mondays</p></div>",
+    ]
+    pick = lambda n: 2 if n in (20, 40, 60) else n % 2  # noqa: E731  the hint is on 3 of 80 pages
+    table = [("e.com", layouts[pick(n)](n)) for n in range(80)]
+    assert main_texts(spark, table) == [f"Text of page {n} goes on for a while" for n in range(80)]
+
+
+def test_html_copies_of_a_page_do_not_fill_the_sample(spark):
+    body = lambda n: f"<div class=story><p>Text of page {n}</p><p>Read our rules</p></div>"
+    rows = [(n, f"http://f.com/{n % 6}", body(n % 6)) for n in range(120)]
+    out = wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in out.collect()} == {n: f"Text of page {n % 6}" for n in range(120)}
+
+
 def test_html_of_the_sample_pages(spark):
     import html
 
