@@ -229,6 +229,26 @@ def test_keep_one(spark):
     assert sorted(r["doc_id"] for r in jaccard.keep_one(df, n=5, t=80).collect()) == [0, 2, 3]
 
 
+def test_keep_one_of_repeated_ids(spark):
+    long = lambda p: " ".join(f"{p}{i}" for i in range(60))
+    rows = [(1, long("a")), (2, long("a") + " x"), (2, long("b")), (3, long("c")), (3, long("c")), (4, long("c") + " y"), (5, long("d")), (5, long("d") + " z")]
+    rows += [(None, long("e")), (None, long("e")), (None, long("a")), (None, long("f")), (6, None), (6, None), (6, "")]
+    df = clash(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("more", F.create_map(F.lit("a"), F.lit(1)))
+    out = jaccard.keep_one(df.repartition(3), n=5, t=80)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
+    fives = [r for r in got if r[0] == 5]
+    assert len(fives) == 1 and fives[0] in rows
+    assert got == sorted([rows[0], rows[2], rows[3], *fives, rows[8], rows[11], *rows[12:]], key=repr)
+
+
+def test_shingles_of_short_lone_texts():
+    for size in range(7):
+        data = " ".join(f"w{i}" for i in range(size)).encode()
+        sets = jaccard.shingle_sets(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 5)
+        assert [len(s) for s in sets] == [len(shingles(data.decode(), 5))]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = dict(map(tuple, common.components(edges).collect()))

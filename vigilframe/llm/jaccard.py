@@ -50,9 +50,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     words = range_hashes(_BYTE[data], starts, ends, _POWERS)
     first = np.searchsorted(starts, offsets)  # the first word of each text
     out = []
-    grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    m = max(0, len(words) - n + 1)
+    grams = np.zeros(m, np.uint64)
     for k in range(n):
-        grams = mix64(grams * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - n + 1 + k])
+        grams = mix64(grams * np.uint64(0x9E3779B97F4A7C15) + words[k : k + m])
     for a, b in zip(first[:-1], first[1:]):
         if b - a >= n:
             own = np.sort(grams[a : b - n + 1])
@@ -185,10 +186,17 @@ def similarity_components(docs: DataFrame, n: int = 3, t: int = 90, doc_id: str
     Prefix tokens are counted by pre-aggregating joins, so a token of many documents is split like any
     skewed join key. Clusters are dealt into tiles of at most two parts of about PART classes.
     """
+    first, of_class = _linked(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), n, t, ["doc_id"])
+    return first.where("k is not null").select("doc_id", "k", "n_shingles").join(of_class, "k").select("doc_id", "n_shingles", "component_id", "n_links").union(
+        first.where("k is null").select("doc_id", "n_shingles", "doc_id", F.lit(0).cast("long"))
+    )
+
+
+def _linked(docs: DataFrame, n: int, t: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of doc_id and text: (keep columns, k and n_shingles per row; k, component, component_id and n_links per class)."""
     share = lambda x: x - -(-x * t // 100)  # noqa: E731  tokens that may be missing from a partner
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     extra = lambda x: share(x) // 2 + 1  # noqa: E731  tokens that partners of at least x tokens share in their prefixes
-    first = durable(_sets(docs, "text", ["doc_id"], n, lambda x: share(x) + extra(x)))
+    first = durable(_sets(docs, "text", keep, n, lambda x: share(x) + extra(x)))
     classes = first.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"), F.max("n_shingles").alias("size"))
     reps = first.where("k is not null").groupBy("k").agg(F.first("tokens").alias("tokens"))
 
@@ -254,17 +262,28 @@ def similarity_components(docs: DataFrame, n: int = 3, t: int = 90, doc_id: str
     links = found.where("b is null").groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
     labelled = classes.join(joined.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("component", F.coalesce("component", "k")).join(links, "k", "left")
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = labelled.join(ids, "component").select("k", "component_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return first.where("k is not null").select("doc_id", "k", "n_shingles").join(of_class, "k").select("doc_id", "n_shingles", "component_id", "n_links").union(
-        first.where("k is null").select("doc_id", "n_shingles", "doc_id", F.lit(0).cast("long"))
-    )
+    return first, labelled.join(ids, "component").select("k", "component", "component_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each component: the row of its least id; repeated rows of that id are one too.
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, t: int = 90) -> DataFrame:
+    """One row of each component: of its least id (null comes last), of that the least by hash of the text.
 
-    Rows without an id stay (they cannot be told apart by id).
+    Rows are told apart by id and text, so that a repeated id or none costs no other text; rows equal in
+    both are one, whatever their other columns are. Rows without words stay.
     """
-    drop = similarity_components(docs, doc_id=doc_id, text=text, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("__vf_dropped")).distinct()
-    kept = docs.join(drop, F.col(doc_id) == F.col("__vf_dropped"), "left_anti")
-    return kept
+    columns = docs.columns
+    own = [F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("digest")]
+    first, of_class = _linked(docs.select(*own, F.col(text).alias("text")), n, t, ["doc_id", "digest"])
+    rows = first.where("k is not null").groupBy("doc_id", "digest").agg(F.first("k").alias("k"), F.count("*").alias("copies")).join(of_class.select("k", "component"), "k")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("best"))
+    fine = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    drop = rows.join(best, "component").withColumn("fine", fine).where("not fine or copies > 1")
+    drop = durable(drop.select(F.col("doc_id").alias("__vf_id"), F.col("digest").alias("__vf_digest"), "fine"))
+    same = lambda side: F.col(doc_id).cast("long").eqNullSafe(side["__vf_id"]) & (F.xxhash64(text) == side["__vf_digest"])
+    kept = docs.join(drop.drop("fine"), same(drop), "left_anti")
+    repeated = drop.where("fine").drop("fine")
+    if repeated.isEmpty():
+        return kept
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
+    once = docs.join(repeated, same(repeated), "left_semi").groupBy(*own).agg(F.min_by(whole, F.to_json(whole)).alias("__vf_row"))
+    return kept.union(once.select("__vf_row.*"))
