@@ -337,6 +337,17 @@ def test_topk_against_brute_force(spark, monkeypatch, block):
     assert topk.top_k(df.limit(0), df.limit(0), 20).count() == 0
 
 
+@pytest.mark.parametrize("queries", [2048, 3])
+def test_topk_of_repeated_queries(spark, monkeypatch, queries):
+    monkeypatch.setattr(topk, "QUERIES", queries)
+    rnd = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.float32(rnd.choice([0, 0.5, -0.25, 0.7], 8))]) for i in range(90)]
+    copied = rows + [rows[i] for i in (0, 20, 40) for _ in range(5)]
+    schema = "vec_id long, embedding array<float>"
+    got = topk.top_k(spark.createDataFrame(rows, schema), spark.createDataFrame(copied, schema).where("vec_id % 20 = 0").repartition(4), 20).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, 20)
+
+
 # --- 7
 
 

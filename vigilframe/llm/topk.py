@@ -77,17 +77,16 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: int = 6
     Components count as floor(scale * x). Vectors that are null or hold a null or non-finite component,
     and rows without an id, take no part. Ties go to the smaller id. A query with fewer other rows gets
     all of them; alone, none. Repeated ids: all rows of the query's id count as its own; other repeated
-    rows each count. Vectors of different length multiply over the components both have. Scores must
+    rows each count as candidates, repeated queries (id and vector) ask once. Vectors of different length multiply over the components both have. Scores must
     fit 64 bits. Other columns are not read.
 
     Blocks hold at most about BLOCK and QUERIES rows whatever the vectors are, so equal vectors form no
     group of their own; nothing is broadcast.
     """
-    c, q = quantised(candidates, vec_id, embedding, scale), quantised(queries, vec_id, embedding, scale)
-    n_c, n_q = max(1, -(-candidates.count() // BLOCK)), max(1, -(-queries.count() // QUERIES))
-    deal = F.xxhash64("vec_id", F.monotonically_increasing_id())
-    c = c.withColumn("cb", F.pmod(deal, F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    q = q.withColumn("qb", F.pmod(deal, F.lit(n_q)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
+    c, q = quantised(candidates, vec_id, embedding, scale), quantised(queries, vec_id, embedding, scale).distinct()
+    n_c, n_q = max(1, -(-candidates.count() // BLOCK)), max(1, -(-q.count() // QUERIES))
+    c = c.withColumn("cb", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_q)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -102,6 +101,6 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: int = 6
         columns = [np.concatenate([np.zeros(0, np.int64), *(x[i] for x in out)]) for i in range(3)]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
 
-    kept = c.groupBy("cb", "qb").cogroup(q.distinct().groupBy("cb", "qb")).applyInArrow(pair, "query_id long, vec_id long, score long")
+    kept = c.groupBy("cb", "qb").cogroup(q.groupBy("cb", "qb")).applyInArrow(pair, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
