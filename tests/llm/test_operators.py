@@ -348,6 +348,24 @@ def test_topk_of_repeated_queries(spark, monkeypatch, queries):
     assert sorted(map(tuple, got)) == brute_top(rows, 20)
 
 
+@pytest.mark.parametrize("block", [4, 1000])
+def test_topk_of_repeated_candidates(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "LEAST", block)
+    rnd = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in np.float32(rnd.choice([0, 0.5, -0.25, 0.7], 8))]) for i in range(60)]
+    copied = rows + [rows[7]] * 30 + [rows[9]] * 4  # more copies than k, and fewer
+    schema = "vec_id long, embedding array<float>"
+    df = spark.createDataFrame(copied, schema).repartition(3)
+    got = topk.top_k(df, spark.createDataFrame(rows, schema).where("vec_id % 20 = 0"), 20).collect()
+    want = []
+    for q in (0, 20, 40):
+        score = lambda v: int((np.floor(64 * np.array(v)) * np.floor(64 * np.array(rows[q][1]))).sum())  # noqa: B023
+        best = sorted(((-score(v), i) for i, v in copied if i != q))[:20]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 # --- 7
 
 

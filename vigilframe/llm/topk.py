@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a candidate block and of a query block.
-BLOCK, QUERIES = 8192, 2048
+#: Rows of a candidate block and of a query block at most (about 16 MB of 64 dimensions each), and of the
+#: smallest candidate block worth a task: a small table is dealt over the machines that there are.
+BLOCK, QUERIES, LEAST = 32768, 32768, 4096
 
 
 def quantised(df: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -77,15 +78,19 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: int = 6
     Components count as floor(scale * x). Vectors that are null or hold a null or non-finite component,
     and rows without an id, take no part. Ties go to the smaller id. A query with fewer other rows gets
     all of them; alone, none. Repeated ids: all rows of the query's id count as its own; other repeated
-    rows each count as candidates, repeated queries (id and vector) ask once. Vectors of different length multiply over the components both have. Scores must
-    fit 64 bits. Other columns are not read.
+    rows each count as candidates, repeated queries (id and vector) ask once. Vectors of different length
+    multiply over the components both have. Scores must fit 64 bits. Other columns are not read.
 
-    Blocks hold at most about BLOCK and QUERIES rows whatever the vectors are, so equal vectors form no
-    group of their own; nothing is broadcast.
+    Repeated candidates are counted first and travel as often as a result could hold them, k times. Rows
+    are dealt by a hash of id, vector and copy, so a rerun deals alike, and equal vectors form no group
+    of their own; blocks hold about BLOCK and QUERIES rows at most. Nothing is broadcast.
     """
     c, q = quantised(candidates, vec_id, embedding, scale), quantised(queries, vec_id, embedding, scale).distinct()
-    n_c, n_q = max(1, -(-candidates.count() // BLOCK)), max(1, -(-q.count() // QUERIES))
-    c = c.withColumn("cb", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_c)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    rows = candidates.count()
+    n_c = max(1, -(-rows // BLOCK), min(-(-rows // LEAST), candidates.sparkSession.sparkContext.defaultParallelism))
+    n_q = max(1, -(-queries.count() // QUERIES))
+    c = c.groupBy("vec_id", "v").agg(F.count("*").alias("rows")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("rows", F.lit(k)).cast("int"))))
+    c = c.withColumn("cb", F.pmod(F.xxhash64("vec_id", "v", "copy"), F.lit(n_c)).cast("int")).select("vec_id", "v", "cb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
     q = q.withColumn("qb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_q)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
