@@ -522,6 +522,97 @@ def test_html_copies_of_a_page_do_not_fill_the_sample(spark):
     assert {r["page_id"]: r["text"] for r in out.collect()} == {n: f"Text of page {n % 6}" for n in range(120)}
 
 
+def test_html_without_helpful_names_needs_the_wrapper(spark):
+    """Plain <div>s: the wrapper alone tells the constant bars from the story."""
+    page = lambda n: (
+        "<html><body><div><div><a href=/>Home</a> | <a href=/n>News</a></div><div>Your town's paper since 1890</div></div>"
+        f"<div><div><h2>Head {n}</h2><p>Story {n} <b>goes</b> on</p><p>And ends at {n * 7}</p></div><div>Write to the editor</div></div>"
+        "<div>All rights reserved</div></body></html>"
+    )
+    rows = [(n, f"http://plain.com/{n}", page(n)) for n in range(6)] + [(10, "http://alone.com/", page(10))]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = lambda n: f"Head {n} Story {n} goes on And ends at {n * 7}"
+    assert {n: got[n] for n in range(6)} == {n: want(n) for n in range(6)}
+    bare = wrapper.extract(page(1), None, frozenset(), wrapper.Aligner())  # the same page without its wrapper
+    assert bare != want(1) and want(1) in bare and "All rights reserved" in bare
+    assert got[10] == wrapper.extract(page(10), None, frozenset(), wrapper.Aligner())  # one page has no template
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ('<article class="post comments-open"><p>One</p></article>', "One"),
+        ('<div class="page with-sidebar"><article><p>One</p></article></div>', "One"),
+        ('<article id="social-issues"><p>One</p></article>', "One"),
+        ('<form><main class="content sidebar"><p>One</p></main></form>', "One"),
+        ('<div id="social-issues"><p>One and all</p></div><div class="share-buttons">Post</div>', "One and all"),
+        ('<div class="widget"><h2>A long story</h2><p>in an oddly named place</p></div><div class="ad">Buy</div>', "A long story in an oddly named place"),
+        ('<div class="content"><p>One</p><div class="ad-slot">Buy</div><figure><img><figcaption>Two</figcaption></figure></div>', "One Two"),
+        ('<article><p>One</p><figure><figcaption>Two</figcaption></figure><div class="related-posts"><a>x</a></div></article>', "One Two"),
+        ('<ul><li><a href=1>a</a></li><li><a href=2>b</a></li><li><a href=3>c</a></li></ul><p>One <a>two</a></p>', "One two"),
+        ('<article></article><div>One</div>', "One"),
+        ('<div class="comment-list"><article class="comment">No</article></div><article>One</article>', "One"),
+        ('<div class="comment"><article>One</article></div>', "One"),
+        ('<aside><article>No</article></aside><div>One</div>', "One"),
+        ('<p title="a > b">One</p><p title="x"">Two</p><script>if (a</b) "<p>"</script><svg><p>Three', "One Two Three"),
+        ("a < b <3 &lt;p&gt;<!-- <p>no</p> --><p>One", "a < b <3 <p> One"),
+    ],
+)
+def test_html_marks_never_take_the_article(body, text):
+    assert wrapper.extract(f"<html><body>{body}</body></html>", None, frozenset(), wrapper.Aligner()) == text
+
+
+def test_html_of_deep_hostile_and_repeated_pages(spark):
+    import time
+
+    deep = lambda n, tag: "<html><body>" + f"<{tag}>" * 5000 + f"<p>Deep {n}</p>" + f"</{tag}>" * 5000 + "<div>Same foot</div>"
+    rows = [(n, "http://deep.com/", deep(n, "div")) for n in range(4)] + [(10, "http://inline.com/", deep(1, "b")), (11, "http://list.com/", deep(2, "li"))]
+    rows += [(20 + n, "http://copies.com/", deep(n % 3, "section")) for n in range(60)]
+    hostile = ["<a " * 60000, '<a href="' * 60000, "<div " + 'x="y" ' * 60000 + ">t", "<svg>" * 60000 + "t", "</b>" * 60000 + "t", "<p><i>" * 30000 + "t", "<![CDATA[" * 50000, "<!--" * 50000]
+    rows += [(100 + i, "http://hostile.com/", x) for i, x in enumerate(hostile)]
+    began = time.time()
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert time.time() - began < 60
+    assert {n: got[n] for n in (0, 1, 2, 3, 10, 11)} == {0: "Deep 0", 1: "Deep 1", 2: "Deep 2", 3: "Deep 3", 10: "Deep 1 Same foot", 11: "Deep 2 Same foot"}
+    assert {n: got[20 + n] for n in range(60)} == {n: f"Deep {n % 3}" for n in range(60)}
+    assert [got[100 + i] for i in range(2, 6)] == ["t"] * 4
+
+
+def test_tree_matching_against_all_matches():
+    """Sizes of the best order-preserving match of small random trees, by recursion over all choices."""
+    rnd = random.Random(8)
+
+    def grow(depth):
+        return [rnd.choice("ab"), [grow(depth - 1) for _ in range(rnd.randint(0, 3) if depth else 0)]]
+
+    def flat(tree, out=None, parent=-1):
+        out = [] if out is None else out
+        here = len(out)
+        out.append([parent, tree[0], ""])
+        for c in tree[1]:
+            flat(c, out, here)
+        return out
+
+    def brute(a, b):  # 2 a matched pair, 1 for equal words, halved as the module does
+        def best(x, y):
+            if not x or not y:
+                return 0
+            pair = 2 * brute(x[0], y[0]) + 1 if x[0][0] == y[0][0] else 0
+            return max(best(x[1:], y), best(x, y[1:]), pair + best(x[1:], y[1:]))
+
+        return best(a[1], b[1]) // 2 + 1
+
+    for _ in range(60):
+        a, b = grow(3), grow(3)
+        a[0] = b[0] = "r"
+        x, y = flat(a), flat(b)
+        assert wrapper.tree_matching(x, y)[0, 0][0] == brute(a, b)
+        both = wrapper.merge(x, y)
+        at = wrapper.align(both, y)
+        assert at[0] == 0 and len({i for i in at if i >= 0}) == sum(i >= 0 for i in at)
+        assert all(p < i for i, (p, _, _) in enumerate(both)) and len(both) <= len(x) + len(y) - 1
+
+
 def test_html_of_the_sample_pages(spark):
     import html
 
