@@ -198,9 +198,10 @@ def brute_components(rows, n, t):
     return sorted(((rows[i][0], len(sets[i]), least[label[i]], links[i]) for i in range(len(rows))), key=repr)
 
 
-@pytest.mark.parametrize("n,t,part", [(3, 90, 512), (5, 80, 512), (3, 90, 4)])
-def test_ngram_join_against_brute_force(spark, monkeypatch, n, t, part):
+@pytest.mark.parametrize("n,t,part,longest", [(3, 90, 512, 16), (5, 80, 512, 0), (3, 90, 4, 2), (3, 60, 2, 3), (2, 100, 4, 1)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, n, t, part, longest):
     monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "LIST", longest)
     rnd = random.Random(n)
     base = [[f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([3, 12, 40, 120]))] for _ in range(12)]
     passage = [f"p{i}" for i in range(40)]

@@ -1,20 +1,25 @@
 """N-gram Jaccard join with several global token orders.
 
 Two word-shingle sets with Jaccard similarity of at least t/100 must share tokens in the prefixes of
-both sets under every total order of tokens. Orders used, each on what the one before left:
+both sets under every total order of tokens. A pair is a candidate only if it does so under all of
 
-1. by token hash, an extended prefix that must share several tokens with other sets (leaves out most);
-2. rare tokens first, ties by hash: prefix tokens link sets into clusters that no result crosses;
-3. inside a cluster, rare first by the cluster's own counts, with two different tie-breaks: a pair is
-   verified only if it shares a prefix token under both.
+1. tokens by hash, ascending: an extended prefix, of which several tokens must occur in other sets,
+   first leaves out most sets; later every pair must share one of its own prefix;
+2. rare tokens first: the posting lists of these prefixes bring pairs together;
+3. tokens by hash, descending.
 
-Equal sets are one class throughout. Verification is by exact intersection sizes. Shingles are known
-by 64-bit hashes; classes by a 64-bit digest of the whole set.
+Pairs of lists of at most LIST sets are told one by one and verified by joins. Sets of longer lists
+(families of near copies) form clusters, which are verified in tiles of two parts of near sizes by
+matrix products, so that a family's pairs are counted but never written.
+
+Equal sets are one class throughout, known by a 128-bit digest of the set and numbered once. Shingles
+are known by 64-bit hashes. Verification is by exact intersection sizes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +29,9 @@ from pyspark.sql import types as T
 
 from .common import BROADCAST_BYTES, Powers, components, durable, mix64, range_hashes, release, small_side, text_slices
 
-#: Classes of one side of a tile; a larger cluster is dealt over pairs of such parts.
-PART = 512
+#: Classes of one side of a tile; a larger cluster is dealt over pairs of such parts. Classes of the longest
+#: posting list whose pairs are told one by one.
+PART, LIST = 512, 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
@@ -70,13 +76,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     return out
 
 
-def _key(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _key(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 def _sets(docs: DataFrame, text: str, keep: list[str], n: int, prefix) -> DataFrame:
     """keep columns, k (class of the set, null if empty), n_shingles, tokens (the first prefix(size) of the set)."""
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("k", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("k", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -87,7 +93,7 @@ def _sets(docs: DataFrame, text: str, keep: list[str], n: int, prefix) -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).slice(a, b - a) for c in keep),
-                        pa.array([_key(s) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([_key(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *kept]), pa.int64())),
                     ],
@@ -115,21 +121,20 @@ def _prefix_products(sets: list[np.ndarray], sizes: np.ndarray, spare: np.ndarra
     return out
 
 
-def tile_links(keys: np.ndarray, sides: np.ndarray, token_lists: list[np.ndarray], t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (positions) of the sets of one tile; across the sides only, where there are two."""
+def tile_links(sides: np.ndarray, token_lists: list[np.ndarray], t: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (positions) of the sets of one tile, or those across its two sides only."""
     sizes = np.array([len(x) for x in token_lists], np.int64)
     flat = np.concatenate(token_lists)
     vocabulary, inverse = np.unique(flat, return_inverse=True)
     counts = np.bincount(inverse)
     sets = np.split(inverse, np.cumsum(sizes)[:-1])
     spare = sizes - -(-sizes * t // 100)
-    mixed = np.argsort(np.argsort(mix64(vocabulary.view(np.uint64))))
-    total = len(vocabulary) + 1
-    wanted = np.triu(np.ones((len(keys), len(keys)), bool), 1)
+    by_hash, total = np.arange(len(vocabulary)), len(vocabulary) + 1
+    wanted = np.triu(np.ones((len(sides), len(sides)), bool), 1)
     wanted &= (100 * sizes[:, None] >= t * sizes) & (100 * sizes >= t * sizes[:, None])
-    if sides.min() != sides.max():
+    if across:
         wanted &= sides[:, None] != sides
-    for ranks in (counts * total + np.arange(len(vocabulary)), counts * total + mixed):
+    for ranks in (counts * total + by_hash, by_hash, -by_hash):
         if not wanted.any():
             break
         wanted &= _prefix_products(sets, sizes, spare, ranks)
@@ -137,7 +142,7 @@ def tile_links(keys: np.ndarray, sides: np.ndarray, token_lists: list[np.ndarray
     if not len(left):
         return left, right
     shared = np.zeros(len(left), np.int64)
-    if len(left) <= 4 * len(keys):
+    if len(left) <= 4 * len(sides):
         for i, (a, b) in enumerate(zip(left, right)):
             shared[i] = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
     else:
@@ -196,18 +201,21 @@ def _linked(docs: DataFrame, n: int, t: int, keep: list[str]) -> tuple[DataFrame
     """Of doc_id and text: (keep columns, k and n_shingles per row; k, component, component_id and n_links per class)."""
     share = lambda x: x - -(-x * t // 100)  # noqa: E731  tokens that may be missing from a partner
     extra = lambda x: share(x) // 2 + 1  # noqa: E731  tokens that partners of at least x tokens share in their prefixes
+    spare = lambda size: size - F.ceil(size * t / 100)  # noqa: E731  share() as a column
     first = durable(_sets(docs, "text", keep, n, lambda x: share(x) + extra(x)))
-    classes = first.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"), F.max("n_shingles").alias("size"))
-    reps = first.where("k is not null").groupBy("k").agg(F.first("tokens").alias("tokens"))
+    grouped = first.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"), F.max("n_shingles").alias("size"), F.first("tokens").alias("tokens"))
+    # numbers are drawn once, as they are written: what follows reads them and never draws again
+    classes = durable(grouped.withColumn("c", F.monotonically_increasing_id()))
+    release(classes)
 
     # order 1: of the extended prefix, as many tokens as the smallest partner could share must occur elsewhere
-    spread = reps.select("k", F.explode("tokens").alias("token"))
+    spread = classes.select("c", F.explode("tokens").alias("token"))
     common = durable(spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"))
     release(common)
     least = F.ceil(F.col("size") * t / 100)
     need = F.floor((least - F.ceil(least * t / 100)) / 2) + 1
-    viable = spread.join(common, "token", "left_semi").groupBy("k").agg(F.count("*").alias("shared")).join(classes, "k")
-    viable = durable(viable.where(F.col("shared") >= need).select("k", "least", "members"))
+    viable = spread.join(common, "token", "left_semi").groupBy("c").agg(F.count("*").alias("shared")).join(classes, "c")
+    viable = durable(viable.where(F.col("shared") >= need).select("c", "k", "least", "members"))
     del common
     release(viable)
 
@@ -215,41 +223,94 @@ def _linked(docs: DataFrame, n: int, t: int, keep: list[str]) -> tuple[DataFrame
     wanted = viable.select(F.col("least").alias("doc_id"))
     wanted = small_side(wanted, 16, BROADCAST_BYTES)
     picked = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
-    full = _sets(picked, "text", ["doc_id"], n, lambda x: x).where("k is not null").groupBy("k", "n_shingles").agg(F.first("tokens").alias("tokens"))
-    full = durable(full.join(viable, "k").select("k", "n_shingles", "members", "tokens"))
+    full = _sets(picked, "text", ["doc_id"], n, lambda x: x).where("k is not null").groupBy("k").agg(F.first("tokens").alias("tokens"))
+    full = durable(full.join(viable, "k").select("c", F.size("tokens").cast("long").alias("n_shingles"), "members", "tokens"))
     release(full)
 
     # order 2: rare tokens first; tokens of one class only come before all others, so they fill a prefix first
-    places = F.col("n_shingles") - F.ceil(F.col("n_shingles") * t / 100) + 1 - F.col("n_shingles")  # plus the shared tokens
-    occurring = full.select("k", F.explode("tokens").alias("token"))
+    places = spare(F.col("n_shingles")) + 1 - F.col("n_shingles")  # plus the shared tokens
+    occurring = full.select("c", F.explode("tokens").alias("token"))
     counted = occurring.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = occurring.join(counted.select("token"), "token", "left_semi").groupBy("k").agg(F.count("*").alias("shared"))
-    reach = durable(shared.join(full.select("k", "n_shingles"), "k").where(F.col("shared") + places > 0).select("k"))
+    shared = occurring.join(counted.select("token"), "token", "left_semi").groupBy("c").agg(F.count("*").alias("shared"))
+    reach = durable(shared.join(full.select("c", "n_shingles"), "c").where(F.col("shared") + places > 0).select("c"))
     release(reach)
     # both sets of a linked pair are within reach, so the order may be counted anew among these few
-    full = full.join(small_side(reach, 16), "k")
-    occurring = full.select("k", "n_shingles", F.explode("tokens").alias("token"))
+    full = full.join(small_side(reach, 16), "c")
+    occurring = full.select("c", "n_shingles", F.explode("tokens").alias("token"))
     counted = occurring.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = occurring.join(counted, "token").withColumn("shared", F.count("*").over(Window.partitionBy("k"))).withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("df", "token")))
-    prefix = durable(ranked.where(F.col("place") <= F.col("shared") + places).select("k", "token"))
+    ranked = occurring.join(counted, "token").withColumn("shared", F.count("*").over(Window.partitionBy("c"))).withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy("df", "token")))
+    prefix = durable(ranked.where(F.col("place") <= F.col("shared") + places).select("c", "n_shingles", "token"))
     release(prefix)
-    heads = prefix.groupBy("token").agg(F.min("k").alias("head"), F.count("*").alias("df")).where("df > 1").select("token", "head")
-    clusters = durable(components(prefix.join(heads, "token").select(F.col("k").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("k"), F.col("component").alias("cluster")))
+    heads = prefix.groupBy("token").agg(F.min("c").alias("head"), F.count("*").alias("df")).where("df > 1")
+    listed = durable(prefix.join(heads, "token"))
+    clusters = components(listed.where(F.col("df") > LIST).select(F.col("c").alias("a"), F.col("head").alias("b")))
+    clusters = durable(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")))
+    told = _told_pairs(full, listed.where(F.col("df") <= LIST), clusters, t, spare)
+    found = _tiled_pairs(full, clusters, t)
+
+    edges = found.where("b is not null").select("a", "b").union(told.select("a", "b"))
+    joined = components(edges)
+    links = found.where("b is null").select(F.col("a").alias("c"), "links").union(told.select(F.col("a"), "of_b")).union(told.select(F.col("b"), "of_a"))
+    links = links.groupBy("c").agg(F.sum("links").alias("links"))
+    labelled = classes.select("c", "k", "least", "members").join(joined.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("component", F.coalesce("component", "c")).join(links, "c", "left")
+    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    return first, labelled.join(ids, "component").select("k", "component", "component_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
 
-    # order 3 and verification, in tiles
-    parts = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    dealt = clusters.join(parts, "cluster").withColumn("own", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiles = full.join(dealt, "k").select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "members", "tokens")
+def _told_pairs(full: DataFrame, lists: DataFrame, clusters: DataFrame, t: int, spare) -> DataFrame:
+    """(a, b, of_a, of_b): linked pairs of short posting lists and the members of both, without those of one cluster.
 
-    def tile(table: pa.Table) -> pa.Table:
-        keys, members = table.column("k").to_numpy(), table.column("members").to_numpy()
+    A list gives at most LIST * (LIST - 1) / 2 pairs; each pair is asked under the other two orders and
+    then verified on the whole sets.
+    """
+    side = lambda x: lists.select("token", F.col("c").alias(x), F.col("n_shingles").alias(f"n_{x}"))
+    sizes = (100 * F.col("n_a") >= t * F.col("n_b")) & (100 * F.col("n_b") >= t * F.col("n_a"))
+    pairs = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & sizes).select("a", "b").distinct()
+    of = small_side(clusters, 24)
+    for x in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("c").alias(x), F.col("cluster").alias(f"in_{x}")), x, "left")
+    pairs = pairs.where("in_a is null or in_b is null or in_a <> in_b").select("a", "b")
+    for x in ("a", "b"):
+        pairs = pairs.join(full.select(F.col("c").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("members").alias(f"of_{x}"), F.col("tokens").alias(f"t_{x}")), x)
+    head = lambda x: F.slice(f"t_{x}", F.lit(1), (spare(F.col(f"n_{x}")) + 1).cast("int"))
+    tail = lambda x: F.slice(f"t_{x}", -(spare(F.col(f"n_{x}")) + 1).cast("int"), (spare(F.col(f"n_{x}")) + 1).cast("int"))
+    shared = F.size(F.array_intersect("t_a", "t_b"))
+    linked = 100 * shared >= t * (F.col("n_a") + F.col("n_b") - shared)
+    return durable(pairs.where(F.arrays_overlap(head("a"), head("b")) & F.arrays_overlap(tail("a"), tail("b")) & linked).select("a", "b", "of_a", "of_b"))
+
+
+def _tiled_pairs(full: DataFrame, clusters: DataFrame, t: int) -> DataFrame:
+    """(a, b, null): edges that connect what the links of clusters connect; (a, null, links): a class's links to rows.
+
+    A cluster's classes are dealt by size into buckets of the ratio t/100, buckets into parts of about
+    PART classes. Linked sets lie in one bucket or two neighbours, so that only these parts meet in tiles.
+    """
+    width = max(math.log(100 / t) * 1.0001, 1e-6)  # a little more than the ratio, so that rounding loses no pair
+    sized = clusters.join(full.select("c", F.floor(F.log("n_shingles") / width).alias("bucket")), "c")
+    parts = durable(sized.groupBy("cluster", "bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+    near = lambda step, name: parts.select("cluster", (F.col("bucket") + step).alias("bucket"), F.col("parts").alias(name))
+    dealt = sized.join(parts, ["cluster", "bucket"]).join(near(-1, "above"), ["cluster", "bucket"], "left").join(near(1, "below"), ["cluster", "bucket"], "left")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    own = F.col("own")
+    tile = lambda bucket, i, j, across: F.struct(bucket.alias("bucket"), i.alias("i"), j.alias("j"), across.alias("across"))
+    up_to = lambda n, f: F.when(F.coalesce(n, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), n - 1), f))
+    no = F.array().cast("array<struct<bucket:bigint,i:int,j:int,across:boolean>>")
+    within = up_to(F.col("parts"), lambda x: tile(F.col("bucket"), F.least(own, x), F.greatest(own, x), F.lit(False)))
+    above = up_to(F.col("above"), lambda x: tile(F.col("bucket"), own, x, F.lit(True)))
+    below = up_to(F.col("below"), lambda x: tile(F.col("bucket") - 1, x, own, F.lit(True)))
+    dealt = dealt.withColumn("tile", F.explode(F.concat(within, F.coalesce(above, no), F.coalesce(below, no))))
+    side = F.when(F.col("tile.across"), F.col("bucket")).otherwise(F.col("own"))
+    tiles = dealt.select("c", "cluster", "tile.*", side.alias("side")).join(full, "c")
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys, members, sides = (table.column(x).to_numpy() for x in ("c", "members", "side"))
+        across = table.column("across")[0].as_py() or table.column("i")[0].as_py() != table.column("j")[0].as_py()
         rows: dict[str, list] = {"a": [], "b": [], "links": []}
         if len(keys) > 1:
             column = table.column("tokens").combine_chunks()
             column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
             lists = np.split(column.flatten().to_numpy(), (column.offsets.to_numpy() - column.offsets[0].as_py())[1:-1])
-            left, right = tile_links(keys, table.column("own").to_numpy(), lists, t)
+            left, right = tile_links(sides, lists, t, across)
             links = np.bincount(left, members[right], len(keys)) + np.bincount(right, members[left], len(keys))
             for a, b in _forest(len(keys), left, right):
                 rows["a"].append(keys[a]), rows["b"].append(keys[b]), rows["links"].append(None)
@@ -257,12 +318,7 @@ def _linked(docs: DataFrame, n: int, t: int, keep: list[str]) -> tuple[DataFrame
                 rows["a"].append(keys[i]), rows["b"].append(None), rows["links"].append(int(links[i]))
         return pa.table({c: pa.array(v, pa.int64()) for c, v in rows.items()})
 
-    found = durable(tiles.groupBy("cluster", "i", "j").applyInArrow(tile, "a long, b long, links long"))
-    joined = components(found.where("b is not null").select("a", "b"))
-    links = found.where("b is null").groupBy(F.col("a").alias("k")).agg(F.sum("links").alias("links"))
-    labelled = classes.join(joined.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("component", F.coalesce("component", "k")).join(links, "k", "left")
-    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    return first, labelled.join(ids, "component").select("k", "component", "component_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return durable(tiles.groupBy("cluster", "bucket", "i", "j", "across").applyInArrow(meet, "a long, b long, links long"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, t: int = 90) -> DataFrame:
