@@ -160,6 +160,70 @@ def test_pii(spark):
     assert again == got and {r["text"] for r in pii.replace_pii(df, "other").collect()} != set(got.values())
 
 
+def replaced(spark, values, key="key"):
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    return [r["text"] for r in pii.replace_pii(df, key).orderBy("doc_id").collect()]
+
+
+def test_pii_of_one_person_in_a_document(spark):
+    got = replaced(
+        spark,
+        [
+            "Mr. John Smith left. Later Smith's wife met Smith and John, not Johnson or smith.",
+            "Dr. Alexis Smith and Ms. Alexis Smith and Mr. Alexis Jones",
+            "Mr. John Smith Monday and Mrs. Mary-Ann O'Brien May",
+            "Господин Иван Петров и Госпожа Анна Петрова",
+            "Smith and John stay where nobody is named",
+            "me@corp.com, you@corp.com, me@other.org, token: ********, password=********1, fe80::1ff:2 and 2001:0db8:0:0:0:0:0:1, 12:30:45",
+        ],
+    )
+    one = re.fullmatch(r"Mr\. (\w+) (\w+) left\. Later (\w+)'s wife met (\w+) and (\w+), not Johnson or smith\.", got[0])
+    assert one[2] == one[3] == one[4] != "Smith" and one[1] == one[5] != "John"
+    two = re.fullmatch(r"Dr\. (\S+) (\w+) and Ms\. (\S+) (\w+) and Mr\. (\S+) (\w+)", got[1])
+    assert two[1] == two[3] == two[5] and two[2] == two[4] == one[2] != two[6]
+    three = re.fullmatch(r"Mr\. (\w+) (\w+) Monday and Mrs\. (\S+) (\S+) May", got[2])
+    assert three[1] == one[1] and three[2] == one[2] and "Mary" not in three[3] and "Brien" not in three[4]
+    four = re.fullmatch(r"Господин \w+ (\w+ов) и Госпожа \w+ (\w+ова)", got[3])
+    assert four and "Петров" not in got[3]
+    assert got[4] == "Smith and John stay where nobody is named"
+    six = re.fullmatch(r"(\w+)@(\S+), (\w+)@(\S+), (\w+)@(\S+), token: \*{8}, password=\*{8}1, ([0-9a-f:]+) and ([0-9a-f:]+), 12:30:45", got[5])
+    assert six[2] == six[4] != six[6] and six[1] + six[2] != six[3] + six[4] and six[7] != "fe80::1ff:2" and "db8" not in six[8]
+
+
+def test_pii_of_hostile_texts(spark):
+    import time
+
+    values = ["x@" + "a." * 20000 + "com", "a+" * 100000, "a@" * 100000, "1" * 200000, "1234 " * 40000, "Mr, " * 50000, "J" * 200000, "1:" * 100000, "+1 (" * 50000, "A-a" * 70000 + " Mr. John Smith", "token=" * 40000, "Mr. John Smith " + "x'" * 100000]
+    began = time.time()
+    got = replaced(spark, values)
+    assert time.time() - began < 60
+    assert [len(x) for x in got[1:9]] == [len(x) for x in values[1:9]] and "Smith" not in got[9] + got[11]
+
+
+def test_pii_of_the_table_is_one_to_one(spark):
+    """Entities of the whole table by patterns of their own: each has one surrogate everywhere, no two the same."""
+    source = common.table(spark, "/root/testdata/sf0.01", "documents")
+    rows = pii.replace_pii(source, "key", replaced="new").select("text", "new", "pii_types").collect()
+    kinds = {"email": r"[\w.]+@mail\d+\.example\.com", "phone": r"\+\d \(\d{3}\) \d{3}-\d{4}", "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])", "secret": r'(?<=token = ")[0-9a-f]{40}'}
+    either = re.compile("|".join(f"(?P<{k}>{p})" for k, p in kinds.items()))
+    seen, plain = {}, 0
+    for r in rows:
+        old, new = r["text"] or "", r["new"] or ""
+        found = [(m.lastgroup, m[0].lower()) for m in either.finditer(old)]
+        if not found:
+            plain += new == old
+            assert new == old or set(r["pii_types"]) == {"card"}
+        elif set(r["pii_types"]) <= set(kinds):
+            parts = either.split(old)[:: len(kinds) + 1]
+            m = re.fullmatch("(.+?)".join(re.escape(p) for p in parts), new, re.S)
+            for (kind, entity), surrogate in zip(found, m.groups()):
+                assert seen.setdefault((kind, entity), surrogate) == surrogate
+    for kind in kinds:
+        drawn = [v for (k, _), v in seen.items() if k == kind]
+        assert len(drawn) > 2 and len(set(drawn)) == len(drawn) and not set(drawn) & {e for k, e in seen if k == kind}
+    assert plain > 100
+
+
 def test_pii_stays_distinct_when_names_run_out(spark):
     entities = spark.createDataFrame([("given_m", f"Name{i}") for i in range(150)] + [("given_f", f"Name{i}") for i in range(20)] + [("surname", f"Person{i}") for i in range(300)], "type string, norm string")
     got = pii.surrogates(entities, "key").collect()

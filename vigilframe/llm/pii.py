@@ -3,15 +3,21 @@
 Mentions are found by one pattern; each gives an entity of a type in a normal form. Entities get
 keyed candidates from SHA-256 of (key, type, normal form, attempt), consistent in type, format, script
 and gender; a candidate that equals another entity's surrogate or a real entity is drawn again.
-Equal entities get equal surrogates wherever and however they are written.
+Equal entities get equal surrogates in all documents, a mail domain is one entity of all its addresses,
+and in a document that names a person the bare given name or surname is that person's again.
+
+Detected: mail addresses (local parts of at most 64 characters), IBANs, card numbers with a valid check
+digit, social security numbers, IPv4 and IPv6 addresses, telephone numbers, keys after words like
+`token =`, and names: after a title, or of a listed given name and a surname. A name without either
+is not found. Every part of the pattern is bounded or possessive, so a text costs linear time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import BROADCAST_BYTES, durable
 
 # Titles by gender, given names by script and gender, syllables by script.
 TITLES = {
@@ -34,30 +40,52 @@ SYLLABLES = {
 }
 # Small letters of each script, for characters exchanged one by one.
 SMALL = {r"\p{IsCyrillic}": "абвгдежзийклмнопрстуфхцчшщыэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"[^\x00-\x7F]": "àáâãäåæçèéêëìíîïñòóôõöøùúûüý"}
+# Words of the calendar that follow a name without being part of it; endings of surnames with a gender.
+CALENDAR = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split()
+ENDINGS = "ова ева ёва ина ская цкая ов ев ёв ин ский цкий ova eva skaya ov ev sky".split()
+WORDS_OF_KEYS = "password passwd token secret api_key apikey".split()
 #: Drawing again stops with an error after so many rounds; a format with room left needs a few.
 ROUNDS = 100
+#: Letters and digits that a key has at least; fewer are a mask like `********`.
+LEAST_KEY = 6
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern of any of `words`, the longest first, told apart by the first letter."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        by_first.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items()))
 
-_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
-_GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
-_NAME = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}[\p{Ll}'’]+)?"
+
+_TITLE = _any_of([t for ts in TITLES.values() for t in ts])
+_GIVEN = _any_of([n for ns in GIVEN.values() for n in ns])
+_NAME = r"\p{Lu}(?:['’]\p{Lu}|\p{Ll}{1,3}\p{Lu})?\p{Ll}++(?:['’-]\p{L}\p{Ll}++)?"
+_NEXT = rf" (?!(?:{_any_of(CALENDAR)})(?![\p{{L}}\p{{N}}_])){_NAME}"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _WORD = r"[\p{L}\p{N}_]"
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_WORD})",
     "card": rf"(?:\d{{4}}[ -]?){{3}}\d{{1,7}}(?!{_WORD})|3[47]\d{{2}}[ -]?\d{{6}}[ -]?\d{{5}}(?!{_WORD})",
     "ssn": rf"\d{{3}}-\d{{2}}-\d{{4}}(?!{_WORD})",
     "ip": rf"{_OCTET}(?:\.{_OCTET}){{3}}(?!{_WORD}|\.\d)",
+    "ipv6": rf"(?:{_HEX}:){{7}}{_HEX}(?!{_WORD}|:)|(?=[A-Fa-f:]{{0,30}}[0-9])(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}(?!{_WORD}|:)",
     "phone": rf"(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}(?!{_WORD})|\+\d{{1,3}}(?:[ .-]?\(?\d{{2,4}}\)?){{2,5}}(?!{_WORD})",
-    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Z])|(?<=(?:password|passwd|token|secret|api_key|apikey) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9_+/-]{8,}",
-    "name": rf"(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN}) {_NAME}",
+    "secret": rf"AKIA[0-9A-Z]{{16}}(?![0-9A-Z])|(?<=(?:{'|'.join(WORDS_OF_KEYS)}) {{0,2}}[=:] {{0,2}}[\"']?)[A-Za-z0-9_+/-]{{8,}}+",
+    "name": rf"(?:{_TITLE})\.? {_NAME}(?:{_NEXT}){{0,2}}|(?:{_GIVEN}){_NEXT}",
 }
 #: One pattern for all types. It starts at the beginning of a word only.
 MENTION = rf"(?<!{_WORD})(?<!\d\.)(?:{'|'.join(PATTERNS.values())})"
 
 
+#: What any mention has in it: texts without are not looked at further.
+TRIGGER = rf"[0-9@]|(?:{_any_of(WORDS_OF_KEYS)}) {{0,2}}[=:]|(?<!{_WORD})(?:{_TITLE}|{_GIVEN})[ .]"
+
+
 def mentions(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(MENTION), F.lit(0))
+    return F.when(text.rlike(TRIGGER), F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _type(mention: Column) -> Column:
@@ -85,7 +113,7 @@ def _byte(h: Column, i: Column) -> Column:
 def _letters(value: Column, h: Column) -> Column:
     """Letters and digits exchanged for others of their kind, case and script (long hex stays hex); the rest stays."""
     pick = lambda base, n, i: F.char(F.lit(base) + _byte(h, i) % n)
-    hexadecimal = value.rlike("^[0-9a-f]{16,}$")  # stays so
+    hexadecimal = value.rlike("^(?:[0-9a-f]{16,}|[0-9a-f:]*:[0-9a-f:]*)$")  # stays so
 
     def exchanged(c: Column, i: Column) -> Column:
         out = F.when(c.rlike("[0-9]"), pick(48, 10, i)).when(c.rlike("[a-z]"), pick(97, F.when(hexadecimal, 6).otherwise(26), i)).when(c.rlike("[A-Z]"), pick(65, 26, i))
@@ -98,7 +126,7 @@ def _letters(value: Column, h: Column) -> Column:
 
 
 def _draw(drawn: DataFrame, key: str) -> DataFrame:
-    """Add `candidate`, the surrogate in normal form drawn for (type, norm, attempt).
+    """Add `candidate`, the surrogate in normal form drawn for (type, norm, attempt); addresses get `host` as their domain.
 
     Built in steps, so that the hash and what derives from it are computed once a row.
     """
@@ -107,19 +135,20 @@ def _draw(drawn: DataFrame, key: str) -> DataFrame:
     salted = lambda half: F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string"), F.lit(half)).cast("binary"), 256)
     steps = drawn.withColumn("_h", F.concat(salted("a"), salted("b"))).withColumn("_b", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: _byte(h, i)))
     byte = lambda i: F.get(F.col("_b"), i if isinstance(i, Column) else F.lit(i))
-    domain = F.substring_index(norm, "@", -1)
-    steps = steps.withColumn("_digits", _letters(norm, h)).withColumn("_script", _script(norm)).withColumn("_host", F.when(kind == "email", _letters(F.substring_index(domain, ".", 1), F.reverse(h))))
+    steps = steps.withColumn("_digits", _letters(norm, h)).withColumn("_script", _script(norm))
 
     # names: a given name from the list of its script and gender, later attempts longer ones; syllables for surnames
     name = kind.startswith("given_") | (kind == "surname")
-    count = F.when(kind == "surname", 2).otherwise(1) + F.floor(attempt / 3).cast("int")
+    count = F.when(kind == "surname", 2).otherwise(1) + F.floor(attempt / 2).cast("int")
     pool = lambda of: F.coalesce(*[F.when(script == s, F.array(*map(F.lit, of(s)))) for s in SYLLABLES])
     lists = [F.when(kind == f"given_{g}", pool(lambda s: GIVEN[s, g] if g != "u" else GIVEN[s, "m"] + GIVEN[s, "f"])) for g in "mfu"]  # noqa: B023
     steps = steps.withColumn("_given", F.coalesce(*lists)).withColumn("_parts", F.when(name, pool(lambda s: SYLLABLES[s])))
     pick = lambda i: F.get(F.col("_given"), byte(i) % F.size("_given"))
     made = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), count), lambda i: F.get(F.col("_parts"), byte((i + 8) % 64) % F.size("_parts"))), ""))
-    steps = steps.withColumn("_made", F.when(name, made))
-    given = F.when(attempt < 3, pick(0)).when(attempt < 6, F.concat_ws("-", pick(1), pick(2))).otherwise(F.concat_ws("-", pick(3), F.col("_made")))
+    ending = F.when(kind == "surname", F.regexp_extract(norm, rf"\p{{L}}{{2}}({'|'.join(ENDINGS)})$", 1)).otherwise(F.lit(""))
+    steps = steps.withColumn("_made", F.when(name, F.concat(made, ending)))
+    # one name, two, and then one with made syllables: a list of names is soon used up
+    given = F.when(attempt == 0, pick(0)).when(attempt == 1, F.concat_ws("-", pick(1), pick(2))).otherwise(F.concat_ws("-", pick(3), F.col("_made")))
 
     # numbers with check digits
     first = lambda text, least: F.char(F.lit(48 + least) + F.ascii(text) % (10 - least))
@@ -135,11 +164,14 @@ def _draw(drawn: DataFrame, key: str) -> DataFrame:
     phone = F.when(size >= 10, F.concat(F.substring(norm, F.lit(1), lead), first(area, 2), F.substring(area, 2, 2), first(rest, 2), F.substring(rest, F.lit(2), size))).otherwise(
         F.concat(F.substring(norm, 1, 2), F.substring(digits, F.lit(3), size))
     )
-    email = F.concat(F.substring_index(digits, "@", 1), F.lit("@"), F.col("_host"), F.lit(".example."), F.get(F.array(*map(F.lit, ("com", "net", "org"))), byte(63) % 3))
+    longer = F.when(attempt > 2, F.lower(F.substring(F.translate(F.base64(F.unhex(h)), "+/=", "xyz"), F.lit(1), attempt))).otherwise(F.lit(""))
+    email = F.concat(F.substring_index(digits, "@", 1), longer, F.lit("@"), F.col("host"))
+    domain = F.concat(F.substring_index(digits, ".", 1), longer, F.lit(".example."), F.get(F.array(*map(F.lit, ("com", "net", "org"))), byte(63) % 3))
     ip = F.concat_ws(".", *[(F.lit(1) + byte(i) % 254).cast("string") for i in range(4)])
-    secret = F.when(norm.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.substring(digits, 5, 16))).otherwise(digits)
+    mixed = F.concat(F.substring(F.translate(F.base64(F.unhex(h)), "+/=", "xyz"), F.lit(1), size), F.substring(digits, F.lit(89), size))
+    secret = F.when(norm.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.substring(digits, 5, 16))).when(attempt > 9, mixed).otherwise(digits)
     ssn = F.concat(F.lit("9"), F.substring(digits, 2, 8))
-    out = {"email": email, "card": card, "ip": ip, "phone": phone, "ssn": ssn, "iban": iban, "secret": secret, "surname": F.col("_made")}
+    out = {"email": email, "domain": domain, "card": card, "ip": ip, "ipv6": digits, "phone": phone, "ssn": ssn, "iban": iban, "secret": secret, "surname": F.col("_made")}
     return steps.withColumn("candidate", F.coalesce(*[F.when(kind == t, c) for t, c in out.items()], given)).select(*drawn.columns, "candidate")
 
 
@@ -153,48 +185,67 @@ def _written(mention: Column, surrogate: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(type, norm, surrogate) for distinct (type, norm): distinct within a type, and no real entity of it.
+    """(type, norm, surrogate) for distinct (type, norm[, host]): distinct within a type, and no real entity of it.
 
     Rounds: every entity draws; of those that drew alike the one with the fewest attempts, then the
-    least, keeps it; the others, and those that drew a real entity, draw again. Groups that drew alike
-    are few; nothing but the count of the losers goes to the driver.
+    least, keeps it; the others, and those that drew a real entity, draw again. Who keeps what is a
+    minimum, which combines before the shuffle; nothing but the count of the losers goes to the driver.
     """
     kind = F.regexp_replace("type", "^given_.$", "given")
-    real = durable(entities.select("type", "norm").distinct())
-    drawn = real.withColumn("attempt", F.lit(0)).withColumn("lost", F.lit(True)).withColumn("surrogate", F.lit(""))
+    host = F.col("host") if "host" in entities.columns else F.lit(None).cast("string")
+    real = durable(entities.select("type", "norm", host.alias("host")).distinct())
+    drawn = real.withColumns({"attempt": F.lit(0), "lost": F.lit(True), "surrogate": F.lit("")})
     taken = real.select(kind.alias("kind"), F.col("norm").alias("surrogate")).distinct().withColumn("hit", F.lit(True))
     for _ in range(ROUNDS):
         # those that keep theirs stay as they are; only losers draw
         tried = _draw(drawn.where("lost"), key).withColumn("surrogate", F.col("candidate")).drop("candidate").union(drawn.where("not lost")).withColumn("kind", kind)
-        place = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "norm", "type"))
-        judged = tried.withColumn("place", place).join(taken, ["kind", "surrogate"], "left").withColumn("lost", (F.col("place") > 1) | F.coalesce(F.col("hit"), F.lit(False)))
-        drawn = durable(judged.select("type", "norm", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"), "lost", "surrogate"))
+        me = F.struct("attempt", "norm", "type")
+        first = tried.groupBy("kind", "surrogate").agg(F.min(me).alias("first"))
+        judged = tried.join(first, ["kind", "surrogate"]).join(taken, ["kind", "surrogate"], "left").withColumn("lost", (F.col("first") != me) | F.coalesce(F.col("hit"), F.lit(False)))
+        drawn = durable(judged.select("type", "norm", "host", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"), "lost", "surrogate"))
         if drawn.where("lost").isEmpty():
             return drawn.select("type", "norm", "surrogate")
     raise ValueError(f"after {ROUNDS} rounds there are still equal surrogates: a format has too little room")
 
 
 def mention_table(found: DataFrame, key: str) -> DataFrame:
-    """(mention, type, surrogate) for distinct mentions; a mention that is no entity has itself."""
+    """(mention, type, surrogate, parts) for distinct mentions that are entities; `parts` are a name's [(norm, surrogate)]."""
     m = F.col("mention")
     digits = F.regexp_replace(m, "[^0-9]", "")
     typed = found.select("mention").distinct().withColumn("type", _type(m))
-    typed = durable(typed.where((F.col("type") != "card") | (_luhn(digits) == 0)))  # other long numbers are no cards
-    norm = F.when(F.col("type") == "email", F.lower(m)).when(F.col("type").isin("card", "phone", "ssn"), digits).when(F.col("type") == "iban", F.regexp_replace(m, " ", "")).otherwise(m)
-    plain = typed.where("type <> 'name'").withColumn("norm", norm)
+    # other long numbers are no cards, masks are no keys
+    typed = durable(typed.where(((F.col("type") != "card") | (_luhn(digits) == 0)) & ((F.col("type") != "secret") | (F.length(F.regexp_replace(m, "[^0-9A-Za-z]", "")) >= LEAST_KEY))))
+    norm = F.when(F.col("type").isin("email", "ipv6"), F.lower(m)).when(F.col("type").isin("card", "phone", "ssn"), digits).when(F.col("type") == "iban", F.regexp_replace(m, " ", "")).otherwise(m)
+    plain = typed.where("type <> 'name'").withColumn("norm", norm).withColumn("domain", F.when(F.col("type") == "email", F.substring_index("norm", "@", -1)))
 
     titled = rf"^(?:{_TITLE})\.? "
     gender = F.coalesce(*[F.when(m.rlike(rf"^(?:{'|'.join(ts)})\.? "), F.lit(g)) for g, ts in TITLES.items() if g != "u"], F.lit("u"))
     words = F.split(F.regexp_replace(m, titled, ""), " ")
     by_list = lambda w: F.coalesce(*[F.when(w.isin([n for (_, x), ns in GIVEN.items() if x == g for n in ns]), F.lit(g)) for g in "mf"])
-    kinds = F.transform(words, lambda w, i: F.struct((i + 1).alias("at"), F.when((i < F.size(words) - 1) | (by_list(w).isNotNull() & (F.size(words) > 1)), F.concat(F.lit("given_"), F.coalesce(by_list(w), gender))).otherwise(F.lit("surname")).alias("type"), w.alias("norm")))
-    names = typed.where("type = 'name'").select("mention", F.regexp_extract(m, titled, 0).alias("title"), F.explode(kinds).alias("x")).select("mention", "title", "x.at", "x.type", "x.norm")
-
-    entities = surrogates(plain.select("type", "norm").union(names.select("type", "norm")), key)
+    kinds = F.transform(words, lambda w, i: F.struct((i + 1).alias("at"), F.when((i < F.size(words) - 1) | (by_list(w).isNotNull() & (F.size(words) > 1)), F.coalesce(by_list(w), gender)).alias("gender"), w.alias("norm")))
+    names = typed.where("type = 'name'").select("mention", F.regexp_extract(m, titled, 0).alias("title"), F.explode(kinds).alias("x")).select("mention", "title", "x.*")
+    # a given name has one gender: that of all its titles, or none if they differ
+    genders = names.where("gender is not null").groupBy("norm").agg(F.max(F.col("gender") == "m").alias("m"), F.max(F.col("gender") == "f").alias("f"))
+    one = F.when(F.col("m") & ~F.col("f"), "given_m").when(F.col("f") & ~F.col("m"), "given_f").otherwise("given_u")
+    names = durable(names.join(genders, "norm", "left").select("mention", "title", "at", "norm", F.when(F.col("gender").isNull(), "surname").otherwise(one).alias("type")))
+
+    domains = surrogates(plain.where("domain is not null").select(F.lit("domain").alias("type"), F.col("domain").alias("norm")), key)
+    plain = plain.join(domains.select(F.col("norm").alias("domain"), F.col("surrogate").alias("host")), "domain", "left").select("mention", "type", "norm", "host")
+    entities = surrogates(plain.select("type", "norm", "host").union(names.select("type", "norm", F.lit(None).cast("string"))), key)
     free = F.when(F.col("type").isin("card", "phone", "ssn", "iban"), _written(m, F.col("surrogate"))).otherwise(F.col("surrogate"))
-    one = plain.join(entities, ["type", "norm"]).select("mention", "type", free.alias("surrogate"))
-    many = names.join(entities, ["type", "norm"]).groupBy("mention").agg(F.concat(F.first("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]), " ")).alias("surrogate")).select("mention", F.lit("name").alias("type"), "surrogate")
-    return one.union(many)
+    none = F.array().cast("array<struct<norm:string,surrogate:string>>")
+    plain = plain.join(entities, ["type", "norm"]).select("mention", "type", free.alias("surrogate"), none.alias("parts"))
+    whole = names.join(entities, ["type", "norm"]).groupBy("mention").agg(F.first("title").alias("title"), F.array_sort(F.collect_list(F.struct("at", "norm", "surrogate"))).alias("parts"))
+    many = whole.select("mention", F.lit("name").alias("type"), F.concat("title", F.array_join(F.transform("parts", lambda x: x["surrogate"]), " ")).alias("surrogate"), F.transform("parts", lambda x: F.struct(x["norm"].alias("norm"), x["surrogate"].alias("surrogate"))).alias("parts"))
+    return durable(plain.union(many))
+
+
+def _bare(piece: Column, people: Column) -> Column:
+    """`piece` with every word that is a name of `people` (a map to surrogates) exchanged, also before 's."""
+    known = lambda w: F.try_element_at(people, w)
+    owner = lambda w: F.regexp_extract(w, "^(.+)['’]s$", 1)
+    words = F.regexp_extract_all(piece, F.lit(r"\p{L}++(?:['’-]\p{L}++)*+|[^\p{L}]++"), F.lit(0))
+    return F.array_join(F.transform(words, lambda w: F.coalesce(known(w), F.concat(known(owner(w)), F.substring(w, -2, 2)), w)), "")
 
 
 def replace_pii(docs: DataFrame, key: str, text: str = "text", replaced: str = "text", counts: str | None = "pii_types") -> DataFrame:
@@ -206,32 +257,37 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text", replaced: str = "
     overlap: the leftmost wins, then the order of PATTERNS. Columns named like an output are replaced,
     all others kept; an empty table stays empty.
 
-    Documents are joined with the replacements of their own mentions by a digest of these, so copies
-    share one entry; a document without mentions has a key of its own, and hot keys are split like any
-    skewed join key.
+    Only documents with a mention are written once and joined with the replacements of their own
+    mentions, by a digest of these, so that copies share an entry; all others pass as they are.
     """
     own = [c for c in docs.columns if c not in (replaced, counts) or c == text]
-    found = F.array_distinct(mentions(F.col(text)))
-    digest = lambda a: F.sha2(F.array_join(a, "\x01").cast("binary"), 256)
-    marked = docs.select(found.alias("found")).where(F.size("found") > 0).select(digest(F.col("found")).alias("k"), "found").groupBy("k").agg(F.first("found").alias("found"))
-    each = durable(marked.select("k", F.explode("found").alias("mention")))
+    marked = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("__vf_found", F.coalesce(mentions(F.col(f"`{text}`")), F.array().cast("array<string>")))
+    clean = marked.where(F.size("__vf_found") == 0).withColumn("__vf_new", F.col(f"`{text}`"))
+    found = F.array_distinct("__vf_found")
+    touched = durable(marked.where(F.size("__vf_found") > 0).withColumn("__vf_k", F.sha2(F.array_join(found, "\x01").cast("binary"), 256)))
+    each = touched.groupBy("__vf_k").agg(F.first("__vf_found").alias("found")).select(F.col("__vf_k").alias("k"), F.explode(F.array_distinct("found")).alias("mention"))
+    each = durable(each)
     table = mention_table(each, key)
-    maps = each.join(table, "mention").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("mention", F.struct("surrogate", "type")))).alias("__vf_map"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("__vf_found", mentions(F.col(text)))
-    keyed = keyed.withColumn("__vf_k", F.when(F.size("__vf_found") > 0, digest(F.array_distinct("__vf_found"))).otherwise(F.hex(F.xxhash64(text))))
-    joined = keyed.join(maps.withColumnRenamed("k", "__vf_k"), "__vf_k", "left")
+    mine = F.map_from_entries(F.collect_list(F.struct("mention", F.struct("surrogate", "type"))))
+    people = F.flatten(F.collect_list(F.when(F.col("type") == "name", F.col("parts"))))
+    maps = each.join(table, "mention").groupBy("k").agg(mine.alias("__vf_map"), F.array_sort(F.array_distinct(people)).alias("people"))
+    # a word that is a name of two people of the document is the first's
+    firsts = F.filter("people", lambda x, i: (i == 0) | (F.get(F.col("people"), i - 1)["norm"] != x["norm"]))
+    maps = durable(maps.select(F.col("k").alias("__vf_k"), "__vf_map", F.map_from_entries(firsts).alias("__vf_people")))
+    size = maps.agg(F.sum(F.length(F.to_json("__vf_map")) + F.length(F.to_json("__vf_people")) + 200)).first()[0] or 0
+    joined = touched.join(F.broadcast(maps) if size <= BROADCAST_BYTES else maps, "__vf_k", "left")
     new = lambda x: F.coalesce(F.try_element_at(F.col("__vf_map"), x)["surrogate"], x, F.lit(""))
-    pieces = F.zip_with(F.split(text, MENTION, -1), F.col("__vf_found"), lambda p, x: F.concat(p, F.when(x.isNull(), F.lit("")).otherwise(new(x))))
-    out = joined.withColumn("__vf_new", F.when((F.size("__vf_found") > 0) & F.col("__vf_map").isNotNull(), F.array_join(pieces, "")).otherwise(F.col(text)))
+    plain = lambda p: F.when(F.size("__vf_people") > 0, _bare(p, F.col("__vf_people"))).otherwise(p)
+    pieces = F.zip_with(F.split(F.col(f"`{text}`"), MENTION, -1), F.col("__vf_found"), lambda p, x: F.concat(plain(p), F.when(x.isNull(), F.lit("")).otherwise(new(x))))
+    joined = joined.withColumn("__vf_new", F.when(F.col("__vf_map").isNotNull(), F.array_join(pieces, "")).otherwise(F.col(f"`{text}`")))
     if counts:
         kinds = F.filter(F.transform("__vf_found", lambda x: F.try_element_at(F.col("__vf_map"), x)["type"]), lambda t: t.isNotNull())
         tally = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda t: F.struct(t, F.size(F.filter(kinds, lambda x: x == t)))))
-        out = out.withColumn("__vf_counts", F.when(F.size("__vf_found") > 0, tally).otherwise(F.create_map().cast("map<string,int>")))
-    names = [c for c in own if c != replaced]
+        joined = joined.withColumn("__vf_counts", F.coalesce(tally, F.create_map().cast("map<string,int>")))
+        clean = clean.withColumn("__vf_counts", F.create_map().cast("map<string,int>"))
     order = [c for c in docs.columns if c != counts]
-    chosen = {c: F.col(f"`{c}`") for c in names} | {replaced: F.col("__vf_new")}
+    chosen = {c: F.col(f"`{c}`") for c in own if c != replaced} | {replaced: F.col("__vf_new")}
     if replaced not in order:
         order.append(replaced)
-    return out.select(*[chosen[c].alias(c) for c in order], *([F.col("__vf_counts").alias(counts)] if counts else []))
-
-
+    last = [chosen[c].alias(c) for c in order] + ([F.col("__vf_counts").alias(counts)] if counts else [])
+    return clean.select(*last).union(joined.select(*last))
