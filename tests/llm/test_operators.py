@@ -463,6 +463,73 @@ def test_viterbi_against_all_splits():
         assert cost(url_filter.viterbi(name, counts, total)) == pytest.approx(min(map(cost, splits)))
 
 
+def test_bayes_against_counting():
+    labelled = [(["free", "bets"], "block"), (["bets"], "block"), (["free", "press"], "allow"), (["press"], "allow"), (["news"], "allow")]
+    model = url_filter.fit_bayes(labelled)
+    chance = lambda w, label: (sum(x.count(w) for x, c in labelled if c == label) + 1) / (sum(len(x) for x, c in labelled if c == label) + 4)
+    for w in ("free", "bets", "press", "news"):
+        assert model["ratio"][w] == pytest.approx(np.log(chance(w, "block") / chance(w, "allow")))
+    assert model["prior"] == pytest.approx(np.log(1 / 3)) and len({round(x, 6) for x in url_filter.fit_bayes(url_filter.DEFAULT_LABELLED)["ratio"].values()}) > 8
+
+
+def test_url_verdicts_against_brute_force(spark):
+    """Every page of the table, and names of the labelled sample's words, judged by loops over strings."""
+    from collections import Counter
+    from functools import lru_cache
+
+    rows = [(r["page_id"], r["url"]) for r in common.table(spark, "/root/testdata/sf0.01", "pages").select("page_id", "url").collect()]
+    rows += [(-1, "http://freebets.example.net/x"), (-2, "http://dailynews.example.net/sexeducation"), (-3, "http://x.org/Cheap-PILLS?casino"), (-4, None), (-5, "http://"), (-6, "http://freebets.example.net/x")]
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.RULES).collect()}
+    labelled = url_filter.DEFAULT_LABELLED
+    by_class = {c: Counter(w for words, label in labelled if label == c for w in words) for c in ("block", "allow")}
+    words = set(by_class["block"]) | set(by_class["allow"])
+    odds = lambda w: np.log((by_class["block"][w] + 1) / (sum(by_class["block"].values()) + len(words)) * (sum(by_class["allow"].values()) + len(words)) / (by_class["allow"][w] + 1)) if w in words else 0.0
+    prior = np.log(1 / 3)
+    split = {}
+    for i, url in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        found = [n for x in [*host.split(".")[:-1], path] for n in re.findall(r"[^\W_]+", x.lower()) if re.search(r"[^\W\d_]", n)]
+        split[i] = host, path, found
+    counts = Counter(n for _, _, found in split.values() for n in found)
+    total = sum(counts.values()) + sum(url_filter.LISTED * (by_class["block"][w] + by_class["allow"][w]) for w in words) + 1
+
+    def segment(name):
+        def cost(w):
+            n = (counts[w] if w != name and len(w) > 2 else 0) + url_filter.LISTED * (by_class["block"][w] + by_class["allow"][w])
+            return np.log(total / n) if n else np.log(total) + 2.5 * len(w)
+
+        @lru_cache(None)
+        def best(end):
+            return min(((best(k)[0] + cost(name[k:end]), best(k)[1] + 1, best(k)[2] + (name[k:end],)) for k in range(max(0, end - 24), end)), key=lambda x: x[:2]) if end else (0.0, 0, ())
+
+        return best(len(name))[2]
+
+    judged = Counter()
+    for i, (host, path, found) in split.items():
+        score = prior + sum(odds(w) for name in found for w in segment(name))
+        fits = [(len(rule), verdict, rule) for verdict, rule in queries.RULES for name, rest in [rule.split("/", 1)] if (host == name or host.endswith("." + name)) and path.startswith("/" + rest)]
+        verdict = max(fits)[1] if fits else "block" if host and score > 0 else "allow"
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, max(fits)[2] if fits else None, verdict)
+        assert got[i]["block_score"] == pytest.approx(score)
+        judged[verdict, bool(fits)] += 1
+    assert all(judged[v, f] for v in ("block", "allow") for f in (True, False))
+    assert [got[i]["verdict"] for i in range(-6, 0)] == ["block", "allow", "allow", "block", "allow", "block"]
+
+
+def test_url_of_long_names(spark):
+    import time
+
+    began = time.time()
+    rows = [(0, "http://a.com/" + "casino" * 20000), (1, "http://a.com/" + "q" * 200000), (2, "http://a.com/" + "news" * 3000 + "x/news")]
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), []).collect()}
+    assert time.time() - began < 60
+    assert [got[i]["verdict"] for i in range(3)] == ["block", "allow", "allow"]
+    assert got[0]["host_words"][1:] == ["casino"] * 20000 and got[2]["host_words"].count("news") == 3001
+
+
 # --- 8
 
 

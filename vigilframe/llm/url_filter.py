@@ -16,13 +16,25 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-# Labelled names the model is fitted on (a bounded sample of 2 x 60 at most), and by it
-# the first words that segmentation knows.
-BLOCKED = "casino poker bet bets betting jackpot slots win winner lottery pills pill viagra cialis pharma pharmacy cheap free adult porn sex xxx nude cams escort dating spam farm ads ad track tracker tracking click popup banner malware warez crack torrent loan loans payday replica diet miracle".split()
-ALLOWED = "news blog wiki docs doc help support about book books library school college university science research health travel weather sport music art history map maps food recipes garden home family city world local review article archive forum learn code data tools open source press radio museum".split()
+# The labelled sample that the model is fitted on unless the caller has one of their own, names of
+# hosts and paths written as words. Its words are also the first that segmentation knows.
+BLOCKED = """
+casino; online casino; casino win; casino bonus; free casino slots; casino poker; vegas casino jackpot; mobile casino games; royal casino;
+poker; poker bonus; texas poker room; slots; free slots; mega slots jackpot; jackpot winner; lottery; lottery winner; win prize; you win; free spins;
+bet; bets; free bets; sports bets; betting; betting tips; betting odds; best betting bonus; roulette wheel; bingo bonus;
+pills; cheap pills; diet pills; buy pills online; viagra; cheap viagra; buy viagra; cialis; cialis online; cheap pharma; online pharmacy cheap; meds cheap;
+porn; free porn; porn tube; porn videos; sex; sex cams; sex dating; live sex; xxx; xxx videos; xxx tube; adult; adult cams; adult dating; adult videos; adult blog; adult toys; adult x; porn blog; casino blog; spam blog; nude; nude cams; nude girls; escort; hot escort girls; hookup dating;
+payday loan; payday loans; fast cash loans; quick cash; cheap loans; easy money; make money fast; get rich fast; bitcoin doubler; crypto giveaway;
+warez; warez crack; crack keygen; serial keygen; torrent crack; malware; spam; spam farm; click farm; link farm; seo links cheap; replica watches; cheap replica; replica bags; miracle diet; weight loss miracle; free iphone giveaway; free gift card; ad tracker; click tracker; ads; ads track; ads network; popup ads
+"""
+ALLOWED = """
+news; world news; daily news; local news; news archive; news review; sports news; blog; my blog; travel blog; food blog; tech blog; personal blog;
+wiki; docs; help; help center; support; about; contact; forum; community forum; book; books; book review; library; public library; digital library; school; high school; university; college; science; science review; research; research center; open data; open source; open access journal; journal of science;
+health; public health; health center; hospital; medical center; pharmacy school; weather; weather maps; travel; travel guide; city guide; city council; maps; music; music school; music review; art; art museum; history museum; museum; history; sport club; football club; garden; home garden; food recipes; recipes; family; family doctor; world health; world history; learn code; code school; open code; learn english; software tools; tools; press; free press; radio; public radio; cheap flights; free software; free books; adult education; sex education; bank; credit union; student loans; home loans; games; board games; chess club; safety first
+"""
 LONGEST_WORD = 24
-#: Counts that a listed word has before any URL is seen.
-LISTED = 20.0
+#: What each count of a word in the labelled sample adds to its count in the URLs, and letters that a cut of a name advances.
+LISTED, STEP = 20.0, 1000
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -68,19 +80,26 @@ def viterbi(name: str, counts: dict[str, float], total: float) -> list[str]:
     return out[::-1]
 
 
-def fit_bayes(labelled: list[tuple[str, str]]) -> dict:
-    """Multinomial naive Bayes with add-one smoothing over (word, "block" or "allow")."""
-    counts = {"block": Counter(), "allow": Counter()}
-    for word, label in labelled:
-        counts[label][word] += 1
-    words = set(counts["block"]) | set(counts["allow"])
-    sums = {c: sum(n.values()) + len(words) + 1 for c, n in counts.items()}
-    ratio = {w: math.log((counts["block"][w] + 1) / sums["block"]) - math.log((counts["allow"][w] + 1) / sums["allow"]) for w in words}
-    docs = {c: max(1, sum(n.values())) for c, n in counts.items()}
-    return {"ratio": ratio, "prior": math.log(docs["block"] / docs["allow"])}
+def labelled_names(text: str, label: str) -> list[tuple[list[str], str]]:
+    """[(words, label)] of names separated by semicolons."""
+    return [(name.split(), label) for name in text.split(";") if name.strip()]
 
 
-DEFAULT_LABELLED = [(w, "block") for w in BLOCKED] + [(w, "allow") for w in ALLOWED]
+DEFAULT_LABELLED = labelled_names(BLOCKED, "block") + labelled_names(ALLOWED, "allow")
+
+
+def fit_bayes(labelled: list[tuple[list[str], str]], smoothing: float = 1.0, block_share: float = 0.25) -> dict:
+    """Multinomial naive Bayes over (words, "block" or "allow"): counts of words by class, smoothed.
+
+    The sample is chosen, not drawn, so its shares say nothing of URLs at large: the prior is `block_share`.
+    """
+    counts = {"block": Counter(), "allow": Counter()}
+    for words, label in labelled:
+        counts[label].update(words)
+    seen = counts["block"] + counts["allow"]
+    chance = {c: {w: math.log((n[w] + smoothing) / (n.total() + smoothing * len(seen))) for w in seen} for c, n in counts.items()}
+    ratio = {w: chance["block"][w] - chance["allow"][w] for w in seen}
+    return {"ratio": ratio, "prior": math.log(block_share / (1 - block_share)), "counts": dict(seen)}
 
 
 def log_odds(words: list[str], model: dict) -> float:
@@ -93,7 +112,7 @@ def _names(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: w.rlike(r"\p{L}"))
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[str, str]] | None = None, url: str = "url", threshold: float = 0.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[list[str], str]] | None = None, url: str = "url", threshold: float = 0.0) -> DataFrame:
     """Add host, path, rule, verdict ("allow" or "block"), block_score (log odds) and host_words.
 
     A fitting rule decides (the longest); else the method blocks where the log odds exceed `threshold`.
@@ -101,47 +120,55 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tu
     empty host. Repeated rows repeat; an empty table stays empty. Columns named like an output are
     replaced, all others kept.
 
+    `labelled` [(words, "block" or "allow")] is the sample that the model is fitted on, by default the
+    fixed one of this module; words that it lacks count for neither side.
+
     Only distinct names are segmented: unigram counts over all URLs, a table of any size, are joined to
-    the substrings of each name (a name has at most LONGEST_WORD per letter), so no dictionary is
-    broadcast or collected. Scores per distinct host and path come back by joins.
+    the substrings of each name (LONGEST_WORD per letter, cut STEP letters at a time and known by the
+    name's hash, so that a long name costs in proportion), so no dictionary is broadcast or collected.
+    Scores per distinct host and path come back by joins.
     """
     names = ("host", "path", "rule", "verdict", "block_score", "host_words")
     kept = pages.drop(*[c for c in names if c in pages.columns])
     host, path = parts(F.col(url))
     split = kept.withColumn("host", host).withColumn("path", path)
     model = fit_bayes(DEFAULT_LABELLED if labelled is None else labelled)
-    listed = {w: LISTED for w in model["ratio"]}
+    listed = {w: LISTED * n for w, n in model["counts"].items()}
 
     # host labels but the last (the top domain), and path parts, each name with its rows
     labels = F.slice(F.split("host", r"\."), 1, F.greatest(F.size(F.split("host", r"\.")) - 1, F.lit(0)))
     pairs = split.select("host", "path").groupBy("host", "path").agg(F.count("*").alias("n"))
     pairs = durable(pairs.withColumn("names", F.concat(F.flatten(F.transform(labels, _names)), _names(F.col("path")))))
     unigrams = pairs.select(F.explode("names").alias("name"), "n").groupBy("name").agg(F.sum("n").alias("n"))
-    unigrams = durable(unigrams)
-    total = (unigrams.agg(F.sum("n")).first()[0] or 0) + LISTED * len(listed) + 1.0
-    start = F.sequence(F.lit(1), F.length("name"))
-    cut = F.flatten(F.transform(start, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - i + 1)), lambda k: F.substring(F.col("name"), i, k))))
-    pieces = unigrams.select("name", F.explode(F.array_distinct(cut)).alias("word"))
+    unigrams = durable(unigrams.withColumn("of", F.xxhash64("name")))
+    total = (unigrams.agg(F.sum("n")).first()[0] or 0) + sum(listed.values()) + 1.0
+    first = F.explode(F.sequence(F.lit(0), F.floor((F.length("name") - 1) / STEP).cast("int")))
+    cuts = unigrams.select("of", "name", first.alias("nth")).select("of", F.substring("name", F.col("nth") * STEP + 1, F.lit(STEP + LONGEST_WORD - 1)).alias("cut"))
+    starts = F.sequence(F.lit(1), F.least(F.length("cut"), F.lit(STEP)))
+    from_each = F.transform(starts, lambda i: F.substring("cut", i, F.lit(LONGEST_WORD)))
+    shorter = F.transform(from_each, lambda x: F.transform(F.sequence(F.lit(3), F.greatest(F.length(x), F.lit(3))), lambda k: F.substring(x, F.lit(1), k)))
+    pieces = cuts.select("of", F.explode(F.array_distinct(F.flatten(shorter))).alias("word")).where(F.length("word") > 2)
     # a name is no evidence for itself as one word: its own count enters only where other names contain it
-    counted = unigrams.select(F.col("name").alias("word"), "n")
-    known = pieces.join(counted, "word").where((F.length("word") > 2) & (F.col("word") != F.col("name"))).groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    known = unigrams.select("name").join(known, "name", "left")
+    counted = unigrams.where(F.length("name").between(3, LONGEST_WORD)).select(F.col("name").alias("word"), "n")
+    known = pieces.where(F.xxhash64("word") != F.col("of")).join(counted, "word").groupBy("of").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    known = unigrams.select("name", "of").join(known, "of", "left").select("name", "of", "known")
 
     def run(batches):
         for batch in batches:
             out = []
-            for name, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, found in zip(batch.column("name").to_pylist(), batch.column("known").to_pylist()):
                 own = {x["word"]: float(x["n"]) for x in found or []}
                 for k in range(len(name)):
                     for m in range(1, LONGEST_WORD + 1):
                         if (w := name[k : k + m]) in listed:
-                            own[w] = own.get(w, 0.0) + listed[w]
-                out.append(viterbi(name, own, total))
+                            own[w] = own.get(w, 0.0)
+                out.append(viterbi(name, {w: n + listed.get(w, 0.0) for w, n in own.items()}, total))
             score = [sum(model["ratio"].get(w, 0.0) for w in words) for words in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string())), pa.array(score, pa.float64())], ["name", "words", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("of"), pa.array(out, pa.list_(pa.string())), pa.array(score, pa.float64())], ["of", "words", "score"])
 
-    segmented = known.mapInArrow(run, "name string, words array<string>, score double")
-    scored = pairs.select("host", "path", F.posexplode_outer("names").alias("nth", "name")).join(segmented, "name", "left").groupBy("host", "path").agg(
+    segmented = known.mapInArrow(run, "of long, words array<string>, score double")
+    each = pairs.select("host", "path", F.posexplode_outer("names").alias("nth", "name")).select("host", "path", "nth", F.xxhash64("name").alias("of"))
+    scored = each.join(segmented, "of", "left").groupBy("host", "path").agg(
         (F.coalesce(F.sum("score"), F.lit(0.0)) + F.lit(model["prior"])).alias("block_score"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "words"))), lambda x: F.coalesce(x["words"], F.array().cast("array<string>")))).alias("host_words"),
     )
