@@ -548,6 +548,41 @@ def test_language_id(spark):
     assert langid.identify(odd.limit(0), model).count() == 0
 
 
+def test_ridge_against_its_dual(monkeypatch):
+    """Scores of the fitted weights against kernel ridge solved over the sample, with Nystroem's kernel."""
+    monkeypatch.setattr(langid, "AT_ONCE", 7)
+    monkeypatch.setattr(langid, "LANDMARKS", 12)
+    rnd = np.random.default_rng(2)
+    centre = rnd.random((3, langid.WIDTH)) < 0.02
+    names = ["c", "a", "b"]
+    y = np.array([0] * 12 + [1] * 9 + [2] * 4)
+    x = (centre[y] & (rnd.random((25, langid.WIDTH)) < 0.8)) | (rnd.random((25, langid.WIDTH)) < 0.01)
+    model = langid.Model(np.packbits(x, axis=1), [names[i] for i in y])
+    kernel = lambda p, q: (p.astype(float) @ q.T.astype(float)) / np.sqrt(np.outer(p.sum(1), q.sum(1)))
+    marks = model.marks.astype(bool)
+    assert len(marks) == 12 and model.languages == ["a", "b", "c"]
+    fresh = (centre[[2, 0, 1]] & (rnd.random((3, langid.WIDTH)) < 0.8)).astype(bool)
+    near = lambda p, q: kernel(p, marks) @ np.linalg.pinv(kernel(marks, marks), rcond=1e-6) @ kernel(marks, q) + 1
+    target = (np.array([model.languages.index(names[i]) for i in y])[:, None] == np.arange(3)).astype(float)
+    spread = np.bincount(y)[y]  # of the weights 1 / count
+    alpha = np.linalg.solve(near(x, x) + langid.RIDGE / 25 * np.diag(spread.astype(float)), target)
+    assert np.allclose(model(fresh), near(fresh, x) @ alpha, atol=2e-3)
+    assert [model.languages[i] for i in model(fresh).argmax(1)] == ["b", "c", "a"]
+
+
+def test_language_sample_is_bounded_and_every_language_has_landmarks(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 20)
+    monkeypatch.setattr(langid, "LANDMARKS", 5)
+    seen = []
+    real = langid.Model
+    monkeypatch.setattr(langid, "Model", lambda packed, languages: seen.append(languages) or real(packed, languages))
+    rows = [(i, f"text number {i} of l{i % 4}", f"l{i % 4}" if i % 50 else "rare", "s", 0) for i in range(4000)] + [(7, "copied", "l3", "s", 0)] * 3000
+    model = langid.fit(docs(spark, rows).repartition(5))
+    counts = {c: seen[0].count(c) for c in set(seen[0])}
+    assert set(counts) == {"l0", "l1", "l2", "l3", "rare"} and all(4 <= n <= 45 for n in counts.values())
+    assert len(model.marks) == 20
+
+
 def test_presence_against_sets():
     values = ["Der Hund, der HUND!", "ab", "", "a--b", "été à la  mer"]
     found = np.concatenate([x for _, _, x, _ in langid.presence(values)])

@@ -12,16 +12,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Places of the presence vector for 2-grams and for 3-grams.
 PLACES = {2: 4096, 3: 8192}
 WIDTH = sum(PLACES.values())
-#: Training documents per language at most, and languages at most: the documented bound of the sample.
+#: Training documents per language (about; a hash decides), and languages at most: the documented bound of the sample.
 PER_LANGUAGE, LANGUAGES = 400, 200
-LANDMARKS, RIDGE, ROWS = 160, 0.1, 64
+#: Landmarks in all, and of each language at least; rows of the sample taken at once.
+LANDMARKS, OF_EACH, RIDGE, ROWS, AT_ONCE = 160, 4, 0.1, 64, 2048
 UNKNOWN = "und"
 
 
@@ -71,31 +72,44 @@ def presence(texts: list[str | None], most: int = 1 << 20):
 
 
 class Model:
-    """Landmarks and regression weights; the size is bounded by LANDMARKS and LANGUAGES."""
+    """Landmarks and regression weights, fitted on packed presence vectors (bits of rows, one language each).
 
-    def __init__(self, vectors: np.ndarray, languages: list[str], seed: int = 7):
+    Its size is bounded by LANDMARKS, OF_EACH and LANGUAGES; the sample is unpacked AT_ONCE rows at a time
+    and only sums over it are kept.
+    """
+
+    def __init__(self, packed: np.ndarray, languages: list[str], seed: int = 7):
         self.languages = sorted(set(languages))
-        y = np.array([self.languages.index(x) for x in languages])
+        number = {c: i for i, c in enumerate(self.languages)}
+        y = np.array([number[x] for x in languages])
         pick = np.random.default_rng(seed)
         order = pick.permutation(len(y))
         nth = np.zeros(len(y), np.int64)
         for c in range(len(self.languages)):
             own = order[y[order] == c]
             nth[own] = np.arange(len(own))
-        chosen = order[np.argsort(nth[order], kind="stable")][:LANDMARKS]  # languages in turn
-        self.marks = vectors[chosen].astype(np.float32)
+        chosen = order[np.argsort(nth[order], kind="stable")][: max(LANDMARKS, OF_EACH * len(self.languages))]  # languages in turn
+        self.marks = self._unpacked(packed[chosen])
         self.norms = np.sqrt(np.maximum(self.marks.sum(1), 1))
-        within, rest = self._kernel(self.marks), self._kernel(vectors.astype(np.float32))
-        values, basis = np.linalg.eigh(within.astype(np.float64))
+        values, basis = np.linalg.eigh(self._kernel(self.marks).astype(np.float64))
         fine = values > 1e-6 * max(values.max(initial=0), 1e-12)
         lift = basis[:, fine] / np.sqrt(values[fine])
-        phi = np.column_stack([rest @ lift, np.ones(len(y))])
-        target = (y[:, None] == np.arange(len(self.languages))).astype(np.float64)
         weight = 1 / np.bincount(y, minlength=len(self.languages))[y]  # every language counts alike
-        gram = phi.T @ (phi * weight[:, None]) + RIDGE / max(1, len(y)) * np.eye(phi.shape[1])
-        beta = np.linalg.solve(gram, phi.T @ (target * weight[:, None]))
+        gram = RIDGE / max(1, len(y)) * np.eye(lift.shape[1] + 1)
+        aim = np.zeros((lift.shape[1] + 1, len(self.languages)))
+        for a in range(0, len(y), AT_ONCE):
+            rest = self._kernel(self._unpacked(packed[a : a + AT_ONCE]))
+            phi = np.column_stack([rest @ lift, np.ones(len(rest))])
+            heavy = phi * weight[a : a + AT_ONCE, None]
+            gram += phi.T @ heavy
+            aim += heavy.T @ (y[a : a + AT_ONCE, None] == np.arange(len(self.languages)))
+        beta = np.linalg.solve(gram, aim)
         self.weights, self.bias = (lift @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32)
 
+    @staticmethod
+    def _unpacked(packed: np.ndarray) -> np.ndarray:
+        return np.unpackbits(packed, axis=1)[:, :WIDTH].astype(np.float32)
+
     def _kernel(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.marks.T) / np.sqrt(np.maximum(x.sum(1), 1))[:, None] / self.norms
 
@@ -109,29 +123,32 @@ def in_test_fold(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
-    """Fit on a bounded sample: per language the PER_LANGUAGE documents of least hashed id outside the test fold.
+    """Fit on a bounded sample of the documents outside the test fold: of each language those whose hashed
+    id lies below a threshold, set by the language's count of ids so that about PER_LANGUAGE pass.
 
-    Documents without a language, a text or a letter, and those of the test fold, are not learned from.
-    Sampling looks at ids and languages only; presence vectors of the sample are made on the executors.
-    None if nothing can be learned.
+    Documents without a language, a text, an id or a letter, and those of the test fold, are not learned
+    from; repeated ids count once, by the least presence vector. Of more than LANGUAGES languages the most
+    frequent are learned. Counts combine before the shuffle and no language is gathered; presence vectors
+    of the sample are made on the executors. None if nothing can be learned.
     """
     labelled = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~in_test_fold("id"))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = labelled.select("id", "lang").withColumn("n", F.row_number().over(w)).where(F.col("n") <= PER_LANGUAGE).select("id", "lang").distinct().orderBy(F.xxhash64("id", "lang")).limit(PER_LANGUAGE * LANGUAGES)
-    chosen = labelled.join(F.broadcast(ids), ["id", "lang"], "left_semi").select("lang", "text")
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    span = 1 << 40
+    chosen = labelled.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("id"), F.lit(span)) < PER_LANGUAGE / F.col("n") * span).select("lang", F.col("id").cast("string").alias("id"), "text")
 
     def run(batches):
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for a, b, found, has in presence(batch.column(1).to_pylist()):
+            langs, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b, found, has in presence(batch.column(2).to_pylist()):
+                fine = np.flatnonzero(has).tolist()
                 packed = np.packbits(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, h in zip(langs[a:b], has) if h], pa.string()), pa.array([v.tobytes() for v, h in zip(packed, has) if h], pa.binary())], ["lang", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([langs[a + i] for i in fine], pa.string()), pa.array([ids[a + i] for i in fine], pa.string()), pa.array([packed[i].tobytes() for i in fine], pa.binary())], ["lang", "id", "v"])
 
-    rows = sorted((r["lang"], bytes(r["v"])) for r in chosen.mapInArrow(run, "lang string, v binary").collect())
+    once = chosen.mapInArrow(run, "lang string, id string, v binary").groupBy("lang", "id").agg(F.min("v").alias("v"))
+    rows = sorted((r["lang"], bytes(r["v"])) for r in once.select("lang", "v").collect())
     if not rows:
         return None
-    vectors = np.unpackbits(np.frombuffer(b"".join(v for _, v in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, :WIDTH]
-    return Model(vectors, [x for x, _ in rows])
+    return Model(np.frombuffer(b"".join(v for _, v in rows), np.uint8).reshape(len(rows), -1), [x for x, _ in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
