@@ -80,12 +80,29 @@ PATTERNS = {
 MENTION = rf"(?<!{_WORD})(?<!\d\.)(?:{'|'.join(PATTERNS.values())})"
 
 
+def _opening(words: list[str]) -> str:
+    """A pattern of any of `words` and a blank or dot behind it: classes of the first two letters come first, which is quick."""
+    pairs = sorted({w[:2] for w in words})
+    rests = "|".join(rf"(?<={p})(?:{'|'.join(w[2:] for w in words if w[:2] == p)})" for p in pairs)
+    one, two = ("".join(sorted({p[k] for p in pairs})) for k in (0, 1))
+    return rf"[{one}][{two}](?<={'|'.join(pairs)})(?<!{_WORD}..)(?:{rests})[ .]"
+
+
+_OPENINGS = [w for ws in (*TITLES.values(), *GIVEN.values()) for w in ws]
 #: What any mention has in it: texts without are not looked at further.
-TRIGGER = rf"[0-9@]|(?:{_any_of(WORDS_OF_KEYS)}) {{0,2}}[=:]|(?<!{_WORD})(?:{_TITLE}|{_GIVEN})[ .]"
+TRIGGERS = [
+    r"[0-9@]",
+    rf"[=:](?<=(?:{'|'.join(WORDS_OF_KEYS)}) {{0,2}}[=:])",
+    _opening([w for w in _OPENINGS if w[0] < "\u0370"]),
+    rf"[\u0370-\u04FF](?<!{_WORD}.)(?:{_any_of([w[1:] for w in _OPENINGS if w[0] >= chr(0x370)])})[ .]",
+]
 
 
 def mentions(text: Column) -> Column:
-    return F.when(text.rlike(TRIGGER), F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.lit(False)
+    for trigger in TRIGGERS:
+        found = found | text.rlike(trigger)
+    return F.when(found, F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _type(mention: Column) -> Column:
