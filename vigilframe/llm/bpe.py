@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_slices
+
 #: Interned pieces a worker holds before it starts anew; bounds memory, not results.
-PIECES = 500_000
+PIECES = 200_000
 #: Pieces longer than this go through a heap of pairs, the same merges in O(n log n).
 LONG = 2048
 NONE = np.int32(2**31 - 1)
@@ -246,18 +248,6 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(load_ranks(path), pattern)
 
 
-def parts(texts: list[str], most: int = 1 << 20):
-    """Runs of texts of about `most` characters; a longer text comes alone and whole."""
-    first = total = 0
-    for i, t in enumerate(texts):
-        if i > first and total + len(t) > most:
-            yield first, i
-            first, total = i, 0
-        total += len(t)
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add `ids` (array<int>), the tokens of the whole text, and with `decoded` the bytes they decode to.
 
@@ -274,10 +264,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     def run(batches):
         coder = encoder(path, pattern)
         for batch in batches:
-            texts = batch.column(text).to_pylist() if len(batch) else []
-            texts = [t or "" for t in texts]
-            for first, last in parts(texts):
-                flat, offsets = coder.encode(texts[first:last])
+            column = batch.column(text)
+            for first, last, _, _ in text_slices(column):
+                flat, offsets = coder.encode([t or "" for t in column.slice(first, last - first).to_pylist()])
                 arrays = [batch.column(keep.index(c)).slice(first, last - first) for c in keep]
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())))
                 if decoded:

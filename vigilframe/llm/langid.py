@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_slices
+
 #: Places of the presence vector for 2-grams and for 3-grams.
 PLACES = {2: 4096, 3: 8192}
 WIDTH = sum(PLACES.values())
 #: Training documents per language (about; a hash decides), and languages at most: the documented bound of the sample.
 PER_LANGUAGE, LANGUAGES = 400, 200
 #: Landmarks in all, and of each language at least; rows of the sample taken at once.
-LANDMARKS, OF_EACH, RIDGE, ROWS, AT_ONCE = 160, 4, 0.1, 64, 2048
+LANDMARKS, OF_EACH, RIDGE, ROWS, AT_ONCE = 160, 4, 0.1, 64, 256
 UNKNOWN = "und"
 
 
@@ -71,6 +73,13 @@ def presence(texts: list[str | None], most: int = 1 << 20):
         first = last
 
 
+def _sliced(column: pa.Array):
+    """presence() of a column, about a megabyte of texts at a time."""
+    for first, last, _, _ in text_slices(column):
+        for a, b, found, has in presence(column.slice(first, last - first).to_pylist()):
+            yield first + a, first + b, found, has
+
+
 class Model:
     """Landmarks and regression weights, fitted on packed presence vectors (bits of rows, one language each).
 
@@ -139,7 +148,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     def run(batches):
         for batch in batches:
             langs, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b, found, has in presence(batch.column(2).to_pylist()):
+            for a, b, found, has in _sliced(batch.column(2)):
                 fine = np.flatnonzero(has).tolist()
                 packed = np.packbits(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([langs[a + i] for i in fine], pa.string()), pa.array([ids[a + i] for i in fine], pa.string()), pa.array([packed[i].tobytes() for i in fine], pa.binary())], ["lang", "id", "v"])
@@ -165,7 +174,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", lang_pred
     def run(batches):
         fitted = shared.value
         for batch in batches:
-            for a, b, found, has in presence(batch.column(text).to_pylist()):
+            for a, b, found, has in _sliced(batch.column(text)):
                 names, scores = np.full(b - a, UNKNOWN, object), np.zeros(b - a)
                 if fitted is not None:
                     out = fitted(found)
