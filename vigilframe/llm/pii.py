@@ -210,12 +210,15 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """
     kind = F.regexp_replace("type", "^given_.$", "given")
     host = F.col("host") if "host" in entities.columns else F.lit(None).cast("string")
-    real = durable(entities.select("type", "norm", host.alias("host")).distinct())
+    # drawing costs far more than a row's bytes tell, so the rows are dealt by count and not coalesced by size
+    n = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    real = durable(entities.select("type", "norm", host.alias("host")).repartition(n, "type", "norm", "host").distinct())
     drawn = real.withColumns({"attempt": F.lit(0), "lost": F.lit(True), "surrogate": F.lit("")})
     taken = real.select(kind.alias("kind"), F.col("norm").alias("surrogate")).distinct().withColumn("hit", F.lit(True))
     for _ in range(ROUNDS):
         # those that keep theirs stay as they are; only losers draw
-        tried = _draw(drawn.where("lost"), key).withColumn("surrogate", F.col("candidate")).drop("candidate").union(drawn.where("not lost")).withColumn("kind", kind)
+        fresh = durable(_draw(drawn.where("lost"), key).withColumn("surrogate", F.col("candidate")).drop("candidate"))
+        tried = fresh.union(drawn.where("not lost")).withColumn("kind", kind)
         me = F.struct("attempt", "norm", "type")
         first = tried.groupBy("kind", "surrogate").agg(F.min(me).alias("first"))
         judged = tried.join(first, ["kind", "surrogate"]).join(taken, ["kind", "surrogate"], "left").withColumn("lost", (F.col("first") != me) | F.coalesce(F.col("hit"), F.lit(False)))
