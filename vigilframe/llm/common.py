@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,21 +19,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names.
+def _folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set here only where it has none.
 
-    Only where `spark.checkpoint.dir` is unset a folder is chosen here: below the warehouse, which
-    a cluster shares, or /tmp/checkpoints in local mode.
+    It is the one that `spark.checkpoint.dir` names; without the setting one below the warehouse, which
+    a cluster shares.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        local = sc.master.startswith("local[") or sc.master == "local"
-        sc.setCheckpointDir(named or ("/tmp/checkpoints" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"))
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that the session names."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """`df` read back from a table written beside the checkpoints, and a function that removes the table.
+
+    For large steps: a checkpoint stays until the job ends, a table can go as soon as the next step is
+    written.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    return spark.read.schema(df.schema).parquet(path), remove
+
+
 def release(df: DataFrame) -> None:
     """Let Spark drop the shuffle files and checkpoints of earlier steps that nothing refers to any more.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, Powers, components, durable, mix64, range_hashes, release, small_side, text_slices
+from .common import BROADCAST_BYTES, Powers, components, durable, mix64, range_hashes, release, small_side, text_slices, written
 
 #: Classes of one side of a tile; a larger cluster is dealt over pairs of such parts. Classes of the longest
 #: posting list whose pairs are told one by one.
@@ -202,21 +202,24 @@ def _linked(docs: DataFrame, n: int, t: int, keep: list[str]) -> tuple[DataFrame
     share = lambda x: x - -(-x * t // 100)  # noqa: E731  tokens that may be missing from a partner
     extra = lambda x: share(x) // 2 + 1  # noqa: E731  tokens that partners of at least x tokens share in their prefixes
     spare = lambda size: size - F.ceil(size * t / 100)  # noqa: E731  share() as a column
-    first = durable(_sets(docs, "text", keep, n, lambda x: share(x) + extra(x)))
-    grouped = first.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"), F.max("n_shingles").alias("size"), F.first("tokens").alias("tokens"))
+    sets, remove_sets = written(_sets(docs, "text", keep, n, lambda x: share(x) + extra(x)))
+    grouped = sets.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"), F.max("n_shingles").alias("size"), F.first("tokens").alias("tokens"))
     # numbers are drawn once, as they are written: what follows reads them and never draws again
-    classes = durable(grouped.withColumn("c", F.monotonically_increasing_id()))
-    release(classes)
+    numbered, remove_numbered = written(grouped.withColumn("c", F.monotonically_increasing_id()))
+    first = durable(sets.drop("tokens"))
+    remove_sets()
+    release(first)
 
     # order 1: of the extended prefix, as many tokens as the smallest partner could share must occur elsewhere
-    spread = classes.select("c", F.explode("tokens").alias("token"))
-    common = durable(spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"))
+    spread = numbered.select("c", F.explode("tokens").alias("token"))
+    common, remove_common = written(spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"))
     release(common)
+    classes = durable(numbered.drop("tokens"))
     least = F.ceil(F.col("size") * t / 100)
     need = F.floor((least - F.ceil(least * t / 100)) / 2) + 1
     viable = spread.join(common, "token", "left_semi").groupBy("c").agg(F.count("*").alias("shared")).join(classes, "c")
     viable = durable(viable.where(F.col("shared") >= need).select("c", "k", "least", "members"))
-    del common
+    remove_common(), remove_numbered()
     release(viable)
 
     # their whole sets, from the text of one row of each class
@@ -224,18 +227,18 @@ def _linked(docs: DataFrame, n: int, t: int, keep: list[str]) -> tuple[DataFrame
     wanted = small_side(wanted, 16, BROADCAST_BYTES)
     picked = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     full = _sets(picked, "text", ["doc_id"], n, lambda x: x).where("k is not null").groupBy("k").agg(F.first("tokens").alias("tokens"))
-    full = durable(full.join(viable, "k").select("c", F.size("tokens").cast("long").alias("n_shingles"), "members", "tokens"))
-    release(full)
+    whole, remove_whole = written(full.join(viable, "k").select("c", F.size("tokens").cast("long").alias("n_shingles"), "members", "tokens"))
+    release(whole)
 
     # order 2: rare tokens first; tokens of one class only come before all others, so they fill a prefix first
     places = spare(F.col("n_shingles")) + 1 - F.col("n_shingles")  # plus the shared tokens
-    occurring = full.select("c", F.explode("tokens").alias("token"))
+    occurring = whole.select("c", F.explode("tokens").alias("token"))
     counted = occurring.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = occurring.join(counted.select("token"), "token", "left_semi").groupBy("c").agg(F.count("*").alias("shared"))
-    reach = durable(shared.join(full.select("c", "n_shingles"), "c").where(F.col("shared") + places > 0).select("c"))
+    reach = durable(shared.join(whole.select("c", "n_shingles"), "c").where(F.col("shared") + places > 0).select("c"))
     release(reach)
     # both sets of a linked pair are within reach, so the order may be counted anew among these few
-    full = full.join(small_side(reach, 16), "c")
+    full = whole.join(small_side(reach, 16), "c")
     occurring = full.select("c", "n_shingles", F.explode("tokens").alias("token"))
     counted = occurring.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ranked = occurring.join(counted, "token").withColumn("shared", F.count("*").over(Window.partitionBy("c"))).withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy("df", "token")))
@@ -247,6 +250,8 @@ def _linked(docs: DataFrame, n: int, t: int, keep: list[str]) -> tuple[DataFrame
     clusters = durable(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")))
     told = _told_pairs(full, listed.where(F.col("df") <= LIST), clusters, t, spare)
     found = _tiled_pairs(full, clusters, t)
+    remove_whole()
+    release(found)
 
     edges = found.where("b is not null").select("a", "b").union(told.select("a", "b"))
     joined = components(edges)
