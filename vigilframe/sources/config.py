@@ -181,6 +181,11 @@ class Config:
     def pipelines(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(n, s["order"], s["model"]) for n, p in self.data["pipelines"].items() for s in p["steps"]], "pipeline string, order int, model string")
 
+    def gates(self, spark: SparkSession) -> DataFrame:
+        """(pipeline, label, stop_labels, stop_threshold) of the steps that may end a pipeline."""
+        rows = [(n, s["model"], [int(x) for x in s["stop_if"]["labels"]], float(s["stop_if"].get("threshold", 0.9))) for n, p in self.data["pipelines"].items() for s in p["steps"] if s.get("stop_if")]
+        return spark.createDataFrame(rows, "pipeline string, label string, stop_labels array<bigint>, stop_threshold double")
+
     def steps(self, spark: SparkSession) -> DataFrame:
         rows = [(n, s["step"], s["method"], s.get("count"), s.get("fps") and float(s["fps"]), s.get("nth"), s.get("threshold")) for n, st in self.data["strategies"].items() for s in st["steps"]]
         return spark.createDataFrame(rows, "strategy string, step int, method string, count int, rate double, nth int, threshold double")

@@ -3,11 +3,16 @@
 Every change is a row with a version (nanoseconds, and a position within a batch); current values are
 the newest per key, column by column where changes set some columns only. Nothing is updated in place,
 so a lost executor loses no change, and readers see whole appends.
+
+A log lies in `<table>/tail/_day=<n>` (the day of the versions) and, once compacted, in `<table>/base-<v>`:
+the current rows as of version v. Readers take the newest finished base and the tail beyond its version,
+so a compaction that fails changes nothing and appends beside it are kept.
 """
 
 from __future__ import annotations
 
 import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,21 +34,51 @@ TABLES = {
     "url_cache": (["url_hash", "model", "revision"], "url_hash string, model string, revision string, content_hash string, created_at bigint"),
 }
 
+#: Nanoseconds of a day, by which tails are parted.
+DAY = 86400 * 10**9
+
 
 class Store:
     """`root` is a folder that all machines share. `now` gives UNIX seconds; tests pass their own."""
 
     def __init__(self, spark: SparkSession, root: str, now=lambda: int(time.time())):
         self.spark, self.root, self.now = spark, root.rstrip("/"), now
-        self._last = 0
+        self._last, self._holding, self._held = 0, 0, {}
 
     # --- logs
 
     def migrate(self) -> None:
         """Create missing logs; calling it again changes nothing."""
         for name in TABLES:
-            self._rows([], name).write.mode("append").parquet(f"{self.root}/{name}")
-        self.spark.createDataFrame([], "task_id string, _version bigint").write.mode("append").parquet(f"{self.root}/purged")
+            if not self._exists(f"{self.root}/{name}/tail"):
+                self._rows([], name).write.mode("append").parquet(self._tail(name, 0))
+        if not self._exists(f"{self.root}/purged"):
+            self.spark.createDataFrame([], "task_id string, _version bigint").write.mode("append").parquet(f"{self.root}/purged")
+
+    def _fs(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _exists(self, path: str) -> bool:
+        fs, path = self._fs(path)
+        return fs.exists(path)
+
+    def _tail(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/tail/_day={version // DAY}"
+
+    def _base(self, name: str) -> tuple[int, str | None]:
+        """(version, folder) of the newest base that was written to its end; (-1, None) without one."""
+        fs, path = self._fs(f"{self.root}/{name}")
+        found = [(int(x.getPath().getName()[5:]), x.getPath()) for x in fs.listStatus(path) if x.getPath().getName().startswith("base-")]
+        found = [(v, str(p)) for v, p in found if self._exists(f"{p}/_SUCCESS")]
+        return max(found, default=(-1, None))
+
+    def durable(self, rows: DataFrame) -> DataFrame:
+        """`rows` written once, to the folder that the session names for checkpoints or else below the store's root."""
+        sc = self.spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or f"{self.root}/_checkpoints")
+        return rows.checkpoint(eager=True)
 
     def _schema(self, name: str) -> T.StructType:
         return T.StructType.fromDDL(TABLES[name][1] + ", _version bigint")
@@ -58,16 +93,44 @@ class Store:
 
     def _append(self, name: str, *rows: dict) -> None:
         version = self._version()
-        self._rows([r | {"_version": version} for r in rows], name).write.mode("append").parquet(f"{self.root}/{name}")
+        self._held.setdefault(name, []).extend(r | {"_version": version} for r in rows)
+        if not self._holding:
+            self._flush()
+
+    def _flush(self) -> None:
+        held, self._held = self._held, {}
+        for name, rows in held.items():
+            self._write(self._rows(rows, name), name, self._last)
+
+    @contextmanager
+    def batch(self):
+        """Single changes made inside are written together at its end, a file a table; reads inside write them first."""
+        self._holding += 1
+        try:
+            yield self
+        finally:
+            self._holding -= 1
+            if not self._holding:
+                self._flush()
+
+    def _write(self, rows: DataFrame, name: str, version: int) -> None:
+        key = TABLES[name][0][0]  # a filter on it skips files that lack the value
+        rows.write.mode("append").option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(self._tail(name, version))
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Append many changes at once, in parallel; columns of the table that `rows` lacks are null."""
         version, have = self._version(), set(rows.columns)
         cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self._schema(name) if f.name != "_version"]
-        rows.select(*cols, F.lit(version).alias("_version")).write.mode("append").parquet(f"{self.root}/{name}")
+        self._write(rows.select(*cols, F.lit(version).alias("_version")), name, version)
 
     def _log(self, name: str) -> DataFrame:
-        log = self.spark.read.schema(self._schema(name)).parquet(f"{self.root}/{name}")
+        self._flush()
+        schema = self._schema(name)
+        version, base = self._base(name)
+        tail = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("_day", T.LongType())])).option("basePath", f"{self.root}/{name}/tail").parquet(f"{self.root}/{name}/tail")
+        log = tail.where((F.col("_day") >= version // DAY) & (F.col("_version") > version)).drop("_day")
+        if base:
+            log = log.unionByName(self.spark.read.schema(schema).parquet(base))
         if "task_id" in log.columns:
             purged = self.spark.read.schema("task_id string, _version bigint").parquet(f"{self.root}/purged").groupBy("task_id").agg(F.max("_version").alias("_gone"))
             log = log.join(purged, "task_id", "left").where("_gone is null or _version > _gone").drop("_gone")
@@ -79,10 +142,12 @@ class Store:
         set_ = F.col(column).isNotNull() if when is None else F.coalesce(F.col(when), F.lit(False)) | F.col(column).isNotNull()
         return F.max_by(F.struct(F.col(column).alias("v")), F.when(set_, F.col("_version")))["v"].alias(column)
 
-    def table(self, name: str) -> DataFrame:
-        """The current rows. One aggregate by key; maxima combine before the shuffle."""
+    def table(self, name: str, upto: int | None = None) -> DataFrame:
+        """The current rows, or those as of a version. One aggregate by key; maxima combine before the shuffle."""
         keys, _ = TABLES[name]
         log = self._log(name)
+        if upto is not None:
+            log = log.where(F.col("_version") <= upto)
         sets = {"error": "set_error", "output": "set_output"}
         plain = [f.name for f in self._schema(name) if f.name not in keys and f.name != "_version" and not f.name.startswith("set_") and f.name != "default_state"]
         current = [self._newest(c, sets.get(c) if sets.get(c) in log.columns else "set_output" if c == "error" and name == "model_results" else None) for c in plain]
@@ -102,24 +167,31 @@ class Store:
             out = out.where("created_at is not null")
         return out
 
-    def compact(self, name: str) -> None:
-        """Write the current rows as a new log generation beside the old one, then swap the folders."""
+    def compact(self, name: str, grace_seconds: int = 0) -> None:
+        """Write the current rows as a new base, as of `grace_seconds` ago: longer than any append takes to be written.
+
+        Days of the tail that lie before it, and all bases but the new one and the last, are removed then.
+        """
+        self._flush()
         keys, _ = TABLES[name]
-        version = self._version()
-        rows = self.table(name).withColumn("_version", F.lit(version))
+        version = self._version() - grace_seconds * 10**9
+        before, _ = self._base(name)
+        rows = self.table(name, version).withColumn("_version", F.lit(version))
         if name == "tasks":  # attempts are counted, so each keeps a row of its own
             rows = rows.withColumn("attempts", F.explode(F.when(F.col("attempts") > 0, F.array_repeat(F.lit(1).cast("long"), F.col("attempts").cast("int"))).otherwise(F.array(F.lit(0).cast("long")))))
         for f in self._schema(name):
             if f.name not in rows.columns:
                 rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
-        target, fresh, old = (f"{self.root}/{name}{s}" for s in ("", "._new", "._old"))
-        rows.select(*[f.name for f in self._schema(name)]).write.mode("overwrite").parquet(fresh)
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path
-        fs = path(target).getFileSystem(conf)
-        fs.rename(path(target), path(old))
-        fs.rename(path(fresh), path(target))
-        fs.delete(path(old), True)
+        rows.select(*[f.name for f in self._schema(name)]).write.mode("overwrite").parquet(f"{self.root}/{name}/base-{version}")
+        fs, path = self._fs(f"{self.root}/{name}")
+        for x in fs.listStatus(path):
+            if x.getPath().getName().startswith("base-") and int(x.getPath().getName()[5:]) not in (version, before):
+                fs.delete(x.getPath(), True)
+        _, path = self._fs(f"{self.root}/{name}/tail")
+        for x in fs.listStatus(path):
+            day = x.getPath().getName().removeprefix("_day=")
+            if day.isdigit() and 0 < int(day) < before // DAY:  # readers of the last base need no day before it
+                fs.delete(x.getPath(), True)
 
     # --- operations
 
@@ -142,13 +214,15 @@ class Store:
         self._touch(task_id, state=state)
 
     def set_item_state(self, task_id: str, idx: int, state: str, error: dict | None = None) -> None:
-        self._append("items", {"task_id": task_id, "idx": idx, "state": state, "error": error, "set_error": True})
-        self._touch(task_id)
+        with self.batch():
+            self._append("items", {"task_id": task_id, "idx": idx, "state": state, "error": error, "set_error": True})
+            self._touch(task_id)
 
     def upsert_model_result(self, task_id: str, idx: int, label: str, state: str, output: dict | None = None, error: dict | None = None) -> None:
         """State, output and error as given; steps_completed stays."""
-        self._append("model_results", {"task_id": task_id, "item_idx": idx, "label": label, "state": state, "output": output, "error": error, "set_output": True})
-        self._touch(task_id)
+        with self.batch():
+            self._append("model_results", {"task_id": task_id, "item_idx": idx, "label": label, "state": state, "output": output, "error": error, "set_output": True})
+            self._touch(task_id)
 
     def append_frame(self, task_id: str, idx: int, label: str, frame_index: int, timestamp: float, classification: list) -> None:
         """A frame of the same index is replaced; the task is not touched."""
