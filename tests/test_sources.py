@@ -83,7 +83,7 @@ def test_engine(spark, tmp_path):
     for how, problem in ((classify.text("x", models=["general"]), "not supported"), (classify.image("http://a", models=["lost"]), "unknown model"), (classify.image("http://a", pipeline="lost"), "unknown pipeline"), (classify.image("http://a"), "models or a pipeline")):
         with pytest.raises(ValueError, match=problem):
             e.submit_one(**how)
-    work = e.pending_work().orderBy("place").collect()
+    work = e.pending_work().collect()
     assert [r["model"] for r in work] == ["nsfw", "general", "general"]
     e.finish(spark.createDataFrame([(a, 0, "general", "done", ([(7, 0.9)], None), None)], "task_id string, item_idx bigint, label string, state string, output struct<classification:array<struct<label:bigint,score:float>>,frame_scan:string>, error struct<kind:string,message:string>").withColumn("output", F.struct("output.classification", F.lit(None).cast("struct<aggregated:array<struct<label:bigint,score:float>>,frames:array<struct<frame_index:bigint,timestamp:double,classification:array<struct<label:bigint,score:float>>>>>").alias("frame_scan"))))
     view = e.get_task(a).first()

@@ -214,3 +214,32 @@ def test_wire_view(spark):
     assert {t: r["arm"] for t, r in got.items()} == {"done": "models", "err": "error", "run": "state", "bad": "error", "none": None}
     assert got["err"]["error_kind"] == 1 and got["bad"]["error_message"] == "the task failed" and got["run"]["state"] == 1
     assert got["done"]["models"]["general"]["output"] == "out" and got["done"]["models"]["nsfw"]["state"] == 5
+
+
+def test_prompts_beyond_a_broadcast(spark, monkeypatch):
+    from vigilframe.operators import zeroshot
+
+    images = spark.createDataFrame([(i, [float(i % 7), 1.0, -2.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    prompts = spark.createDataFrame([(p, [1.0, float(p), 0.5]) for p in range(20)], "prompt_ix long, prompt_embedding array<double>")
+    few = sorted(map(tuple, zeroshot.prompt_scores(images, prompts, 1.0, 0.0).collect()))
+    monkeypatch.setattr(zeroshot, "PROMPT_BYTES", 200)
+    many = zeroshot.prompt_scores(images, prompts, 1.0, 0.0)
+    assert len(few) == 600 and sorted(map(tuple, many.select("vec_id", "prompt_ix", "score").collect())) == few
+    assert "CartesianProduct" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_of_a_large_gate(spark):
+    """Places counted in ranges against sorting, with ties in arrival left to one of the equal rows."""
+    import random
+
+    from vigilframe.operators import lifecycle
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randrange(3), i * 7919 % 100003) for i in range(3000)]
+    got = lifecycle.waiting_order(spark.createDataFrame(rows, "gate string, priority int, seq long"), ["gate"]).collect()
+    want = {}
+    for gate in ("a", "b", None):
+        mine = sorted((r for r in rows if r[0] == gate), key=lambda r: (-r[1], r[2]))
+        want |= {(*r,): n + 1 for n, r in enumerate(mine)}
+    assert {(r["gate"], r["priority"], r["seq"]): r["place"] for r in got} == want
+    assert lifecycle.waiting_order(spark.createDataFrame([], "gate string, priority int, seq long"), ["gate"]).count() == 0

@@ -44,10 +44,27 @@ def item_priorities(items: DataFrame, models: DataFrame) -> DataFrame:
     return each.groupBy("item").agg(F.coalesce(F.max("priority"), F.lit(0)).alias("priority"))
 
 
+#: Ranges of arrival numbers that a gate's waiters are numbered in.
+RANGES = 4096
+
+
 def waiting_order(waiters: DataFrame, groups: list[str], priority: str = "priority", seq: str = "seq") -> DataFrame:
-    """Number those that wait: higher priority first, then arrival. `groups` are the gates (e.g. a pool of slots)."""
-    w = Window.partitionBy(*groups).orderBy(F.desc(priority), F.asc(seq))
-    return waiters.withColumn("place", F.row_number().over(w))
+    """Number those that wait: higher priority first, then arrival (a whole number). `groups` are the gates.
+
+    A gate may hold a large share of all rows, so places are counted in two levels: within ranges of
+    arrival numbers, and over the ranges' pre-aggregated counts.
+    """
+    lo, hi = waiters.agg(F.min(seq), F.max(seq)).first()
+    width = max(1, -(-(hi - lo + 1) // RANGES)) if lo is not None else 1
+    keyed = waiters.withColumn("_range", F.floor((F.col(seq) - F.lit(lo or 0)) / width))
+    keys = [*groups, priority, "_range"]
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*groups).orderBy(F.desc(priority), F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy(seq))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys)]
+    joined = keyed.withColumn("_own", own).join(counts, same)
+    return joined.withColumn("place", (F.col("_before") + F.col("_own")).cast("int")).select(*waiters.columns, "place")
 
 
 def admitted(waiters: DataFrame, groups: list[str], slots: int, **names) -> DataFrame:
@@ -57,11 +74,46 @@ def admitted(waiters: DataFrame, groups: list[str], slots: int, **names) -> Data
 def within_capacity(batch: DataFrame, pending_now: int, most: int, groups: list[str], order: str = "seq", items: str = "n_items") -> DataFrame:
     """Add `accepted`: whether the queue would still hold a submission; a maximum of 0 accepts all.
 
-    A submission counts only if it is accepted, as in a sequence of arrivals; a running sum bounds it
-    from below and is exact as long as none before was rejected.
+    Submissions of a group arrive one after the other and only accepted ones count, so that a refused
+    large one leaves room for later small ones. A fold over the group's sizes in order of arrival.
+    """
+    mine = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.coalesce(F.col(items).cast("long"), F.lit(0).cast("long")).alias("n"))))
+    start = F.struct(F.lit(pending_now).cast("long").alias("used"), F.array().cast("array<boolean>").alias("fits"))
+
+    def arrive(a, x):
+        fits = a["used"] + x["n"] <= most
+        return F.struct((a["used"] + F.when(fits, x["n"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.array_append(a["fits"], fits).alias("fits"))
+
+    folded = batch.groupBy(*groups).agg(mine.alias("_sizes")).withColumn("_fits", F.aggregate("_sizes", start, arrive, lambda a: a["fits"]))
+    each = folded.select(*groups, F.posexplode(F.arrays_zip("_sizes", "_fits")).alias("_n", "_x")).select(*groups, F.col("_x._sizes.at").alias(order), F.col("_x._fits").alias("accepted"))
+    if most <= 0:
+        return batch.withColumn("accepted", F.lit(True))
+    return batch.join(each, [*groups, order])
+
+
+def admit_in_order(batch: DataFrame, pending_now: int, most: int, order: str, items: str) -> DataFrame:
+    """The rows that a queue of `most` items still takes, in order of arrival; a maximum of 0 takes all.
+
+    No more rows than there are free places can be taken, so the first of them by arrival are looked at,
+    as long as places are left: each round takes what fits up to the first row that does not, and goes
+    on behind it with the rows that would fit into the rest.
     """
-    running = F.sum(items).over(Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return batch.withColumn("accepted", F.lit(most <= 0) | (running + F.lit(pending_now) <= most))
+    if most <= 0:
+        return batch
+    free, taken, rest = most - pending_now, None, batch.where((F.col(items) <= most) & (F.col(items) > 0))
+    out = batch.where(F.col(items) <= 0)
+    while free > 0:
+        first = [(r[0], r[1]) for r in rest.where(F.col(items) <= free).orderBy(order).select(order, items).limit(free).collect()]  # at most `most` short rows
+        took = []
+        for key, n in first:
+            if n <= free:
+                took.append(key)
+                free -= n
+        if not took:
+            break
+        taken = rest.where(F.col(order).isin(*took)) if taken is None else taken.unionByName(rest.where(F.col(order).isin(*took)))
+        rest = rest.where(F.col(order) > F.lit(first[-1][0]))
+    return out if taken is None else out.unionByName(taken)
 
 
 def running_cap(chunks: DataFrame, keys: list[str], order: str, size: Column, most: int) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import f32
 
-#: Prompts beyond this count are joined without a broadcast hint; a prompt is a row of config.
-PROMPTS = 100_000
+#: Bytes of prompt vectors that are broadcast at most, and of one block of them beyond that.
+PROMPT_BYTES = 32 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -52,16 +52,25 @@ def softmax(scores: DataFrame, keys: list[str], logit: str = "logit", score: str
 
 
 def prompt_scores(images: DataFrame, prompts: DataFrame, log_scale: float, bias: float, image_vec: str = "embedding", prompt_vec: str = "prompt_embedding") -> DataFrame:
-    """Every image against every prompt. Prompts are configuration: counted, and broadcast if they are few.
+    """Every image against every prompt. Prompts are configuration: their bytes are counted, and few are broadcast.
 
-    Norms are computed once a side before the product. Beyond PROMPTS prompts the hint is left out.
+    More of them are dealt into blocks of PROMPT_BYTES, each met by every image in groups of their own.
+    Norms are computed once a side before the product.
     """
     left = images.withColumn("_n", l2_norm(F.col(image_vec)))
     right = prompts.withColumn("_m", l2_norm(F.col(prompt_vec)))
-    if prompts.count() <= PROMPTS:
-        right = F.broadcast(right)
+    size = 8 * (prompts.agg(F.sum(F.size(prompt_vec) + 8)).first()[0] or 0)
+    blocks = max(1, -(-size // PROMPT_BYTES))
+    if blocks == 1:
+        joined = left.join(F.broadcast(right))
+    else:
+        salts = max(1, int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+        deal = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(*images.columns), F.lit(salts)).cast("int")).withColumn("_block", deal(blocks))
+        right = right.withColumn("_block", F.pmod(F.xxhash64(*prompts.columns), F.lit(blocks)).cast("int")).withColumn("_salt", deal(salts))
+        joined = left.join(right, ["_block", "_salt"]).drop("_block", "_salt")
     cos = F.try_divide(dot(F.col(image_vec), F.col(prompt_vec)), F.col("_n") * F.col("_m"))
-    return left.join(right).withColumn("score", sigmoid_score(cos, log_scale, bias)).drop("_n", "_m", image_vec, prompt_vec)
+    return joined.withColumn("score", sigmoid_score(cos, log_scale, bias)).drop("_n", "_m", image_vec, prompt_vec)
 
 
 def taxonomy_scores(scored: DataFrame, key: str, threshold: float = 0.0) -> DataFrame:

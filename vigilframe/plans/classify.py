@@ -13,31 +13,50 @@ from pyspark.sql import functions as F
 from ..functions.exprs import content_digest
 from ..operators import cache as caches
 from ..operators import gate, lifecycle, pool, sampling, select, wire
+from ..sources import media
 from ..sources.store import Store
 
 PREDICTIONS = "array<struct<ordinal:int,label:bigint,score:float>>"
 
 
-def batch_model(load: Callable[[], Callable], batch_size: int = 8):
-    """A Spark function of a model: `load()` runs once a Python worker and gives images -> scores (n, classes).
+RESULT = f"struct<predictions:{PREDICTIONS},error:string>"
 
-    Inputs come in Arrow batches and are cut to `batch_size`. A failing batch fails all its rows: null
-    predictions, as one error goes to every job of a batch.
+
+def batch_model(load: Callable[[], Callable], batch_size: int = 8, name: str | None = None, revision: str = "main", timeout_seconds: float | None = None):
+    """A Spark function of a model: struct(predictions, error) of images.
+
+    `load()` runs once a Python worker and gives images -> scores (n, classes); a model is known by name
+    and revision. Inputs come in Arrow batches and are cut to `batch_size`; null inputs are errors. A
+    failing batch fails all its rows with the failure's text, and so does one that takes longer than
+    `timeout_seconds`, which bounds the classification of each of its images.
     """
     import numpy as np
 
-    @F.pandas_udf(PREDICTIONS)
-    def classify(batches: pd.Series) -> pd.Series:  # pragma: no cover - runs in workers
-        predict = _loaded(load)
-        out: list = []
-        for k in range(0, len(batches), batch_size):
-            part = batches.iloc[k : k + batch_size]
+    @F.pandas_udf(RESULT)
+    def classify(batches: pd.Series) -> pd.DataFrame:  # pragma: no cover - runs in workers
+        from concurrent.futures import ThreadPoolExecutor, TimeoutError
+
+        predictions: list = [None] * len(batches)
+        errors: list = ["there is no input"] * len(batches)
+        given = [i for i, x in enumerate(batches) if x is not None]
+        pool_ = None
+        for k in range(0, len(given), batch_size):
+            rows = given[k : k + batch_size]
             try:
-                scores = np.asarray(predict(list(part)), np.float32)
-                out += [[{"ordinal": i, "label": i, "score": float(s)} for i, s in enumerate(row)] for row in scores]
-            except Exception:
-                out += [None] * len(part)
-        return pd.Series(out, index=batches.index, dtype=object)
+                predict = _loaded(load, name, revision)
+                pool_ = pool_ or ThreadPoolExecutor(1)
+                scores = np.asarray(pool_.submit(predict, [batches.iloc[i] for i in rows]).result(timeout_seconds), np.float32)
+                for i, row in zip(rows, scores, strict=True):
+                    predictions[i], errors[i] = [{"ordinal": n, "label": n, "score": float(s)} for n, s in enumerate(row)], None
+            except TimeoutError:
+                pool_.shutdown(wait=False)
+                pool_ = None  # its thread may go on; the next batch gets another
+                for i in rows:
+                    predictions[i], errors[i] = None, f"model {name or 'without a name'} timed out"
+            except Exception as e:
+                for i in rows:
+                    predictions[i], errors[i] = None, str(e) or type(e).__name__
+        return pd.DataFrame({"predictions": pd.Series(predictions, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     return classify
 
@@ -45,8 +64,9 @@ def batch_model(load: Callable[[], Callable], batch_size: int = 8):
 _MODELS: dict = {}
 
 
-def _loaded(load: Callable):
-    key = (getattr(load, "__module__", ""), getattr(load, "__qualname__", repr(load)))
+def _loaded(load: Callable, name: str | None, revision: str):
+    """The model of a name and revision, or of a loader that has no name, loaded once a worker."""
+    key = (name, revision) if name else load.__code__ if hasattr(load, "__code__") and not load.__closure__ else id(load)
     if key not in _MODELS:
         _MODELS[key] = load()
     return _MODELS[key]
@@ -58,7 +78,7 @@ def explode_predictions(rows: DataFrame, keys: list[str], column: str = "predict
 
 def classify_images(items: DataFrame, model, keys: list[str], content: str = "content") -> DataFrame:
     """(keys, classification): every image's selected predictions."""
-    scored = items.withColumn("predictions", model(F.col(content)))
+    scored = items.withColumn("predictions", model(F.col(content))["predictions"])
     return select.as_array(select.select_top(explode_predictions(scored, keys), keys), keys)
 
 
@@ -118,11 +138,10 @@ class Engine:
         judged = checked.withColumn("problem", F.coalesce("problem", "pipeline_error", "_rule"))
         bad = judged.groupBy("task_id").agg(F.min("problem").alias("_task_problem"), F.count("*").alias("_n"))
         waiting = self.store.table("items").where(~F.col("state").isin("completed", "failed", "cancelled")).count()
-        good = lifecycle.within_capacity(bad.where("_task_problem is null").withColumn("_all", F.lit(0)), waiting, self.max_pending, ["_all"], "task_id", "_n").where("accepted").select("task_id")
+        good = lifecycle.admit_in_order(bad.where("_task_problem is null"), waiting, self.max_pending, "task_id", "_n")
         accepted = judged.join(good, "task_id", "left_semi").select("task_id", F.col("idx").cast("long").alias("idx"), "input", "models", "pipeline")
         rejected = judged.join(good, "task_id", "left_anti").select("task_id", "idx", F.coalesce("problem", F.lit("queue_full")).alias("problem"))
-        accepted, rejected = accepted.cache(), rejected.cache()
-        rejected.count()
+        accepted, rejected = self.store.durable(accepted), self.store.durable(rejected)
         self.store.create_tasks(accepted)
         return accepted, rejected
 
@@ -150,13 +169,22 @@ class Engine:
         if row["state"] in ("completed", "failed", "cancelled"):
             return False
         self.store.set_task_state(task_id, "cancelled")
+        self.cancel_items()
         return True
 
+    def cancel_items(self) -> None:
+        """Items of cancelled tasks that have not ended are cancelled; what their models gave stays."""
+        gone = self.store.table("tasks").where("state = 'cancelled'").select("task_id")
+        open_ = self.store.table("items").where(~F.col("state").isin("completed", "failed", "cancelled")).join(gone, "task_id", "left_semi")
+        error = F.struct(F.lit("cancelled").alias("kind"), F.lit("cancelled").alias("message"))
+        self.store.append("items", open_.select("task_id", "idx", F.lit("cancelled").alias("state"), error.alias("error"), F.lit(True).alias("set_error")))
+
     def pending_work(self, now: int | None = None, ttl: int | None = None) -> DataFrame:
         """Requested models without a result, with the cached output where there is one, in waiting order.
 
-        Rows (task_id, idx, model, url_hash, output, priority, place). Items with a pipeline get no
-        cached output here: their gates have to see every step.
+        Rows (task_id, idx, model, url_hash, output, priority, created_at), sorted by range: a caller that
+        takes the first few reads the first part only. Items with a pipeline get no cached output here:
+        their gates have to see every step.
         """
         now = int(time.time()) if now is None else now
         items = self.store.table("items").where(F.col("state").isin("queued", "processing", "retrying"))
@@ -167,7 +195,7 @@ class Engine:
         hits = caches.url_cache_hits(todo.where("pipeline is null").select(F.struct("task_id", "idx").alias("item"), "url_hash", "model", "revision"), self.store.table("url_cache"), self.store.table("cache"), caches.fresh_after(now, ttl))
         hits = hits.select("item.task_id", "item.idx", "model", "output")
         joined = todo.join(hits, ["task_id", "idx", "model"], "left").withColumn("priority", F.coalesce("priority", F.lit(0)))
-        return lifecycle.waiting_order(joined.withColumn("gate", F.lit(0)).withColumn("seq", F.struct("created_at", "task_id", "idx", "model")), ["gate"]).drop("gate", "seq")
+        return joined.orderBy(F.desc("priority"), "created_at", "task_id", "idx", "model")
 
     def finish(self, results: DataFrame) -> None:
         """Store results (task_id, item_idx, label, state, output, error) and roll item and task states up."""
@@ -178,13 +206,29 @@ class Engine:
         overlay = lifecycle.result_overlay(wanted, self.store.table("model_results").join(touched, "task_id", "left_semi"), ["task_id", "item_idx", "label"])
         ended = overlay.groupBy("task_id", F.col("item_idx").alias("idx")).agg(F.bool_and(F.col("state").isin("done", "skipped", "failed")).alias("ended"))
         self.store.append("items", ended.where("ended").join(items.where(~F.col("state").isin("completed", "failed", "cancelled")), ["task_id", "idx"]).select("task_id", "idx", F.lit("completed").alias("state")))
-        tasks = self.store.table("tasks").join(touched, "task_id", "left_semi")
-        rolled = lifecycle.roll_up(tasks, self.store.table("items").join(touched, "task_id", "left_semi"))
+        self.roll_up(touched)
+
+    def roll_up(self, touched: DataFrame) -> None:
+        """Set the states of tasks (task_id) after their items' where they changed."""
+        tasks = self.store.table("tasks").join(touched, "task_id", "left_semi").withColumn("_was", F.col("state"))
+        rolled = lifecycle.roll_up(tasks, self.store.table("items").join(touched, "task_id", "left_semi")).where("state <> _was")
         self.store.append("tasks", rolled.select("task_id", "state", F.lit(self.store.now()).cast("long").alias("updated_at")))
 
-    def recover(self) -> DataFrame:
-        """Raise attempts of interrupted tasks; beyond the limit they fail, the others are to be run again."""
-        found = lifecycle.recover(self.store.table("tasks")).cache()
+    def recover(self, deliver: Callable[[dict], None] | None = None, uploads: DataFrame | None = None) -> DataFrame:
+        """After a restart: send again what was not delivered, remove uploads that no open task needs, and
+        raise attempts of interrupted tasks; beyond the limit they fail, the others are run by the next pass.
+
+        `uploads` lists staged files (path).
+        """
+        if deliver:
+            from ..streaming.scan import outbox
+
+            sent = self.store.durable(outbox(self.store.items_pending_webhook().select("task_id", "idx", "state"), deliver).where("delivered"))
+            self.store.append("items", sent.select("task_id", "idx", F.lit(True).alias("webhook_delivered")))
+        if uploads is not None:
+            needed = self.store.table("items").join(self.store.load_incomplete_tasks().select("task_id"), "task_id", "left_semi")
+            media.remove_files(lifecycle.orphaned_uploads(uploads, needed.select(F.col("input.path").alias("path"))))
+        found = self.store.durable(lifecycle.recover(self.store.table("tasks")))
         now = F.lit(self.store.now()).cast("long")
         self.store.append("tasks", found.select("task_id", F.lit(1).alias("attempts"), now.alias("updated_at"), F.when(F.col("action") == "fail", "failed").alias("state")))
         return found.select("task_id", "attempts", "action")
