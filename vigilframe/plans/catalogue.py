@@ -152,16 +152,34 @@ def zeroshot_taxonomy_max(spark, sf_dir):
     return _taxonomy(spark, sf_dir, "max")
 
 
+@query(f"WITH {_SQL_ZERO.format(prompts=40)} SELECT vec_id, child_id, round(avg(score)::FLOAT::DOUBLE, 5) AS score FROM s GROUP BY vec_id, child_id HAVING avg(score)::FLOAT >= 0.2::FLOAT")
+def zeroshot_taxonomy_all(spark, sf_dir):
+    """Every child above the threshold: a taxonomy's output is neither capped nor selected from."""
+    scored = _prompt_scores(spark, sf_dir, 40).withColumn("agg", F.lit("mean"))
+    return zeroshot.taxonomy_scores(scored, "vec_id", 0.2).select("vec_id", "child_id", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
 @query(f"WITH {_SQL_ZERO.format(prompts=10)}, r AS (SELECT vec_id, prompt_ix, score::FLOAT AS score, row_number() OVER (PARTITION BY vec_id ORDER BY score::FLOAT DESC, prompt_ix) AS rank FROM s WHERE score::FLOAT >= 0.3::FLOAT) SELECT vec_id, prompt_ix, round(score::DOUBLE, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3")
 def zeroshot_flat(spark, sf_dir):
     scored = _prompt_scores(spark, sf_dir, 10).withColumn("score", F.col("score").cast("float"))
     return select.flat_top(scored, ["vec_id"], 0.3, 3, ordinal="prompt_ix").select("vec_id", "prompt_ix", _round("score"), "rank")
 
 
-@query("WITH x AS (SELECT vec_id, unnest(range(1, 11)) AS i, embedding FROM embeddings), l AS (SELECT vec_id, (i - 1)::INTEGER AS label, 10 * embedding[i]::DOUBLE AS logit FROM x), e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS e FROM l), s AS (SELECT vec_id, label, (e / sum(e) OVER (PARTITION BY vec_id))::FLOAT AS score FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM s) SELECT vec_id, label, round(score::DOUBLE, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5 OR score > 0.9::FLOAT")
+@query("""WITH x AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, embedding FROM embeddings), m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS c FROM x GROUP BY label, i),
+ c AS (SELECT label, list(c ORDER BY i) AS c FROM m GROUP BY label),
+ l AS (SELECT e.vec_id, c.label, 10 * list_dot_product(e.embedding::DOUBLE[], c.c) AS logit FROM embeddings e, c),
+ e AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY vec_id)) AS e FROM l), s AS (SELECT vec_id, label, (e / sum(e) OVER (PARTITION BY vec_id))::FLOAT AS score FROM e),
+ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM s)
+ SELECT vec_id, label, round(score::DOUBLE, 5) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5 OR score > 0.9::FLOAT""")
 def softmax_top(spark, sf_dir):
-    logits = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 10)).alias("label", "x")).select("vec_id", "label", (F.lit(10.0) * F.col("x").cast("double")).alias("logit"))
-    return select.select_top(zeroshot.softmax(logits, ["vec_id"]), ["vec_id"], ordinal="label").select("vec_id", "label", _round("score"), "rank")
+    """Every vector against the mean vector of each label; the labels are a handful and counted before the broadcast."""
+    e = _t(spark, sf_dir, "embeddings")
+    means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
+    packed = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda m: m["c"]).alias("c"))
+    if packed.count() <= 10_000:
+        packed = F.broadcast(packed)
+    logits = e.select("vec_id", "embedding").join(packed).select("vec_id", "label", (F.lit(10.0) * zeroshot.dot(F.col("embedding"), F.col("c"))).alias("logit"))
+    return select.select_top(zeroshot.softmax(logits, ["vec_id"]), ["vec_id"], ordinal="label").select("vec_id", "label", F.round(F.col("score").cast("double"), 5).alias("score"), "rank")
 
 
 @query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS x0, round(embedding[64]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS x63 FROM embeddings")
@@ -195,9 +213,11 @@ def sample_every_nth(spark, sf_dir):
     return _videos(spark, sf_dir).select("p_partkey", F.posexplode(sampling.every_nth(F.col("duration"), F.col("fps"), F.lit(7))).alias("i", "t")).select("p_partkey", "i", _round("t"))
 
 
-@query(f"WITH {_SQL_VIDEOS}, n AS (SELECT *, unnest(range(0, ceil(duration * 2)::BIGINT)) AS k FROM v WHERE duration > 0) SELECT p_partkey, k::INTEGER AS i, round(k / 2.0, 6) AS t FROM n WHERE k / 2.0 < duration")
+@query(f"""WITH RECURSIVE {_SQL_VIDEOS}, d(p_partkey, duration, i, t) AS (SELECT p_partkey, duration, 0, 0.0::DOUBLE FROM v WHERE duration > 0
+  UNION ALL SELECT p_partkey, duration, i + 1, t + 1.0::DOUBLE / 3.0::DOUBLE FROM d WHERE t + 1.0::DOUBLE / 3.0::DOUBLE < duration) SELECT p_partkey, i::INTEGER AS i, round(t, 6) AS t FROM d""")
 def sample_rate(spark, sf_dir):
-    return _videos(spark, sf_dir).select("p_partkey", F.posexplode(sampling.at_rate(F.col("duration"), F.lit(2.0))).alias("i", "t")).select("p_partkey", "i", _round("t"))
+    """Three a second, by adding a third again and again."""
+    return _videos(spark, sf_dir).select("p_partkey", F.posexplode(sampling.at_rate(F.col("duration"), F.lit(3.0))).alias("i", "t")).select("p_partkey", "i", _round("t"))
 
 
 @query("""WITH RECURSIVE v AS (SELECT p_partkey, [(k * 7 % 20) * 0.03::DOUBLE * p_size / 10 FOR k IN range(20)] AS ts FROM part),
@@ -224,11 +244,12 @@ def frame_plan(spark, sf_dir):
 # --- caches
 
 
-@query("WITH d AS (SELECT doc_id, sha256(text) AS content_hash FROM documents), c AS (SELECT content_hash, min(doc_id) AS first_doc FROM d WHERE doc_id % 2 = 0 GROUP BY content_hash) SELECT d.doc_id, c.first_doc FROM d LEFT JOIN c USING (content_hash) WHERE doc_id % 2 = 1")
+@query("WITH d AS (SELECT doc_id, lang, sha256(text) AS content_hash FROM documents), c AS (SELECT content_hash, min(doc_id) AS first_doc FROM d WHERE lang = 'en' GROUP BY content_hash) SELECT d.doc_id, c.first_doc FROM d LEFT JOIN c USING (content_hash)")
 def content_cache_hits(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", exprs.content_digest(F.col("text")).alias("content_hash"), F.lit("general").alias("model"), F.lit("main").alias("revision"))
-    stored = d.where("doc_id % 2 = 0").groupBy("content_hash", "model", "revision").agg(F.min("doc_id").alias("output")).withColumn("created_at", F.lit(0))
-    return cache.content_cache(d.where("doc_id % 2 = 1"), stored).select("doc_id", F.col("output").alias("first_doc"))
+    """Every document against a cache that holds the outputs of the English ones."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "lang", exprs.content_digest(F.col("text")).alias("content_hash"), F.lit("general").alias("model"), F.lit("main").alias("revision"))
+    stored = d.where("lang = 'en'").groupBy("content_hash", "model", "revision").agg(F.min("doc_id").alias("output")).withColumn("created_at", F.lit(0))
+    return cache.content_cache(d, stored).select("doc_id", F.col("output").alias("first_doc"))
 
 
 @query("WITH p AS (SELECT page_id, sha256(url) AS u, sha256(html) AS h FROM pages), m AS (SELECT page_id, u, h, unnest(['a', 'b']) AS model FROM p), hit AS (SELECT page_id, model, CASE WHEN model = 'a' OR page_id % 3 <> 0 THEN page_id END AS output FROM m), whole AS (SELECT page_id FROM hit GROUP BY page_id HAVING bool_and(output IS NOT NULL)) SELECT page_id, model, output FROM hit JOIN whole USING (page_id)")
@@ -273,6 +294,27 @@ def blocked_ips(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", media.is_blocked_ip(ip).alias("blocked"))
 
 
+_SQL_V4 = "(a IN (0, 10, 127) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168))"
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id % 6 AS kind, event_id // 6 AS k, (event_id // 6) % 256 AS a, user_id % 256 AS b FROM events)
+ SELECT event_id, CASE kind WHEN 0 THEN k % 3 < 2 WHEN 1 THEN k % 512 BETWEEN 128 AND 191 OR k % 512 >= 256 WHEN 2 THEN k % 1024 >= 512 WHEN 5 THEN false ELSE {_SQL_V4} END AS blocked FROM e""")
+def blocked_ipv6(spark, sf_dir):
+    """Loopback, multicast, link-local, unique-local, mapped and public addresses, short and written out."""
+    k, kind, b = F.floor(F.col("event_id") / 6), F.col("event_id") % 6, F.col("user_id") % 256
+    a = k % 256
+    text = lambda n: F.lower(F.hex(n.cast("long")))
+    ip = (
+        F.when(kind == 0, F.concat(F.lit("::"), text(k % 3)))
+        .when(kind == 1, F.concat(text(F.lit(0xFE00) + k % 512), F.lit("::1")))
+        .when(kind == 2, F.concat(F.upper(text(F.lit(0xFA00) + k % 1024)), F.lit("::5")))
+        .when(kind == 3, F.concat(F.lit("::ffff:"), a.cast("string"), F.lit("."), b.cast("string"), F.lit(".0.7")))
+        .when(kind == 4, F.concat(F.lit("0:0:0:0:0:ffff:"), text(a * 256 + b), F.lit(":0007")))
+        .otherwise(F.concat(F.lit("2001:db8:"), text(k % 65536), F.lit("::7")))
+    )
+    return _t(spark, sf_dir, "events").select("event_id", media.is_blocked_ip(ip).alias("blocked"))
+
+
 @query("WITH c AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS received FROM conversations) SELECT conv_id, turn, received::BIGINT AS received, received <= 2000 AS within FROM c")
 def upload_running_cap(spark, sf_dir):
     return lifecycle.running_cap(_t(spark, sf_dir, "conversations"), ["conv_id"], "turn", F.length("text"), 2000).select("conv_id", "turn", F.col("received").cast("long").alias("received"), "within")
@@ -357,10 +399,14 @@ def item_priority(spark, sf_dir):
     return lifecycle.item_priorities(items, models).withColumnRenamed("item", "o_orderkey")
 
 
-@query("WITH s AS (SELECT o_custkey, o_orderkey, sum(1 + o_orderkey % 3) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS n FROM orders) SELECT o_orderkey, n <= 12 AS accepted FROM s")
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, 1 + o_orderkey % 3 AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders),
+ q(o_custkey, nth, o_orderkey, fits, used) AS (SELECT o_custkey, nth, o_orderkey, n <= 5, CASE WHEN n <= 5 THEN n ELSE 0 END FROM o WHERE nth = 1
+  UNION ALL SELECT o.o_custkey, o.nth, o.o_orderkey, used + n <= 5, used + CASE WHEN used + n <= 5 THEN n ELSE 0 END FROM q JOIN o ON o.o_custkey = q.o_custkey AND o.nth = q.nth + 1)
+ SELECT o_orderkey, fits AS accepted FROM q""")
 def queue_admission(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").withColumn("n_items", F.lit(1) + F.col("o_orderkey") % 3)
-    return lifecycle.within_capacity(o, 0, 12, ["o_custkey"], "o_orderkey").select("o_orderkey", "accepted")
+    """Customers' queues of five items: a refused order leaves room for smaller later ones."""
+    o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.lit(1) + F.col("o_orderkey") % 3).alias("n_items"))
+    return lifecycle.within_capacity(o, 0, 5, ["o_custkey"], "o_orderkey").select("o_orderkey", "accepted")
 
 
 _TASKS = "t AS (SELECT o_orderkey AS task_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'cancelled' ELSE 'processing' END AS state, epoch(o_orderdate)::BIGINT AS updated_at, o_orderkey % 7 = 0 AS delivered FROM orders)"
@@ -467,19 +513,28 @@ def task_view(spark, sf_dir):
     return wire.task_view(_tasks(spark, sf_dir), items, results).select("task_id", "arm", "error_kind", "state")
 
 
-@query("SELECT p_partkey, round((p_partkey % 60 * 1000)::DOUBLE / (p_size % 3 * 1001), 6) AS fps_exact, p_size % 3 <> 0 AS known FROM part WHERE p_size % 3 <> 0 UNION ALL SELECT p_partkey, NULL, false FROM part WHERE p_size % 3 = 0")
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 1 THEN (p_partkey % 60)::DOUBLE WHEN 3 THEN round((p_partkey % 60 * 1000)::DOUBLE / 1001, 6) END AS fps_exact, p_size % 4 IN (1, 3) AS known FROM part")
 def rational_rates(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").withColumn("r", F.concat_ws("/", (F.col("p_partkey") % 60 * 1000).cast("string"), (F.col("p_size") % 3 * 1001).cast("string")))
+    """Fractions, bare numbers (over one), zero denominators and what is no number."""
+    n, size = (F.col("p_partkey") % 60).cast("string"), F.col("p_size") % 4
+    rate = F.when(size == 0, F.concat(n, F.lit("/0"))).when(size == 1, n).when(size == 2, F.concat(n, F.lit("/x"))).otherwise(F.concat((F.col("p_partkey") % 60 * 1000).cast("string"), F.lit("/1001")))
+    p = _t(spark, sf_dir, "part").withColumn("r", rate)
     return p.select("p_partkey", F.round(media.rational(F.col("r")), 6).alias("fps_exact"), media.rational(F.col("r")).isNotNull().alias("known"))
 
 
-@query("SELECT p_partkey, p_size::DOUBLE AS duration, CASE WHEN p_partkey % 2 = 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END AS fps, p_partkey AS frames, p_partkey % 10 = 0 AS still FROM part WHERE p_partkey % 7 <> 0")
+@query("""WITH c AS (SELECT p_partkey, p_size, (['h264', 'png', 'mjpeg', 'bmp', 'tiff', 'webp', 'gif', 'vp9', 'apng'])[1 + p_partkey % 9] AS codec FROM part WHERE p_partkey % 7 <> 0)
+ SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 0.0::DOUBLE ELSE p_size::DOUBLE END AS duration, CASE WHEN p_partkey % 2 = 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END AS fps, CASE WHEN p_size % 3 > 0 THEN p_size % 3 END::BIGINT AS frames, codec,
+  p_partkey % 10 = 0 OR (codec IN ('png', 'mjpeg', 'bmp', 'tiff', 'webp', 'gif') AND p_size % 3 < 2 AND p_size % 2 = 0) AS still FROM c""")
 def probe_parsing(spark, sf_dir):
-    key = F.col("p_partkey")
-    stream = F.struct(F.when(key % 7 == 0, "audio").otherwise("video").alias("codec_type"), F.lit("h264").alias("codec_name"), F.when(key % 2 == 0, "25/1").otherwise("0/0").alias("avg_frame_rate"), F.lit("30/1").alias("r_frame_rate"), key.cast("string").alias("nb_frames"), F.lit(4).alias("width"), F.lit(2).alias("height"))
-    text = F.to_json(F.struct(F.array(stream).alias("streams"), F.struct(F.when(key % 10 == 0, "image2").otherwise("mov,mp4").alias("format_name"), F.col("p_size").cast("string").alias("duration")).alias("format")))
+    """Probes of every codec of still images and of others, with and without frame counts and durations."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    codec = F.get(F.array(*map(F.lit, "h264 png mjpeg bmp tiff webp gif vp9 apng".split())), (key % 9).cast("int"))
+    frames = F.when(size % 3 > 0, (size % 3).cast("string"))
+    stream = F.struct(F.when(key % 7 == 0, "audio").otherwise("video").alias("codec_type"), codec.alias("codec_name"), F.when(key % 2 == 0, "25").otherwise("0/0").alias("avg_frame_rate"), F.lit("30/1").alias("r_frame_rate"), frames.alias("nb_frames"), F.lit(4).alias("width"), F.lit(2).alias("height"))
+    duration = F.when(size % 2 == 0, "0").otherwise(size.cast("string"))
+    text = F.to_json(F.struct(F.array(stream).alias("streams"), F.struct(F.when(key % 10 == 0, "image2").otherwise("mov,mp4").alias("format_name"), duration.alias("duration")).alias("format")))
     p = _t(spark, sf_dir, "part").select("p_partkey", media.parse_probe(text).alias("i")).where("i is not null")
-    return p.select("p_partkey", "i.duration", "i.fps", F.col("i.frame_count").alias("frames"), media.is_still(F.col("i")).alias("still"))
+    return p.select("p_partkey", "i.duration", "i.fps", F.col("i.frame_count").alias("frames"), "i.codec", media.is_still(F.col("i")).alias("still"))
 
 
 @query("SELECT p_partkey, unnest([p_size / 4.0, p_size / 2.0]::DOUBLE[]) AS t, 'key' AS kind FROM part UNION ALL SELECT p_partkey, unnest([p_size::DOUBLE, p_size + 0.5]::DOUBLE[]), 'scene' FROM part")
@@ -541,3 +596,129 @@ def in_flight_items(spark, sf_dir):
     o = _tasks(spark, sf_dir).join(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), "o_custkey"), "task_id")
     live = o.withColumn("state", F.when(F.col("state") == "cancelled", "processing").otherwise(F.col("state"))).where(~exprs.is_terminal(F.col("state")))
     return live.groupBy("o_custkey").agg(F.count("*").alias("in_flight"))
+
+
+# --- the store and the engine, over logs made of the tables
+
+
+def _store(spark):
+    """A new store in the folder that all machines share."""
+    import uuid
+
+    from ..sources import store
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stores"
+    return store.open_store(spark, "parquet", f"{root.rstrip('/')}/store-{uuid.uuid4()}", now=lambda: 1000)
+
+
+def _image(url):
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit("image").alias("kind"), url.alias("main"), none.alias("fallback"), none.alias("text"), none.alias("path"), F.lit(False).alias("video"))
+
+
+_SQL_LINES = "WITH li AS (SELECT l_orderkey, l_linenumber, min(l_linestatus) AS l_linestatus, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+
+
+def _stored_items(spark, sf_dir):
+    """A store with a task per order and an item per line, and the lines' states appended afterwards."""
+    s = _store(spark)
+    lines = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("task_id"), F.col("l_linenumber").cast("long").alias("idx")).agg(F.min("l_linestatus").alias("l_linestatus"), F.min("l_returnflag").alias("l_returnflag"))
+    s.create_tasks(lines.select("task_id", "idx", _image(F.concat(F.lit("http://host/"), "task_id")).alias("input"), F.array(F.lit("general"), F.lit("nsfw")).alias("models"), F.lit(None).cast("string").alias("pipeline")))
+    error = F.when(F.col("l_returnflag") == "R", F.struct(F.lit("fetch").alias("kind"), F.lit("gone").alias("message")))
+    s.append("items", lines.select("task_id", "idx", F.lit("retrying").alias("state"), F.struct(F.lit("fetch").alias("kind"), F.lit("slow").alias("message")).alias("error"), F.lit(True).alias("set_error"), F.lit(2).alias("retries")))
+    s.append("items", lines.where("l_linestatus = 'F'").select("task_id", "idx", F.when(F.col("l_returnflag") == "R", "failed").otherwise("completed").alias("state"), error.alias("error"), F.lit(True).alias("set_error")))
+    s.append("items", lines.where("l_returnflag = 'A'").select("task_id", "idx", F.lit(True).alias("webhook_delivered")))
+    return s, lines
+
+
+@query(_SQL_LINES + """ SELECT l_orderkey::VARCHAR AS task_id, l_linenumber::BIGINT AS idx, CASE WHEN l_linestatus <> 'F' THEN 'retrying' WHEN l_returnflag = 'R' THEN 'failed' ELSE 'completed' END AS state,
+ CASE WHEN l_linestatus <> 'F' THEN 'slow' WHEN l_returnflag = 'R' THEN 'gone' END AS problem, l_returnflag = 'A' AS delivered, 2::BIGINT AS retries, 2::INTEGER AS n_models FROM li""")
+def store_items(spark, sf_dir):
+    """Current items from a log of four appends: newest state, errors set to null, columns that a change leaves alone."""
+    s, _ = _stored_items(spark, sf_dir)
+    return s.table("items").select("task_id", "idx", "state", F.col("error.message").alias("problem"), F.col("webhook_delivered").alias("delivered"), "retries", F.size("models").alias("n_models"))
+
+
+@query(_SQL_LINES + """, s AS (SELECT l_orderkey, bool_and(l_linestatus = 'F') AS done FROM li GROUP BY l_orderkey) SELECT l_orderkey::VARCHAR AS task_id, CASE WHEN done THEN 'completed' ELSE 'processing' END AS state, 1000::BIGINT AS created_at, 0::BIGINT AS attempts FROM s""")
+def store_tasks(spark, sf_dir):
+    """Task states rolled up from stored items, read back from a compacted log."""
+    s, _ = _stored_items(spark, sf_dir)
+    rolled = lifecycle.roll_up(s.table("tasks"), s.table("items"))
+    s.append("tasks", rolled.select("task_id", "state", F.lit(1000).alias("updated_at")))
+    s.compact("tasks")
+    return s.table("tasks").select("task_id", "state", "created_at", "attempts")
+
+
+@query(_SQL_LINES + """ SELECT l_orderkey::VARCHAR AS task_id, l_linenumber::BIGINT AS item_idx, m.label, CASE WHEN m.label = 'nsfw' AND l_linestatus = 'O' THEN 'queued' WHEN m.label = 'nsfw' THEN 'processing' WHEN l_linestatus = 'F' THEN 'done' ELSE 'failed' END AS state,
+ CASE WHEN m.label = 'general' AND l_linestatus = 'F' THEN l_linenumber END::BIGINT AS top, CASE WHEN m.label = 'nsfw' AND l_linestatus <> 'O' THEN 3 ELSE 0 END::BIGINT AS steps, CASE WHEN m.label = 'nsfw' AND l_linestatus <> 'O' THEN 2 END::BIGINT AS n_frames FROM li, (VALUES ('general'), ('nsfw')) m(label)""")
+def store_results(spark, sf_dir):
+    """Requested models over stored results and frames: upserts, step counters that begin a result, replaced frames."""
+    s, lines = _stored_items(spark, sf_dir)
+    key = ["task_id", F.col("idx").alias("item_idx")]
+    out = F.struct(F.array(F.struct(F.col("idx").alias("label"), F.lit(0.5).cast("float").alias("score"))).alias("classification"), F.lit(None).alias("frame_scan"))
+    s.append("model_results", lines.select(*key, F.lit("general").alias("label"), F.lit("processing").alias("state"), F.lit(True).alias("set_output")))
+    s.append("model_results", lines.select(*key, F.lit("general").alias("label"), F.when(F.col("l_linestatus") == "F", "done").otherwise("failed").alias("state"), F.when(F.col("l_linestatus") == "F", out).alias("output"), F.lit(True).alias("set_output")))
+    begun = lines.where("l_linestatus <> 'O'")
+    s.append("model_results", begun.select(*key, F.lit("nsfw").alias("label"), F.lit(3).alias("steps_completed"), F.lit("processing").alias("default_state")))
+    for at in (1.0, 2.0):
+        s.append("frames", begun.select(*key, F.lit("nsfw").alias("label"), F.explode(F.array(F.lit(0), F.lit(1))).alias("frame_index"), F.lit(at).alias("timestamp")))
+    s.compact("model_results")
+    wanted = s.table("items").select("task_id", F.col("idx").alias("item_idx"), F.explode("models").alias("label"))
+    found = lifecycle.result_overlay(wanted, s.table("model_results"), ["task_id", "item_idx", "label"])
+    frames = s.table("frames").where("timestamp = 2.0").groupBy("task_id", "item_idx", "label").agg(F.count("*").alias("n_frames"))
+    return found.join(frames, ["task_id", "item_idx", "label"], "left").select("task_id", "item_idx", "label", "state", F.col("output.classification")[0]["label"].alias("top"), F.coalesce("steps_completed", F.lit(0).cast("long")).alias("steps"), "n_frames")
+
+
+@query(_SQL_LINES + """, t AS (SELECT o_orderkey::VARCHAR AS task_id, o_orderstatus = 'F' AS finished FROM orders) SELECT l_orderkey::VARCHAR AS task_id, l_linenumber::BIGINT AS idx FROM li JOIN t ON task_id = l_orderkey::VARCHAR WHERE NOT finished""")
+def store_purge(spark, sf_dir):
+    """Items left after finished tasks and all their rows were purged."""
+    s, _ = _stored_items(spark, sf_dir)
+    s.append("tasks", _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("task_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("processing").alias("state"), F.lit(10).alias("updated_at")))
+    s.purge_finished_before(1001)
+    return s.table("items").select("task_id", "idx")
+
+
+def _share(letter: bytes):
+    """A model of two labels: 1 scores the share of a letter in the input, 0 the rest."""
+
+    def load():
+        def predict(inputs):
+            import numpy as np
+
+            share = np.array([bytes(x).count(letter) / max(1, len(x)) for x in inputs])
+            return np.column_stack([1 - share, share])
+
+        return predict
+
+    return load
+
+
+@query("""WITH d AS (SELECT l.doc_id, d.text, octet_length(encode(d.text)) AS n, octet_length(encode(d.text)) - octet_length(encode(replace(d.text, 'e', ''))) AS e, length(d.text) - length(replace(d.text, 'a', '')) AS a FROM labels l JOIN documents d USING (doc_id)),
+ s AS (SELECT doc_id, coalesce(n, 0) = 0 AS empty, (e / n)::FLOAT AS se, (a / n)::FLOAT AS sa FROM d)
+ SELECT doc_id, 'completed' AS item_state, 'done' AS first_state, CASE WHEN se >= 0.1::FLOAT THEN 'skipped' ELSE 'done' END AS second_state, round(se::DOUBLE, 5) AS first_score, CASE WHEN se < 0.1::FLOAT THEN round(sa::DOUBLE, 5) END AS second_score FROM s WHERE NOT empty""")
+def engine_run(spark, sf_dir):
+    """Submissions through the whole engine: admission, fetching, two gated models, states and the stored outputs.
+
+    The labelled documents that hold text are images at URLs; the download gives their bytes, the second
+    model runs only where the first scores below a tenth.
+    """
+    from ..sources.config import Config
+    from . import classify, run
+
+    config = Config.parse('[models.first]\nrepo = "a/b"\n[models.second]\nrepo = "a/c"\n[pipelines.p]\nsteps = [{order = 1, model = "first", stop_if = {labels = [1], threshold = 0.1}}, {order = 2, model = "second"}]\n')
+    s = _store(spark)
+    engine = classify.Engine(spark, s, config.models(spark), config.pipelines(spark), max_pending=0)
+    docs = _t(spark, sf_dir, "labels").select("doc_id").join(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where("length(text) > 0")
+    url = F.concat(F.lit("http://host/"), F.base64(F.encode("text", "utf-8")))
+    engine.submit(docs.select(F.col("doc_id").cast("string").alias("task_id"), F.lit(0).cast("long").alias("idx"), _image(url).alias("input"), F.array().cast("array<string>").alias("models"), F.lit("p").alias("pipeline")))
+
+    def download(url, limits):
+        import base64
+
+        return base64.b64decode(url.removeprefix("http://host/"))
+
+    run.Runner(engine, config, {"first": _share(b"e"), "second": _share(b"a")}, download, cache=False).run()
+    results = s.table("model_results").select("task_id", "label", "state", F.filter("output.classification", lambda p: p["label"] == 1)[0]["score"].alias("score"))
+    pick = lambda name, c: F.max(F.when(F.col("label") == name, F.col(c)))
+    wide = results.groupBy("task_id").agg(pick("first", "state").alias("first_state"), pick("second", "state").alias("second_state"), F.round(pick("first", "score").cast("double"), 5).alias("first_score"), F.round(pick("second", "score").cast("double"), 5).alias("second_score"))
+    return wide.join(s.table("items").select("task_id", F.col("state").alias("item_state")), "task_id").select(F.col("task_id").cast("long").alias("doc_id"), "item_state", "first_state", "second_state", "first_score", "second_score")
