@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilframe.llm import bpe, jaccard, langid, mixing, pii
-from vigilframe.llm.common import durable, table
+from vigilframe.llm.common import table, written
 from vigilframe.llm.queries import PII_KEY, VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -60,9 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = durable(docs)
-    return docs
+    """All stages over `documents`, each written as Parquet and read again; a table goes when the next is written."""
+    docs, remove = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, after = written(stage(spark, docs, sf_dir))
+        if remove:
+            remove()
+        remove = after
+    return STAGES[-1][1](spark, docs, sf_dir)

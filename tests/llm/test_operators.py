@@ -828,3 +828,30 @@ def test_pipeline_against_brute_force(spark):
     text = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert all(r["ids"] == enc.encode_ordinary(text[r["doc_id"]]) for r in out)
     assert [f.__name__ for _, f in cp.STAGES] == ["identify_language", "remove_near_duplicates", "replace_pii", "mix_sources", "encode"]
+
+
+def test_pipeline_of_empty_and_null_tables(spark):
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    nulls = docs(spark, [(None, None, None, None, None), (1, None, "en", None, 0), (1, None, "en", None, 0)], schema)
+    for df, kept in ((docs(spark, [], schema), 0), (nulls, 3)):
+        assert cp.identify_language(spark, df, SF).count() == 0  # nothing can be learned, so no language is recognised
+        assert cp.remove_near_duplicates(spark, df, SF).count() == kept
+        assert cp.replace_pii(spark, df, SF).count() == kept
+        mixed = cp.mix_sources(spark, df, SF)
+        assert mixed.columns == cp.COLUMNS and mixed.count() <= kept
+        out = cp.encode(spark, df, SF)
+        assert out.count() == kept and all(r["ids"] == [] for r in out.collect())
+        sizes = mixing.mix(df.select("doc_id", "text", "source")).collect()
+        assert len(sizes) == kept and all(r["size"] == r["taken"] == 0 for r in sizes)
+        found = url_filter.judge_urls(df.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url")), queries.RULES)
+        assert {r["verdict"] for r in found.collect()} <= {"allow"} and found.count() == kept
+
+
+def test_pipeline_run_writes_and_rereads(spark):
+    import corpus_pipeline as cp
+
+    assert [name for name, _ in cp.STAGES] == ["language_id", "near_duplicates", "pii", "mixing", "bpe"]
+    out = cp.run(spark, SF)
+    assert {"doc_id", "n_tokens", "ids"} <= set(out.columns) and out.where("n_tokens <> size(ids)").count() == 0 < out.count()
