@@ -46,8 +46,9 @@ def decisions(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2
     """(doc_id, source, size, rows, source_size, target, repeats) for each distinct id, source and size.
 
     The whole repetitions go to every document. The fraction left of a source's target goes to
-    documents in the order of a seeded hash of their id, as far as they fit; then to one more, the one
-    whose size is nearest to what still lacks, if that brings the source nearer its target.
+    documents in the order of a seeded hash of their id, as far as they fit, passing over those longer
+    than it; then to one more, the one whose size is nearest to what still lacks, if that brings the
+    source nearer its target.
     """
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
@@ -56,12 +57,14 @@ def decisions(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2
     targets = water_filling(ranges.groupBy("source").agg(F.sum("range_words").alias("source_size")), epochs, weights)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    # a document longer than the rest never fits and must not stand in the way of those behind it
+    counted = F.when((F.col("size") > 0) & (F.col("words") <= F.col("rest")), F.col("words")).otherwise(F.lit(0))
+    sized = slim.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "source_size", "target", "whole", "rest").withColumn("counted", counted)
     begins = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per source and range: joined with the targets, then with the documents
-    ranges = ranges.withColumn("begin", F.coalesce(F.sum("range_words").over(begins), F.lit(0))).alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.source", "range", "begin", "source_size", "target", "whole", "rest")
+    ranges = sized.groupBy("source", "range").agg(F.sum("counted").alias("range_words")).withColumn("begin", F.coalesce(F.sum("range_words").over(begins), F.lit(0)))
     own = Window.partitionBy("source", "range").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = slim.withColumn("end", F.sum("words").over(own)).alias("d").join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range")))
-    placed = placed.select("d.doc_id", "d.source", "size", "rows", "words", "hash", "source_size", "target", "whole", "rest", ((F.col("begin") + F.col("end") <= F.col("rest")) & (F.col("size") > 0)).alias("fits"))
+    placed = sized.withColumn("end", F.sum("counted").over(own)).alias("d").join(ranges.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range")))
+    placed = placed.select("d.doc_id", "d.source", "size", "rows", "words", "hash", "source_size", "target", "whole", "rest", ((F.col("begin") + F.col("end") <= F.col("rest")) & (F.col("counted") > 0)).alias("fits"))
     placed = durable(placed)
     lacks = placed.groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("fits"), F.col("words")).otherwise(F.lit(0)))).alias("lack"))
     off = F.abs(F.col("words") - F.col("lack"))

@@ -104,10 +104,10 @@ s5 AS (SELECT source, source_size,
     CASE WHEN source_size = 0 THEN 0.0::DOUBLE WHEN free THEN (weight * ls)::DOUBLE / lw::DOUBLE ELSE cap::DOUBLE END AS target
   FROM s4 LEFT JOIN lv ON true),
 s AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM s5),
-q AS (SELECT g.*, s.source_size, s.target, s.whole, s.target - s.whole * s.source_size AS rest,
-    sum(g.rows * g.size) OVER (PARTITION BY g.source ORDER BY hash, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM g JOIN s ON g.source IS NOT DISTINCT FROM s.source),
-f AS (SELECT *, upto <= rest AND size > 0 AS fits FROM q),
+q0 AS (SELECT g.*, s.source_size, s.target, s.whole, s.target - s.whole * s.source_size AS rest FROM g JOIN s ON g.source IS NOT DISTINCT FROM s.source),
+q AS (SELECT *, CASE WHEN rows * size <= rest THEN rows * size ELSE 0 END AS counted,
+    sum(CASE WHEN rows * size <= rest THEN rows * size ELSE 0 END) OVER (PARTITION BY source ORDER BY hash, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM q0),
+f AS (SELECT *, upto <= rest AND counted > 0 AS fits FROM q),
 lk AS (SELECT source, any_value(rest) - sum(CASE WHEN fits THEN rows * size ELSE 0 END) AS lack FROM f GROUP BY source),
 c AS (SELECT f.source, f.doc_id, f.size, row_number() OVER (PARTITION BY f.source ORDER BY abs(f.rows * f.size - lack), hash, f.doc_id, f.size) AS k
   FROM f JOIN lk ON f.source IS NOT DISTINCT FROM lk.source WHERE NOT fits AND f.size > 0 AND abs(f.rows * f.size - lack) < lack),
