@@ -118,7 +118,13 @@ def ran(spark, tmp_path_factory):
     assert (accepted.count(), rejected.count()) == (len(work), 0)
     assert e.cancel("gone")
     waits = []
-    r = Runner(e, c, {"general": lambda: scores, "nsfw": lambda: scores, "broken": lambda: failing}, download, check=refuse, tool=tool, most_seconds=3600, retries=2, wait=waits.append)
+    told = str(folder / "told")
+
+    def notify(row):
+        with open(f"{told}-{row['task_id']}-{row['idx']}-{row['state']}", "w"):
+            pass
+
+    r = Runner(e, c, {"general": lambda: scores, "nsfw": lambda: scores, "broken": lambda: failing}, download, check=refuse, tool=tool, most_seconds=3600, retries=2, wait=waits.append, notify=notify)
     ended = {(x["task_id"], x["idx"]): x["state"] for x in r.run().collect()}
     results = {(x["task_id"], x["item_idx"], x["label"]): x for x in s.table("model_results").collect()}
     items = {(x["task_id"], x["idx"]): x for x in s.table("items").collect()}
@@ -152,6 +158,11 @@ def test_failures_and_retries(ran):
     assert "timed out" in ran["results"]["slow", 0, "nsfw"]["error"]["message"]
 
 
+def test_changes_are_told(ran):
+    told = {p.name.removeprefix("told-") for p in ran["folder"].glob("told-*")}
+    assert "plain-0-processing" in told and "lost-0-retrying" in told and "two-1-retrying" not in told and not any(x.startswith("gone") for x in told)
+
+
 def test_pipelines(ran):
     assert states(ran, "gate") == {"nsfw": "done", "general": "skipped"} and ran["items"]["gate", 0]["state"] == "completed"
     assert states(ran, "pass") == {"nsfw": "done", "general": "done"}
@@ -306,3 +317,40 @@ def test_ipv6_addresses_against_the_standard_library(spark):
         want = number(c)
         assert got[c]["n"] == want, c
         assert got[c]["blocked"] == (want is None or media._is_private(ipaddress.IPv6Address(int(want, 16)))), c
+
+
+def test_prompts_have_one_length(spark):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+
+    from vigilframe.operators import zeroshot
+
+    def load():
+        t = Tokenizer(WordLevel({"[UNK]": 0, "a": 5, "photo": 6, "of": 7, "dog": 8}, unk_token="[UNK]"))
+        t.pre_tokenizer = Whitespace()
+        return t
+
+    df = spark.createDataFrame([(0, "a photo of a dog"), (1, "dog"), (2, ""), (3, None), (4, "a " * 200)], "n int, p string")
+    got = {r["n"]: r["ids"] for r in df.select("n", zeroshot.prompt_tokens(load, 4)("p").alias("ids")).collect()}
+    assert got == {0: [5, 6, 7, 5], 1: [8, 0, 0, 0], 2: [0] * 4, 3: None, 4: [5] * 4}
+    assert len(df.where("n = 1").select(zeroshot.prompt_tokens(load, 0)("p")).first()[0]) == 64
+
+
+def test_received_signatures(spark, tmp_path):
+    import hashlib
+    import hmac
+
+    from vigilframe.streaming import scan
+
+    sign = lambda key, task: hmac.new(key.encode(), task.encode(), hashlib.sha256).hexdigest()
+    rows = [("a", sign("k", "a")), ("b", sign("k", "b").upper()), ("c", sign("other", "c")), ("d", None), ("e", "xyz"), ("f", sign("k", "a"))]
+    df = spark.createDataFrame(rows, "task_id string, signature string")
+    got = {r["task_id"]: r["problem"] for r in scan.verified(df, "k").collect()}
+    assert got == {"a": None, "b": None, "c": "invalid signature", "d": "missing signature", "e": "malformed signature", "f": "invalid signature"}
+    assert scan.verified(df, None).where("problem is not null").count() == 0
+    df.write.parquet(str(tmp_path / "in"))
+    handled = []
+    q = scan.start_receiver(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k", lambda rows: handled.extend(r["task_id"] for r in rows.collect()), str(tmp_path / "cp"))
+    q.awaitTermination(60)
+    assert sorted(handled) == ["a", "b"]

@@ -42,6 +42,27 @@ def prompt_text(label: Column, template: str | None) -> Column:
     return F.concat(F.lit(template + " "), label)
 
 
+def prompt_tokens(load, length: int = 64):
+    """A Spark function of prompts: token ids of exactly `length` places, longer ones cut, shorter ones padded.
+
+    `load()` gives a tokenizer of the `tokenizers` package and runs once a batch of rows; its own rules say
+    which special tokens stay when a prompt is cut. A length of 0 is the usual 64. Null prompts have no ids.
+    """
+    import pandas as pd
+
+    places = length or 64
+
+    def ids(prompts):  # pragma: no cover - runs in workers
+        tokenizer = load()
+        tokenizer.enable_truncation(places)
+        tokenizer.enable_padding(length=places)
+        found = iter(tokenizer.encode_batch([p for p in prompts if p is not None]))
+        return pd.Series([None if p is None else next(found).ids for p in prompts], index=prompts.index, dtype=object)
+
+    ids.__annotations__ = {"prompts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(ids, "array<int>")
+
+
 def softmax(scores: DataFrame, keys: list[str], logit: str = "logit", score: str = "score") -> DataFrame:
     """Add the softmax of `logit` within each group; shifted by the maximum. One shuffle for both windows."""
     from pyspark.sql import Window

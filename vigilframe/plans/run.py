@@ -18,6 +18,7 @@ from ..operators import cache as caches
 from ..operators import lifecycle, pool, select
 from ..sources import media
 from ..sources.config import Config
+from ..streaming.scan import outbox
 from . import classify
 
 KEYS = ["task_id", "idx"]
@@ -35,12 +36,14 @@ class Runner:
 
     `download(url, limits) -> bytes`, `check(bytes)` (raises if they do not decode) and `tool(command) ->
     bytes` run on the executors. `slots` bounds how many items one pass admits, the highest priority first.
+    `notify(row)` is told, once and without a second try, of items that begin or are tried again; ended items
+    are delivered by the outbox.
     """
 
-    def __init__(self, engine: classify.Engine, config: Config, models: dict[str, Callable], download=media.http_download, limits: media.FetchLimits | None = None, check: Callable[[bytes], None] | None = None, tool=media.run_tool, cache: bool = True, ttl: int | None = None, slots: int | None = None, most_seconds: int = 3600, retries: int = 3, wait=time.sleep):
+    def __init__(self, engine: classify.Engine, config: Config, models: dict[str, Callable], download=media.http_download, limits: media.FetchLimits | None = None, check: Callable[[bytes], None] | None = None, tool=media.run_tool, cache: bool = True, ttl: int | None = None, slots: int | None = None, most_seconds: int = 3600, retries: int = 3, wait=time.sleep, notify: Callable[[dict], None] | None = None):
         self.engine, self.store, self.spark, self.config, self.models = engine, engine.store, engine.spark, config, models
         self.download, self.limits, self.check, self.tool = download, limits or media.FetchLimits(), check, tool
-        self.cache, self.ttl, self.slots, self.most_seconds, self.retries, self.wait = cache, ttl, slots, most_seconds, retries, wait
+        self.cache, self.ttl, self.slots, self.most_seconds, self.retries, self.wait, self.notify = cache, ttl, slots, most_seconds, retries, wait, notify
         self.revisions = engine.models.select("model", "revision")
 
     # --- what waits
@@ -59,6 +62,7 @@ class Runner:
             left = left.join(done, KEYS, "left_anti")
         left = self._kept(left)
         self._append("items", left.select(*KEYS), state=F.lit("processing"), set_error=F.lit(True))
+        self._tell(left.select(*KEYS, F.lit("processing").alias("state")))
         fetched = self._fetched(left)
         alive = self._steps(fetched, wanted.join(fetched.select(*KEYS), KEYS, "left_semi"))
         for done in (*ended, alive):
@@ -116,6 +120,7 @@ class Runner:
             if again.isEmpty():
                 return good.select(*KEYS, "content", "info", "retries", (content_digest(F.col("content")) if self.cache else F.lit(None).cast("string")).alias("hash"))
             self._append("items", again.select(*KEYS, F.col("retries").cast("long").alias("retries"), _error("fetch", F.col("fetch_error")).alias("error")), state=F.lit("retrying"), set_error=F.lit(True))
+            self._tell(again.select(*KEYS, F.lit("retrying").alias("state")))
             attempt += 1
             self.wait(min(2 ** (attempt - 1), 30))
             left = self._not_cancelled(again.drop("content", "fetch_error", "info"))
@@ -269,6 +274,10 @@ class Runner:
     def _append(self, name: str, rows: DataFrame, **columns) -> None:
         self.store.append(name, rows.withColumns(columns) if columns else rows)
 
+    def _tell(self, rows: DataFrame) -> None:
+        if self.notify:
+            outbox(rows, self.notify, (0,)).write.format("noop").mode("overwrite").save()
+
     def _results(self, rows: DataFrame, state: str) -> None:
         self._append("model_results", rows.withColumnsRenamed({"idx": "item_idx", "model": "label"}), state=F.lit(state), set_output=F.lit(True))
 

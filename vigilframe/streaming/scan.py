@@ -87,6 +87,29 @@ def start_outbox(changes: DataFrame, store, deliver: Callable[[dict], None], che
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
+def verified(deliveries: DataFrame, secret: str | None, task: str = "task_id", signature: str = "signature") -> DataFrame:
+    """Add `problem` to received deliveries: a signature that is missing, malformed or not the task id's; null if it is right.
+
+    Without a secret nothing is checked.
+    """
+    from ..functions.exprs import hex_decode, signature_matches
+
+    if secret is None:
+        return deliveries.withColumn("problem", F.lit(None).cast("string"))
+    given = F.col(signature)
+    problem = F.when(given.isNull(), "missing signature").when(hex_decode(F.regexp_replace(given, "^sha256=", "")).isNull(), "malformed signature").when(~signature_matches(secret, F.col(task), given), "invalid signature")
+    return deliveries.withColumn("problem", problem)
+
+
+def start_receiver(deliveries: DataFrame, secret: str | None, handle: Callable[[DataFrame], None], checkpoint: str, **trigger):
+    """A stream of deliveries: `handle` gets each micro-batch's rows whose signatures are right; the others never reach it."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        handle(verified(rows, secret).where("problem is null").drop("problem"))
+
+    return deliveries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def once(deliveries: DataFrame, keys: list[str], time_column: str, within: str = "1 day") -> DataFrame:
     """A receiver's view of at-least-once deliveries: repeats within the watermark drop."""
     return deliveries.withWatermark(time_column, within).dropDuplicatesWithinWatermark(keys)
