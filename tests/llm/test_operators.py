@@ -283,6 +283,20 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, n, t, part, longest)
     assert sorted(map(tuple, got), key=repr) == brute_components(table, n, t)
 
 
+def test_a_passage_in_all_rows_brings_no_pairs_together(spark, monkeypatch):
+    """Rows that share a passage but little else meet neither as told pairs nor in tiles, however many they are."""
+    met = []
+    told, tiled = jaccard._told_pairs, jaccard._tiled_pairs
+    monkeypatch.setattr(jaccard, "_told_pairs", lambda full, lists, *a: met.append(lists.count()) or told(full, lists, *a))
+    monkeypatch.setattr(jaccard, "_tiled_pairs", lambda full, clusters, t: met.append(clusters.count()) or tiled(full, clusters, t))
+    passage = " ".join(f"p{i}" for i in range(60))
+    for n in (100, 400):
+        rows = [passage + " " + " ".join(f"{x}w{i}" for i in range(40)) for x in range(n)]
+        got = jaccard.similarity_components(texts(spark, rows)).collect()
+        assert len(got) == n and all(r["n_links"] == 0 and r["component_id"] == r["doc_id"] for r in got)
+    assert met == [0, 0, 0, 0]
+
+
 def test_ngram_join_of_nothing(spark):
     assert jaccard.similarity_components(texts(spark, []).limit(0)).count() == 0
     assert [tuple(r) for r in jaccard.similarity_components(texts(spark, [None])).collect()] == [(0, 0, 0, 0)]
