@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, Powers, components, durable, mix64, range_hashes, release, small_side, text_slices, written
+from .common import BROADCAST_BYTES, Powers, components, durable, give_back, mix64, range_hashes, release, returning, small_side, text_slices, written
 
 #: Classes of one side of a tile; a larger cluster is dealt over pairs of such parts. Classes of the longest
 #: posting list whose pairs are told one by one.
@@ -100,7 +100,7 @@ def _sets(docs: DataFrame, text: str, keep: list[str], n: int, prefix) -> DataFr
                     [*keep, "k", "n_shingles", "tokens"],
                 )
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, text).mapInArrow(returning(run), schema)
 
 
 def _prefix_products(sets: list[np.ndarray], sizes: np.ndarray, spare: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -321,6 +321,7 @@ def _tiled_pairs(full: DataFrame, clusters: DataFrame, t: int) -> DataFrame:
                 rows["a"].append(keys[a]), rows["b"].append(keys[b]), rows["links"].append(None)
             for i in np.flatnonzero(links):
                 rows["a"].append(keys[i]), rows["b"].append(None), rows["links"].append(int(links[i]))
+        give_back()
         return pa.table({c: pa.array(v, pa.int64()) for c, v in rows.items()})
 
     return durable(tiles.groupBy("cluster", "bucket", "i", "j", "across").applyInArrow(meet, "a long, b long, links long"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import returning, text_slices
 
 #: Places of the presence vector for 2-grams and for 3-grams.
 PLACES = {2: 4096, 3: 8192}
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
                 packed = np.packbits(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array([langs[a + i] for i in fine], pa.string()), pa.array([ids[a + i] for i in fine], pa.string()), pa.array([packed[i].tobytes() for i in fine], pa.binary())], ["lang", "id", "v"])
 
-    once = chosen.mapInArrow(run, "lang string, id string, v binary").groupBy("lang", "id").agg(F.min("v").alias("v"))
+    once = chosen.mapInArrow(returning(run), "lang string, id string, v binary").groupBy("lang", "id").agg(F.min("v").alias("v"))
     rows = sorted((r["lang"], bytes(r["v"])) for r in once.select("lang", "v").collect())
     if not rows:
         return None
@@ -183,4 +183,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", lang_pred
                     scores[has] = np.clip(out[np.arange(b - a), best], 0, 1)[has]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in keep), pa.array(names.tolist(), pa.string()), pa.array(scores)], [*keep, lang_pred, score])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(returning(run), schema)
