@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import returning, text_slices
 
 #: Interned pieces a worker holds before it starts anew; bounds memory, not results.
 PIECES = 200_000
@@ -274,7 +274,21 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
                     arrays.append(pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]))
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, *([ids, decoded] if decoded else [ids])])
 
-    return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, T.StructType(fields))
+    return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(returning(run), T.StructType(fields))
+
+
+def lengths(df: DataFrame, path: str, pattern: str, text: str = "text", length: str = "length") -> DataFrame:
+    """One column `length`: the number of tokens of each whole text. The tokens themselves stay in the worker."""
+
+    def run(batches):
+        coder = encoder(path, pattern)
+        for batch in batches:
+            column = batch.column(0)
+            for first, last, _, _ in text_slices(column):
+                _, offsets = coder.encode([t or "" for t in column.slice(first, last - first).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(offsets), pa.int64())], [length])
+
+    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(returning(run), f"{length} long")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -18,7 +18,7 @@ BLOCK = 1024
 
 def with_lengths(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """One column `length`: tokens of each whole text; null and empty texts have length 0."""
-    return bpe.encode(docs.select(F.col(text).alias("text")), path, pattern, "text", "ids").select(F.size("ids").cast("long").alias("length"))
+    return bpe.lengths(docs, path, pattern, text)
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
