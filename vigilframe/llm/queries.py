@@ -6,15 +6,16 @@ Tables are read by Spark only; vocabulary files are read by path on every machin
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, langid, mixing, pii, token_counts, topk, url_filter, wrapper
+from . import bpe, filter_audit, fingerprints, jaccard, langid, mixing, packing, periodic, pii, token_counts, topk, url_filter, wrapper
 from .common import table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PII_KEY = "surrogates-1"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,44 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pii, op3_ngram_join, op4_mixing, op5_token_counts, op6_topk, op7_url_filter, op8_language_id, op9_bpe, op10_html)}
+def planted_period(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The text; of about one document in ten, from word a on, the first p words of that rest over and over."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"))
+    h, n = F.crc32(F.col(doc_id).cast("string").cast("binary")), F.size(words)
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(changed, " ")).otherwise(F.col(text))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_period().alias("text"))
+    out = periodic.periodic_runs(docs)
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r.length).alias("shorter"), r.start.alias("start"), r.period.alias("period")))), 1)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    out = out.select("doc_id", "runs", "collapsed", F.when(F.size("runs") > 0, longest).alias("top"), lines.alias("lines"))
+    length = -F.col("top.shorter")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), length.alias("length"), F.col("top.period").alias("period"),
+        F.floor(1000 * length / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(WORD_VOCABULARY))
+    out = packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32")))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pii, op3_ngram_join, op4_mixing, op5_token_counts, op6_topk, op7_url_filter, op8_language_id, op9_bpe, op10_html, op11_periodic_runs, op12_packing, op13_filter_audit)}
 
 ORACLE_SQL = {
     "op3_ngram_join": r"""
@@ -125,4 +163,36 @@ p AS (
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+least_id AS (SELECT coalesce(text, '') AS text, min(doc_id) AS least FROM documents GROUP BY 1),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+f AS (
+  SELECT w.part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+      + 4 * (100 * length(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 3 * length(w.text))::INT
+      + 8 * regexp_matches(w.text, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > least, false)::INT AS bits,
+    coalesce(good, 0) AS good, coalesce(bad, 0) AS bad
+  FROM w JOIN least_id ON w.text = least_id.text LEFT JOIN marks ON marks.doc_id = w.doc_id),
+g AS (SELECT part, bits, good, bad, count(*) AS n FROM f GROUP BY ALL),
+o(filter_order, step, filter, before) AS (
+  SELECT chr(65 + x::INT), 1, x::INT, 0 FROM range(5) t(x)
+  UNION ALL
+  SELECT filter_order || chr(65 + x::INT), step + 1, x::INT, before + (1 << filter) FROM o, range(5) t(x)
+  WHERE step < 5 AND NOT contains(filter_order, chr(65 + x::INT))),
+full_orders AS (SELECT filter_order, step, filter, before FROM o WHERE step = 5),
+each AS (
+  SELECT p.filter_order, o.step, o.filter, o.before FROM full_orders p JOIN o ON starts_with(p.filter_order, o.filter_order)),
+c AS (
+  SELECT part, before, filter,
+    sum(CASE WHEN bits & (before | (1 << filter)) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN bits & (1 << filter) > 0 AND bits & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN bits & (1 << filter) > 0 AND bits & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN bits = 1 << filter THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN bits & (1 << filter) > 0 AND bits & before = 0 THEN n * good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN bits & (1 << filter) > 0 AND bits & before = 0 THEN n * bad ELSE 0 END)::BIGINT AS toxic_lost
+  FROM g, (SELECT DISTINCT filter, before FROM o) GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM c JOIN each USING (filter, before)""",
 }
