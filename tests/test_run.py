@@ -151,7 +151,7 @@ def test_failures_and_retries(ran):
         item = ran["items"][task, 0]
         assert item["state"] == "failed" and item["error"]["kind"] == "fetch" and word in item["error"]["message"] and item["retries"] == 2
         assert states(ran, task) == {"general": "failed"} and ran["tasks"][task] == "completed"
-    assert ran["waits"][:2] == [1, 2]
+    assert len(ran["waits"]) >= 4 and all(0 <= w <= 2 for w in ran["waits"])
     assert states(ran, "mixed") == {"broken": "failed", "general": "done"} and ran["items"]["mixed", 0]["state"] == "completed"
     assert ran["results"]["mixed", 0, "broken"]["error"]["message"] == "no luck"
     assert ran["results"]["poison", 0, "general"]["error"]["message"] == "cannot look at this"
@@ -354,3 +354,292 @@ def test_received_signatures(spark, tmp_path):
     q = scan.start_receiver(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k", lambda rows: handled.extend(r["task_id"] for r in rows.collect()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sorted(handled) == ["a", "b"]
+
+
+# --- scans, architectures, permits, retries
+
+
+def counted(folder, answer):
+    """A model that leaves a file for every batch it is asked, named by what it saw."""
+
+    def predict(images):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4()}", "w") as f:
+            f.write("\n".join(bytes(x).decode() for x in images))
+        return answer(images)
+
+    return predict
+
+
+def seen(folder):
+    return [p.read_text().split("\n") for p in folder.iterdir()]
+
+
+SCANS = """
+[models.m]
+repo = "a/b"
+strategy = "s"
+batch_size = 2
+labels = [1]
+trigger_threshold = 0.8
+[strategies.s]
+early_exit = true
+aggregation = "max"
+steps = [{step = 1, method = "fps", fps = 1.0}]
+"""
+
+
+def test_no_frame_beyond_the_batch_that_fires_is_asked_for(spark, tmp_path):
+    """30 frames of which the eleventh fires, by batches of two; then a pass that dies and one that goes on."""
+    (tmp_path / "asked").mkdir()
+    c = config.Config.parse(SCANS)
+    s = open_store(spark, "parquet", str(tmp_path / "store"))
+    e = classify.Engine(spark, s, c.models(spark), c.pipelines(spark), ("s",))
+    film = ("video", "http://a/30s", None, None, None, True)
+    e.submit(spark.createDataFrame([("film", 0, film, ["m"], None)], ROWS))
+    asked = str(tmp_path / "asked")
+    at = lambda images: np.array([[0.0, 0.9 if float(bytes(x).decode().split(":")[1]) >= 10 else 0.1] for x in images])
+
+    def every_second(command):
+        if command[0] == "ffprobe":
+            return tool(command)
+        return f"t:{command[command.index('-ss') + 1]}".encode()
+
+    r = Runner(e, c, {"m": lambda: counted(asked, at)}, download, tool=every_second, cache=False, most_batches=2)
+    rounds = []
+    append = s.append
+
+    def dying(name, rows):
+        append(name, rows)
+        if name == "frames":
+            rounds.append(rows.count())
+            if len(rounds) == 2:
+                raise RuntimeError("the driver is gone")
+
+    s.append = dying
+    with pytest.raises(RuntimeError, match="gone"):
+        r.run()
+    s.append = append
+    assert rounds == [2, 4]  # a batch, then two
+    first = sorted(x for b in seen(tmp_path / "asked") for x in b)
+    assert first == [f"t:{t:.6f}" for t in range(6)]
+    assert s.load_frames("film", 0, "m").count() == 6
+    r.run()
+    everything = sorted((x for b in seen(tmp_path / "asked") for x in b), key=lambda x: float(x[2:]))
+    assert everything == [f"t:{t:.6f}" for t in range(12)]  # each frame once, none beyond the batch of the eleventh
+    scan = s.table("model_results").first()["output"]["frame_scan"]
+    assert [f["frame_index"] for f in scan["frames"]] == list(range(11)) and scan["aggregated"][0]["label"] == 1
+
+
+def test_scans_of_rows_ask_batch_by_batch(spark):
+    from vigilframe.operators import pool
+
+    frames = spark.createDataFrame([(k, i, float(i == fire)) for k, (n, fire) in enumerate([(3, None), (100, 0), (100, 7), (100, 8), (100, 60), (8, 7), (9, None)]) for i in range(n)], "item long, frame_index long, score double")
+    stored, asked = [], []
+
+    def classify_(rows):
+        asked.append(rows.count())
+        return rows.withColumn("fires", F.col("score") > 0.5)
+
+    kept, counts = pool.scan_in_batches(frames, ["item"], classify_, lambda df: df.cache(), store=lambda rows: stored.append(rows.count()))
+    assert {r["item"]: r["n_classified"] for r in counts.collect()} == {0: 3, 1: 8, 2: 8, 3: 24, 4: 100, 5: 8, 6: 9}
+    assert {r["item"]: r["n"] for r in kept.groupBy("item").agg(F.count("*").alias("n")).collect()} == {0: 3, 1: 1, 2: 8, 3: 9, 4: 61, 5: 8, 6: 9}
+    assert asked == [3 + 8 * 6, 16 * 2 + 1, 32, 44] and sum(stored) == 99
+    none, counts = pool.scan_in_batches(frames.limit(0), ["item"], classify_, lambda df: df)
+    assert none.count() == 0 and counts.count() == 0
+
+
+ARCHITECTURES = """
+[models.vit]
+repo = "a/a"
+[models.flat]
+repo = "a/b"
+architecture = "siglip"
+prompts = ["red", "green", "blue"]
+template = "a {} thing"
+max_results = 2
+score_threshold = 0.3
+[models.tree]
+repo = "a/c"
+architecture = "siglip"
+taxonomy = "tree.toml"
+score_threshold = 0.4
+"""
+TREE = """
+[warm]
+id = 1
+[warm.children.fire]
+id = 1001
+aggregation = "mean"
+prompts = ["red", "blue"]
+[warm.children.sun]
+id = 1002
+prompts = ["red", "green"]
+"""
+
+
+def test_architectures_in_one_run(spark, tmp_path):
+    """Logits through a softmax, prompts by threshold and cap, and a taxonomy by threshold without a cap."""
+    from vigilframe.functions import heads
+
+    (tmp_path / "tree.toml").write_text(TREE)
+    c = config.Config.parse(ARCHITECTURES, str(tmp_path))
+    s = open_store(spark, "parquet", str(tmp_path / "store"))
+    e = classify.Engine(spark, s, c.models(spark), c.pipelines(spark))
+    told = str(tmp_path / "texts")
+
+    def siglip():
+        def texts(prompts):
+            with open(told, "a") as f:
+                f.write("|".join(prompts) + "\n")
+            words = ["red", "green", "blue"]
+            return np.array([[float(w in p) for w in words] for p in prompts])
+
+        return heads.Siglip(lambda images: np.array([[float(x) for x in bytes(i).decode().split(":")[1].split(",")] for i in images]), texts, np.log(4.0), -1.0)
+
+    vit = lambda: heads.Vit(lambda images: np.array([[0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 20.0]] * len(images)))
+    e.submit(spark.createDataFrame([("a", 0, image("http://a/x:3,4,0"), ["vit", "flat", "tree"], None), ("b", 0, image("http://a/x:0,0,-1"), ["flat", "tree"], None)], ROWS))
+    r = Runner(e, c, {"vit": vit, "flat": siglip, "tree": siglip}, download, tool=tool)
+    assert sorted(tuple(x) for x in r.run().collect()) == [("a", 0, "completed"), ("b", 0, "completed")]
+    got = {(x["task_id"], x["label"]): [(p["label"], round(p["score"], 4)) for p in x["output"]["classification"]] for x in s.table("model_results").collect()}
+    sig = lambda cosine: round(float(np.float32(1 / (1 + np.exp(-(4 * cosine - 1))))), 4)
+    assert [n for n, _ in got["a", "vit"]] == [6, 5, 4, 3, 2] and got["a", "vit"][0][1] == 1.0
+    assert got["a", "flat"] == [(1, sig(0.8)), (0, sig(0.6))]  # blue scores sigmoid(-1), below the threshold
+    mean = round(float(np.float32((1 / (1 + np.exp(-1.4)) + 1 / (1 + np.exp(1.0))) / 2)), 4)
+    assert got["a", "tree"] == [(1002, sig(0.8)), (1001, mean)]
+    assert got["b", "flat"] == got["b", "tree"] == []  # its cosines are 0 and -1
+    assert set(open(told).read().split()) >= {"a"} and "a red thing|a green thing|a blue thing" in open(told).read() and "red|blue|red|green" in open(told).read()
+
+
+def test_batches_go_on_over_arrow_batches_and_idle_weights_go(spark, tmp_path):
+    from vigilframe.plans import worker
+
+    folder = str(tmp_path)
+    model = worker.Model(lambda: counted(folder, scores), batch_size=8, name="counted")
+    rows = spark.range(0, 50, 1, 2).select("id", F.when(F.col("id") % 10 != 9, F.concat(F.lit("x:0."), F.col("id") % 9).cast("binary")).alias("content"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = rows.select("id", model(F.col("content")).alias("r")).select("id", "r.*").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["id"] for r in got] == list(range(50))
+    assert [round(r["classification"][0]["score"], 2) for r in got if r["id"] % 10 != 9] == [max(round(i % 9 / 10, 2), round(1 - i % 9 / 10, 2)) for i in range(50) if i % 10 != 9]
+    assert all(r["error"] == "there is no input" and r["classification"] is None for r in got if r["id"] % 10 == 9)
+    assert sum(map(len, seen(tmp_path))) == 45 and len(seen(tmp_path)) == 6  # 22 or 23 of either task, by eight
+
+    held = worker.Resident()
+    loads = []
+    load = lambda: loads.append(1) or object()
+    one = held.get("m", load, 0.2)
+    assert held.get("m", load, 0.2) is one and len(loads) == 1
+    kept = held.get("always", load, None)
+    time.sleep(0.6)
+    assert list(held.held) == ["always"] and held.get("always", load, None) is kept
+    held.get("m", load, 0.2)
+    assert len(loads) == 3
+    began = time.monotonic()
+    with pytest.raises(TimeoutError):
+        worker.within(0.1, time.sleep, 5)
+    assert time.monotonic() - began < 2
+
+
+def test_others_are_stored_before_a_back_off_ends_and_permits_hold(spark, tmp_path):
+    c = config.Config.parse(TOML)
+    clock = [1000]
+    s = open_store(spark, "parquet", str(tmp_path / "store"), now=lambda: clock[0])
+    e = classify.Engine(spark, s, c.models(spark), c.pipelines(spark), ("light",))
+    e.submit(spark.createDataFrame([("bad", 0, image("http://down/x"), ["general"], None), ("good", 0, image("http://a/x:0.9"), ["general"], None)], ROWS))
+    stored = []
+
+    def wait(seconds):
+        stored.append({(r["task_id"], r["label"]): r["state"] for r in s.table("model_results").collect()})
+
+    r = Runner(e, c, {"general": lambda: scores, "nsfw": lambda: scores}, download, tool=tool, retries=1, wait=wait)
+    r.run()
+    assert stored and stored[0]["good", "general"] == "done"
+    item = lambda t: s.table("items").where(F.col("task_id") == t).first()
+    assert item("bad")["state"] == "failed"
+    # two permits, one of them held by an item in back-off; a late one of a high priority overtakes the one that waits
+    e.submit(spark.createDataFrame([("holder", 0, image("http://down/y"), ["general"], None)], ROWS))
+    r = Runner(e, c, {"general": lambda: scores, "nsfw": lambda: scores}, download, tool=tool, retries=1, slots=2, wait=wait)
+    assert r.run(linger=False).count() == 0 and item("holder")["state"] == "retrying" and item("holder")["retry_at"] > clock[0]
+    e.submit(spark.createDataFrame([("first", 0, image("http://a/x:0.1"), ["general"], None)], ROWS))
+    e.submit(spark.createDataFrame([("late", 0, image("http://a/x:0.2"), ["nsfw"], None)], ROWS))
+    assert [tuple(x) for x in r.run(linger=False).collect()] == [("late", 0, "completed")]
+    assert item("holder")["state"] == "retrying" and item("first")["state"] == "queued"
+    assert [tuple(x) for x in r.run(linger=False).collect()] == [("first", 0, "completed")]
+    clock[0] += 60
+    assert [tuple(x) for x in r.run(linger=False).collect()] == [("holder", 0, "failed")]
+
+
+def test_a_stream_of_submissions_ends_in_deliveries(spark, tmp_path):
+    from vigilframe.streaming.serve import Service
+
+    c = config.Config.parse(TOML)
+    s = open_store(spark, "parquet", str(tmp_path / "store"))
+    e = classify.Engine(spark, s, c.models(spark), c.pipelines(spark), ("light",))
+    r = Runner(e, c, {"general": lambda: scores, "nsfw": lambda: scores}, download, tool=tool, retries=1)
+    (tmp_path / "in").mkdir()
+    sent = str(tmp_path / "sent")
+
+    def deliver(row):
+        with open(f"{sent}-{row['task_id']}", "w") as f:
+            f.write(row["state"])
+
+    stream = spark.readStream.schema(ROWS).parquet(str(tmp_path / "in"))
+    service = Service(r, str(tmp_path / "streams"), deliver).start(stream, 0.5)
+    try:
+        for name, main in (("one", "http://a/x:0.9"), ("two", "http://down/z")):
+            spark.createDataFrame([(name, 0, image(main), ["general"], None)], ROWS).write.mode("append").parquet(str(tmp_path / "in"))
+        end = time.time() + 150
+        while time.time() < end and not service.problem() and not all((tmp_path / f"sent-{n}").exists() for n in ("one", "two")):
+            time.sleep(0.5)
+    finally:
+        service.stop()
+    assert service.problem() is None
+    assert (tmp_path / "sent-one").read_text() == "completed" and (tmp_path / "sent-two").read_text() == "failed"
+
+
+def test_uploads_over_several_batches(spark, tmp_path):
+    from vigilframe.streaming import upload
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    c = config.Config.parse(TOML)
+    s = open_store(spark, "parquet", str(tmp_path / "store"))
+    e = classify.Engine(spark, s, c.models(spark), c.pipelines(spark), ("light",))
+    (tmp_path / "in").mkdir()
+    told, numbers, sent = {}, {}, []
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 10000)
+
+    def send(*messages):
+        rows = []
+        for name, kind, data in messages:
+            numbers[name] = numbers.get(name, -1) + 1
+            rows.append((name, numbers[name], kind, False, ["general"] if data != b"-" else [], None, data if kind == "data" else None))
+        spark.createDataFrame(rows, upload.MESSAGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        sent.append(len(rows))  # the stream never rests, as its timers may fire
+        end = time.time() + 60
+        while time.time() < end and q.exception() is None and sum(p["numInputRows"] for p in q.recentProgress) < sum(sent):
+            time.sleep(0.1)
+
+    stream = spark.readStream.schema(upload.MESSAGES).parquet(str(tmp_path / "in"))
+    q = upload.start_uploads(stream, e, str(tmp_path / "staged"), str(tmp_path / "ck"), most_bytes=10, expire_seconds=20, refused=lambda rows: told.update({r["upload_id"]: r["problem"] for r in rows.collect()}), processingTime="100 milliseconds")
+    try:
+        send(("good", "init", None), ("late", "init", None), ("late", "data", b"abc"), ("bare", "init", b"-"))
+        send(("good", "data", b"x:"), ("big", "init", None), ("big", "data", b"123456"), ("headless", "data", b"x"), ("void", "init", None))
+        send(("good", "data", b"0.7"), ("big", "data", b"12345"), ("twice", "init", None), ("twice", "init", None), ("void", "end", None))
+        send(("good", "end", None), ("big", "end", None), ("headless", "end", None))
+        assert (tmp_path / "staged" / "good.bin").read_bytes() == b"x:0.7"
+        assert s.table("tasks").select("task_id").collect() == [("good",)]
+        want = {"bare": "models or a pipeline are required", "big": "the upload is too large", "headless": "the first message must describe the upload", "twice": "the upload was described twice", "void": "the upload is empty"}
+        assert {k: v for k, v in told.items() if k != "late"} == want
+        end = time.time() + 60
+        while time.time() < end and "late" not in told and q.exception() is None:
+            time.sleep(0.3)
+        assert q.exception() is None and told == want | {"late": "the upload was not finished in time"}
+    finally:
+        q.stop()
+    assert [p.name for p in (tmp_path / "staged").iterdir()] == ["good.bin"]
+    Runner(e, c, {"general": lambda: scores, "nsfw": lambda: scores}, download, tool=tool).run()
+    assert s.table("items").first()["state"] == "completed" and not list((tmp_path / "staged").iterdir())

@@ -246,3 +246,39 @@ def test_pixels(spark):
     df = spark.createDataFrame([(bytearray(black.tobytes()), 2, 2), (None, 0, 0)], "data binary, width int, height int")
     got = [r["t"] for r in df.select(pixels.preprocess(F.col("data"), F.col("width"), F.col("height"), 4, [0.5] * 3, [0.5] * 3).alias("t")).collect()]
     assert got[0] == [-1.0] * 48 and got[1] is None
+
+
+def test_a_change_that_lands_beside_a_compaction_is_kept(spark, tmp_path):
+    """Drawn before the compaction, written after it; then more compactions, with old files and bases going."""
+    s = open_store(spark, "parquet", str(tmp_path / "store"), now=lambda: 50)
+    s.create_task("t", [{"input": None, "models": ["m"]}])
+    s.set_item_state("t", 0, "processing", {"kind": "fetch", "message": "x"})
+    s.increment_attempts("t")
+    early = s._version()
+    s.set_item_state("t", 0, "retrying")
+    late = s._version()
+    s.set_item_retries("t", 0, 4)
+    for n in ("items", "tasks"):
+        s.compact(n)
+    item = lambda: s.table("items").first()
+    assert (item()["state"], item()["error"], item()["retries"]) == ("retrying", None, 4)
+    write = lambda version, **columns: s._write(s._rows([{"task_id": "t", "idx": 0, "_version": version, **columns}], "items"), "items", version)
+    write(early, state="queued", pipeline="p")
+    assert (item()["state"], item()["pipeline"]) == ("retrying", "p")  # older than the state, newer than any pipeline
+    write(late, state="completed")
+    assert (item()["state"], item()["retries"]) == ("completed", 4)
+    before = [r.asDict(True) for n in ("items", "tasks") for r in s.table(n).collect()]
+    for _ in range(3):
+        for n in ("items", "tasks"):
+            s.compact(n)
+        assert [r.asDict(True) for n in ("items", "tasks") for r in s.table(n).collect()] == before
+    assert len(list((tmp_path / "store" / "items").glob("base-*"))) == 2 and not list((tmp_path / "store" / "items" / "tail").glob("_day=[1-9]*/*.parquet"))
+    s.set_task_state("t", "completed")
+    assert s.purge_finished_before(60) == 1 and s.table("items").count() == 0
+    for _ in range(3):
+        for n in ("items", "tasks"):
+            s.compact(n)
+        assert s.table("items").count() == s.table("tasks").count() == 0
+    half = tmp_path / "store" / "items" / "base-99999999999999999999"
+    half.mkdir()  # a compaction that died before its end
+    assert s.table("items").count() == 0

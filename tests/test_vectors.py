@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -216,16 +217,46 @@ def test_wire_view(spark):
     assert got["done"]["models"]["general"]["output"] == "out" and got["done"]["models"]["nsfw"]["state"] == 5
 
 
-def test_prompts_beyond_a_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("mode, kept", [("flat", {"least": 0.4, "most": 3}), ("flat", {}), ("taxonomy", {"least": 0.3}), ("softmax", {})])
+def test_vectors_against_prompts(spark, monkeypatch, mode, kept):
+    """Few prompts and many blocks of them against a product over all pairs."""
     from vigilframe.operators import zeroshot
 
-    images = spark.createDataFrame([(i, [float(i % 7), 1.0, -2.0]) for i in range(30)], "vec_id long, embedding array<double>")
-    prompts = spark.createDataFrame([(p, [1.0, float(p), 0.5]) for p in range(20)], "prompt_ix long, prompt_embedding array<double>")
-    few = sorted(map(tuple, zeroshot.prompt_scores(images, prompts, 1.0, 0.0).collect()))
-    monkeypatch.setattr(zeroshot, "PROMPT_BYTES", 200)
-    many = zeroshot.prompt_scores(images, prompts, 1.0, 0.0)
-    assert len(few) == 600 and sorted(map(tuple, many.select("vec_id", "prompt_ix", "score").collect())) == few
-    assert "CartesianProduct" not in many._jdf.queryExecution().executedPlan().toString()
+    rnd = np.random.default_rng(5)
+    vectors, prompts = rnd.normal(size=(40, 6)), rnd.normal(size=(33, 6))
+    vectors[3], prompts[4] = 0, 0
+    images = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(90, None), (None, [1.0] * 6)], "vec_id long, embedding array<double>")
+    agg = lambda c: (None, "mean", "max")[c % 3]
+    rows = [(ix, ix % 7 if mode == "taxonomy" else ix, agg(ix % 7), p.tolist()) for ix, p in enumerate(prompts)]
+    frame = spark.createDataFrame(rows, "prompt_ix long, child_id long, agg string, prompt_embedding array<double>")
+
+    want = set()
+    for i, v in enumerate(vectors):
+        if mode == "softmax":
+            logits = 2.0 * prompts @ v
+            scores = {ix: x for ix, x in enumerate(np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum())}
+        else:
+            if not v.any():
+                continue
+            each = {ix: 1 / (1 + np.exp(-(2 * (p @ v) / np.linalg.norm(p) / np.linalg.norm(v) - 0.5))) for ix, p in enumerate(prompts) if p.any()}
+            if mode == "taxonomy":
+                of = {c: [x for ix, x in each.items() if ix % 7 == c] for c in range(7)}
+                each = {c: np.mean(x) if agg(c) == "mean" else max(x) for c, x in of.items()}
+            scores = {c: x for c, x in each.items() if x >= kept.get("least", -1)}
+        best = sorted(scores, key=lambda c: -scores[c])[: kept.get("most") or (5 if mode == "softmax" else None)]
+        want |= {(i, c, round(float(scores[c]), 5)) for c in best}
+
+    def got():
+        out = zeroshot.classify_vectors(images, frame, "vec_id", mode, 2.0 if mode == "softmax" else float(np.log(2)), -0.5, **kept)
+        assert "CartesianProduct" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+        return {(r["vec_id"], r["label"], round(r["score"], 5)) for r in out.collect()}
+
+    few = got()
+    assert len(few) == len(want) and {x[:2] for x in few} == {x[:2] for x in want}
+    monkeypatch.setattr(zeroshot, "PROMPT_BYTES", 500)
+    assert got() == few
+    assert max(abs(dict(((a, b), c) for a, b, c in few)[a, b] - c) for a, b, c in want) < 2e-5
+    assert zeroshot.classify_vectors(images, frame.limit(0), "vec_id", mode).count() == 0
 
 
 def test_places_of_a_large_gate(spark):
@@ -243,3 +274,56 @@ def test_places_of_a_large_gate(spark):
         want |= {(*r,): n + 1 for n, r in enumerate(mine)}
     assert {(r["gate"], r["priority"], r["seq"]): r["place"] for r in got} == want
     assert lifecycle.waiting_order(spark.createDataFrame([], "gate string, priority int, seq long"), ["gate"]).count() == 0
+
+
+def admitted_by_loop(rows, free):
+    """{key: accepted} of rows (group, seq, n), one after the other."""
+    room, out = {}, {}
+    for g, at, n in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        n = max(n or 0, 0)
+        left = room.setdefault(g, free)
+        out[g, at] = n <= left
+        room[g] = left - n if out[g, at] else left
+    return out
+
+
+@pytest.mark.parametrize("groups, parts, pending, most", [(1, 7, 0, 40), (1, 1, 3, 40), (5, 6, 2, 30), (300, 4, 0, 5), (3, 9, 50, 40), (2, 5, 0, 1)])
+def test_admission_without_a_group_in_one_task(spark, groups, parts, pending, most):
+    import random
+
+    rnd = random.Random(groups * 10 + parts)
+    rows = [(rnd.randrange(groups) if groups > 1 else "one", at, rnd.choice([None, 0, -2, 1, 1, 2, 3, 7, 50])) for at in range(600)]
+    rows = [(str(g) if g else None, at, n) for g, at, n in rows]
+    frame = spark.createDataFrame(rows, "g string, seq long, n_items long")
+    out = lifecycle.within_capacity(frame, pending, most, ["g"], parts=parts)
+    got = {(r["g"], r["seq"]): r["accepted"] for r in out.collect()}
+    assert got == admitted_by_loop(rows, most - pending)
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    assert lifecycle.within_capacity(frame.limit(0), pending, most, ["g"]).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.floats(-1, 5), st.integers(-20, 100).map(lambda k: k * 0.05), st.integers(0, 100).map(lambda k: k * 0.025))))
+def test_first_come_against_a_loop(times):
+    kept = []
+    for t in times:
+        if not any(c is not None and t is not None and abs(c - t) <= 0.05 for c in kept):
+            kept.append(t)
+    assert sampling.first_come(times) == kept
+
+
+def test_plans_of_long_videos_are_linear(spark):
+    import time
+
+    began = time.monotonic()
+    times = [i / 30 for i in range(100_000)]
+    assert len(sampling.first_come(times)) == 50_000 and time.monotonic() - began < 1
+    d = F.lit(3600.0)
+    steps = F.array(sampling.at_rate(d, F.lit(30.0)), sampling.uniform(d, F.lit(5000)))
+    got = one(spark, sampling.merge_steps(steps, d, F.lit(30.0)).alias("t"))["t"]
+    t, want = 0.0, []
+    while t < 3600.0:
+        want.append(t)
+        t += 1.0 / 30.0
+    assert got[:50_000] == sampling.first_come([min(x, 3600 - 1 / 30) for x in want])[:50_000]
+    assert one(spark, sampling.at_rate(F.lit(None).cast("double"), F.lit(1.0)).alias("a"), sampling.at_rate(d, F.lit(-1.0)).alias("b")) == ([], [])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.durable import durable
 from ..functions.exprs import is_terminal, modality, model_done
 
 #: A task that is resumed more often than this is failed.
@@ -71,24 +73,84 @@ def admitted(waiters: DataFrame, groups: list[str], slots: int, **names) -> Data
     return waiting_order(waiters, groups, **names).where(F.col("place") <= slots)
 
 
-def within_capacity(batch: DataFrame, pending_now: int, most: int, groups: list[str], order: str = "seq", items: str = "n_items") -> DataFrame:
+#: Bytes of step functions that come to the driver at most (see within_capacity).
+STEP_BYTES = 64 << 20
+
+
+def within_capacity(batch: DataFrame, pending_now: int, most: int, groups: list[str], order: str = "seq", items: str = "n_items", parts: int | None = None) -> DataFrame:
     """Add `accepted`: whether the queue would still hold a submission; a maximum of 0 accepts all.
 
     Submissions of a group arrive one after the other and only accepted ones count, so that a refused
-    large one leaves room for later small ones. A fold over the group's sizes in order of arrival.
-    """
-    mine = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.coalesce(F.col(items).cast("long"), F.lit(0).cast("long")).alias("n"))))
-    start = F.struct(F.lit(pending_now).cast("long").alias("used"), F.array().cast("array<boolean>").alias("fits"))
+    large one leaves room for later small ones.
 
-    def arrive(a, x):
-        fits = a["used"] + x["n"] <= most
-        return F.struct((a["used"] + F.when(fits, x["n"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.array_append(a["fits"], fits).alias("fits"))
-
-    folded = batch.groupBy(*groups).agg(mine.alias("_sizes")).withColumn("_fits", F.aggregate("_sizes", start, arrive, lambda a: a["fits"]))
-    each = folded.select(*groups, F.posexplode(F.arrays_zip("_sizes", "_fits")).alias("_n", "_x")).select(*groups, F.col("_x._sizes.at").alias(order), F.col("_x._fits").alias("accepted"))
+    No group is gathered. Rows are sorted into ranges of (group, arrival). A range tells of its first
+    group a step function, the room left behind it for each room before it, and of its last group what
+    is left if it begins there: the others lie inside. Functions of neighbouring ranges compose, so a
+    fold over one function a range, `most` + 1 numbers, gives every range the room it begins with, and
+    it then decides its own rows. Sizes that are null or negative count as 0.
+    """
     if most <= 0:
         return batch.withColumn("accepted", F.lit(True))
-    return batch.join(each, [*groups, order])
+    import numpy as np
+    import pandas as pd
+    from pyspark import TaskContext
+
+    spark = batch.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(parts, STEP_BYTES // (4 * (most + 1))))
+    free = most - pending_now
+    columns = batch.columns
+    numbered = batch.withColumn("__group", F.to_json(F.struct(*groups))).withColumn("__n", F.greatest(F.coalesce(F.col(items), F.lit(0)), F.lit(0)).cast("long"))
+    ranged = durable(numbered.repartitionByRange(parts, "__group", order).sortWithinPartitions("__group", order, "__n"))
+
+    def segments(frames):
+        """(group, rows, sizes) in order; a group may go on in the next frame."""
+        for frame in frames:
+            names = frame["__group"].to_numpy()
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)] if len(names) else [0]
+            for i, j in zip(cuts, cuts[1:]):
+                yield names[i], frame.iloc[i:j], frame["__n"].iloc[i:j].tolist()
+
+    def tell(frames):
+        first = last = steps = None
+        room = free
+        for name, _, sizes in segments(frames):
+            if first is None:
+                first, steps = name, np.arange(most + 1, dtype=np.int32)
+            if name == first:
+                for n in sizes:
+                    if 0 < n <= most:
+                        steps = np.where(steps >= n, steps - n, steps).astype(np.int32)
+            elif name != last:
+                room = free
+            if name != first:
+                for n in sizes:
+                    if n <= room:
+                        room -= n
+            last = name
+        if first is not None:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "first": [first], "last": [last], "steps": [steps.tobytes()], "room": [room]})
+
+    told = sorted(ranged.mapInPandas(tell, "part int, first string, last string, steps binary, room long").collect())
+    starts, before, room = {}, None, free
+    for part, first, last, steps, left in told:
+        starts[part] = room if first == before else free
+        room = left if last != first else starts[part] if starts[part] < 0 else int(np.frombuffer(steps, np.int32)[starts[part]])
+        before = last
+
+    def decide(frames):
+        now, room = None, free
+        for name, rows, sizes in segments(frames):
+            if name != now:
+                room = starts[TaskContext.get().partitionId()] if now is None else free
+                now = name
+            fits = []
+            for n in sizes:
+                fits.append(n <= room)
+                room -= n if fits[-1] else 0
+            yield rows[columns].assign(accepted=fits)
+
+    return ranged.mapInPandas(decide, T.StructType([*batch.schema.fields, T.StructField("accepted", T.BooleanType())]))
 
 
 def admit_in_order(batch: DataFrame, pending_now: int, most: int, order: str, items: str) -> DataFrame:

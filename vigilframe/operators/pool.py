@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,41 @@ def batches(frames: DataFrame, keys: list[str], size: int, order: str = "frame_i
     return frames.withColumn("batch", F.floor((F.row_number().over(w) - 1) / F.lit(size)).cast("long"))
 
 
+def scan_in_batches(frames: DataFrame, keys: list[str], classify: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame], size: int = 8, growth: int = 2, order: str = "frame_index", store: Callable[[DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(frames as far as each scan goes, (keys, n_classified)): a scan ends with its first frame that fires.
+
+    Rounds over all scans at once: the first classifies `size` frames of each, every later one `growth`
+    times as many of those that go on, so rounds are logarithmic in the longest scan and no frame beyond
+    the batch that fires is classified. `classify` gives (keys, order, fires, ...) of frames; `keep`
+    writes a round's rows once, and `store` gets those that count before the next round begins, so that
+    what a lost driver leaves undone is one round.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    # batch r begins at size * (growth**r - 1) / (growth - 1)
+    if growth > 1:
+        batch = F.floor(F.log(float(growth), place * (growth - 1) / F.lit(float(size)) + 1) + 1e-9)
+    else:
+        batch = F.floor(place / size)
+    left = keep(frames.withColumn("_batch", batch.cast("int")))
+    kept = counts = None
+    turn = 0
+    while True:
+        now = left.where(F.col("_batch") == turn).drop("_batch")
+        if now.isEmpty():
+            break
+        got = keep(classify(now))
+        mine = until_trigger(got, keys, F.coalesce("fires", F.lit(False)), order)
+        if store:
+            store(mine)
+        n = got.groupBy(*keys).agg(F.count("*").alias("_n"))
+        kept, counts = (mine, n) if kept is None else (kept.unionByName(mine), counts.unionByName(n))
+        left = left.join(got.where("fires").select(*keys).distinct(), keys, "left_anti")
+        turn += 1
+    if kept is None:
+        kept, counts = classify(frames.limit(0)), frames.limit(0).groupBy(*keys).agg(F.count("*").alias("_n"))
+    return kept, counts.groupBy(*keys).agg(F.sum("_n").alias("n_classified"))
+
+
 def frame_scans(frames: DataFrame, pooled: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, frame_scan): the pooled classification and the frames in index order."""
     listed = frames.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame_index", "timestamp", "classification"))).alias("frames"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from ..functions.durable import checkpoint_folder
 from ..operators import cache, gate, lifecycle, pool, sampling, select, zeroshot
 from ..sources import media
 
@@ -98,6 +99,18 @@ def scan_early_exit(spark, sf_dir):
     return pool.pool(kept, ["item"], "mean").select("item", "label", _round("score"), "rank")
 
 
+@query(f"""WITH {_SQL_FRAMES}, b AS (SELECT *, floor(log2(frame_index / 8 + 1) + 1e-9)::INTEGER AS batch, label = 1 AND score >= 0.85::FLOAT AS fires FROM f),
+ e AS (SELECT item, min(CASE WHEN fires THEN frame_index END) AS fired, min(CASE WHEN fires THEN batch END) AS last, count(*) AS n FROM b GROUP BY item)
+ SELECT b.item, count(CASE WHEN last IS NULL OR batch <= last THEN 1 END) AS n_classified, count(CASE WHEN fired IS NULL OR frame_index <= fired THEN 1 END) AS n_kept, any_value(fired) AS fired FROM b JOIN e USING (item) GROUP BY b.item""")
+def scan_rounds(spark, sf_dir):
+    """Scans in rounds of 8, 16, 32, ... frames each: how many frames were classified, and how many count."""
+    frames = _frames(spark, sf_dir)
+    fires = lambda rows: rows.withColumn("fires", pool.fires([TRIGGER], THRESHOLD))
+    kept, counts = pool.scan_in_batches(frames, ["item"], fires, _store(spark).durable)
+    each = kept.groupBy("item").agg(F.count("*").alias("n_kept"), F.min(F.when(F.col("fires"), F.col("frame_index"))).alias("fired"))
+    return counts.join(each, "item").select("item", "n_classified", "n_kept", "fired")
+
+
 @query(f"WITH {_SQL_FRAMES} SELECT item, frame_index, (frame_index // 8)::BIGINT AS batch FROM f")
 def frame_batches(spark, sf_dir):
     return pool.batches(_frames(spark, sf_dir), ["item"], 8).select("item", "frame_index", "batch")
@@ -125,16 +138,17 @@ _SQL_ZERO = """p AS (SELECT vec_id AS prompt_ix, label AS child_id, embedding::D
  s AS (SELECT vec_id, prompt_ix, child_id, 1 / (1 + exp(-(2.0 * list_dot_product(i.e, p.e) / (i.n * p.n) - 1.0))) AS score FROM i, p)"""
 
 
-def _prompt_scores(spark, sf_dir, prompts: int) -> DataFrame:
+def _prompted(spark, sf_dir, prompts: int, mode: str, how: str = "max", **kept) -> DataFrame:
+    """The vectors behind the first `prompts` against these, the prompts' labels being their children."""
     e = _t(spark, sf_dir, "embeddings")
-    p = e.where(F.col("vec_id") < prompts).select(F.col("vec_id").alias("prompt_ix"), F.col("label").alias("child_id"), F.lit(0).alias("parent_id"), F.col("embedding").alias("prompt_embedding"))
-    return zeroshot.prompt_scores(e.where(F.col("vec_id") >= prompts).select("vec_id", "embedding"), p, LOG_SCALE, BIAS)
+    child = F.col("label").cast("long") if mode == "taxonomy" else F.col("vec_id")
+    p = e.where(F.col("vec_id") < prompts).select(F.col("vec_id").alias("prompt_ix"), child.alias("child_id"), F.lit(how).alias("agg"), F.col("embedding").alias("prompt_embedding"))
+    return zeroshot.classify_vectors(e.where(F.col("vec_id") >= prompts).select("vec_id", "embedding"), p, "vec_id", mode, LOG_SCALE, BIAS, **kept)
 
 
 def _taxonomy(spark, sf_dir, how: str) -> DataFrame:
-    scored = _prompt_scores(spark, sf_dir, 40).withColumn("agg", F.lit(how))
-    top = select.select_top(zeroshot.taxonomy_scores(scored, "vec_id"), ["vec_id"])
-    return top.select("vec_id", "child_id", _round("score"), "rank")
+    top = select.select_top(_prompted(spark, sf_dir, 40, "taxonomy", how), ["vec_id"])
+    return top.select("vec_id", F.col("label").cast("int").alias("child_id"), _round("score"), "rank")
 
 
 _SQL_TAXONOMY = f"WITH {_SQL_ZERO.format(prompts=40)}, " + """c AS (SELECT vec_id, child_id, min(prompt_ix) AS ordinal, {how}(score)::FLOAT AS score FROM s GROUP BY vec_id, child_id),
@@ -155,14 +169,13 @@ def zeroshot_taxonomy_max(spark, sf_dir):
 @query(f"WITH {_SQL_ZERO.format(prompts=40)} SELECT vec_id, child_id, round(avg(score)::FLOAT::DOUBLE, 5) AS score FROM s GROUP BY vec_id, child_id HAVING avg(score)::FLOAT >= 0.2::FLOAT")
 def zeroshot_taxonomy_all(spark, sf_dir):
     """Every child above the threshold: a taxonomy's output is neither capped nor selected from."""
-    scored = _prompt_scores(spark, sf_dir, 40).withColumn("agg", F.lit("mean"))
-    return zeroshot.taxonomy_scores(scored, "vec_id", 0.2).select("vec_id", "child_id", F.round(F.col("score").cast("double"), 5).alias("score"))
+    return _prompted(spark, sf_dir, 40, "taxonomy", "mean", least=0.2).select("vec_id", F.col("label").cast("int").alias("child_id"), F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
 @query(f"WITH {_SQL_ZERO.format(prompts=10)}, r AS (SELECT vec_id, prompt_ix, score::FLOAT AS score, row_number() OVER (PARTITION BY vec_id ORDER BY score::FLOAT DESC, prompt_ix) AS rank FROM s WHERE score::FLOAT >= 0.3::FLOAT) SELECT vec_id, prompt_ix, round(score::DOUBLE, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 3")
 def zeroshot_flat(spark, sf_dir):
-    scored = _prompt_scores(spark, sf_dir, 10).withColumn("score", F.col("score").cast("float"))
-    return select.flat_top(scored, ["vec_id"], 0.3, 3, ordinal="prompt_ix").select("vec_id", "prompt_ix", _round("score"), "rank")
+    scored = _prompted(spark, sf_dir, 10, "flat", least=0.3, most=3)
+    return select.flat_top(scored, ["vec_id"], 0.3, 3).select("vec_id", F.col("ordinal").alias("prompt_ix"), _round("score"), "rank")
 
 
 @query("""WITH x AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, embedding FROM embeddings), m AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS c FROM x GROUP BY label, i),
@@ -172,14 +185,13 @@ def zeroshot_flat(spark, sf_dir):
  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM s)
  SELECT vec_id, label, round(score::DOUBLE, 5) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5 OR score > 0.9::FLOAT""")
 def softmax_top(spark, sf_dir):
-    """Every vector against the mean vector of each label; the labels are a handful and counted before the broadcast."""
+    """Every vector against the mean vector of each label."""
     e = _t(spark, sf_dir, "embeddings")
     means = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("c"))
-    packed = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda m: m["c"]).alias("c"))
-    if packed.count() <= 10_000:
-        packed = F.broadcast(packed)
-    logits = e.select("vec_id", "embedding").join(packed).select("vec_id", "label", (F.lit(10.0) * zeroshot.dot(F.col("embedding"), F.col("c"))).alias("logit"))
-    return select.select_top(zeroshot.softmax(logits, ["vec_id"]), ["vec_id"], ordinal="label").select("vec_id", "label", F.round(F.col("score").cast("double"), 5).alias("score"), "rank")
+    packed = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda m: m["c"]).alias("prompt_embedding"))
+    prompts = packed.select(F.col("label").cast("long").alias("prompt_ix"), F.col("label").cast("long").alias("child_id"), F.lit(None).cast("string").alias("agg"), "prompt_embedding")
+    scored = zeroshot.classify_vectors(e.select("vec_id", "embedding"), prompts, "vec_id", "softmax", 10.0)
+    return select.select_top(scored, ["vec_id"]).select("vec_id", F.col("label").cast("int").alias("label"), F.round(F.col("score").cast("double"), 5).alias("score"), "rank")
 
 
 @query("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS x0, round(embedding[64]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS x63 FROM embeddings")
@@ -607,8 +619,8 @@ def _store(spark):
 
     from ..sources import store
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stores"
-    return store.open_store(spark, "parquet", f"{root.rstrip('/')}/store-{uuid.uuid4()}", now=lambda: 1000)
+    root = f"{checkpoint_folder(spark)}/store-{uuid.uuid4()}"  # goes with the checkpoints when the driver ends
+    return store.open_store(spark, "parquet", root, now=lambda: 1000)
 
 
 def _image(url):

@@ -6,80 +6,27 @@ import time
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import content_digest
 from ..operators import cache as caches
 from ..operators import gate, lifecycle, pool, sampling, select, wire
 from ..sources import media
 from ..sources.store import Store
+from .worker import Model
 
-PREDICTIONS = "array<struct<ordinal:int,label:bigint,score:float>>"
+PREDICTIONS = "array<struct<label:bigint,score:float>>"
+#: The name by which callers know it.
+batch_model = Model
 
 
-RESULT = f"struct<predictions:{PREDICTIONS},error:string>"
-
-
-def batch_model(load: Callable[[], Callable], batch_size: int = 8, name: str | None = None, revision: str = "main", timeout_seconds: float | None = None):
-    """A Spark function of a model: struct(predictions, error) of images.
-
-    `load()` runs once a Python worker and gives images -> scores (n, classes); a model is known by name
-    and revision. Inputs come in Arrow batches and are cut to `batch_size`; null inputs are errors. A
-    failing batch fails all its rows with the failure's text, and so does one that takes longer than
-    `timeout_seconds`, which bounds the classification of each of its images.
-    """
-    import numpy as np
-
-    @F.pandas_udf(RESULT)
-    def classify(batches: pd.Series) -> pd.DataFrame:  # pragma: no cover - runs in workers
-        from concurrent.futures import ThreadPoolExecutor, TimeoutError
-
-        predictions: list = [None] * len(batches)
-        errors: list = ["there is no input"] * len(batches)
-        given = [i for i, x in enumerate(batches) if x is not None]
-        pool_ = None
-        for k in range(0, len(given), batch_size):
-            rows = given[k : k + batch_size]
-            try:
-                predict = _loaded(load, name, revision)
-                pool_ = pool_ or ThreadPoolExecutor(1)
-                scores = np.asarray(pool_.submit(predict, [batches.iloc[i] for i in rows]).result(timeout_seconds), np.float32)
-                for i, row in zip(rows, scores, strict=True):
-                    predictions[i], errors[i] = [{"ordinal": n, "label": n, "score": float(s)} for n, s in enumerate(row)], None
-            except TimeoutError:
-                pool_.shutdown(wait=False)
-                pool_ = None  # its thread may go on; the next batch gets another
-                for i in rows:
-                    predictions[i], errors[i] = None, f"model {name or 'without a name'} timed out"
-            except Exception as e:
-                for i in rows:
-                    predictions[i], errors[i] = None, str(e) or type(e).__name__
-        return pd.DataFrame({"predictions": pd.Series(predictions, dtype=object), "error": pd.Series(errors, dtype=object)})
-
-    return classify
-
-
-_MODELS: dict = {}
-
-
-def _loaded(load: Callable, name: str | None, revision: str):
-    """The model of a name and revision, or of a loader that has no name, loaded once a worker."""
-    key = (name, revision) if name else load.__code__ if hasattr(load, "__code__") and not load.__closure__ else id(load)
-    if key not in _MODELS:
-        _MODELS[key] = load()
-    return _MODELS[key]
-
-
-def explode_predictions(rows: DataFrame, keys: list[str], column: str = "predictions") -> DataFrame:
-    return rows.select(*keys, F.explode(column).alias("_p")).select(*keys, "_p.ordinal", "_p.label", "_p.score")
-
-
-def classify_images(items: DataFrame, model, keys: list[str], content: str = "content") -> DataFrame:
-    """(keys, classification): every image's selected predictions."""
-    scored = items.withColumn("predictions", model(F.col(content))["predictions"])
-    return select.as_array(select.select_top(explode_predictions(scored, keys), keys), keys)
+def classify_images(items: DataFrame, model: Model, keys: list[str], content: str = "content") -> DataFrame:
+    """(keys, classification): every image's selected predictions; those of failed ones are null."""
+    return items.select(*keys, model(F.col(content))["classification"].alias("classification"))
 
 
 def frame_plan(videos: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,28 +37,75 @@ def frame_plan(videos: DataFrame, steps: DataFrame, keys: list[str]) -> DataFram
     joined = videos.join(steps, "strategy")
     probed = F.try_element_at(F.col("probed"), F.col("step")) if "probed" in videos.columns else F.array().cast("array<double>")
     times = sampling.step_times(F.col("method"), F.col("duration"), F.col("fps"), F.col("count"), F.col("rate"), F.col("nth"), probed)
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("step", times.alias("times")))), lambda s: s["times"])
-    planned = joined.groupBy(*keys, "duration", "fps").agg(packed.alias("_steps"))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("step", "times"))), lambda s: s["times"])
+    planned = joined.withColumn("times", times).groupBy(*keys, "duration", "fps").agg(packed.alias("_steps"))
     return planned.select(*keys, F.posexplode(sampling.merge_steps(F.col("_steps"), F.col("duration"), F.col("fps"))).alias("frame_index", "timestamp"))
 
 
-def scan_videos(planned: DataFrame, done: DataFrame, extract_and_classify: Callable[[DataFrame], DataFrame], keys: list[str], how: str = "mean", labels: list[int] | None = None, threshold: float = 0.9) -> DataFrame:
-    """(keys, frame_scan): pending frames classified, joined by the stored ones, cut at a trigger, pooled.
+def scan_videos(planned: DataFrame, done: DataFrame, extract_and_classify: Callable[[DataFrame], DataFrame], keys: list[str], how: str = "mean", labels: list[int] | None = None, threshold: float = 0.9, batch: int = 8, growth: int = 2, keep: Callable[[DataFrame], DataFrame] | None = None, store: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """(keys, frame_scan): pending frames classified batch by batch as far as a trigger, joined by the stored ones, pooled.
 
-    `extract_and_classify` gives (keys, frame_index, timestamp, ordinal, label, score) of frames. Stored
+    `extract_and_classify` gives (keys, frame_index, timestamp, ordinal, label, score) of frames, and is only
+    asked for frames up to the batch in which a trigger fires (see pool.scan_in_batches). `store` gets
+    each round's frames (keys, frame_index, timestamp, classification) before the next is asked for. Stored
     frames are not tested for triggers again: only new frames stop a scan.
     """
-    fresh = extract_and_classify(pool.pending(planned, done, [*keys, "frame_index"]))
-    chosen = select.select_top(fresh, [*keys, "frame_index"])
-    if labels:
-        hit = chosen.groupBy(*keys, "frame_index").agg(F.bool_or(pool.fires(labels, threshold)).alias("fires"))
-        kept = pool.until_trigger(hit, keys, F.col("fires")).select(*keys, "frame_index")
-        chosen = chosen.join(kept, [*keys, "frame_index"], "left_semi")
-    rows = chosen.select(*keys, "frame_index", "timestamp", "rank", "label", "score")
-    stored = done.select(*keys, "frame_index", "timestamp", F.posexplode("classification").alias("rank", "p")).select(*keys, "frame_index", "timestamp", (F.col("rank") + 1).alias("rank"), F.col("p.label").alias("label"), F.col("p.score").alias("score"))
-    everything = stored.unionByName(rows)
-    frames = select.as_array(everything, [*keys, "frame_index", "timestamp"])
-    return pool.frame_scans(frames, pool.pool(everything, keys, how), keys)
+    keep = keep or (lambda rows: rows.checkpoint(eager=True))
+
+    def classify(pending: DataFrame) -> DataFrame:
+        frame = [*keys, "frame_index", "timestamp"]
+        found = select.as_array(select.select_top(extract_and_classify(pending), [*keys, "frame_index"]), frame)
+        fires = select.triggered(F.col("classification"), labels, threshold) if labels else F.lit(False)
+        return pending.select(*frame).join(found, frame, "left").withColumn("fires", fires)
+
+    fresh, _ = pool.scan_in_batches(pool.pending(planned, done, [*keys, "frame_index"]), keys, classify, keep, batch, growth, store=store)
+    frame = [*keys, "frame_index", "timestamp", "classification"]
+    return assembled_scans(done.select(*frame).unionByName(fresh.where("classification is not null").select(*frame)), keys, how)
+
+
+def assembled_scans(frames: DataFrame, keys: list[str], how: str = "mean") -> DataFrame:
+    """(keys, frame_scan) of classified frames (keys, frame_index, timestamp, classification)."""
+    each = frames.select(*keys, "frame_index", F.explode("classification").alias("p")).select(*keys, "frame_index", "p.label", "p.score")
+    return pool.frame_scans(frames, pool.pool(each, keys, how), keys)
+
+
+def scan_lazily(videos: DataFrame, keys: list[str], model: Model, labels: list[int] | None, threshold: float, run=media.run_tool, content: str = "content", times: str = "times") -> DataFrame:
+    """(keys, frame_index, timestamp, classification, error, fires): each video's frames at its `times`, as far as the scan goes.
+
+    A video's frames are extracted and classified one model batch at a time; the frame at which a
+    trigger fires, or the first that fails, is the last. The batches after it are neither extracted nor
+    classified, those before it left as rows. A video lies in a file of its task for that time.
+    """
+    trigger, least = set(labels or ()), float(np.float32(threshold))
+    schema = T.StructType(
+        [*(videos.schema[k] for k in keys), T.StructField("frame_index", T.LongType()), T.StructField("timestamp", T.DoubleType()), *T.StructType.fromDDL(f"classification {PREDICTIONS}, error string, fires boolean").fields]
+    )
+
+    def frames_of(file: str, wanted: list[dict]):
+        for k in range(0, len(wanted), model.batch_size):
+            chunk = wanted[k : k + model.batch_size]
+            got = [media.one_frame(file, float(t["timestamp"]), run) for t in chunk]
+            lost = next(((t, problem) for t, (frame, problem) in zip(chunk, got) if frame is None), None)
+            if lost:  # a batch that cannot be extracted is not classified
+                yield lost[0], None, lost[1], False
+                return
+            for t, (found, problem) in zip(chunk, model.ask([frame for frame, _ in got])):
+                fires = problem is None and any(label in trigger and score >= least for label, score in found)
+                yield t, found, problem, fires
+                if fires or problem is not None:
+                    return
+
+    def each(frames):
+        for frame in frames:
+            for _, row in frame.iterrows():
+                own = tuple(row[k] for k in keys)
+
+                def scan(file, row=row, own=own):
+                    return [(*own, int(t["frame_index"]), float(t["timestamp"]), None if found is None else [{"label": n, "score": x} for n, x in found], problem, fires) for t, found, problem, fires in frames_of(file, list(row[times]))]
+
+                yield pd.DataFrame(media.on_file(row[content], scan), columns=schema.names)
+
+    return videos.select(*keys, content, times).mapInPandas(each, schema)
 
 
 class Engine:

@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import content_digest, input_url, modality, model_done
+from ..functions.exprs import content_digest, input_url, modality, model_done, retry_backoff
 from ..operators import cache as caches
-from ..operators import lifecycle, pool, select
+from ..operators import lifecycle, pool
 from ..sources import media
 from ..sources.config import Config
 from ..streaming.scan import outbox
@@ -38,18 +38,27 @@ class Runner:
     bytes` run on the executors. `slots` bounds how many items one pass admits, the highest priority first.
     `notify(row)` is told, once and without a second try, of items that begin or are tried again; ended items
     are delivered by the outbox.
+
+    An item holds its permit from admission to its end, over retries and passes: `slots` counts those that
+    are processing or retrying, and only what they leave free goes to those that are queued.
     """
 
-    def __init__(self, engine: classify.Engine, config: Config, models: dict[str, Callable], download=media.http_download, limits: media.FetchLimits | None = None, check: Callable[[bytes], None] | None = None, tool=media.run_tool, cache: bool = True, ttl: int | None = None, slots: int | None = None, most_seconds: int = 3600, retries: int = 3, wait=time.sleep, notify: Callable[[dict], None] | None = None):
+    def __init__(self, engine: classify.Engine, config: Config, models: dict[str, Callable], download=media.http_download, limits: media.FetchLimits | None = None, check: Callable[[bytes], None] | None = None, tool=media.run_tool, cache: bool = True, ttl: int | None = None, slots: int | None = None, most_seconds: int = 3600, retries: int = 3, wait=time.sleep, notify: Callable[[dict], None] | None = None, most_batches: int = 64):
         self.engine, self.store, self.spark, self.config, self.models = engine, engine.store, engine.spark, config, models
         self.download, self.limits, self.check, self.tool = download, limits or media.FetchLimits(), check, tool
         self.cache, self.ttl, self.slots, self.most_seconds, self.retries, self.wait, self.notify = cache, ttl, slots, most_seconds, retries, wait, notify
+        self.most_batches = most_batches
         self.revisions = engine.models.select("model", "revision")
 
     # --- what waits
 
-    def run(self) -> DataFrame:
-        """One pass over the waiting items; gives (task_id, idx, state) of those it ended."""
+    def run(self, linger: bool = True) -> DataFrame:
+        """One pass over the waiting items; gives (task_id, idx, state) of those it ended.
+
+        Items whose fetch failed are tried again when their back-off is over, by which time all others have
+        been through their models and are stored. Without `linger` the pass does not wait for them: they
+        stay as retrying, hold their permits, and a later pass takes them when they are due.
+        """
         self.engine.cancel_items()
         waiting = self._admitted()
         self._append("tasks", waiting.select("task_id").distinct(), state=F.lit("processing"), updated_at=self._now())
@@ -60,28 +69,46 @@ class Runner:
         left = waiting
         for done in ended:
             left = left.join(done, KEYS, "left_anti")
+            self._complete(done)
         left = self._kept(left)
         self._append("items", left.select(*KEYS), state=F.lit("processing"), set_error=F.lit(True))
         self._tell(left.select(*KEYS, F.lit("processing").alias("state")))
-        fetched = self._fetched(left)
-        alive = self._steps(fetched, wanted.join(fetched.select(*KEYS), KEYS, "left_semi"))
-        for done in (*ended, alive):
-            self._append("items", self._not_cancelled(done), state=F.lit("completed"), set_error=F.lit(True))
+        while True:
+            fetched, again, failed_at = self._fetched(left)
+            self._complete(self._steps(fetched, wanted.join(fetched.select(*KEYS), KEYS, "left_semi")))
+            if again is None or not linger:
+                break
+            pause = again.agg(F.min("_pause")).first()[0]
+            self.wait(max(0.0, pause - (time.monotonic() - failed_at)))
+            left = self._kept(self._not_cancelled(again.drop("_pause")))
         self.engine.roll_up(waiting.select("task_id").distinct())
         self._clean_uploads(waiting)
         now = self.store.table("items").join(waiting.select(*KEYS), KEYS, "left_semi")
         return now.where(F.col("state").isin("completed", "failed", "cancelled")).select(*KEYS, "state")
 
+    def _complete(self, done: DataFrame) -> None:
+        self._append("items", self._not_cancelled(done), state=F.lit("completed"), set_error=F.lit(True))
+
     def _admitted(self) -> DataFrame:
-        """Waiting items of active tasks, highest priority first, then by arrival; `slots` of them at most."""
+        """Items of active tasks that hold a permit and are due, and queued ones in the permits left.
+
+        Queued ones come by priority, the highest first, then by arrival. A late one of a high priority
+        overtakes those that wait, never one that holds a permit.
+        """
         items = self.store.table("items").where(F.col("state").isin("queued", "processing", "retrying"))
         tasks = self.store.table("tasks").where(F.col("state").isin(*lifecycle.ACTIVE)).select("task_id", "created_at")
         keyed = items.join(tasks, "task_id").withColumn("item", F.struct(*KEYS))
-        ranked = keyed.join(lifecycle.item_priorities(keyed, self.engine.models), "item").drop("item")
+        holding = F.col("state") != "queued"
         if self.slots:
-            ranked = ranked.orderBy(F.desc("priority"), "created_at", *KEYS).limit(self.slots)
+            keyed = self._kept(keyed)
+            free = max(0, self.slots - keyed.where(holding).count())
+            queued = keyed.where(~holding)
+            ranked = queued.join(lifecycle.item_priorities(queued, self.engine.models), "item")
+            first = ranked.orderBy(F.desc("priority"), "created_at", *KEYS).limit(free).drop("priority")
+            keyed = keyed.where(holding).unionByName(first.select(*keyed.columns))
+        keyed = keyed.where((F.col("state") != "retrying") | F.coalesce(F.col("retry_at") <= self._now(), F.lit(True))).drop("item")
         kind = modality(F.col("input.kind"), F.col("input.video"))
-        return self._kept(ranked.select(*KEYS, "input", "models", "pipeline", F.coalesce("retries", F.lit(0)).cast("int").alias("retries"), kind.alias("modality"), input_url(F.col("input.kind"), F.col("input.main")).alias("url")))
+        return self._kept(keyed.select(*KEYS, "input", "models", "pipeline", F.coalesce("retries", F.lit(0)).cast("int").alias("retries"), kind.alias("modality"), input_url(F.col("input.kind"), F.col("input.main")).alias("url")))
 
     def _wanted(self, waiting: DataFrame) -> DataFrame:
         """(keys, model, step, state, output, ...): requested models with what an earlier pass stored."""
@@ -106,24 +133,24 @@ class Runner:
 
     # --- fetching
 
-    def _fetched(self, items: DataFrame) -> DataFrame:
-        """(keys, content, info, hash, retries): what was fetched and probed; the rest is out of retries and failed."""
-        good, attempt = None, 0
-        left = items
-        while True:
-            tried = self._kept(self._fetch_once(left))
-            fine = tried.where("fetch_error is null")
-            good = fine if good is None else good.unionByName(fine)
-            failed = tried.where("fetch_error is not null")
-            self._fail_items(failed.where(F.col("retries") >= self.retries).select(*KEYS, _error("fetch", F.col("fetch_error")).alias("error")))
-            again = failed.where(F.col("retries") < self.retries).withColumn("retries", F.col("retries") + 1)
-            if again.isEmpty():
-                return good.select(*KEYS, "content", "info", "retries", (content_digest(F.col("content")) if self.cache else F.lit(None).cast("string")).alias("hash"))
-            self._append("items", again.select(*KEYS, F.col("retries").cast("long").alias("retries"), _error("fetch", F.col("fetch_error")).alias("error")), state=F.lit("retrying"), set_error=F.lit(True))
-            self._tell(again.select(*KEYS, F.lit("retrying").alias("state")))
-            attempt += 1
-            self.wait(min(2 ** (attempt - 1), 30))
-            left = self._not_cancelled(again.drop("content", "fetch_error", "info"))
+    def _fetched(self, items: DataFrame) -> tuple[DataFrame, DataFrame | None, float]:
+        """(what was fetched and probed, what is to be tried again or None, when). The rest is out of retries and failed.
+
+        The first has content, info, hash and retries, the second the seconds it has to wait (`_pause`).
+        """
+        tried = self._kept(self._fetch_once(items))
+        at = time.monotonic()
+        failed = tried.where("fetch_error is not null")
+        self._fail_items(failed.where(F.col("retries") >= self.retries).select(*KEYS, _error("fetch", F.col("fetch_error")).alias("error")))
+        again = failed.where(F.col("retries") < self.retries).withColumn("retries", F.col("retries") + 1).withColumn("_pause", retry_backoff(F.col("retries")).cast("double"))
+        hashed = content_digest(F.col("content")) if self.cache else F.lit(None).cast("string")
+        good = tried.where("fetch_error is null").select(*KEYS, "content", "info", "retries", hashed.alias("hash"))
+        if again.isEmpty():
+            return good, None, at
+        due = (self._now() + F.ceil("_pause")).cast("long")
+        self._append("items", again.select(*KEYS, F.col("retries").cast("long").alias("retries"), _error("fetch", F.col("fetch_error")).alias("error"), due.alias("retry_at")), state=F.lit("retrying"), set_error=F.lit(True))
+        self._tell(again.select(*KEYS, F.lit("retrying").alias("state")))
+        return good, again.drop("content", "fetch_error", "info"), at
 
     def _fetch_once(self, items: DataFrame) -> DataFrame:
         where = items.withColumn("_main", F.coalesce("input.main", "input.path")).withColumn("_fallback", F.col("input.fallback"))
@@ -167,7 +194,8 @@ class Runner:
 
         A failed step of a pipeline is tried again as often as its item has retries left.
         """
-        rows = todo.join(fetched, KEYS).withColumnRenamed("hash", "content_hash")
+        # contents stay where they were fetched to: a model's own plan joins them
+        rows = todo.join(fetched.drop("content"), KEYS).withColumnRenamed("hash", "content_hash")
         if self.cache:
             rows = caches.content_cache(rows, self.store.table("cache"), self._fresh())
         else:
@@ -177,7 +205,7 @@ class Runner:
         left, out, attempt = rows.where("output is null").drop("output"), None, 0
         self._append("model_results", left.select("task_id", F.col("idx").alias("item_idx"), F.col("model").alias("label")), state=F.lit("processing"), set_output=F.lit(True))
         while True:
-            new = self._kept(left.join(self._run_models(left), MODEL))
+            new = self._kept(left.join(self._run_models(left, fetched.select(*KEYS, "content")), MODEL))
             again = new.where(F.col("error").isNotNull() & F.col("pipeline").isNotNull() & (F.col("retries") < self.retries))
             ended = new.join(again, MODEL, "left_anti") if attempt < self.retries else new
             out = ended if out is None else out.unionByName(ended)
@@ -198,15 +226,15 @@ class Runner:
         none = F.lit(None).cast("struct<kind:string,message:string>")
         return self._kept(hits.select(*columns, none.alias("error")).unionByName(out.select(*columns, "error")))
 
-    def _run_models(self, rows: DataFrame) -> DataFrame:
-        """(keys, model, output, error) of rows (keys, model, modality, content, info)."""
+    def _run_models(self, rows: DataFrame, contents: DataFrame) -> DataFrame:
+        """(keys, model, output, error) of rows (keys, model, modality, info) and the contents (keys, content)."""
         parts = [self._unknown(rows)]
         for name, settings in self.config.data["models"].items():
             if name not in self.models:
                 continue
             mine = rows.where(F.col("model") == name)
-            model = classify.batch_model(self.models[name], settings["batch_size"], name, settings["revision"], settings["timeout_seconds"])
-            parts += [self._images(mine.where("modality = 'image'"), model), self._videos(mine.where("modality = 'video'"), model, settings)]
+            model = classify.batch_model(self.models[name], settings["batch_size"], name, settings["revision"], settings["timeout_seconds"], self.config.head(name), self.config.data["server"]["idle_unload_seconds"])
+            parts += [self._images(mine.where("modality = 'image'").join(contents, KEYS), model), self._videos(mine.where("modality = 'video'"), contents, model, settings)]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
@@ -218,46 +246,48 @@ class Runner:
         return lost.select(*MODEL, F.lit(None).cast(OUTPUT).alias("output"), _error("model_unavailable", F.concat(F.lit("no such model is loaded: "), "model")).alias("error"))
 
     def _images(self, rows: DataFrame, model) -> DataFrame:
-        scored = self._kept(rows.select(*MODEL, model(F.col("content")).alias("r")).select(*MODEL, "r.*"))
-        chosen = select.as_array(select.select_top(classify.explode_predictions(scored, MODEL), MODEL), MODEL)
-        empty = F.array().cast(_PREDS)
-        output = F.when(F.col("error").isNull(), F.struct(F.coalesce("classification", empty).alias("classification"), F.lit(None).alias("frame_scan")).cast(OUTPUT))
-        return scored.join(chosen, MODEL, "left").select(*MODEL, output.alias("output"), F.when(F.col("error").isNotNull(), _error("inference", F.col("error"))).alias("error"))
-
-    def _videos(self, rows: DataFrame, model, settings: dict) -> DataFrame:
-        """Sampled frames of each video through the model, as far as the first trigger; stored frames are not run again."""
+        """The model selects from its scores in the worker: no score becomes a row."""
+        scored = rows.select(*MODEL, model(F.col("content")).alias("r")).select(*MODEL, "r.*")
+        output = F.when(F.col("error").isNull(), F.struct("classification", F.lit(None).alias("frame_scan")).cast(OUTPUT))
+        return scored.select(*MODEL, output.alias("output"), F.when(F.col("error").isNotNull(), _error("inference", F.col("error"))).alias("error"))
+
+    def _videos(self, rows: DataFrame, contents: DataFrame, model, settings: dict) -> DataFrame:
+        """Sampled frames of each video through the model, as far as the first trigger; stored frames are not run again.
+
+        Rounds over all scans: each gets some batches more than in the round before and stops inside a
+        round as soon as it ends; its frames are stored before the next round, and cancelled tasks leave
+        between rounds. A pass that dies loses one round, and the next one asks for the rest.
+        """
         name = settings["strategy"]
         strategy = self.config.data["strategies"].get(name, {"steps": []})
         steps = self.config.steps(self.spark).where(F.col("strategy") == F.lit(name))
-        videos = rows.select(*MODEL, F.lit(name).alias("strategy"), F.col("info.duration").alias("duration"), F.col("info.fps").alias("fps"), "content")
-        videos = media.probe_steps(videos, strategy["steps"], self.tool)
-        planned = self._kept(classify.frame_plan(videos.drop("content"), steps, MODEL))
-        stored = self.store.table("frames").withColumnsRenamed({"item_idx": "idx", "label": "model"}).join(rows.select(*MODEL), MODEL, "left_semi")
-        failures: list[DataFrame] = []
-
-        def extract_and_classify(pending: DataFrame) -> DataFrame:
-            times = pending.groupBy(*MODEL).agg(F.array_sort(F.collect_list(F.struct("frame_index", "timestamp"))).alias("times"))
-            frames = media.frames_of_content(times.join(rows.select(*MODEL, "content"), MODEL), MODEL, self.tool)
-            scored = frames.select(*MODEL, "frame_index", "timestamp", "frame_error", model(F.col("frame")).alias("r"))
-            scored = self._kept(scored.select(*MODEL, "frame_index", "timestamp", "r.predictions", F.coalesce("frame_error", "r.error").alias("error")))
-            failures.append(scored.where("error is not null").select(*MODEL, "frame_index", "error"))
-            return classify.explode_predictions(scored.where("error is null"), [*MODEL, "frame_index", "timestamp"])
-
+        videos = rows.select(*MODEL, F.lit(name).alias("strategy"), F.col("info.duration").alias("duration"), F.col("info.fps").alias("fps"))
+        if any(s["method"] in ("iframes", "scene") for s in strategy["steps"]):
+            videos = media.probe_steps(videos.join(contents, KEYS), strategy["steps"], self.tool).drop("content")
+        else:
+            videos = media.probe_steps(videos, [], self.tool)
+        mine = lambda: self.store.table("frames").withColumnsRenamed({"item_idx": "idx", "label": "model"}).join(rows.select(*MODEL), MODEL, "left_semi")
+        planned = classify.frame_plan(videos, steps, MODEL)
+        pending = pool.pending(planned, mine().withColumn("frame_index", F.col("frame_index").cast("int")), [*MODEL, "frame_index"])
+        left = self._kept(pending.groupBy(*MODEL).agg(F.array_sort(F.collect_list(F.struct("frame_index", "timestamp"))).alias("times")))
         labels = settings["labels"] if strategy.get("early_exit") else None
-        scans = self._kept(classify.scan_videos(planned, stored.withColumn("frame_index", F.col("frame_index").cast("int")), extract_and_classify, MODEL, strategy.get("aggregation", "mean"), labels, settings["trigger_threshold"]))
-        new = scans.select(*MODEL, F.explode("frame_scan.frames").alias("f")).select("task_id", F.col("idx").alias("item_idx"), F.col("model").alias("label"), F.col("f.frame_index").cast("long").alias("frame_index"), "f.timestamp", "f.classification")
-        self.store.append("frames", new)
-        # an error counts if the scan came so far: it did unless an earlier frame fired
-        reached = scans.select(*MODEL, F.array_max(F.transform("frame_scan.frames", lambda f: f["frame_index"])).alias("last"), F.col("frame_scan.aggregated").alias("_top"))
-        errors = failures[0].join(reached, MODEL, "left")
-        if labels:
-            frames = scans.select(*MODEL, F.explode("frame_scan.frames").alias("f")).where(select.triggered(F.col("f.classification"), labels, settings["trigger_threshold"]))
-            errors = errors.join(frames.groupBy(*MODEL).agg(F.min("f.frame_index").alias("fired")), MODEL, "left").where("fired is null or frame_index < fired")
-        errors = errors.groupBy(*MODEL).agg(F.min_by("error", "frame_index").alias("error"))
-        output = F.when(F.col("error").isNull(), F.struct(F.lit(None).alias("classification"), F.coalesce("frame_scan", F.lit(None)).alias("frame_scan")))
+        errors, batches = None, 1
+        while not left.isEmpty():
+            n = batches * settings["batch_size"]
+            now = self._not_cancelled(left.withColumn("times", F.slice("times", 1, n))).join(contents, KEYS)
+            seen = self._kept(classify.scan_lazily(now, MODEL, model, labels, settings["trigger_threshold"], self.tool))
+            self.store.append("frames", seen.where("error is null").select("task_id", F.col("idx").alias("item_idx"), F.col("model").alias("label"), "frame_index", "timestamp", "classification"))
+            failed = seen.where("error is not null").select(*MODEL, "error")
+            errors = failed if errors is None else errors.unionByName(failed)
+            over = seen.where("fires or error is not null").select(*MODEL)
+            rest = left.where(F.size("times") > n).join(over, MODEL, "left_anti").withColumn("times", F.slice("times", F.lit(n + 1), F.size("times")))
+            left, batches = self._kept(self._not_cancelled(rest)), min(4 * batches, self.most_batches)
+        scans = classify.assembled_scans(mine(), MODEL, strategy.get("aggregation", "mean"))
         none = F.struct(F.lit(None).cast(_PREDS).alias("classification"), F.struct(F.array().cast(_PREDS).alias("aggregated"), F.array().cast(f"array<struct<frame_index:bigint,timestamp:double,classification:{_PREDS}>>").alias("frames")).alias("frame_scan")).cast(OUTPUT)
-        joined = rows.select(*MODEL).join(scans, MODEL, "left").join(errors, MODEL, "left")
-        return joined.select(*MODEL, F.when(F.col("error").isNull(), F.coalesce(output.cast(OUTPUT), none)).alias("output"), F.when(F.col("error").isNotNull(), _error("inference", F.col("error"))).alias("error"))
+        output = F.when(F.col("frame_scan").isNotNull(), F.struct(F.lit(None).alias("classification"), "frame_scan").cast(OUTPUT)).otherwise(none)
+        joined = rows.select(*MODEL).join(scans, MODEL, "left")
+        joined = joined.withColumn("error", F.lit(None).cast("string")) if errors is None else joined.join(errors, MODEL, "left")
+        return joined.select(*MODEL, F.when(F.col("error").isNull(), output).alias("output"), F.when(F.col("error").isNotNull(), _error("inference", F.col("error"))).alias("error"))
 
     # --- states
 

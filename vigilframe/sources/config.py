@@ -25,7 +25,7 @@ DEFAULTS = {
     "strategies": {},
     "pipelines": {},
 }
-MODEL = {"repo": None, "revision": "main", "architecture": "vit", "enabled": True, "batch_size": 8, "timeout_seconds": 30, "priority": 0, "strategy": None, "labels": [], "trigger_threshold": 0.9, "score_threshold": None, "max_results": None, "template": None, "taxonomy": None, "retries": 3}
+MODEL = {"repo": None, "revision": "main", "architecture": "vit", "enabled": True, "batch_size": 8, "timeout_seconds": 30, "priority": 0, "strategy": None, "labels": [], "trigger_threshold": 0.9, "score_threshold": None, "max_results": None, "prompts": [], "template": None, "taxonomy": None, "retries": 3}
 METHODS = {"uniform": "count", "fps": "fps", "every_nth": "nth", "iframes": None, "scene": "threshold"}
 OPEN_SECTIONS = ("auth", "cache", "limits")
 AGGREGATIONS = {"max": "max", "mean": "mean", "average": "mean"}
@@ -178,6 +178,15 @@ class Config:
         rows = [(n, m["enabled"], m["strategy"], m["priority"], m["revision"], m["architecture"], m["batch_size"], m["timeout_seconds"], [int(x) for x in m["labels"]], float(m["trigger_threshold"])) for n, m in self.data["models"].items()]
         return spark.createDataFrame(rows, "model string, enabled boolean, strategy string, priority int, revision string, architecture string, batch_size int, timeout_seconds int, labels array<bigint>, trigger_threshold double")
 
+    def head(self, name: str) -> dict:
+        """How a model's output is read and selected from (see heads.predictor)."""
+        m = self.data["models"][name]
+        out = {k: m[k] for k in ("architecture", "prompts", "template", "score_threshold", "max_results")}
+        if m["taxonomy"]:
+            with open(m["taxonomy"], encoding="utf-8") as f:
+                out["taxonomy"] = Taxonomy.parse(f.read()).rows
+        return out
+
     def pipelines(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(n, s["order"], s["model"]) for n, p in self.data["pipelines"].items() for s in p["steps"]], "pipeline string, order int, model string")
 

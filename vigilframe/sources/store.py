@@ -5,8 +5,10 @@ the newest per key, column by column where changes set some columns only. Nothin
 so a lost executor loses no change, and readers see whole appends.
 
 A log lies in `<table>/tail/_day=<n>` (the day of the versions) and, once compacted, in `<table>/base-<v>`:
-the current rows as of version v. Readers take the newest finished base and the tail beyond its version,
-so a compaction that fails changes nothing and appends beside it are kept.
+the current rows of the files that the base lists in `<table>/base-<v>/_files`. Readers take the newest finished
+base and the tail files that it does not list, so a compaction that fails changes nothing, and an append
+that began before it and ends after it is read like any other: which files a base holds is told by
+their names, not by their versions.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ from __future__ import annotations
 import time
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.durable import durable
 from ..operators import lifecycle
 
 _ERROR = "struct<kind:string,message:string>"
@@ -27,7 +30,7 @@ _INPUT = "struct<kind:string,main:string,fallback:string,text:string,path:string
 #: Per table its key and columns. A null column of a change leaves the value as it was; `set_*` flags say otherwise.
 TABLES = {
     "tasks": (["task_id"], "task_id string, state string, attempts bigint, created_at bigint, updated_at bigint"),
-    "items": (["task_id", "idx"], f"task_id string, idx bigint, input {_INPUT}, models array<string>, pipeline string, state string, error {_ERROR}, set_error boolean, webhook_delivered boolean, retries bigint"),
+    "items": (["task_id", "idx"], f"task_id string, idx bigint, input {_INPUT}, models array<string>, pipeline string, state string, error {_ERROR}, set_error boolean, webhook_delivered boolean, retries bigint, retry_at bigint"),
     "model_results": (["task_id", "item_idx", "label"], f"task_id string, item_idx bigint, label string, state string, output {_OUTPUT}, set_output boolean, error {_ERROR}, steps_completed bigint, default_state string"),
     "frames": (["task_id", "item_idx", "label", "frame_index"], f"task_id string, item_idx bigint, label string, frame_index bigint, timestamp double, classification {_PREDS}"),
     "cache": (["content_hash", "model", "revision"], f"content_hash string, model string, revision string, output {_OUTPUT}, created_at bigint"),
@@ -53,7 +56,7 @@ class Store:
             if not self._exists(f"{self.root}/{name}/tail"):
                 self._rows([], name).write.mode("append").parquet(self._tail(name, 0))
         if not self._exists(f"{self.root}/purged"):
-            self.spark.createDataFrame([], "task_id string, _version bigint").write.mode("append").parquet(f"{self.root}/purged")
+            self.spark.createDataFrame([], "task_id string, _version bigint").write.mode("append").parquet(f"{self.root}/purged/_day=0")
 
     def _fs(self, path: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -66,19 +69,30 @@ class Store:
     def _tail(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/tail/_day={version // DAY}"
 
-    def _base(self, name: str) -> tuple[int, str | None]:
-        """(version, folder) of the newest base that was written to its end; (-1, None) without one."""
+    def _bases(self, name: str) -> list[tuple[int, str]]:
+        """(version, folder) of the bases that were written to their end, the newest first."""
         fs, path = self._fs(f"{self.root}/{name}")
-        found = [(int(x.getPath().getName()[5:]), x.getPath()) for x in fs.listStatus(path) if x.getPath().getName().startswith("base-")]
-        found = [(v, str(p)) for v, p in found if self._exists(f"{p}/_SUCCESS")]
-        return max(found, default=(-1, None))
+        found = [(int(x.getPath().getName()[5:]), str(x.getPath())) for x in fs.listStatus(path) if x.getPath().getName().startswith("base-")]
+        return sorted(((v, p) for v, p in found if self._exists(f"{p}/_files")), reverse=True)
+
+    def _listed(self, base: str) -> set[str]:
+        """The tail files whose rows a base holds."""
+        fs, path = self._fs(f"{base}/_files")
+        stream = fs.open(path)
+        try:
+            return set(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split())
+        finally:
+            stream.close()
+
+    def _tail_files(self, name: str) -> list[str]:
+        """Finished files of the tail as `_day=<n>/<file>`; those that are being written lie elsewhere."""
+        fs, path = self._fs(f"{self.root}/{name}/tail")
+        days = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("_day=")]
+        return sorted(f"{d.getName()}/{x.getPath().getName()}" for d in days for x in fs.listStatus(d) if x.getPath().getName().endswith(".parquet"))
 
     def durable(self, rows: DataFrame) -> DataFrame:
         """`rows` written once, to the folder that the session names for checkpoints or else below the store's root."""
-        sc = self.spark.sparkContext
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or f"{self.root}/_checkpoints")
-        return rows.checkpoint(eager=True)
+        return durable(rows, f"{self.root}/_checkpoints")
 
     def _schema(self, name: str) -> T.StructType:
         return T.StructType.fromDDL(TABLES[name][1] + ", _version bigint")
@@ -123,19 +137,25 @@ class Store:
         cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self._schema(name) if f.name != "_version"]
         self._write(rows.select(*cols, F.lit(version).alias("_version")), name, version)
 
-    def _log(self, name: str) -> DataFrame:
-        self._flush()
+    def _read(self, name: str, bases: list[tuple[int, str]], files: list[str]) -> DataFrame:
+        """The rows of the newest base and of tail files, without those of purged tasks."""
         schema = self._schema(name)
-        version, base = self._base(name)
-        tail = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("_day", T.LongType())])).option("basePath", f"{self.root}/{name}/tail").parquet(f"{self.root}/{name}/tail")
-        log = tail.where((F.col("_day") >= version // DAY) & (F.col("_version") > version)).drop("_day")
-        if base:
-            log = log.unionByName(self.spark.read.schema(schema).parquet(base))
+        paths = [*([bases[0][1]] if bases else []), *(f"{self.root}/{name}/tail/{f}" for f in files)]
+        log = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         if "task_id" in log.columns:
-            purged = self.spark.read.schema("task_id string, _version bigint").parquet(f"{self.root}/purged").groupBy("task_id").agg(F.max("_version").alias("_gone"))
+            # what was purged before the last base but one is in neither any more
+            floor = bases[1][0] if len(bases) > 1 else -1
+            purged = self.spark.read.schema("task_id string, _version bigint, _day bigint").option("basePath", f"{self.root}/purged").parquet(f"{self.root}/purged")
+            purged = purged.where((F.col("_day") >= max(0, floor) // DAY) & (F.col("_version") > floor)).groupBy("task_id").agg(F.max("_version").alias("_gone"))
             log = log.join(purged, "task_id", "left").where("_gone is null or _version > _gone").drop("_gone")
         return log
 
+    def _log(self, name: str) -> DataFrame:
+        self._flush()
+        bases = self._bases(name)
+        held = self._listed(bases[0][1]) if bases else set()
+        return self._read(name, bases, [f for f in self._tail_files(name) if f not in held])
+
     @staticmethod
     def _newest(column: str, when: str | None = None):
         """The newest value that was set: a null leaves the value, unless the change says that it sets null."""
@@ -167,30 +187,67 @@ class Store:
             out = out.where("created_at is not null")
         return out
 
-    def compact(self, name: str, grace_seconds: int = 0) -> None:
-        """Write the current rows as a new base, as of `grace_seconds` ago: longer than any append takes to be written.
+    def _telling(self, name: str, log: DataFrame) -> DataFrame:
+        """The rows of a log that its current table depends on, as they are: per key and column the newest that sets it.
 
-        Days of the tail that lie before it, and all bases but the new one and the last, are removed then.
+        Versions stay, so a change that turns up later finds its place among them.
+        """
+        keys, _ = TABLES[name]
+        w = Window.partitionBy(*keys)
+        if name in ("frames", "cache", "url_cache"):
+            return log.withColumn("_top", F.max("_version").over(w)).where("_version = _top").drop("_top")
+        columns = [f.name for f in self._schema(name) if f.name not in keys and f.name != "_version" and not f.name.startswith("set_")]
+        tells = F.lit(False)
+        for c in columns:
+            flag = {"error": "set_error" if name == "items" else "set_output", "output": "set_output"}.get(c)
+            sets = F.col(c).isNotNull() if flag is None else F.coalesce(F.col(flag), F.lit(False)) | F.col(c).isNotNull()
+            if c in ("created_at", "default_state"):  # the first counts
+                tells = tells | (sets & (F.col("_version") == F.min(F.when(sets, F.col("_version"))).over(w)))
+                if c == "created_at":
+                    tells = tells | (F.col(c) == F.min(c).over(w))
+            elif c == "attempts":  # each is counted
+                tells = tells | (F.coalesce(F.col(c), F.lit(0)) == 1)
+            elif c == "updated_at":
+                tells = tells | (F.col(c) == F.max(c).over(w)) & (F.col("_version") == F.max(F.when(F.col(c) == F.col("_updated"), F.col("_version"))).over(w))
+            else:
+                tells = tells | (sets & (F.col("_version") == F.max(F.when(sets, F.col("_version"))).over(w)))
+        if "updated_at" in columns:
+            log = log.withColumn("_updated", F.max("updated_at").over(w))
+        return log.withColumn("_tells", F.coalesce(tells, F.lit(False))).where("_tells").drop("_tells", "_updated")
+
+    def compact(self, name: str) -> None:
+        """Write what the current rows depend on as a new base, and the names of the files that it stands for.
+
+        A change whose file lands while this runs, however old its version, is in no listed file and stays
+        in the tail. Files that the last base but one listed, older bases, and what was purged before
+        them, go; readers that began with the last base keep all it needs.
         """
         self._flush()
+        version, bases = self._version(), self._bases(name)
+        held = self._listed(bases[0][1]) if bases else set()
+        files = self._tail_files(name)
+        rows = self._telling(name, self._read(name, bases, [f for f in files if f not in held]))
         keys, _ = TABLES[name]
-        version = self._version() - grace_seconds * 10**9
-        before, _ = self._base(name)
-        rows = self.table(name, version).withColumn("_version", F.lit(version))
-        if name == "tasks":  # attempts are counted, so each keeps a row of its own
-            rows = rows.withColumn("attempts", F.explode(F.when(F.col("attempts") > 0, F.array_repeat(F.lit(1).cast("long"), F.col("attempts").cast("int"))).otherwise(F.array(F.lit(0).cast("long")))))
-        for f in self._schema(name):
-            if f.name not in rows.columns:
-                rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
-        rows.select(*[f.name for f in self._schema(name)]).write.mode("overwrite").parquet(f"{self.root}/{name}/base-{version}")
-        fs, path = self._fs(f"{self.root}/{name}")
-        for x in fs.listStatus(path):
-            if x.getPath().getName().startswith("base-") and int(x.getPath().getName()[5:]) not in (version, before):
+        base = f"{self.root}/{name}/base-{version}"
+        # sorted by key, so that footers tell which file may hold one
+        rows.sortWithinPartitions(*keys).write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").parquet(base)
+        fs, path = self._fs(f"{base}/_files.part")
+        out = fs.create(path, True)
+        out.write("\n".join(files).encode())
+        out.close()
+        fs.rename(path, self._fs(f"{base}/_files")[1])
+        for f in held & set(files):
+            fs.delete(self._fs(f"{self.root}/{name}/tail/{f}")[1], False)
+        _, folder = self._fs(f"{self.root}/{name}")
+        for x in fs.listStatus(folder):
+            at = x.getPath().getName()
+            if at.startswith("base-") and int(at[5:]) not in (version, *(v for v, _ in bases[:1])) and int(at[5:]) < version:
                 fs.delete(x.getPath(), True)
-        _, path = self._fs(f"{self.root}/{name}/tail")
-        for x in fs.listStatus(path):
+        floors = [b[1][0] if len(b) > 1 else 0 for b in (self._bases(n) for n, (k, _) in TABLES.items() if "task_id" in k)]
+        _, folder = self._fs(f"{self.root}/purged")
+        for x in fs.listStatus(folder):
             day = x.getPath().getName().removeprefix("_day=")
-            if day.isdigit() and 0 < int(day) < before // DAY:  # readers of the last base need no day before it
+            if day.isdigit() and 0 < int(day) < min(floors) // DAY:
                 fs.delete(x.getPath(), True)
 
     # --- operations
@@ -260,7 +317,7 @@ class Store:
         gone = lifecycle.expired(self.table("tasks"), cutoff).select("task_id", F.lit(self._version()).alias("_version")).cache()
         try:
             n = gone.count()
-            gone.write.mode("append").parquet(f"{self.root}/purged")
+            gone.write.mode("append").parquet(f"{self.root}/purged/_day={self._last // DAY}")
         finally:
             gone.unpersist()
         return n
