@@ -9,9 +9,10 @@ the bound of all that is open certifies it, or nothing is gained.
 
 from __future__ import annotations
 
+import re
 from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,12 @@ RANGE_ROWS = 1 << 14
 #: Shuffle partitions of a round; partitions of the packing share them beyond that.
 TASKS = 1 << 14
 #: Bytes of interned words a worker holds before it starts anew, and what each takes beside its letters; bounds memory, not results.
-HELD, WORD_BYTES = 128 << 20, 300
-#: ASCII punctuation but the apostrophe.
+HELD, WORD_BYTES = 192 << 20, 300
+#: Letters that have one form only and one small letter; all ASCII punctuation but the apostrophe.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: Bytes as the characters that byte-level vocabularies write them with: printable ones themselves, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = dict(zip([b for b in range(256) if b not in _PRINTABLE], range(256, 512)))
 TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -58,14 +63,18 @@ class WordTokens:
 
     def _ask(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
-        if word.isalpha() or word and not word.strip(TAIL):  # all ASCII letters or all punctuation is one unit of the merges
+        # all letters, or all punctuation, is one unit of the merges; these letters have one form and one small letter
+        if word.isalpha() or word and not word.strip(TAIL):
             return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        if LETTERS(text):
+            unit = text.lower().encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
+            return array("I", [t.id for t in self.model.tokenize(unit)]).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _ids(self, word: bytes) -> bytes:
         """The ids as bytes, which the garbage collector need not visit."""
         core = word.rstrip(TAIL)
-        if not self.simple or not core[-1:].isalpha() or b"<" in core:
+        if not self.simple or not core or not (core[-1:].isalpha() or LETTERS(core.decode("utf-8"))) or b"<" in core:
             return array("I", self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids).tobytes()
         tail = word[len(core) :]
         if core.isalpha():
@@ -73,7 +82,7 @@ class WordTokens:
         for part in (core, tail):
             if part not in self.known:
                 self.known[part] = self._ask(part)
-        return self.known[core] + self.known[tail]
+        return self.known[core] + self.known[tail] if tail else self.known[core]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, offsets of the texts)."""
@@ -82,7 +91,9 @@ class WordTokens:
         split = [t.split() for t in texts]
         words = list(chain.from_iterable(split))
         index = self.index
-        fresh = list(set(words).difference(index))
+        which = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(which < 0).tolist()
+        fresh = list(dict.fromkeys(words[i] for i in new))
         if fresh:
             index.update(zip(fresh, range(len(index), len(index) + len(fresh))))
             ids = [self._ids(w) for w in fresh]
@@ -90,7 +101,7 @@ class WordTokens:
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(counts)])
             self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
             self.held += sum(map(len, fresh)) + WORD_BYTES * len(fresh)
-        which = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            which[new] = np.fromiter((index[words[i]] for i in new), np.int64, len(new))
         starts, counts = self.offsets[which], self.offsets[which + 1] - self.offsets[which]
         ends = np.concatenate([[0], np.cumsum(counts)])
         flat = self.flat[np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1])]
