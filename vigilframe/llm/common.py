@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.durable import checkpoint_folder, durable  # noqa: F401 - operators take it from here
+
 #: Up to this many bytes (measured, not estimated) a side may be broadcast; beyond it joins shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -21,33 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, set here only where it has none.
-
-    It is the one that `spark.checkpoint.dir` names; without the setting one below the warehouse, which
-    a cluster shares.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names."""
-    _folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """`df` read back from a table written beside the checkpoints, and a function that removes the table.
 
-    For large steps: a checkpoint stays until the job ends, a table can go as soon as the next step is
-    written.
+    For large steps: a checkpoint stays until the driver ends, and so does the table unless it is removed,
+    which it can be as soon as the next step is written.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/table-{uuid.uuid4()}"
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
 
     def remove() -> None:

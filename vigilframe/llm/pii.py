@@ -4,7 +4,9 @@ Mentions are found by one pattern; each gives an entity of a type in a normal fo
 keyed candidates from SHA-256 of (key, type, normal form, attempt), consistent in type, format, script
 and gender; a candidate that equals another entity's surrogate or a real entity is drawn again.
 Equal entities get equal surrogates in all documents, a mail domain is one entity of all its addresses,
-and in a document that names a person the bare given name or surname is that person's again.
+and in a document that names a person the bare given name or surname is that person's again, unless
+it is a word of the calendar or the document has it in small letters too. Telephone numbers and IP
+addresses become such as nobody has: unassigned area codes, reserved and documentation ranges.
 
 Detected: mail addresses (local parts of at most 64 characters), IBANs, card numbers with a valid check
 digit, social security numbers, IPv4 and IPv6 addresses, telephone numbers, keys after words like
@@ -26,8 +28,8 @@ TITLES = {
     "u": "Dr Prof Professor Doctor Doktor".split(),
 }
 GIVEN = {
-    ("latin", "m"): "James John Robert Michael William David Thomas Daniel Paul Simon Peter Hans Jürgen Pierre Jean Carlos José Luis Miguel Marco".split(),
-    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Susan Sarah Karen Anna Emma Laura Julia Sabine Claire Marie Carmen María Sofía Lucía Giulia".split(),
+    ("latin", "m"): "James John Robert Michael William David Thomas Daniel Paul Simon Peter Hans Jürgen Pierre Jean Carlos José Luis Miguel Marco Ivan Sergei Dmitri Alexei Nikolai Piotr Rajesh Amit Sanjay Vikram Mohammed Ahmed Ali Omar Yusuf Wei Hiroshi Kenji Lars Sven Giovanni Antonio Stefan Klaus Georg Andrew Richard Charles Joseph Kevin".split(),
+    ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Susan Sarah Karen Anna Emma Laura Julia Sabine Claire Marie Carmen María Sofía Lucía Giulia Olga Natalia Svetlana Irina Tatiana Katarzyna Priya Anjali Sunita Fatima Aisha Leila Yuki Mei Ingrid Astrid Chiara Francesca Petra Monika Ursula Barbara Margaret Nancy Lisa Helen".split(),
     ("cyrillic", "m"): "Иван Пётр Алексей Сергей Дмитрий Николай Михаил Андрей Павел Олег".split(),
     ("cyrillic", "f"): "Анна Мария Ольга Елена Наталья Ирина Татьяна Светлана Юлия Вера".split(),
     ("greek", "m"): "Γιώργος Γιάννης Κώστας Νίκος Δημήτρης Παναγιώτης Βασίλης Μιχάλης".split(),
@@ -40,8 +42,8 @@ SYLLABLES = {
 }
 # Small letters of each script, for characters exchanged one by one.
 SMALL = {r"\p{IsCyrillic}": "абвгдежзийклмнопрстуфхцчшщыэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"[^\x00-\x7F]": "àáâãäåæçèéêëìíîïñòóôõöøùúûüý"}
-# Words of the calendar that follow a name without being part of it; endings of surnames with a gender.
-CALENDAR = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split()
+# Words of the calendar, which follow a name without being part of it and stay when a person has one as a name; endings of surnames with a gender.
+CALENDAR = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December Januar Februar März Mai Juni Juli Oktober Dezember Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag".split()
 ENDINGS = "ова ева ёва ина ская цкая ов ев ёв ин ский цкий ova eva skaya ov ev sky".split()
 WORDS_OF_KEYS = "password passwd token secret api_key apikey".split()
 #: Drawing again stops with an error after so many rounds; a format with room left needs a few.
@@ -177,18 +179,28 @@ def _draw(drawn: DataFrame, key: str) -> DataFrame:
     steps = steps.withColumn("_bank", F.when(kind == "iban", remainder))
     iban = F.concat(F.substring(norm, 1, 2), F.lpad((98 - bank).cast("string"), 2, "0"), F.substring(digits, F.lit(5), size))
     lead = F.greatest(size - 10, F.lit(0))
+    # area codes with a 9 in the middle are held back for longer numbers: nobody has one
     area, rest = F.substring(digits, lead + 1, F.lit(3)), F.substring(digits, lead + 4, size)
-    phone = F.when(size >= 10, F.concat(F.substring(norm, F.lit(1), lead), first(area, 2), F.substring(area, 2, 2), first(rest, 2), F.substring(rest, F.lit(2), size))).otherwise(
+    phone = F.when(size >= 10, F.concat(F.substring(norm, F.lit(1), lead), first(area, 2), F.lit("9"), F.substring(area, 3, 1), first(rest, 2), F.substring(rest, F.lit(2), size))).otherwise(
         F.concat(F.substring(norm, 1, 2), F.substring(digits, F.lit(3), size))
     )
     longer = F.when(attempt > 2, F.lower(F.substring(F.translate(F.base64(F.unhex(h)), "+/=", "xyz"), F.lit(1), attempt))).otherwise(F.lit(""))
     email = F.concat(F.substring_index(digits, "@", 1), longer, F.lit("@"), F.col("host"))
     domain = F.concat(F.substring_index(digits, ".", 1), longer, F.lit(".example."), F.get(F.array(*map(F.lit, ("com", "net", "org"))), byte(63) % 3))
-    ip = F.concat_ws(".", *[(F.lit(1) + byte(i) % 254).cast("string") for i in range(4)])
+    # private addresses stay in their block as long as there is room, others go to the reserved block from 240 on
+    octet = [(F.lit(1) + byte(i) % 254).cast("string") for i in range(4)]
+    blocks = {r"^10\.": ["10"], r"^127\.": ["127"], r"^192\.168\.": ["192", "168"], r"^169\.254\.": ["169", "254"]}
+    ip = F.when(norm.rlike(r"^172\.(?:1[6-9]|2\d|3[01])\.") & (attempt < 20), F.concat_ws(".", F.lit("172"), (F.lit(16) + byte(1) % 16).cast("string"), *octet[2:]))
+    for block, begin in blocks.items():
+        ip = ip.when(norm.rlike(block) & ((attempt < 20) | (len(begin) == 1)), F.concat_ws(".", *map(F.lit, begin), *octet[len(begin) :]))
+    ip = ip.when(norm.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2\d|3[01])|169\.254)\."), F.concat_ws(".", F.lit("10"), *octet[1:])).otherwise(F.concat_ws(".", (F.lit(240) + byte(0) % 15).cast("string"), *octet[1:]))
+    # the documentation prefix; short forms are soon used up and grow
+    quads = [F.substring(F.lower(h), 4 * i + 1, 4) for i in range(4)]
+    ipv6 = F.when(attempt > 2, F.concat(F.lit("2001:db8:"), quads[0], F.lit(":"), quads[1], F.lit("::"), quads[2])).otherwise(F.regexp_replace(digits, "^[0-9a-f]{1,4}(?::[0-9a-f]{1,4})?", "2001:db8"))
     mixed = F.concat(F.substring(F.translate(F.base64(F.unhex(h)), "+/=", "xyz"), F.lit(1), size), F.substring(digits, F.lit(89), size))
     secret = F.when(norm.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.substring(digits, 5, 16))).when(attempt > 9, mixed).otherwise(digits)
     ssn = F.concat(F.lit("9"), F.substring(digits, 2, 8))
-    out = {"email": email, "domain": domain, "card": card, "ip": ip, "ipv6": digits, "phone": phone, "ssn": ssn, "iban": iban, "secret": secret, "surname": F.col("_made")}
+    out = {"email": email, "domain": domain, "card": card, "ip": ip, "ipv6": ipv6, "phone": phone, "ssn": ssn, "iban": iban, "secret": secret, "surname": F.col("_made")}
     return steps.withColumn("candidate", F.coalesce(*[F.when(kind == t, c) for t, c in out.items()], given)).select(*drawn.columns, "candidate")
 
 
@@ -297,6 +309,10 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text", replaced: str = "
     size = maps.agg(F.sum(F.length(F.to_json("__vf_map")) + F.length(F.to_json("__vf_people")) + 200)).first()[0] or 0
     joined = touched.join(F.broadcast(maps) if size <= BROADCAST_BYTES else maps, "__vf_k", "left")
     new = lambda x: F.coalesce(F.try_element_at(F.col("__vf_map"), x)["surrogate"], x, F.lit(""))
+    # a name that is also a word of the calendar, or that the document writes in small letters, may be that word
+    small = lambda k: F.regexp_like(F.col(f"`{text}`"), F.concat(F.lit(rf"(?<!{_WORD})"), F.lower(k), F.lit(rf"(?!{_WORD})")))
+    certain = F.map_filter("__vf_people", lambda k, _: ~k.isin(CALENDAR) & ~(small(k) & (F.lower(k) != k)))
+    joined = joined.withColumn("__vf_people", F.when(F.size("__vf_people") > 0, certain))
     plain = lambda p: F.when(F.size("__vf_people") > 0, _bare(p, F.col("__vf_people"))).otherwise(p)
     pieces = F.zip_with(F.split(F.col(f"`{text}`"), MENTION, -1), F.col("__vf_found"), lambda p, x: F.concat(plain(p), F.when(x.isNull(), F.lit("")).otherwise(new(x))))
     joined = joined.withColumn("__vf_new", F.when(F.col("__vf_map").isNotNull(), F.array_join(pieces, "")).otherwise(F.col(f"`{text}`")))

@@ -16,21 +16,21 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-# The labelled sample that the model is fitted on unless the caller has one of their own, names of
-# hosts and paths written as words. Its words are also the first that segmentation knows.
+# The labelled sample that the model is fitted on unless the caller has one of their own: names such as
+# hosts and paths have, written as words, of general vocabulary. Its words are also the first that segmentation knows.
 BLOCKED = """
-casino; online casino; casino win; casino bonus; free casino slots; casino poker; vegas casino jackpot; mobile casino games; royal casino;
+casino; online casino; casino bonus; free casino slots; casino poker; vegas casino jackpot; mobile casino games; royal casino;
 poker; poker bonus; texas poker room; slots; free slots; mega slots jackpot; jackpot winner; lottery; lottery winner; win prize; you win; free spins;
-bet; bets; free bets; sports bets; betting; betting tips; betting odds; best betting bonus; roulette wheel; bingo bonus;
-pills; cheap pills; diet pills; buy pills online; viagra; cheap viagra; buy viagra; cialis; cialis online; cheap pharma; online pharmacy cheap; meds cheap;
-porn; free porn; porn tube; porn videos; sex; sex cams; sex dating; live sex; xxx; xxx videos; xxx tube; adult; adult cams; adult dating; adult videos; adult blog; adult toys; adult x; porn blog; casino blog; spam blog; nude; nude cams; nude girls; escort; hot escort girls; hookup dating;
+bet; bets; sports bets; betting; betting tips; betting odds; best betting bonus; roulette wheel; bingo bonus; gambling; online gambling; gambling bets; gambling tips; gamble online; blackjack table; baccarat; bookmaker odds; sportsbook bonus; wager bonus; scratch cards win;
+pills; diet pills; buy pills online; viagra; cheap viagra; buy viagra; cialis; cialis online; cheap pharma; online pharmacy cheap; meds cheap; steroids online; xanax; tramadol online; pills shop; discount pills; erection pills;
+porn; free porn; porn tube; porn videos; sex; sex cams; sex dating; live sex; xxx; xxx videos; xxx tube; adult; adult cams; adult dating; adult videos; adult blog; adult toys; porn blog; casino blog; spam blog; adult chat; erotic massage; sexy singles; fetish tube; webcam girls; nude; nude cams; nude girls; escort; hot escort girls; hookup dating;
 payday loan; payday loans; fast cash loans; quick cash; cheap loans; easy money; make money fast; get rich fast; bitcoin doubler; crypto giveaway;
-warez; warez crack; crack keygen; serial keygen; torrent crack; malware; spam; spam farm; click farm; link farm; seo links cheap; replica watches; cheap replica; replica bags; miracle diet; weight loss miracle; free iphone giveaway; free gift card; ad tracker; click tracker; ads; ads track; ads network; popup ads
+warez; warez crack; crack keygen; serial keygen; torrent crack; malware; spam; click farm; link farm; seo links cheap; spam mail; mass spam; bulk spam sender; email spam tool; content farm; track clicks; tracking ads; banner ads; adserver; ads server; ads click; tracking pixel; track users; replica watch; replica watches; cheap replica; replica bags; miracle diet; weight loss miracle; free iphone giveaway; free gift card; ad tracker; click tracker; ads; ads network; popup ads
 """
 ALLOWED = """
 news; world news; daily news; local news; news archive; news review; sports news; blog; my blog; travel blog; food blog; tech blog; personal blog;
 wiki; docs; help; help center; support; about; contact; forum; community forum; book; books; book review; library; public library; digital library; school; high school; university; college; science; science review; research; research center; open data; open source; open access journal; journal of science;
-health; public health; health center; hospital; medical center; pharmacy school; weather; weather maps; travel; travel guide; city guide; city council; maps; music; music school; music review; art; art museum; history museum; museum; history; sport club; football club; garden; home garden; food recipes; recipes; family; family doctor; world health; world history; learn code; code school; open code; learn english; software tools; tools; press; free press; radio; public radio; cheap flights; free software; free books; adult education; sex education; bank; credit union; student loans; home loans; games; board games; chess club; safety first
+health; public health; health center; hospital; medical center; pharmacy school; weather; weather maps; travel; travel guide; city guide; city council; maps; music; music school; music review; art; art museum; history museum; museum; history; sport club; football club; garden; home garden; food recipes; recipes; family; family doctor; world health; world history; learn code; code school; open code; learn english; software tools; tools; press; free press; radio; public radio; cheap flights; free software; free books; adult education; sex education; bank; credit union; student loans; home loans; games; board games; chess club; safety first; free trial; win win strategy; track and field; track record; farm; farm shop; organic farm; dairy farm; best of; online; online shop; online course; buy local; cheap eats; tips; tips and tricks; cooking tips; live; live music; live scores; video; videos; photo gallery; fashion; shop; bike shop; market; farmers market; table tennis; wheel; room; girls school; women in science; dating a fossil; cash register; bonus track; email; mail; tool box; content; banner; chat; cards; card games; discount store
 """
 LONGEST_WORD = 24
 #: What each count of a word in the labelled sample adds to its count in the URLs, and letters that a cut of a name advances.

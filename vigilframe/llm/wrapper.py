@@ -2,11 +2,12 @@
 
 Each page becomes a small tree of its elements (runs of like siblings fold into one node). The distinct
 trees of a host are merged by simple tree matching into its wrapper, and every distinct page is aligned
-with it: per node Spark counts how many pages have it and how many have each text there; texts that
-nearly all pages of a node have are template, the varying slots hold content. A page gives the blocks
-of its <article> and <main> elements, or, without any, the blocks of all slots. What the wrapper cannot
-know, as adverts vary like articles, elements of HTML that are no content tell, and class words at last:
-they never take the larger part of what is left of a page.
+with it: per node Spark sums how many pages have it, how much text and how much of that in links, and
+how many pages have each text there. From these the host's nodes are judged once: texts that nearly all
+pages of a node have are template; the slots of the element that holds the varying text are content;
+slots beside it are adverts, notices and menus, whatever they are called. What HTML or class words say
+of an element is a prior of its node: `article` and `main` are taken for that element, `nav`, `footer`,
+`ad-slot` and the like for none. A page gives the blocks that lie in its host's content nodes.
 
 Trees are flat lists [[parent, tag, words]] in preorder of their first elements and all walks are loops,
 so the depth of a page does not matter.
@@ -32,6 +33,8 @@ from .url_filter import parts
 
 #: Trees that one task merges at once; a host with more of them is merged in rounds.
 MERGED = 64
+#: Share of a host's text that an element needs to be looked into, and that a slot beside the story needs, of the story's, to stay.
+MOST, BESIDE = 0.7, 0.25
 
 # Fixed values of HTML: elements without content, elements that end an open <p>, elements with raw text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +53,8 @@ WITH_THEM = frozenset(
     "area articles bar block body bottom box buttons container content group holder inner item items left link links list main outer page panel posts primary right row secondary section site slot text thread top unit wrap wrapper zone".split()
 )
 CONTENT_TAGS = frozenset("article main".split())
+#: Elements that say nothing of what they hold, and those that hold the sentences of a story.
+PLAIN, TELLING = frozenset("div section".split()), frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Kinds of `Node.aside`.
 CONTENT, MARKED, COMMENT, ASIDE = range(4)
 
@@ -169,14 +174,13 @@ def parse(page: str | None) -> Node:
     return root
 
 
-# --- folded trees: [[parent, tag, words], ...] of the elements that may hold text outside of articles
+# --- folded trees: [[parent, kind of element, words], ...] of the elements that may hold text
 
 
 class Block(NamedTuple):
     node: int  # of the folded tree
     text: str
-    linked: bool  # whether all of it is links
-    marks: tuple | None  # (MARKED element around it, that element's marks), the innermost first
+    linked: int  # characters of it in links
 
 
 def clean(text: str) -> str:
@@ -184,75 +188,51 @@ def clean(text: str) -> str:
     return _SPACE.sub(" ", entities.unescape(text)).strip()
 
 
-def blocks(root: Node, articles: bool = False) -> tuple[list, list[Block]]:
-    """(folded tree, blocks below `root` in page order).
+def _shape(node: Node) -> str:
+    """What a node of the folded tree is: the tag, `+` for a plain element that holds blocks, and what it is taken for."""
+    holds = node.tag in PLAIN and any(not isinstance(c, str) and c.tag in BLOCKS for c in node.children)
+    return node.tag + "+" * holds + (f"!{node.aside}" if node.aside else "")
 
-    Text of inline elements belongs to the block around them. What lies aside gives nothing, nor do
-    articles unless asked for.
-    """
+
+def blocks(root: Node) -> tuple[list, list[Block]]:
+    """(folded tree, blocks below `root` in page order). Text of inline elements belongs to the block around them."""
     tree, known = [[-1, root.tag, root.words]], {}
     out: list[Block] = []
     inline: list[tuple[str, bool]] = []
 
-    def flush(at: int, marks) -> None:
+    def flush(at: int) -> None:
         if inline:
             if text := clean("".join(t for t, _ in inline)):
-                out.append(Block(at, text, all(linked or not t.strip() for t, linked in inline), marks))
+                out.append(Block(at, text, sum(len(t.strip()) for t, linked in inline if linked)))
             inline.clear()
 
-    stack = [(iter(root.children), 0, None, False, True)]  # children, folded node, marks, in a link, is a block
+    stack = [(iter(root.children), 0, False, True)]  # children, folded node, in a link, is a block
     while stack:
-        children, at, marks, linked, block = stack[-1]
+        children, at, linked, block = stack[-1]
         c = next(children, None)
         if c is None:
             stack.pop()
             if block:
-                flush(at, marks)
+                flush(at)
         elif isinstance(c, str):
             inline.append((c, linked))
-        elif c.aside >= COMMENT:
-            inline.append((" ", linked))
-        elif c.tag in CONTENT_TAGS and not articles:
-            flush(at, marks)
         elif c.tag in VOID:
             if c.tag in BLOCKS:
-                flush(at, marks)
+                flush(at)
             elif c.tag == "br":
                 inline.append((" ", linked))
-        elif c.tag in BLOCKS or c.aside == MARKED:
-            flush(at, marks)
-            key = (at, c.tag, c.words)
+        elif c.tag in BLOCKS or c.tag in CONTENT_TAGS or c.aside != CONTENT:
+            flush(at)
+            key = (at, _shape(c), c.words)
             if key not in known:
                 known[key] = len(tree)
-                tree.append([at, c.tag, c.words])
-            stack.append((iter(c.children), known[key], (c, marks) if c.aside == MARKED else marks, linked or c.tag == "a", True))
+                tree.append([at, *key[1:]])
+            stack.append((iter(c.children), known[key], linked or c.tag == "a", True))
         else:
-            stack.append((iter(c.children), at, marks, linked or c.tag == "a", False))
+            stack.append((iter(c.children), at, linked or c.tag == "a", False))
     return tree, out
 
 
-def unmarked(found: list[Block]) -> list[Block]:
-    """Blocks without those in marked elements; an element with more than half of the text is not marked in fact."""
-    sizes: Counter = Counter()
-    total = sum(len(b.text) for b in found)
-
-    def around(marks):
-        while marks is not None:
-            yield id(marks[0])
-            marks = marks[1]
-
-    for b in found:
-        for mark in around(b.marks):
-            sizes[mark] += len(b.text)
-    return [b for b in found if all(2 * sizes[mark] > total for mark in around(b.marks))]
-
-
-def without_menus(found: list[Block]) -> list[Block]:
-    """Blocks without the nodes that are lists of links: three blocks or more, and nothing but links."""
-    rows, plain = Counter(b.node for b in found), {b.node for b in found if not b.linked}
-    return [b for b in found if b.node in plain or rows[b.node] < 3]
-
-
 @lru_cache(maxsize=8192)
 def _set(words: str) -> frozenset:
     return frozenset(words.split("."))
@@ -349,7 +329,7 @@ class Aligner:
             if len(self.held) > 2000:
                 self.held.clear()
             self.held[tree, page] = align(json.loads(tree), json.loads(page))
-        return self.held[tree, page]
+        return list(self.held[tree, page])
 
 
 def _hash(text: str) -> int:
@@ -361,30 +341,76 @@ def _hosted(df: DataFrame, small: DataFrame, size: DataFrame) -> DataFrame:
     return df.join(F.broadcast(small) if (size.first()[0] or 0) <= BROADCAST_BYTES else small, "__vf_host", "left")
 
 
+def decide(tree: list, stats: dict[int, tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """The nodes that hold the story of a wrapper's pages: inside `article` and `main`, and without these.
+
+    `stats` has per node the characters of its varying texts over all pages, and those of them in links.
+    Without an article the story is what the element holds that one comes to by going down from the root
+    as long as one child has MOST of the text, no sentence stands beside it, and no other child has
+    sentences; slots elsewhere stay if they have BESIDE as much text. In the story's element, links that
+    stand before its first sentence are a menu. Elements that are marked by class words count only
+    where nothing else has text.
+    """
+    below = _children(tree)
+    tag = [re.match(r"[^+!]*", t)[0] for _, t, _ in tree]
+    worst, inside = [0] * len(tree), [False] * len(tree)
+    for i, (parent, shape, _) in enumerate(tree):  # parents come first
+        worst[i] = max(int(shape.partition("!")[2] or 0), worst[parent] if parent >= 0 else 0)
+        inside[i] = tag[i] in CONTENT_TAGS or parent >= 0 and inside[parent]
+    plain = [max(0, chars - linked) for chars, linked in (stats.get(i, (0, 0)) for i in range(len(tree)))]
+    most = next((m for m in (MARKED, COMMENT) if any(plain[i] for i in range(len(tree)) if worst[i] < m)), MARKED)
+    good = [w < most for w in worst]
+    total, telling = [0] * len(tree), [False] * len(tree)
+    for i in reversed(range(len(tree))):
+        if good[i] and not inside[i]:
+            total[i] += plain[i]
+            telling[i] |= tag[i] in TELLING and plain[i] > 0
+            if tree[i][0] >= 0:
+                total[tree[i][0]] += total[i]
+                telling[tree[i][0]] |= telling[i]
+    at = 0
+    while True:
+        children = [c for c in below[at] if good[c] and not inside[c]]
+        best = max(children, key=lambda c: (total[c], -c), default=None)
+        if best is None or not total[best] or total[best] < MOST * total[at] or tag[best] in TELLING or any(telling[c] for c in children if c != best):
+            break
+        at = best
+    under = [False] * len(tree)
+    for i, (parent, _, _) in enumerate(tree):
+        under[i] = i == at or parent >= 0 and under[parent]
+    begins = next((i for i in range(len(tree)) if under[i] and good[i] and not inside[i] and tag[i] in TELLING and plain[i]), 0)
+    menu = [under[i] and i < begins and 10 * stats.get(i, (0, 0))[1] >= 9 * stats.get(i, (0, 0))[0] > 0 for i in range(len(tree))]
+    other = [i for i in range(len(tree)) if good[i] and not inside[i] and not menu[i] and (under[i] or plain[i] >= BESIDE * total[at] > 0)]
+    return [i for i in range(len(tree)) if good[i] and inside[i]], other
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """(__vf_host, tree, drop) of pages (__vf_host, html): a host's wrapper and the template texts by its nodes.
+    """(__vf_host, rules) of pages (__vf_host, html): a host's wrapper, its content nodes and the template texts by node, as JSON.
 
     A text is template of a node if 0.9 of the distinct pages that have the node, and they are three at
     least, have it there. Equal pages of a host count once, so that copies do not turn content into
-    template. Pages are parsed where they lie; trees and hashes of texts travel.
+    template. Pages are parsed where they lie; trees, sizes and hashes of texts travel. A host's nodes
+    are judged from one row a node.
     """
 
     def read(batches):
         for batch in batches:
-            hosts, digests, trees, nodes, texts = [], [], [], [], []
+            hosts, digests, trees, found = [], [], [], {k: [] for k in ("nodes", "texts", "chars", "linked")}
             for host, page in zip(batch.column("__vf_host").to_pylist(), batch.column("html").to_pylist()):
                 if page:
-                    tree, found = blocks(parse(page))
-                    each = sorted({(b.node, _hash(b.text)) for b in found})
-                    hosts.append(host), trees.append(json.dumps(tree)), nodes.append([n for n, _ in each]), texts.append([t for _, t in each])
+                    tree, own = blocks(parse(page))
+                    hosts.append(host), trees.append(json.dumps(tree))
                     digests.append(hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                    for k, values in (("nodes", [b.node for b in own]), ("texts", [_hash(b.text) for b in own]), ("chars", [len(b.text) for b in own]), ("linked", [min(b.linked, len(b.text)) for b in own])):
+                        found[k].append(values)
+            types = {"nodes": pa.int32(), "texts": pa.int64(), "chars": pa.int32(), "linked": pa.int32()}
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(trees, pa.string()), pa.array(nodes, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.int64()))],
-                ["__vf_host", "digest", "page", "nodes", "texts"],
+                [pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(trees, pa.string()), *(pa.array(found[k], pa.list_(t)) for k, t in types.items())],
+                ["__vf_host", "digest", "page", *types],
             )
 
-    read_ = pages.mapInArrow(read, "__vf_host string, digest binary, page string, nodes array<int>, texts array<long>")
-    distinct = durable(read_.groupBy("__vf_host", "digest").agg(F.first(F.struct("page", "nodes", "texts")).alias("x")).select("__vf_host", "x.*"))
+    read_ = pages.mapInArrow(read, "__vf_host string, digest binary, page string, nodes array<int>, texts array<long>, chars array<int>, linked array<int>")
+    distinct = durable(read_.groupBy("__vf_host", "digest").agg(F.first(F.struct("page", "nodes", "texts", "chars", "linked")).alias("x")).select("__vf_host", "x.*"))
 
     def merged(table: pa.Table) -> pa.Table:
         tree = None
@@ -403,52 +429,82 @@ def induce(pages: DataFrame) -> DataFrame:
     def place(batches):
         aligned = Aligner()
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("tree", "page", "nodes", "texts")]
-            hosts, nodes, texts = [], [], []
-            for host, tree, page, own, found in zip(batch.column("__vf_host").to_pylist(), *columns):
+            columns = [batch.column(c).to_pylist() for c in ("tree", "page", "nodes", "texts", "chars", "linked")]
+            rows = []
+            for host, tree, page, *found in zip(batch.column("__vf_host").to_pylist(), *columns):
                 at = aligned(tree, page)
-                each = [*((n, None) for n in at), *{(at[n], t) for n, t in zip(own, found)}]
-                hosts += [host] * len(each)
-                nodes += [n for n, _ in each]
-                texts += [t for _, t in each]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(texts, pa.int64())], ["__vf_host", "node", "text"])
+                sums: dict[int, list[int]] = {n: [0, 0] for n in at if n >= 0}
+                texts: dict[tuple[int, int], list[int]] = {}
+                for n, text, chars, linked in zip(*found):
+                    if at[n] >= 0:
+                        for each in (sums[at[n]], texts.setdefault((at[n], text), [0, 0])):
+                            each[0] += chars
+                            each[1] += linked
+                rows += [(host, n, None, *x) for n, x in sums.items()]
+                rows += [(host, n, text, *x) for (n, text), x in texts.items()]
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["__vf_host", "node", "text", "chars", "linked"])
 
     size = trees.agg(F.sum(F.length("tree") + F.length("__vf_host") + 64))
-    placed = _hosted(distinct, trees, size).mapInArrow(place, "__vf_host string, node int, text long")
-    counts = durable(placed.groupBy("__vf_host", "node", "text").agg(F.count("*").alias("k")).where("text is null or k >= 3"))
+    placed = _hosted(distinct, trees, size).mapInArrow(place, "__vf_host string, node int, text long, chars long, linked long")
+    sums = placed.groupBy("__vf_host", "node", "text").agg(F.count("*").alias("k"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    counts = durable(sums.where("text is null or k >= 3"))
     n = counts.where("text is null").select("__vf_host", "node", F.col("k").alias("n"))
-    constant = counts.where("text is not null").join(n, ["__vf_host", "node"]).where("10 * k >= 9 * n")
-    drop = constant.groupBy("__vf_host").agg(F.to_json(F.sort_array(F.collect_list(F.array(F.col("node").cast("long"), "text")))).alias("drop"))
-    return durable(trees.join(drop, "__vf_host", "left"))
+    constant = counts.where("text is not null").join(n, ["__vf_host", "node"]).where("10 * k >= 9 * n").select("__vf_host", "node", "text", "chars", "linked")
+    nodes = counts.where("text is null").select("__vf_host", "node", F.lit(None).cast("long").alias("text"), "chars", "linked").unionByName(constant)
+
+    def judged(key, found: pa.Table, trees: pa.Table) -> pa.Table:
+        if not len(trees):
+            return pa.table({"__vf_host": pa.array([], pa.string()), "rules": pa.array([], pa.string())})
+        tree = trees.column("tree")[0].as_py()
+        stats: dict[int, list[int]] = {}
+        drop = []
+        for node, text, chars, linked in zip(*(found.column(c).to_pylist() for c in ("node", "text", "chars", "linked"))):
+            own, sign = stats.setdefault(node, [0, 0]), 1 if text is None else -1
+            own[0] += sign * chars
+            own[1] += sign * linked
+            if text is not None:
+                drop.append([node, text])
+        first, other = decide(json.loads(tree), {k: tuple(v) for k, v in stats.items()})
+        rules = json.dumps({"tree": tree, "first": first, "other": other, "drop": sorted(drop)})
+        return pa.table({"__vf_host": pa.array([key[0].as_py()], pa.string()), "rules": pa.array([rules], pa.string())})
+
+    return durable(nodes.groupBy("__vf_host").cogroup(trees.groupBy("__vf_host")).applyInArrow(judged, "__vf_host string, rules string"))
 
 
 # --- extraction
 
 
-def _articles(root: Node) -> list[Node]:
-    """The outermost <article> and <main> elements that do not lie aside, in page order."""
-    out: list[Node] = []
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if node.tag in CONTENT_TAGS:
-            out.append(node)
-        else:
-            stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and c.aside < COMMENT)
-    return out
+class Rules:
+    """A host's wrapper as `induce` gives it, read once a worker."""
+
+    def __init__(self, text: str):
+        given = json.loads(text)
+        self.tree, self.first, self.other = given["tree"], frozenset(given["first"]), frozenset(given["other"])
+        self.drop = frozenset(map(tuple, given["drop"]))
+
 
+def extract(page: str | None, rules: Rules | None, aligned: Aligner) -> str:
+    """The main text of a page: its blocks in the wrapper's content nodes; "" if there are none.
 
-def extract(page: str | None, tree: str | None, drop: frozenset[tuple[int, int]], aligned: Aligner) -> str:
-    """The main text of a page: that of its articles, else that of all slots of the wrapper; "" if there is none."""
-    root = parse(page)
-    found = unmarked([b for n in _articles(root) for b in blocks(n, articles=True)[1]])
-    if not found:
-        own, found = blocks(root)
-        if drop and tree:
-            at = aligned(tree, json.dumps(own))
-            found = [b for b in found if (at[b.node], _hash(b.text)) not in drop]
-        found = unmarked(without_menus(found))
-    return " ".join(b.text for b in found)
+    Those of articles come first; a page without text in these has the others. A page all of whose
+    content is template (its host has little else) keeps it. Without a wrapper all text is content.
+    """
+    own, found = blocks(parse(page))
+    if rules is None:
+        return " ".join(b.text for b in found)
+    at = aligned(rules.tree, json.dumps(own))
+    for i, n in enumerate(at):  # what the alignment left out belongs to the element around it, unless it tells otherwise
+        if n < 0 and own[i][0] >= 0 and "!" not in own[i][1]:
+            at[i] = at[own[i][0]]
+    for nodes in (rules.first, rules.other):
+        mine = [b for b in found if at[b.node] in nodes]
+        if varying := [b for b in mine if (at[b.node], _hash(b.text)) not in rules.drop]:
+            return " ".join(b.text for b in varying)
+        if mine and nodes is rules.first:
+            break
+    return " ".join(b.text for b in mine)
 
 
 def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text") -> DataFrame:
@@ -462,22 +518,22 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", te
     """
     keep = [c for c in pages.columns if c != text]
     keyed = pages.select(*keep).withColumn("__vf_host", parts(F.col(url))[0])
-    wrappers = induce(keyed.select("__vf_host", F.col(html).alias("html"))).withColumnsRenamed({"tree": "__vf_tree", "drop": "__vf_drop"})
-    size = wrappers.agg(F.sum(F.length("__vf_tree") + F.coalesce(F.length("__vf_drop"), F.lit(0)) + F.length("__vf_host") + 64))
-    joined = _hosted(keyed, wrappers, size).select(*keep, "__vf_tree", "__vf_drop")
+    wrappers = induce(keyed.select("__vf_host", F.col(html).alias("html"))).withColumnsRenamed({"rules": "__vf_rules"})
+    size = wrappers.agg(F.sum(F.length("__vf_rules") + F.length("__vf_host") + 64))
+    joined = _hosted(keyed, wrappers, size).select(*keep, "__vf_rules")
     schema = T.StructType([*(joined.schema[c] for c in keep), T.StructField(text, T.StringType())])
 
     def run(batches):
-        held: dict[str | None, frozenset] = {}
+        held: dict[str | None, Rules | None] = {}
         aligned = Aligner()
         for batch in batches:
             out = []
-            for page, tree, drop in zip(*(batch.column(c).to_pylist() for c in (html, "__vf_tree", "__vf_drop"))):
-                if drop not in held:
+            for page, rules in zip(*(batch.column(c).to_pylist() for c in (html, "__vf_rules"))):
+                if rules not in held:
                     if len(held) > 500:
                         held.clear()
-                    held[drop] = frozenset(map(tuple, json.loads(drop or "[]")))
-                out.append(extract(page, tree, held[drop], aligned))
+                    held[rules] = Rules(rules) if rules else None
+                out.append(extract(page, held[rules], aligned))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, text])
 
     return joined.mapInArrow(run, schema)
