@@ -169,7 +169,7 @@ def test_pii_of_one_person_in_a_document(spark):
     got = replaced(
         spark,
         [
-            "Mr. John Smith left. Later Smith's wife met Smith and John, not Johnson or smith.",
+            "Mr. John Smith left. Later Smith's wife met Smith and John, not Johnson.",
             "Dr. Alexis Smith and Ms. Alexis Smith and Mr. Alexis Jones",
             "Mr. John Smith Monday and Mrs. Mary-Ann O'Brien May",
             "Господин Иван Петров и Госпожа Анна Петрова",
@@ -177,7 +177,7 @@ def test_pii_of_one_person_in_a_document(spark):
             "me@corp.com, you@corp.com, me@other.org, token: ********, password=********1, fe80::1ff:2 and 2001:0db8:0:0:0:0:0:1, 12:30:45",
         ],
     )
-    one = re.fullmatch(r"Mr\. (\w+) (\w+) left\. Later (\w+)'s wife met (\w+) and (\w+), not Johnson or smith\.", got[0])
+    one = re.fullmatch(r"Mr\. (\w+) (\w+) left\. Later (\w+)'s wife met (\w+) and (\w+), not Johnson\.", got[0])
     assert one[2] == one[3] == one[4] != "Smith" and one[1] == one[5] != "John"
     two = re.fullmatch(r"Dr\. (\S+) (\w+) and Ms\. (\S+) (\w+) and Mr\. (\S+) (\w+)", got[1])
     assert two[1] == two[3] == two[5] and two[2] == two[4] == one[2] != two[6]
@@ -187,7 +187,58 @@ def test_pii_of_one_person_in_a_document(spark):
     assert four and "Петров" not in got[3]
     assert got[4] == "Smith and John stay where nobody is named"
     six = re.fullmatch(r"(\w+)@(\S+), (\w+)@(\S+), (\w+)@(\S+), token: \*{8}, password=\*{8}1, ([0-9a-f:]+) and ([0-9a-f:]+), 12:30:45", got[5])
-    assert six[2] == six[4] != six[6] and six[1] + six[2] != six[3] + six[4] and six[7] != "fe80::1ff:2" and "db8" not in six[8]
+    assert six[2] == six[4] != six[6] and six[1] + six[2] != six[3] + six[4] and six[7] != "fe80::1ff:2" and six[8] != "2001:0db8:0:0:0:0:0:1" and all(x.startswith("2001:db8:") for x in (six[7], six[8]))
+
+
+def test_pii_leaves_words_that_are_no_names(spark):
+    values = [
+        "Mr. May said hello. In May we met. May I ask?",
+        "Dr. Young met young people; Young people cheered",
+        "Frau Sommer ging. Sommer lachte. Herr August kam im August am Montag.",
+        "Rajesh Kumar wrote to Olga Petrova, and Kumar to Petrova.",
+        "In April the May queen met June.",
+    ]
+    got = replaced(spark, values)
+    assert re.fullmatch(r"Mr\. (\w+) said hello\. In May we met\. May I ask\?", got[0])[1] != "May"
+    assert re.fullmatch(r"Dr\. (\w+) met young people; Young people cheered", got[1])[1] != "Young"
+    three = re.fullmatch(r"Frau (\w+) ging\. (\w+) lachte\. Herr (\w+) kam im August am Montag\.", got[2])
+    assert three[1] == three[2] != "Sommer" and three[3] != "August"
+    four = re.fullmatch(r"(\w+) (\w+) wrote to (\w+) (\w+), and (\w+) to (\w+)\.", got[3])
+    assert four[2] == four[5] and four[4] == four[6] and not set(four.groups()) & {"Rajesh", "Kumar", "Olga", "Petrova"}
+    assert got[4] == values[4]
+
+
+def test_pii_numbers_and_addresses_belong_to_nobody(spark):
+    """Many of each kind: phones get codes that are held back, addresses reserved blocks, cards and IBANs right check digits."""
+    import ipaddress
+
+    rnd = random.Random(6)
+    octets = lambda *first: ".".join(map(str, [*first, *(rnd.randint(0, 255) for _ in range(4 - len(first)))]))
+    blocks = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8"]
+    ips = sorted({octets(*f) for f in ((10,), (172, 16), (172, 31), (192, 168), (127,), (8,), (79, 156), (172, 15), (172, 32)) for _ in range(12)})
+    cards = []
+    while len(cards) < 40:
+        digits = str(rnd.randint(10**15, 10**16 - 1))
+        cards += [digits] if luhn(digits) else []
+    phones = [f"+1 ({rnd.randint(200, 999)}) {rnd.randint(200, 999)}-{rnd.randint(0, 9999):04d}" for _ in range(60)]
+    letters = lambda x: int("".join(str(int(c, 36)) for c in x))
+    ibans = []
+    for _ in range(40):
+        body = f"{rnd.randint(0, 10**18 - 1):018d}"
+        ibans.append(f"DE{98 - letters(body + 'DE00') % 97:02d}{body}")
+    values = [f"ip {x} end" for x in ips] + [f"card {x} end" for x in cards] + [f"call {x} end" for x in phones] + [f"iban {x} end" for x in ibans]
+    got = [x.split(" ", 1)[1].removesuffix(" end") for x in replaced(spark, values)]
+    real, given = [x.split(" ", 1)[1].removesuffix(" end") for x in values], set()
+    for old, new in zip(real, got):
+        assert new not in real and new not in given
+        given.add(new)
+    n, m, k = len(ips), len(ips) + len(cards), len(ips) + len(cards) + len(phones)
+    for old, new in zip(ips, got):
+        inside = [b for b in blocks if ipaddress.ip_address(old) in ipaddress.ip_network(b)]
+        assert ipaddress.ip_address(new) in ipaddress.ip_network(inside[0] if inside else "240.0.0.0/4")
+    assert all(luhn(x) and len(x) == 16 for x in got[n:m])
+    assert all(re.fullmatch(r"\+1 \([2-9]9\d\) [2-9]\d\d-\d{4}", x) for x in got[m:k])
+    assert all(x[:2] == "DE" and len(x) == 22 and letters(x[4:] + x[:4]) % 97 == 1 for x in got[k:])
 
 
 def test_pii_of_hostile_texts(spark):
@@ -371,6 +422,22 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_splits_rows_of_one_id(spark, tmp_path):
+    """Rows that share id, source and size have the fraction as far as it goes, as the SQL has it."""
+    rows = [(None, "w w w w", "en", "a", 1)] * 10 + [(7, "w w w", "en", "b", 1)] * 9 + [(7, "w", "en", "b", 1)] * 2 + [(i, "w " * (i % 5), "en", "c", 1) for i in range(40)] + [(None, "x y", "en", None, 1)] * 5
+    df = docs(spark, rows).repartition(4)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.mix(df).select("doc_id", "source", "size", "source_size", "target", "taken").cache()
+    assert out.count() == len(rows)
+    for r in out.groupBy("source", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("largest")).collect():
+        assert abs(r["taken"] - r["target"]) <= r["largest"] / 2
+    assert out.groupBy("doc_id", "source", "size").agg(F.countDistinct("taken").alias("n")).where("n = 2 and (doc_id is null or doc_id = 7)").count() >= 1
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    clean = lambda rows: sorted(repr(tuple(round(x, 6) if isinstance(x, float) else x for x in r)) for r in rows)
+    assert clean(con.sql(f"select doc_id, size, source_size, target, taken from ({queries.ORACLE_SQL['op4_mixing']})").fetchall()) == clean(map(tuple, out.drop("source").collect()))
+
+
 def test_mixing_passes_over_documents_that_cannot_fit(spark):
     """A source of weight 3 beside one of weight 1: the fraction is met although long documents come first for some seeds."""
     rows = [(i, " ".join(["w"] * (650 if i == 0 else 10)), "en", "b", 1) for i in range(36)] + [(100 + i, " ".join(["w"] * 10), "en", "a", 1) for i in range(40)]
@@ -541,6 +608,21 @@ def test_url_verdicts_against_brute_force(spark):
     assert [got[i]["verdict"] for i in range(-6, 0)] == ["block", "allow", "allow", "block", "allow", "block"]
 
 
+def test_url_names_that_only_segmentation_can_judge(spark):
+    """Joined names that are in no sample. As wholes the model knows none of them; their words tell."""
+    bad = "megacasinobonus pokerroomjackpot cheapcialisonline freexxxvideos nudecamgirls quickcashloans sportsbettingodds buyviagraonline lotterywinnerprize adultdatingcams replicabagscheap bingoslotswin cryptogiveawaydoubler eroticwebcamchat gambletonight xanaxshop warezserial dietpillmiracle escortdatingtonight bulkemailspam".split()
+    good = "sciencemuseumnews freebookslibrary citycouncilmaps cheapflightsguide familydoctorhelp openaccessjournal musicschoolblog localweatherreview highereducationforum healthyfoodrecipes collegefootballnews homeloanscenter onlinecoursesschool digitalartgallery worldtravelblog publicradioarchive historybooksreview learnmusiconline chessclubgames organicfarmshop".split()
+    rows = [(i, f"http://www.{name}.example.org/fr/{i}") for i, name in enumerate([*bad, *good])]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.RULES).collect()}
+    caught, wrong = sum(got[i] == "block" for i in range(len(bad))), sum(got[i + len(bad)] == "block" for i in range(len(good)))
+    model = url_filter.fit_bayes(url_filter.DEFAULT_LABELLED)
+    assert not any(url_filter.log_odds(["www", name, "fr"], model) > 0 for name in bad)  # a plain split catches none
+    print("recall", caught, "of", len(bad), "wrong", wrong, "of", len(good))
+    assert caught >= 17 and wrong <= 1
+    hosts = {"casino win", "free bets", "cheap pills", "ads track", "spam farm", "adult x"}
+    assert not hosts & {" ".join(words) for words, _ in url_filter.DEFAULT_LABELLED}
+
+
 def test_url_of_long_names(spark):
     import time
 

@@ -143,16 +143,17 @@ s5 AS (SELECT source, source_size,
   FROM s4 LEFT JOIN lv ON true),
 s AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM s5),
 q0 AS (SELECT g.*, s.source_size, s.target, s.whole, s.target - s.whole * s.source_size AS rest FROM g JOIN s ON g.source IS NOT DISTINCT FROM s.source),
-q AS (SELECT *, CASE WHEN rows * size <= rest THEN rows * size ELSE 0 END AS counted,
-    sum(CASE WHEN rows * size <= rest THEN rows * size ELSE 0 END) OVER (PARTITION BY source ORDER BY hash, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM q0),
-f AS (SELECT *, upto <= rest AND counted > 0 AS fits FROM q),
-lk AS (SELECT source, any_value(rest) - sum(CASE WHEN fits THEN rows * size ELSE 0 END) AS lack FROM f GROUP BY source),
-c AS (SELECT f.source, f.doc_id, f.size, row_number() OVER (PARTITION BY f.source ORDER BY abs(f.rows * f.size - lack), hash, f.doc_id, f.size) AS k
-  FROM f JOIN lk ON f.source IS NOT DISTINCT FROM lk.source WHERE NOT fits AND f.size > 0 AND abs(f.rows * f.size - lack) < lack),
-r AS (SELECT f.*, f.whole + CASE WHEN f.fits OR c.k IS NOT NULL THEN 1 ELSE 0 END AS repeats
-  FROM f LEFT JOIN c ON c.k = 1 AND f.source IS NOT DISTINCT FROM c.source AND f.doc_id IS NOT DISTINCT FROM c.doc_id AND f.size = c.size)
-SELECT d.doc_id, d.size, r.source_size, r.target, (d.size * r.repeats)::BIGINT AS taken
-FROM d JOIN r ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND d.source IS NOT DISTINCT FROM r.source AND d.size = r.size""",
+q AS (SELECT *, CASE WHEN size <= rest THEN rows * size ELSE 0 END AS counted,
+    sum(CASE WHEN size <= rest THEN rows * size ELSE 0 END) OVER (PARTITION BY source ORDER BY hash, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM q0),
+f AS (SELECT *, CASE WHEN counted > 0 THEN greatest(0, least(rows, floor((rest - (upto - counted)) / size)))::BIGINT ELSE 0 END AS fits FROM q),
+lk AS (SELECT source, any_value(rest) - sum(fits * size) AS lack FROM f GROUP BY source),
+c AS (SELECT f.source, f.doc_id, f.size, row_number() OVER (PARTITION BY f.source ORDER BY abs(f.size - lack), hash, f.doc_id, f.size) AS k
+  FROM f JOIN lk ON f.source IS NOT DISTINCT FROM lk.source WHERE fits < rows AND f.size > 0 AND abs(f.size - lack) < lack),
+r AS (SELECT f.*, f.fits + CASE WHEN c.k IS NOT NULL THEN 1 ELSE 0 END AS more
+  FROM f LEFT JOIN c ON c.k = 1 AND f.source IS NOT DISTINCT FROM c.source AND f.doc_id IS NOT DISTINCT FROM c.doc_id AND f.size = c.size),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS nth FROM d)
+SELECT n.doc_id, n.size, r.source_size, r.target, (n.size * (r.whole + CASE WHEN n.nth <= r.more THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM n JOIN r ON n.doc_id IS NOT DISTINCT FROM r.doc_id AND n.source IS NOT DISTINCT FROM r.source AND n.size = r.size""",
     "op6_topk": r"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
