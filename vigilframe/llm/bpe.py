@@ -13,7 +13,7 @@ import heapq
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import chain, groupby
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -219,17 +219,16 @@ class Encoder:
         if len(self.index) > PIECES:
             self._forget()
         found = [(self.find if self.wide(t) else self.find_narrow)(t) if t else [] for t in texts]
-        index, fresh = self.index, []
-        for pieces in found:
-            for p in set(pieces).difference(index):
-                index[p] = len(index)
-                fresh.append(p)
-        if fresh:
+        pieces = list(chain.from_iterable(found))
+        which = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(new := np.flatnonzero(which < 0).tolist()):
+            index, fresh = self.index, list(dict.fromkeys(pieces[i] for i in new))
+            index.update(zip(fresh, range(len(index), len(index) + len(fresh))))
             ids, counts = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in fresh])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(counts)])
             self.flat = np.concatenate([self.flat, ids])
+            which[new] = np.fromiter((index[pieces[i]] for i in new), np.int64, len(new))
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        which = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
         starts, lengths = self.offsets[which], self.offsets[which + 1] - self.offsets[which]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         flat = self.flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
