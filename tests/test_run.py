@@ -356,6 +356,19 @@ def test_received_signatures(spark, tmp_path):
     assert sorted(handled) == ["a", "b"]
 
 
+def test_places_in_the_queue_go_by_arrival(spark, tmp_path):
+    c = config.Config.parse(TOML)
+    s = open_store(spark, "parquet", str(tmp_path / "store"))
+    e = classify.Engine(spark, s, c.models(spark), c.pipelines(spark), ("light",), max_pending=3)
+    row = lambda t, i=0: (t, i, image("http://a/x:0.1"), ["general"], None)
+    accepted, rejected = e.submit(spark.createDataFrame([row("z"), row("y", 0), row("y", 1), row("y", 2), row("b"), row("x", 0), row("c"), row("a")], ROWS).coalesce(1))
+    assert [r["task_id"] for r in accepted.orderBy("task_id").collect()] == ["b", "x", "z"]  # a refused large one leaves room
+    assert {(r["task_id"], r["problem"]) for r in rejected.collect()} == {(t, "queue_full") for t in "acy"}
+    e = classify.Engine(spark, s, c.models(spark), c.pipelines(spark), ("light",), max_pending=4)
+    late = spark.createDataFrame([(*row("d"), 9), (*row("e"), 4)], ROWS + ", arrival bigint")
+    assert [r["task_id"] for r in e.submit(late)[0].collect()] == ["e"]
+
+
 # --- scans, architectures, permits, retries
 
 

@@ -282,3 +282,55 @@ def test_a_change_that_lands_beside_a_compaction_is_kept(spark, tmp_path):
     half = tmp_path / "store" / "items" / "base-99999999999999999999"
     half.mkdir()  # a compaction that died before its end
     assert s.table("items").count() == 0
+
+
+def test_staged_downloads_hold_a_piece_at_a_time(spark, tmp_path):
+    """400 MB pass through a process that grows by less than a tenth of it; caps, failures and fallbacks are rows' errors."""
+    import hashlib
+    import subprocess
+    import sys
+
+    code = f"""
+import resource
+from vigilframe.sources import media
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+path, n, digest = media.stage_one("big", {str(tmp_path / "big")!r}, media.FetchLimits(), lambda url, limits: (b"x" * (1 << 16) for _ in range(6400)))
+assert n == 6400 << 16
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 40 << 10
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+    def stream(url, limits):
+        if "down" in url:
+            raise OSError("unreachable")
+        for k in range(int(url.rsplit("/", 1)[1])):
+            yield b"%04d" % k
+        if "torn" in url:
+            raise OSError("connection lost")
+
+    folder = str(tmp_path / "staged")
+    rows = [(0, "http://a/3", None), (1, "http://a/3", "http://b/9"), (2, "http://down/1", "http://b/2"), (3, "http://down/1", None), (4, "http://b/99", None), (5, "http://torn/2", "http://down/3"), (6, None, None), (7, "http://a/0", None)]
+    rows += [(100 + i, "http://hot/5", None) for i in range(40)]
+    out = media.staged_downloads(spark.createDataFrame(rows, "n int, main string, fallback string"), folder, media.FetchLimits(most_bytes=100), stream)
+    got = {r["n"]: r for r in out.collect()}
+    body = lambda n: b"".join(b"%04d" % k for k in range(n))
+    for n, pieces in ((0, 3), (1, 3), (2, 2), (7, 0), (100, 5), (139, 5)):
+        assert (got[n]["length"], got[n]["content_hash"], got[n]["fetch_error"]) == (4 * pieces, hashlib.sha256(body(pieces)).hexdigest(), None)
+        assert open(got[n]["path"], "rb").read() == body(pieces)
+    assert got[3]["fetch_error"] == "http://down/1: unreachable" and got[6]["fetch_error"] == "no source"
+    assert "too large" in got[4]["fetch_error"] and "connection lost" in got[5]["fetch_error"] and "http://down/3: unreachable" in got[5]["fetch_error"]
+    assert len(list((tmp_path / "staged").iterdir())) == 4  # equal contents are one file, and no part is left
+
+
+def test_lookups_read_the_log_of_their_keys_only(spark, tmp_path):
+    s = open_store(spark, "parquet", str(tmp_path / "store"), now=lambda: 7)
+    out = {"classification": [{"label": 1, "score": 0.5}], "frame_scan": None}
+    with s.batch():
+        for k in range(6):
+            s.cache_store(f"h{k}", "m", "main", out)
+    s.cache_store("h1", "m", "main", out | {"classification": []})
+    only = spark.createDataFrame([("h1",), ("h1",), ("h9",)], "content_hash string")
+    table = s.table("cache", only)
+    assert [(r["content_hash"], r["output"]["classification"]) for r in table.collect()] == [("h1", [])]
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi") and "BroadcastHashJoin" in plan  # below the aggregate

@@ -122,17 +122,20 @@ class Engine:
     def submit(self, items: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(accepted, rejected with `problem`) of rows (task_id, idx, input, models, pipeline); accepted ones are stored.
 
-        A task is accepted as a whole. Memory and queue limits are checked before anything is written.
+        A task is accepted as a whole. Memory and queue limits are checked before anything is written; places in
+        the queue go by arrival: a column `arrival` (a whole number), or the order of the rows.
         """
         if self.memory_cap and self.memory_used and self.memory_used() >= self.memory_cap:
             return items.limit(0), items.withColumn("problem", F.lit("memory"))
-        keyed = items.withColumn("item", F.concat_ws("#", "task_id", "idx"))
+        arrival = F.col("arrival").cast("long") if "arrival" in items.columns else F.monotonically_increasing_id()
+        keyed = self.store.durable(items.withColumn("_arrival", arrival)).withColumn("item", F.concat_ws("#", "task_id", "idx"))
         resolved = gate.resolve(lifecycle.submissions(keyed.withColumn("kind", F.col("input.kind")).withColumn("video", F.col("input.video"))), self.pipelines)
         checked = resolved.join(lifecycle.validate_items(resolved, self.models, self.strategies).withColumnRenamed("problem", "_rule"), "item")
         judged = checked.withColumn("problem", F.coalesce("problem", "pipeline_error", "_rule"))
-        bad = judged.groupBy("task_id").agg(F.min("problem").alias("_task_problem"), F.count("*").alias("_n"))
+        bad = judged.groupBy("task_id").agg(F.min("problem").alias("_task_problem"), F.count("*").alias("_n"), F.min("_arrival").alias("_arrival"))
         waiting = self.store.table("items").where(~F.col("state").isin("completed", "failed", "cancelled")).count()
-        good = lifecycle.admit_in_order(bad.where("_task_problem is null"), waiting, self.max_pending, "task_id", "_n")
+        sound = bad.where("_task_problem is null").withColumn("_queue", F.lit(0))
+        good = lifecycle.within_capacity(sound, waiting, self.max_pending, ["_queue"], "_arrival", "_n").where("accepted")
         accepted = judged.join(good, "task_id", "left_semi").select("task_id", F.col("idx").cast("long").alias("idx"), "input", "models", "pipeline")
         rejected = judged.join(good, "task_id", "left_anti").select("task_id", "idx", F.coalesce("problem", F.lit("queue_full")).alias("problem"))
         accepted, rejected = self.store.durable(accepted), self.store.durable(rejected)

@@ -126,7 +126,9 @@ class Runner:
         """Items all of whose open models have a fresh output by their URL; pipelines never, as gates see every step."""
         open_ = wanted.where("pipeline is null and not done and url is not null")
         asked = open_.select(F.struct(*KEYS).alias("item"), caches.url_key(F.col("url")).alias("url_hash"), "model", "revision")
-        hits = caches.url_cache_hits(asked, self.store.table("url_cache"), self.store.table("cache"), self._fresh())
+        asked = self._kept(asked)
+        known = self._kept(self.store.table("url_cache", asked.select("url_hash")))
+        hits = caches.url_cache_hits(asked, known, self.store.table("cache", known.select("content_hash")), self._fresh())
         hits = self._kept(hits.select("item.*", "model", "output"))
         self._results(hits, "done")
         return hits.select(*KEYS).distinct()
@@ -197,7 +199,7 @@ class Runner:
         # contents stay where they were fetched to: a model's own plan joins them
         rows = todo.join(fetched.drop("content"), KEYS).withColumnRenamed("hash", "content_hash")
         if self.cache:
-            rows = caches.content_cache(rows, self.store.table("cache"), self._fresh())
+            rows = caches.content_cache(rows, self.store.table("cache", rows.select("content_hash")), self._fresh())
         else:
             rows = rows.withColumn("output", F.lit(None).cast(OUTPUT))
         rows = self._kept(rows)

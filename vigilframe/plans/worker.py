@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import queue
 import threading
 import time
 from collections.abc import Callable, Iterator
@@ -11,6 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import heads
+from ..functions.timing import within
 
 _PREDICTIONS = "array<struct<label:bigint,score:float>>"
 RESULT = f"struct<classification:{_PREDICTIONS},error:string>"
@@ -56,28 +56,6 @@ class Resident:
 RESIDENT = Resident()
 
 
-def within(seconds: float | None, call: Callable, *args):
-    """call(*args), or TimeoutError after `seconds`. What runs on is a daemon thread and does not hold its process."""
-    if not seconds:
-        return call(*args)
-    answers: queue.Queue = queue.Queue(1)
-
-    def run() -> None:
-        try:
-            answers.put((call(*args), None))
-        except BaseException as e:
-            answers.put((None, e))
-
-    threading.Thread(target=run, daemon=True).start()
-    try:
-        value, problem = answers.get(timeout=seconds)
-    except queue.Empty:
-        raise TimeoutError from None
-    if problem is not None:
-        raise problem
-    return value
-
-
 class Model:
     """A model that columns of images are put through: `model(column)` is struct(classification, error).
 

@@ -162,12 +162,16 @@ class Store:
         set_ = F.col(column).isNotNull() if when is None else F.coalesce(F.col(when), F.lit(False)) | F.col(column).isNotNull()
         return F.max_by(F.struct(F.col(column).alias("v")), F.when(set_, F.col("_version")))["v"].alias(column)
 
-    def table(self, name: str, upto: int | None = None) -> DataFrame:
-        """The current rows, or those as of a version. One aggregate by key; maxima combine before the shuffle."""
+    def table(self, name: str, only: DataFrame | None = None) -> DataFrame:
+        """The current rows. One aggregate by key; maxima combine before the shuffle.
+
+        `only` has some key columns: rows of other keys are left out of the log as it is read, so that a
+        lookup of few keys, which Spark then broadcasts, neither shuffles nor aggregates the rest.
+        """
         keys, _ = TABLES[name]
         log = self._log(name)
-        if upto is not None:
-            log = log.where(F.col("_version") <= upto)
+        if only is not None:
+            log = log.join(only.distinct(), only.columns, "left_semi")
         sets = {"error": "set_error", "output": "set_output"}
         plain = [f.name for f in self._schema(name) if f.name not in keys and f.name != "_version" and not f.name.startswith("set_") and f.name != "default_state"]
         current = [self._newest(c, sets.get(c) if sets.get(c) in log.columns else "set_output" if c == "error" and name == "model_results" else None) for c in plain]
