@@ -31,7 +31,7 @@ RANGE_ROWS = 1 << 14
 #: Shuffle partitions of a round; partitions of the packing share them beyond that.
 TASKS = 1 << 14
 #: Bytes of interned words a worker holds before it starts anew, and what each takes beside its letters; bounds memory, not results.
-HELD, WORD_BYTES = 192 << 20, 300
+HELD, WORD_BYTES = 256 << 20, 300
 #: Letters that have one form only and one small letter; all ASCII punctuation but the apostrophe.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 #: Bytes as the characters that byte-level vocabularies write them with: printable ones themselves, the others from 256 on.
