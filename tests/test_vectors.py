@@ -327,3 +327,12 @@ def test_plans_of_long_videos_are_linear(spark):
         t += 1.0 / 30.0
     assert got[:50_000] == sampling.first_come([min(x, 3600 - 1 / 30) for x in want])[:50_000]
     assert one(spark, sampling.at_rate(F.lit(None).cast("double"), F.lit(1.0)).alias("a"), sampling.at_rate(d, F.lit(-1.0)).alias("b")) == ([], [])
+
+
+def test_requests_become_submissions(spark):
+    lines = ['{"image_url": {"main": "http://a", "fallback": "http://b"}, "models": ["m"]}', '{"text": "hi", "pipeline": "p"}', '{"audio_url": {"main": "x", "fallback": "y"}, "models": ["m"]}', '{"models": ["m"]}', '{"text": "hi"}', '{"text": "hi", "models": []}', '{"text": "hi", "video_url": {"main": "v"}, "models": ["m"]}', "nonsense", "", None, "[1]", '{"video_url": {"main": "v"}, "models": ["m", "n"], "pipeline": "p", "more": 1}']
+    got = [r for r in wire.requests(spark.createDataFrame(list(enumerate(lines)), "task_id int, request string")).orderBy("task_id").collect()]
+    assert [r["problem"] for r in got] == [None, None, None, "an input is required", "models or a pipeline are required", "models or a pipeline are required", "only one input is allowed", *["the request cannot be read"] * 4, None]
+    assert tuple(got[0]["input"]) == ("image", "http://a", "http://b", None, None, False) and tuple(got[1]["input"]) == ("text", None, None, "hi", None, False)
+    assert tuple(got[2]["input"])[:3] == ("audio", "x", "y") and got[3]["input"] is None
+    assert tuple(got[11]["input"]) == ("video", "v", None, None, None, True) and (got[11]["models"], got[11]["pipeline"]) == (["m", "n"], "p")

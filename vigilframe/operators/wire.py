@@ -1,4 +1,4 @@
-"""What a client sees of a task: one result arm (error, state or models) for its first item."""
+"""What a client sends and sees: requests as submissions, and a task's one result arm (error, state or models)."""
 
 from __future__ import annotations
 
@@ -12,6 +12,36 @@ TASK_NUMBERS = {"queued": 0, "processing": 1, "completed": 2, "failed": 4, "canc
 MODEL_NUMBERS = {"queued": 0, "processing": 1, "done": 2, "failed": 4, "skipped": 5}
 
 
+_URL = "struct<main:string,fallback:string>"
+#: A request: one of the inputs, and models or a pipeline.
+REQUEST = f"image_url {_URL}, video_url {_URL}, audio_url {_URL}, text string, models array<string>, pipeline string"
+
+
+def requests(lines: DataFrame, request: str = "request") -> DataFrame:
+    """Requests, JSON text in a column, as (other columns, input, models, pipeline, problem).
+
+    What is no JSON object, has no input or more than one, or neither models nor a pipeline, has a
+    `problem` and no input. URLs may name a fallback; an empty list of models is none.
+    """
+    r = F.from_json(F.col(request), REQUEST)
+    kinds = {"image": r["image_url"], "video": r["video_url"], "audio": r["audio_url"]}
+    none = F.lit(None).cast("string")
+    some = [u["main"].isNotNull() for u in kinds.values()] + [r["text"].isNotNull()]
+    many = sum((x.cast("int") for x in some), F.lit(0))
+    models = F.coalesce(r["models"], F.array().cast("array<string>"))
+    problem = (
+        F.when(r.isNull() | ~F.coalesce(F.trim(F.col(request)).startswith("{"), F.lit(False)), "the request cannot be read")
+        .when(many == 0, "an input is required")
+        .when(many > 1, "only one input is allowed")
+        .when((F.size(models) == 0) & r["pipeline"].isNull(), "models or a pipeline are required")
+    )
+    kind = F.coalesce(*[F.when(u["main"].isNotNull(), F.lit(k)) for k, u in kinds.items()], F.lit("text"))
+    urls = [F.coalesce(*[u[part] for u in kinds.values()]) for part in ("main", "fallback")]
+    given = F.struct(kind.alias("kind"), urls[0].alias("main"), urls[1].alias("fallback"), r["text"].alias("text"), none.alias("path"), (kind == "video").alias("video"))
+    rest = [F.col(f"`{c}`") for c in lines.columns if c not in (request, "input", "models", "pipeline", "problem")]
+    return lines.select(*rest, F.when(problem.isNull(), given).alias("input"), models.alias("models"), r["pipeline"].alias("pipeline"), problem.alias("problem"))
+
+
 def _number(state: Column, numbers: dict[str, int]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv]), state)
 

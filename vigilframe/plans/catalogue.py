@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..functions.durable import checkpoint_folder
-from ..operators import cache, gate, lifecycle, pool, sampling, select, zeroshot
+from ..operators import cache, gate, lifecycle, pool, sampling, select, wire, zeroshot
 from ..sources import media
 
 QUERIES: dict = {}
@@ -205,6 +205,21 @@ def prompt_templates(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", zeroshot.prompt_text(F.col("p_name"), "a photo of {} ({})").alias("both"), zeroshot.prompt_text(F.col("p_name"), "photo:").alias("prefixed"))
 
 
+# --- what clients send
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 6 = 4 OR (page_id % 6 = 5 AND page_id % 4 <> 0) THEN NULL ELSE ['image', 'video', 'text', 'audio', NULL, 'image'][1 + page_id % 6] END AS kind,
+ CASE WHEN page_id % 6 IN (0, 1, 3) OR (page_id % 6 = 5 AND page_id % 4 = 0) THEN url END AS main, CASE WHEN page_id % 6 = 0 THEN 'http://b/' || page_id END AS fallback, CASE WHEN page_id % 6 = 2 THEN url END AS text,
+ CASE WHEN page_id % 6 = 4 THEN 'an input is required' WHEN page_id % 6 = 5 AND page_id % 4 <> 0 THEN 'models or a pipeline are required' END AS problem FROM pages""")
+def client_requests(spark, sf_dir):
+    """Pages as requests in JSON, read back as submissions: every kind of input, none, and one without models."""
+    n, url = F.col("page_id") % 6, F.col("url")
+    arm = lambda *of: F.when(n.isin(*of), F.struct(url.alias("main"), F.when(n == 0, F.concat(F.lit("http://b/"), F.col("page_id").cast("string"))).alias("fallback")))
+    fields = [arm(0, 5).alias("image_url"), arm(1).alias("video_url"), arm(3).alias("audio_url"), F.when(n == 2, url).alias("text"), F.when(n != 5, F.array(F.lit("general"))).alias("models"), F.when(F.col("page_id") % 4 == 0, "p").alias("pipeline")]
+    sent = _t(spark, sf_dir, "pages").select("page_id", F.to_json(F.struct(*fields)).alias("request"))
+    return wire.requests(sent).select("page_id", "input.kind", "input.main", "input.fallback", "input.text", "problem")
+
+
 # --- sampling
 
 

@@ -231,12 +231,16 @@ class Runner:
     def _run_models(self, rows: DataFrame, contents: DataFrame) -> DataFrame:
         """(keys, model, output, error) of rows (keys, model, modality, info) and the contents (keys, content)."""
         parts = [self._unknown(rows)]
+        there = {tuple(r) for r in rows.select("model", "modality").distinct().collect()}  # of the configured models
         for name, settings in self.config.data["models"].items():
-            if name not in self.models:
+            if name not in self.models or not there & {(name, "image"), (name, "video")}:
                 continue
             mine = rows.where(F.col("model") == name)
             model = classify.batch_model(self.models[name], settings["batch_size"], name, settings["revision"], settings["timeout_seconds"], self.config.head(name), self.config.data["server"]["idle_unload_seconds"])
-            parts += [self._images(mine.where("modality = 'image'").join(contents, KEYS), model), self._videos(mine.where("modality = 'video'"), contents, model, settings)]
+            if (name, "image") in there:
+                parts.append(self._images(mine.where("modality = 'image'").join(contents, KEYS), model))
+            if (name, "video") in there:
+                parts.append(self._videos(mine.where("modality = 'video'"), contents, model, settings))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
