@@ -482,7 +482,9 @@ class Rules:
     def __init__(self, text: str):
         given = json.loads(text)
         self.tree, self.first, self.other = given["tree"], frozenset(given["first"]), frozenset(given["other"])
-        self.drop = frozenset(map(tuple, given["drop"]))
+        self.drop: dict[int, set[int]] = {}  # hashes of template texts by node
+        for node, text in given["drop"]:
+            self.drop.setdefault(node, set()).add(text)
 
 
 def extract(page: str | None, rules: Rules | None, aligned: Aligner) -> str:
@@ -500,7 +502,7 @@ def extract(page: str | None, rules: Rules | None, aligned: Aligner) -> str:
             at[i] = at[own[i][0]]
     for nodes in (rules.first, rules.other):
         mine = [b for b in found if at[b.node] in nodes]
-        if varying := [b for b in mine if (at[b.node], _hash(b.text)) not in rules.drop]:
+        if varying := [b for b in mine if at[b.node] not in rules.drop or _hash(b.text) not in rules.drop[at[b.node]]]:
             return " ".join(b.text for b in varying)
         if mine and nodes is rules.first:
             break
