@@ -656,3 +656,69 @@ def test_uploads_over_several_batches(spark, tmp_path):
     assert [p.name for p in (tmp_path / "staged").iterdir()] == ["good.bin"]
     Runner(e, c, {"general": lambda: scores, "nsfw": lambda: scores}, download, tool=tool).run()
     assert s.table("items").first()["state"] == "completed" and not list((tmp_path / "staged").iterdir())
+
+
+def test_a_delivery_counts_when_its_write_is_committed(spark, tmp_path, monkeypatch):
+    """A task that dies in the middle: nothing is marked, and all is delivered at least once."""
+    from vigilframe.streaming.deliver import DeliverySink
+
+    folder, log = tmp_path / "got", str(tmp_path / "log")
+    folder.mkdir()
+    (tmp_path / "where.py").write_text(
+        f"import os, uuid\n\ndef deliver(row):\n    if row['task_id'] == 't5' and os.path.exists({str(tmp_path / 'broken')!r}):\n        os._exit(1)\n"
+        f"    if row['task_id'] == 't7':\n        raise OSError('refused')\n    open(f\"{folder}/{{row['task_id']}}-{{uuid.uuid4()}}\", 'w').close()\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "where.py"))
+    spark.dataSource.register(DeliverySink)
+    s = open_store(spark, "parquet", str(tmp_path / "store"))
+    s.create_tasks(spark.range(10).select(F.concat(F.lit("t"), "id").alias("task_id"), F.lit(0).cast("long").alias("idx"), F.lit(None).cast("struct<kind:string,main:string,fallback:string,text:string,path:string,video:boolean>").alias("input"), F.array(F.lit("m")).alias("models"), F.lit(None).cast("string").alias("pipeline")))
+    s.append("items", spark.range(10).select(F.concat(F.lit("t"), "id").alias("task_id"), F.lit(0).cast("long").alias("idx"), F.lit("completed").alias("state")))
+    pending = lambda: s.items_pending_webhook().select("task_id", "idx", "state").repartition(2, "task_id")
+    send = lambda: pending().write.format("deliveries").mode("append").options(to="where:deliver", waits="0,0", log=log).save()
+    (tmp_path / "broken").touch()
+    with pytest.raises(Exception):  # noqa: B017
+        send()
+    assert s.take_delivered(log) == 0 and pending().count() == 10
+    (tmp_path / "broken").unlink()
+    send()
+    assert s.take_delivered(log) == 9 and [r["task_id"] for r in pending().collect()] == ["t7"] and s.take_delivered(log) == 0
+    assert {p.name.split("-")[0] for p in folder.iterdir()} == {f"t{i}" for i in range(10) if i != 7}
+    # a stream into the same sink
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([("t7x", 3, "failed")], "task_id string, idx bigint, state string").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("task_id string, idx bigint, state string").parquet(str(tmp_path / "in"))
+    q = stream.writeStream.format("deliveries").options(to="where:deliver", waits="0", log=log).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60) and q.exception() is None
+    assert [p.read_text() for p in (tmp_path / "log").glob("batch-*.json")] == ['{"task_id": "t7x", "idx": 3}\n']
+
+
+def test_posts_are_signed(spark):
+    import http.server
+    import threading
+
+    from vigilframe.streaming import deliver, scan
+
+    got = []
+
+    class Answer(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            got.append((self.headers["X-Signature"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self.send_response(500 if "bad" in self.path else 204)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_address[1]}"
+        deliver.post({"task_id": "t", "idx": 0, "state": "completed"}, f"{url}/hook", "key")
+        with pytest.raises(OSError):
+            deliver.post({"task_id": "t", "idx": 0, "state": "completed"}, f"{url}/bad")
+    finally:
+        server.shutdown()
+    assert got[0][1] == {"task_id": "t", "idx": 0, "state": "completed"} and got[1][0] is None
+    received = spark.createDataFrame([("t", got[0][0]), ("u", got[0][0])], "task_id string, signature string")
+    assert [r["problem"] for r in scan.verified(received, "key").orderBy("task_id").collect()] == [None, "invalid signature"]

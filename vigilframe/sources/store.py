@@ -313,6 +313,21 @@ class Store:
     def mark_webhook_delivered(self, task_id: str, idx: int) -> None:
         self._append("items", {"task_id": task_id, "idx": idx, "webhook_delivered": True})
 
+    def take_delivered(self, log: str) -> int:
+        """Mark what a delivery sink committed to its log, and clear the files taken; gives how many items.
+
+        Files go after their items are marked, so a driver that is lost between marks them again.
+        """
+        fs, folder = self._fs(log)
+        files = [str(x.getPath()) for x in fs.listStatus(folder) if x.getPath().getName().endswith(".json")] if fs.exists(folder) else []
+        if not files:
+            return 0
+        rows = self.durable(self.spark.read.schema("task_id string, idx bigint").json(files).distinct())
+        self.append("items", rows.withColumn("webhook_delivered", F.lit(True)))
+        for f in files:
+            fs.delete(self._fs(f)[1], False)
+        return rows.count()
+
     def set_item_retries(self, task_id: str, idx: int, retries: int) -> None:
         self._append("items", {"task_id": task_id, "idx": idx, "retries": retries})
 
