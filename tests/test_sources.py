@@ -334,3 +334,16 @@ def test_lookups_read_the_log_of_their_keys_only(spark, tmp_path):
     assert [(r["content_hash"], r["output"]["classification"]) for r in table.collect()] == [("h1", [])]
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Aggregate") < plan.index("LeftSemi") and "BroadcastHashJoin" in plan  # below the aggregate
+    # a compacted cache is read in the folders of the keys asked for
+    everything = {r["content_hash"]: r["output"] for r in s.table("cache").collect()}
+    for _ in range(2):
+        s.compact("cache")
+        assert {r["content_hash"]: r["output"] for r in s.table("cache").collect()} == everything
+    few = s.table("cache", only)
+    assert [(r["content_hash"], r["output"]["classification"]) for r in few.collect()] == [("h1", [])]
+    folders = {f.rsplit("/", 2)[-2] for f in few.inputFiles() if "/base-" in f}
+    assert len(folders) == 1 and len({f.rsplit("/", 2)[-2] for f in s.table("cache").inputFiles() if "/base-" in f}) > 3
+    s.cache_store("h9", "m", "main", out)
+    assert sorted(r["content_hash"] for r in s.table("cache", only).collect()) == ["h1", "h9"]
+    s.compact("url_cache")
+    assert s.table("url_cache").count() == 0 and s.table("url_cache", spark.createDataFrame([("x",)], "url_hash string")).count() == 0

@@ -37,6 +37,8 @@ TABLES = {
     "url_cache": (["url_hash", "model", "revision"], "url_hash string, model string, revision string, content_hash string, created_at bigint"),
 }
 
+#: Tables whose bases lie in folders by a hash of this key, so that a lookup reads those of its keys, and how many.
+BUCKETED, BUCKETS = {"cache": "content_hash", "url_cache": "url_hash"}, 256
 #: Nanoseconds of a day, by which tails are parted.
 DAY = 86400 * 10**9
 
@@ -137,11 +139,19 @@ class Store:
         cols = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self._schema(name) if f.name != "_version"]
         self._write(rows.select(*cols, F.lit(version).alias("_version")), name, version)
 
-    def _read(self, name: str, bases: list[tuple[int, str]], files: list[str]) -> DataFrame:
+    def _folders(self, name: str, base: str, buckets: set[int] | None) -> list[str]:
+        """The folders of a base that hold rows of these buckets; all without any."""
+        if name not in BUCKETED:
+            return [base]
+        fs, path = self._fs(base)
+        found = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("_bucket=")]
+        return [str(p) for p in found if buckets is None or int(p.getName()[8:]) in buckets]
+
+    def _read(self, name: str, bases: list[tuple[int, str]], files: list[str], buckets: set[int] | None = None) -> DataFrame:
         """The rows of the newest base and of tail files, without those of purged tasks."""
         schema = self._schema(name)
-        paths = [*([bases[0][1]] if bases else []), *(f"{self.root}/{name}/tail/{f}" for f in files)]
-        log = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        paths = [*(self._folders(name, bases[0][1], buckets) if bases else []), *(f"{self.root}/{name}/tail/{f}" for f in files)]
+        log = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         if "task_id" in log.columns:
             # what was purged before the last base but one is in neither any more
             floor = bases[1][0] if len(bases) > 1 else -1
@@ -150,11 +160,15 @@ class Store:
             log = log.join(purged, "task_id", "left").where("_gone is null or _version > _gone").drop("_gone")
         return log
 
-    def _log(self, name: str) -> DataFrame:
+    @staticmethod
+    def _bucket(name: str):
+        return F.pmod(F.xxhash64(BUCKETED[name]), F.lit(BUCKETS)).cast("int")
+
+    def _log(self, name: str, buckets: set[int] | None = None) -> DataFrame:
         self._flush()
         bases = self._bases(name)
         held = self._listed(bases[0][1]) if bases else set()
-        return self._read(name, bases, [f for f in self._tail_files(name) if f not in held])
+        return self._read(name, bases, [f for f in self._tail_files(name) if f not in held], buckets)
 
     @staticmethod
     def _newest(column: str, when: str | None = None):
@@ -166,10 +180,14 @@ class Store:
         """The current rows. One aggregate by key; maxima combine before the shuffle.
 
         `only` has some key columns: rows of other keys are left out of the log as it is read, so that a
-        lookup of few keys, which Spark then broadcasts, neither shuffles nor aggregates the rest.
+        lookup of few keys, which Spark then broadcasts, neither shuffles nor aggregates the rest. Of a
+        cache's base it reads the folders of its keys only.
         """
         keys, _ = TABLES[name]
-        log = self._log(name)
+        buckets = None
+        if only is not None and BUCKETED.get(name) in only.columns:
+            buckets = {r[0] for r in only.select(self._bucket(name)).distinct().collect()}  # BUCKETS numbers at most
+        log = self._log(name, buckets)
         if only is not None:
             log = log.join(only.distinct(), only.columns, "left_semi")
         sets = {"error": "set_error", "output": "set_output"}
@@ -234,7 +252,10 @@ class Store:
         keys, _ = TABLES[name]
         base = f"{self.root}/{name}/base-{version}"
         # sorted by key, so that footers tell which file may hold one
-        rows.sortWithinPartitions(*keys).write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").parquet(base)
+        if name in BUCKETED:
+            rows.withColumn("_bucket", self._bucket(name)).repartition("_bucket").sortWithinPartitions("_bucket", *keys).write.mode("overwrite").partitionBy("_bucket").parquet(base)
+        else:
+            rows.sortWithinPartitions(*keys).write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{keys[0]}", "true").parquet(base)
         fs, path = self._fs(f"{base}/_files.part")
         out = fs.create(path, True)
         out.write("\n".join(files).encode())
