@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Parts of checkpoint folders that go when the driver ends.
+_GOING: set[str] = set()
+
 
 def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str:
     """The session's checkpoint folder, set here only where it has none.
@@ -18,9 +21,12 @@ def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str:
         if not named and not sc.master.startswith("local"):
             raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-        path = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+    folder = sc.getCheckpointDir()
+    if folder not in _GOING:  # Spark gives each session a part of its own in the folder that is named
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return sc.getCheckpointDir()
+        _GOING.add(folder)
+    return folder
 
 
 def durable(df: DataFrame, fallback: str | None = None) -> DataFrame:
