@@ -347,3 +347,30 @@ def test_lookups_read_the_log_of_their_keys_only(spark, tmp_path):
     assert sorted(r["content_hash"] for r in s.table("cache", only).collect()) == ["h1", "h9"]
     s.compact("url_cache")
     assert s.table("url_cache").count() == 0 and s.table("url_cache", spark.createDataFrame([("x",)], "url_hash string")).count() == 0
+
+
+def test_large_logs_are_sorted_in_parts_by_their_size(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from vigilframe.sources import store as module
+
+    monkeypatch.setattr(module, "PART_BYTES", 4096, raising=False)
+    s = module.open_store(spark, "parquet", str(tmp_path / "store"), now=lambda: 1000)
+    none = F.lit(None).cast("string")
+    image = F.struct(F.lit("image").alias("kind"), F.concat(F.lit("http://host/"), "task_id").alias("main"), none.alias("fallback"), none.alias("text"), none.alias("path"), F.lit(False).alias("video"))
+    tasks = spark.range(6000).select(F.col("id").cast("string").alias("task_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("idx"))
+    s.create_tasks(tasks.select("task_id", "idx", image.alias("input"), F.array(F.lit("m")).alias("models"), none.alias("pipeline")))
+    few = s.table("items").rdd.getNumPartitions()
+    s.append("items", tasks.select("task_id", "idx", F.when(F.col("idx") == 1, "completed").alias("state"), F.sha2("task_id", 256).alias("pipeline")))
+    many = s.table("items").rdd.getNumPartitions()
+    assert 4 < few < many  # the session has 4
+    states = lambda: sorted(tuple(r) for r in s.table("items").groupBy("state").count().collect())
+    assert states() == [("completed", 6000), ("queued", 6000)]
+    s.append("tasks", tasks.where("idx = 0 and task_id < '3'").select("task_id", F.lit("completed").alias("state"), F.lit(10).alias("updated_at")))
+    n = s.purge_finished_before(1001)
+    assert n == sum(str(i) < "3" for i in range(6000))
+    assert states() == [("completed", 6000 - n), ("queued", 6000 - n)]
+    s.compact("items")
+    s.append("items", tasks.where("task_id = '5'").select("task_id", "idx", F.lit("failed").alias("state")))
+    assert states() == [("completed", 5999 - n), ("failed", 2), ("queued", 5999 - n)]
+    assert s.table("items").rdd.getNumPartitions() > 4

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import time
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,12 @@ TABLES = {
 
 #: Tables whose bases lie in folders by a hash of this key, so that a lookup reads those of its keys, and how many.
 BUCKETED, BUCKETS = {"cache": "content_hash", "url_cache": "url_hash"}, 256
+#: By which columns the rows of a large log are parted: those of a key together, and of a result its frames.
+PARTED = {"tasks": ["task_id"], "items": ["task_id", "idx"], "model_results": ["task_id", "item_idx", "label"], "frames": ["task_id", "item_idx", "label"], "cache": ["content_hash", "model", "revision"], "url_cache": ["url_hash", "model", "revision"]}
+#: Bytes of log files that one task reads, and whose rows it sorts by key; in memory they are some twenty times as many.
+PART_BYTES = 4 << 20
+#: Bytes of a base count so often: sorted by key, its rows take the fewer.
+BASE_WEIGHT = 2
 #: Nanoseconds of a day, by which tails are parted.
 DAY = 86400 * 10**9
 
@@ -48,7 +55,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, now=lambda: int(time.time())):
         self.spark, self.root, self.now = spark, root.rstrip("/"), now
-        self._last, self._holding, self._held = 0, 0, {}
+        self._last, self._holding, self._held, self._sizes, self._parts = 0, 0, {}, {}, 0
 
     # --- logs
 
@@ -90,7 +97,16 @@ class Store:
         """Finished files of the tail as `_day=<n>/<file>`; those that are being written lie elsewhere."""
         fs, path = self._fs(f"{self.root}/{name}/tail")
         days = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("_day=")]
-        return sorted(f"{d.getName()}/{x.getPath().getName()}" for d in days for x in fs.listStatus(d) if x.getPath().getName().endswith(".parquet"))
+        found = []
+        for d in days:
+            day = d.getName()
+            for x in fs.listStatus(d):
+                file = f"{day}/{x.getPath().getName()}"
+                if file.endswith(".parquet"):
+                    found.append(file)
+                    if (name, file) not in self._sizes:  # files never change
+                        self._sizes[name, file] = x.getLen()
+        return sorted(found)
 
     def durable(self, rows: DataFrame) -> DataFrame:
         """`rows` written once, to the folder that the session names for checkpoints or else below the store's root."""
@@ -147,24 +163,60 @@ class Store:
         found = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("_bucket=")]
         return [str(p) for p in found if buckets is None or int(p.getName()[8:]) in buckets]
 
-    def _read(self, name: str, bases: list[tuple[int, str]], files: list[str], buckets: set[int] | None = None) -> DataFrame:
-        """The rows of the newest base and of tail files, without those of purged tasks."""
+    def _sized(self, name: str, folder: str) -> list[tuple[str, int]]:
+        """(path, bytes by weight) of a base's files; the folders of a cache stay whole."""
+        fs, path = self._fs(folder)
+        if name in BUCKETED:
+            return [(folder, BASE_WEIGHT * fs.getContentSummary(path).getLength())]
+        return [(str(x.getPath()), BASE_WEIGHT * x.getLen()) for x in fs.listStatus(path) if x.getPath().getName().endswith(".parquet")]
+
+    def _scan(self, name: str, files: list[tuple[str, int]]) -> DataFrame:
+        """Rows of log files (path, bytes). Spark deals the bytes of one read to its cores: large logs are several reads."""
+        groups, most, room = [], PART_BYTES * self.spark.sparkContext.defaultParallelism, 0
+        for path, size in files:
+            if not groups or size > room:
+                groups.append([])
+                room = most
+            groups[-1].append(path)
+            room -= size
         schema = self._schema(name)
-        paths = [*(self._folders(name, bases[0][1], buckets) if bases else []), *(f"{self.root}/{name}/tail/{f}" for f in files)]
-        log = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        if "task_id" in log.columns:
-            # what was purged before the last base but one is in neither any more
-            floor = bases[1][0] if len(bases) > 1 else -1
+        reads = [self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*g) for g in groups]
+        return reduce(DataFrame.union, reads) if reads else self.spark.createDataFrame([], schema)
+
+    def _read(self, name: str, bases: list[tuple[int, str]], files: list[str], buckets: set[int] | None = None) -> tuple[DataFrame, int]:
+        """The rows of the newest base and of tail files, without those of purged tasks, and in how many parts they are to be sorted."""
+        sized = [x for f in (self._folders(name, bases[0][1], buckets) if bases else []) for x in self._sized(name, f)]
+        sized += [(f"{self.root}/{name}/tail/{f}", self._sizes[name, f]) for f in files]
+        log, parts = self._scan(name, sized), -(-sum(n for _, n in sized) // PART_BYTES)
+        if name not in BUCKETED:  # tables of tasks are joined with each other: in as many parts as the largest so far
+            self._parts = parts = max(self._parts, parts)
+        # what was purged before the last base but one is in neither any more
+        floor = bases[1][0] if len(bases) > 1 else -1
+        if "task_id" in log.columns and self._purges(floor):
             purged = self.spark.read.schema("task_id string, _version bigint, _day bigint").option("basePath", f"{self.root}/purged").parquet(f"{self.root}/purged")
-            purged = purged.where((F.col("_day") >= max(0, floor) // DAY) & (F.col("_version") > floor)).groupBy("task_id").agg(F.max("_version").alias("_gone"))
+            purged = purged.where((F.col("_day") >= max(0, floor) // DAY) & (F.col("_version") > floor))
+            purged = self._parted(purged, parts, ["task_id"]).groupBy("task_id").agg(F.max("_version").alias("_gone"))
             log = log.join(purged, "task_id", "left").where("_gone is null or _version > _gone").drop("_gone")
-        return log
+        return log, parts
+
+    def _purges(self, floor: int) -> bool:
+        """Whether anything was purged on the day of `floor` or later; day 0 stands for the table itself."""
+        fs, folder = self._fs(f"{self.root}/purged")
+        days = [x.getPath().getName().removeprefix("_day=") for x in fs.listStatus(folder)]
+        return any(d.isdigit() and int(d) >= max(1, floor // DAY) for d in days)
+
+    def _parted(self, rows: DataFrame, parts: int, columns: list[str]) -> DataFrame:
+        """Rows of a log that is large for the cores in `parts` parts; Spark parts those of others by its own measure.
+
+        Every part is sorted in one task: with a fixed number of them its memory would grow with the log.
+        """
+        return rows.repartition(parts, *columns) if parts > self.spark.sparkContext.defaultParallelism else rows
 
     @staticmethod
     def _bucket(name: str):
         return F.pmod(F.xxhash64(BUCKETED[name]), F.lit(BUCKETS)).cast("int")
 
-    def _log(self, name: str, buckets: set[int] | None = None) -> DataFrame:
+    def _log(self, name: str, buckets: set[int] | None = None) -> tuple[DataFrame, int]:
         self._flush()
         bases = self._bases(name)
         held = self._listed(bases[0][1]) if bases else set()
@@ -187,9 +239,8 @@ class Store:
         buckets = None
         if only is not None and BUCKETED.get(name) in only.columns:
             buckets = {r[0] for r in only.select(self._bucket(name)).distinct().collect()}  # BUCKETS numbers at most
-        log = self._log(name, buckets)
-        if only is not None:
-            log = log.join(only.distinct(), only.columns, "left_semi")
+        log, parts = self._log(name, buckets)
+        log = self._parted(log, parts, PARTED[name]) if only is None else log.join(only.distinct(), only.columns, "left_semi")
         sets = {"error": "set_error", "output": "set_output"}
         plain = [f.name for f in self._schema(name) if f.name not in keys and f.name != "_version" and not f.name.startswith("set_") and f.name != "default_state"]
         current = [self._newest(c, sets.get(c) if sets.get(c) in log.columns else "set_output" if c == "error" and name == "model_results" else None) for c in plain]
@@ -248,7 +299,8 @@ class Store:
         version, bases = self._version(), self._bases(name)
         held = self._listed(bases[0][1]) if bases else set()
         files = self._tail_files(name)
-        rows = self._telling(name, self._read(name, bases, [f for f in files if f not in held]))
+        log, parts = self._read(name, bases, [f for f in files if f not in held])
+        rows = self._telling(name, self._parted(log, parts, PARTED[name]))
         keys, _ = TABLES[name]
         base = f"{self.root}/{name}/base-{version}"
         # sorted by key, so that footers tell which file may hold one
