@@ -48,3 +48,18 @@ def test_pages_that_share_a_url_have_their_own_outputs(spark, tmp_path):
     table = pa.table({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "html": pa.array(htmls, pa.string())})
     got = against_sql(spark, tmp_path, "url_cache_chain", pages=table)
     assert sorted(got) == [(i, m, i) for i in ids if i % 3 for m in "ab"]
+
+
+def test_admission_leaves_other_columns_as_they_are(spark):
+    """Whole numbers beside nulls do not pass through floating point, groups of any size keep their order."""
+    from vigilframe.operators import lifecycle
+
+    rows = [(i % 700 if i % 3 else 0, i, i % 4, None if i % 2 else 2**53 + i) for i in range(4000)]
+    batch = spark.createDataFrame(rows, "g long, seq long, n_items int, note long").repartition(3)
+    got = {r["seq"]: (r["g"], r["note"], r["accepted"]) for r in lifecycle.within_capacity(batch, 1, 9, ["g"], parts=5).collect()}
+    room, want = {}, {}
+    for g, i, n, note in rows:
+        fits = n <= room.setdefault(g, 8)
+        room[g] -= n if fits else 0
+        want[i] = (g, note, fits)
+    assert got == want

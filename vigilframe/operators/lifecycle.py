@@ -92,7 +92,8 @@ def within_capacity(batch: DataFrame, pending_now: int, most: int, groups: list[
     if most <= 0:
         return batch.withColumn("accepted", F.lit(True))
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark import TaskContext
 
     spark = batch.sparkSession
@@ -103,54 +104,65 @@ def within_capacity(batch: DataFrame, pending_now: int, most: int, groups: list[
     numbered = batch.withColumn("__group", F.to_json(F.struct(*groups))).withColumn("__n", F.greatest(F.coalesce(F.col(items), F.lit(0)), F.lit(0)).cast("long"))
     ranged = durable(numbered.repartitionByRange(parts, "__group", order).sortWithinPartitions("__group", order, "__n"))
 
-    def segments(frames):
-        """(group, rows, sizes) in order; a group may go on in the next frame."""
-        for frame in frames:
-            names = frame["__group"].to_numpy()
-            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)] if len(names) else [0]
-            for i, j in zip(cuts, cuts[1:]):
-                yield names[i], frame.iloc[i:j], frame["__n"].iloc[i:j].tolist()
-
-    def tell(frames):
+    def begun(batches):
+        """(batch, per row whether a group other than the row's before begins with it, sizes), in order."""
+        before = None
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            names = rows.column("__group")
+            new = np.ones(rows.num_rows, bool)
+            new[1:] = pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = names[0].as_py() != before
+            before = names[-1].as_py()
+            yield rows, new, rows.column("__n").to_numpy()
+
+    def tell(batches):
         first = last = steps = None
-        room = free
-        for name, _, sizes in segments(frames):
+        room, inside = free, True
+        for rows, new, sizes in begun(batches):
+            names = rows.column("__group")
             if first is None:
-                first, steps = name, np.arange(most + 1, dtype=np.int32)
-            if name == first:
-                for n in sizes:
-                    if 0 < n <= most:
-                        steps = np.where(steps >= n, steps - n, steps).astype(np.int32)
-            elif name != last:
-                room = free
-            if name != first:
-                for n in sizes:
-                    if n <= room:
-                        room -= n
-            last = name
+                first, steps = names[0].as_py(), np.arange(most + 1, dtype=np.int32)
+                new[0] = False
+            at = 0
+            if inside:  # rows of the first group; those that no queue can take change nothing
+                at = int(new.argmax()) if new.any() else len(new)
+                inside = at == len(new)
+                mine = sizes[:at]
+                for n in mine[(mine > 0) & (mine <= most)].tolist():
+                    steps = np.where(steps >= n, steps - n, steps).astype(np.int32)
+            for n, begins in zip(sizes[at:].tolist(), new[at:].tolist()):
+                if begins:
+                    room = free
+                if n <= room:
+                    room -= n
+            last = names[-1].as_py()
         if first is not None:
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "first": [first], "last": [last], "steps": [steps.tobytes()], "room": [room]})
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "first": first, "last": last, "steps": steps.tobytes(), "room": room}], pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("steps", pa.binary()), ("room", pa.int64())]))
 
-    told = sorted(ranged.mapInPandas(tell, "part int, first string, last string, steps binary, room long").collect())
+    told = sorted(ranged.select("__group", "__n").mapInArrow(tell, "part int, first string, last string, steps binary, room long").collect())
     starts, before, room = {}, None, free
     for part, first, last, steps, left in told:
         starts[part] = room if first == before else free
         room = left if last != first else starts[part] if starts[part] < 0 else int(np.frombuffer(steps, np.int32)[starts[part]])
         before = last
 
-    def decide(frames):
-        now, room = None, free
-        for name, rows, sizes in segments(frames):
-            if name != now:
-                room = starts[TaskContext.get().partitionId()] if now is None else free
-                now = name
+    def decide(batches):
+        room, started = free, False
+        for rows, new, sizes in begun(batches):
+            if not started:
+                room, started = starts[TaskContext.get().partitionId()], True
+                new[0] = False
             fits = []
-            for n in sizes:
+            for n, begins in zip(sizes.tolist(), new.tolist()):
+                if begins:
+                    room = free
                 fits.append(n <= room)
                 room -= n if fits[-1] else 0
-            yield rows[columns].assign(accepted=fits)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(fits, pa.bool_())], names=[*columns, "accepted"])
 
-    return ranged.mapInPandas(decide, T.StructType([*batch.schema.fields, T.StructField("accepted", T.BooleanType())]))
+    return ranged.mapInArrow(decide, T.StructType([*batch.schema.fields, T.StructField("accepted", T.BooleanType())]))
 
 
 def admit_in_order(batch: DataFrame, pending_now: int, most: int, order: str, items: str) -> DataFrame:
