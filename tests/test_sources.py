@@ -376,6 +376,34 @@ def test_large_logs_are_sorted_in_parts_by_their_size(spark, tmp_path, monkeypat
     assert s.table("items").rdd.getNumPartitions() > 4
 
 
+def test_tasks_are_made_and_rolled_up_in_parts_by_size(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from vigilframe.sources import store as module
+
+    monkeypatch.setattr(module, "PART_BYTES", 1 << 18)
+    s = module.open_store(spark, "parquet", str(tmp_path / "store"), now=lambda: 1000)
+    none = F.lit(None).cast("string")
+    image = F.struct(F.lit("image").alias("kind"), F.concat(*(F.sha2(F.concat_ws("-", "task_id", "idx"), n) for n in (256, 512))).alias("main"), none.alias("fallback"), none.alias("text"), none.alias("path"), F.lit(False).alias("video"))
+    items = spark.range(4000).select(F.col("id").cast("string").alias("task_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("idx"))
+    made, append = {}, s.append
+
+    def counted(name, rows):
+        made[name] = rows.rdd.getNumPartitions()
+        append(name, rows)
+
+    monkeypatch.setattr(s, "append", counted)
+    s.create_tasks(items.select("task_id", "idx", image.alias("input"), F.array(F.lit("m")).alias("models"), none.alias("pipeline")))
+    assert made["tasks"] > 4  # the session has 4
+    s.append("items", items.where("idx < 2 or cast(task_id as int) % 3 = 0").select("task_id", "idx", F.lit("completed").alias("state")))
+    rolled = s.rolled_up()
+    assert rolled.rdd.getNumPartitions() > 4
+    want = {str(i): "processing" if i % 3 else "completed" for i in range(4000)}
+    assert {r["task_id"]: r["state"] for r in rolled.collect()} == want
+    few = spark.createDataFrame([("3",), ("4",), ("none",)], "task_id string")
+    assert sorted((r["task_id"], r["state"], r["_was"]) for r in s.rolled_up(few).collect()) == [("3", "completed", "queued"), ("4", "processing", "queued")]
+
+
 def test_fetched_contents_leave_a_worker_piece_by_piece(spark):
     import re
 

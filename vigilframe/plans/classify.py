@@ -207,8 +207,7 @@ class Engine:
 
     def roll_up(self, touched: DataFrame) -> None:
         """Set the states of tasks (task_id) after their items' where they changed."""
-        tasks = self.store.table("tasks").join(touched, "task_id", "left_semi").withColumn("_was", F.col("state"))
-        rolled = lifecycle.roll_up(tasks, self.store.table("items").join(touched, "task_id", "left_semi")).where("state <> _was")
+        rolled = self.store.rolled_up(touched).where("state <> _was")
         self.store.append("tasks", rolled.select("task_id", "state", F.lit(self.store.now()).cast("long").alias("updated_at")))
 
     def recover(self, deliver: Callable[[dict], None] | None = None, uploads: DataFrame | None = None) -> DataFrame:

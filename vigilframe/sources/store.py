@@ -337,9 +337,11 @@ class Store:
     def create_tasks(self, items: DataFrame) -> None:
         """Many at once: rows (task_id, idx, input, models, pipeline)."""
         now = F.lit(self.now()).cast("long")
-        queued = items.withColumn("state", F.lit("queued"))
+        queued, before = items.withColumn("state", F.lit("queued")), set(self._tail_files("items"))
         self.append("items", queued)
-        self.append("tasks", queued.select("task_id").distinct().select("task_id", F.lit("queued").alias("state"), F.lit(0).alias("attempts"), now.alias("created_at"), now.alias("updated_at")))
+        parts = -(-sum(self._sizes["items", f] for f in self._tail_files("items") if f not in before) // PART_BYTES)
+        tasks = self._parted(queued.select("task_id"), parts, ["task_id"]).distinct()
+        self.append("tasks", tasks.select("task_id", F.lit("queued").alias("state"), F.lit(0).alias("attempts"), now.alias("created_at"), now.alias("updated_at")))
 
     def _touch(self, task_id: str, **columns) -> None:
         self._append("tasks", {"task_id": task_id, "updated_at": self.now()} | columns)
@@ -377,6 +379,17 @@ class Store:
         self._touch(task_id, attempts=1)
         return self.table("tasks").where(F.col("task_id") == task_id).first()["attempts"]
 
+    def rolled_up(self, touched: DataFrame | None = None) -> DataFrame:
+        """Tasks, or those of `touched`, with the states that follow from their items'; `_was` is the state before.
+
+        Items are grouped, and joined with tasks, in the parts of the larger log.
+        """
+        items, tasks = self.table("items"), self.table("tasks")  # in this order: tasks come in the parts of items
+        items = self._parted(items.select("task_id", "state"), self._parts, ["task_id"])
+        if touched is not None:
+            items, tasks = (x.join(touched, "task_id", "left_semi") for x in (items, tasks))
+        return lifecycle.roll_up(tasks.withColumn("_was", F.col("state")), items)
+
     def load_incomplete_tasks(self) -> DataFrame:
         return lifecycle.incomplete(self.table("tasks"))
 
